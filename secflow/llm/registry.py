@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from secflow.llm import bpe
+from secflow.llm import bpe, line_dedup, mixing, webp
 
-MODULES = [bpe]
+MODULES = [bpe, line_dedup, mixing, webp]
 
 
 def queries() -> dict:
