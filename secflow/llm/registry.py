@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from secflow.llm import bpe, line_dedup, mixing, webp
+from secflow.llm import bpe, langid, line_dedup, mixing, quality, webp
 
-MODULES = [bpe, line_dedup, mixing, webp]
+MODULES = [bpe, langid, line_dedup, mixing, quality, webp]
 
 
 def queries() -> dict:
