@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from secflow.llm import bpe, langid, line_dedup, mixing, quality, webp
+from secflow.llm import bpe, langid, line_dedup, minhash, mixing, quality, webp
 
-MODULES = [bpe, langid, line_dedup, mixing, quality, webp]
+MODULES = [bpe, langid, line_dedup, minhash, mixing, quality, webp]
 
 
 def queries() -> dict:
