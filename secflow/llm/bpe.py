@@ -235,15 +235,18 @@ def _map(docs: DataFrame, added: T.StructType, make: Callable[[pa.RecordBatch],
     return docs.mapInArrow(run, T.StructType([*(docs.schema[c] for c in kept), *added.fields]))
 
 
+def _lists(found: list[np.ndarray]) -> pa.Array:
+    flat = np.concatenate(found) if found else np.zeros(0, np.int32)
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, found)]), pa.int32()), pa.array(flat, pa.int32()))
+
+
 def encode_documents(docs: DataFrame, vocabulary: str, text: str = "text", ids: str = "token_ids") -> DataFrame:
     """Adds the token ids of column ``text`` as array<int>."""
 
     def make(batch: pa.RecordBatch) -> list:
         bpe = codec(vocabulary)
         found = [bpe.encode(t or "") for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
-        ends = np.cumsum([0, *map(len, found)])
-        flat = np.concatenate(found) if found else np.zeros(0, np.int32)
-        return [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))]
+        return [_lists(found)]
 
     return _map(docs, T.StructType([T.StructField(ids, T.ArrayType(T.IntegerType()))]), make)
 
@@ -260,18 +263,23 @@ def decode_documents(docs: DataFrame, vocabulary: str, ids: str = "token_ids", t
     return _map(docs, T.StructType([T.StructField(text, T.StringType())]), make)
 
 
-def round_trip(docs: DataFrame, vocabulary: str, text: str = "text") -> DataFrame:
-    """Encodes and decodes every text and adds ``n_tokens``, ``ids_sha256`` and ``decoded_sha256``, without moving the ids."""
+def round_trip(docs: DataFrame, vocabulary: str, text: str = "text", with_ids: bool = False) -> DataFrame:
+    """Encodes and decodes every text and adds ``n_tokens``, ``ids_sha256`` and ``decoded_sha256``; the ids too if asked for."""
     added = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
+    if with_ids:
+        added.add("token_ids", T.ArrayType(T.IntegerType()))
 
     def make(batch: pa.RecordBatch) -> list:
-        bpe, counts, of_ids, of_text = codec(vocabulary), [], [], []
+        bpe, counts, of_ids, of_text, found = codec(vocabulary), [], [], [], []
         for t in batch.column(batch.schema.get_field_index(text)):
             ids = bpe.encode(t.as_py() or "")
             counts.append(len(ids))
+            if with_ids:
+                found.append(ids)
             of_ids.append(hashlib.sha256(bpe.decimal(ids).encode()).hexdigest())
             of_text.append(hashlib.sha256(bpe.decode(ids).encode()).hexdigest())
-        return [pa.array(counts, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())]
+        made = [pa.array(counts, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())]
+        return [*made, _lists(found)] if with_ids else made
 
     return _map(docs, added, make)
 
