@@ -2,10 +2,20 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+
+from secflow.plans import detection_queries, predicate_queries
+
+BOOKS = [predicate_queries.BOOK, detection_queries.BOOK]
+
 
 def queries() -> dict:
-    return {}
+    return {name: q for b in BOOKS for name, q in b.queries.items()}
 
 
 def oracles() -> dict:
-    return {}
+    return {name: q for b in BOOKS for name, q in b.oracles.items()}
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return queries()["det_alerts"](spark, sf_dir)
