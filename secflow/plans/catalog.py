@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from secflow.plans import case_queries, detection_queries, normalize_queries, predicate_queries, supply_queries
+from secflow.plans import case_queries, detection_queries, normalize_queries, predicate_queries, stream_queries, supply_queries
 
-BOOKS = [predicate_queries.BOOK, detection_queries.BOOK, case_queries.BOOK, supply_queries.BOOK, normalize_queries.BOOK]
+BOOKS = [predicate_queries.BOOK, detection_queries.BOOK, case_queries.BOOK, supply_queries.BOOK, normalize_queries.BOOK, stream_queries.BOOK]
 
 
 def queries() -> dict:

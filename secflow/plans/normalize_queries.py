@@ -11,12 +11,18 @@ from secflow.plans.base import Book
 
 BOOK = Book()
 S = F.col
-WHO = F.concat(F.lit("user"), F.col("user_id").cast("string"))
 WHO_SQL = "'user' || user_id"
-PORT = (1024 + F.col("event_id") % 60000).cast("string")
 FIELDS = ("class_uid", "activity_id", "status_id", "severity_id", "actor", "target", "ip", "port", "is_mfa", "group_name")
 
 
+def who() -> Column:
+    return F.concat(F.lit("user"), F.col("user_id").cast("string"))
+
+
+def port() -> Column:
+    return (1024 + F.col("event_id") % 60000).cast("string")
+
+
 def opened(df: DataFrame, event: Column, *names: str) -> DataFrame:
     return df.withColumn("e", event).select("event_id", *(F.col(f"e.{n}").alias(n) for n in names))
 
@@ -26,17 +32,26 @@ def line(df: DataFrame, program: str, message: Column) -> Column:
     return F.concat(F.date_format(F.timestamp_micros("t"), "MMM dd HH:mm:ss"), F.lit(" "), F.col("hostname"), F.lit(f" {program}["), F.col("event_id").cast("string"), F.lit("]: "), message)
 
 
-SSHD = F.when(S("k") % 5 == 0, F.concat(F.lit("Accepted publickey for "), WHO, F.lit(" from "), "source_ip", F.lit(" port "), PORT, F.lit(" ssh2"))).when(S("k") % 5 == 1, F.concat(F.lit("Failed password for invalid user "), WHO, F.lit(" from "), "source_ip", F.lit(" port "), PORT, F.lit(" ssh2"))).when(S("k") % 5 == 2, F.concat(F.lit("Invalid user "), WHO, F.lit(" from "), "source_ip")).when(S("k") % 5 == 3, F.concat(F.lit("Disconnected from user "), WHO, F.lit(" "), "source_ip", F.lit(" port 1"))).otherwise(F.concat(F.lit("pam_unix(sshd:session): session closed for user "), WHO))
-SUDO = F.when(S("k") % 3 == 0, F.concat(WHO, F.lit(" : TTY=pts/0 ; PWD=/home ; USER="), F.when(S("k") % 2 == 0, "root").otherwise("deploy"), F.lit(" ; COMMAND=/bin/ls -l"))).when(S("k") % 3 == 1, F.concat(F.lit("pam_unix(sudo:session): session opened for user root(uid=0) by "), WHO, F.lit("(uid=1000)"))).otherwise(F.concat(WHO, F.lit(" : 3 incorrect password attempts ; TTY=pts/1")))
-SHADOW = F.when(S("k") % 4 == 0, F.concat(F.lit("new user: name="), WHO, F.lit(", UID=1001, GID=1001, home=/home"))).when(S("k") % 4 == 1, F.concat(F.lit("add '"), WHO, F.lit("' to group '"), F.when(S("k") % 8 == 1, "sudo").otherwise("games"), F.lit("'"))).when(S("k") % 4 == 2, F.concat(F.lit("delete user '"), WHO, F.lit("'"))).otherwise(F.concat(F.lit("pam_unix: password changed for "), WHO))
+def sshd_text() -> Column:
+    return F.when(S("k") % 5 == 0, F.concat(F.lit("Accepted publickey for "), who(), F.lit(" from "), "source_ip", F.lit(" port "), port(), F.lit(" ssh2"))).when(S("k") % 5 == 1, F.concat(F.lit("Failed password for invalid user "), who(), F.lit(" from "), "source_ip", F.lit(" port "), port(), F.lit(" ssh2"))).when(S("k") % 5 == 2, F.concat(F.lit("Invalid user "), who(), F.lit(" from "), "source_ip")).when(S("k") % 5 == 3, F.concat(F.lit("Disconnected from user "), who(), F.lit(" "), "source_ip", F.lit(" port 1"))).otherwise(F.concat(F.lit("pam_unix(sshd:session): session closed for user "), who()))
+
+
+def sudo_text() -> Column:
+    return F.when(S("k") % 3 == 0, F.concat(who(), F.lit(" : TTY=pts/0 ; PWD=/home ; USER="), F.when(S("k") % 2 == 0, "root").otherwise("deploy"), F.lit(" ; COMMAND=/bin/ls -l"))).when(S("k") % 3 == 1, F.concat(F.lit("pam_unix(sudo:session): session opened for user root(uid=0) by "), who(), F.lit("(uid=1000)"))).otherwise(F.concat(who(), F.lit(" : 3 incorrect password attempts ; TTY=pts/1")))
+
+
+def shadow_text() -> Column:
+    return F.when(S("k") % 4 == 0, F.concat(F.lit("new user: name="), who(), F.lit(", UID=1001, GID=1001, home=/home"))).when(S("k") % 4 == 1, F.concat(F.lit("add '"), who(), F.lit("' to group '"), F.when(S("k") % 8 == 1, "sudo").otherwise("games"), F.lit("'"))).when(S("k") % 4 == 2, F.concat(F.lit("delete user '"), who(), F.lit("'"))).otherwise(F.concat(F.lit("pam_unix: password changed for "), who()))
+
+
 
 BOOK.on("norm_syslog", "v_events", "SELECT event_id, hostname AS host, 'sshd' AS program, event_id::INT AS pid, strftime(make_timestamp(t), '%b %d %H:%M:%S') AS \"timestamp\", 'hello: ' || principal AS message FROM v_events")(lambda df: df.withColumn("s", N.syslog(line(df, "sshd", F.concat(F.lit("hello: "), "principal")))).select("event_id", "s.host", "s.program", "s.pid", "s.timestamp", "s.message"))
 BOOK.on("norm_sshd", "v_events", f"""SELECT event_id, 3002 AS class_uid, CASE WHEN k % 5 >= 3 THEN 2 ELSE 1 END AS activity_id, CASE WHEN k % 5 IN (1, 2) THEN 2 ELSE 1 END AS status_id, CASE k % 5 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 2 ELSE 0 END AS severity_id, {WHO_SQL} AS actor,
-  CASE WHEN k % 5 < 4 THEN source_ip END AS ip, CASE WHEN k % 5 < 2 THEN (1024 + event_id % 60000)::INT END AS port, CASE WHEN k % 5 = 0 THEN true END AS is_mfa FROM v_events""")(lambda df: opened(df, N.sshd(SSHD), "class_uid", "activity_id", "status_id", "severity_id", "actor", "ip", "port", "is_mfa"))
+  CASE WHEN k % 5 < 4 THEN source_ip END AS ip, CASE WHEN k % 5 < 2 THEN (1024 + event_id % 60000)::INT END AS port, CASE WHEN k % 5 = 0 THEN true END AS is_mfa FROM v_events""")(lambda df: opened(df, N.sshd(sshd_text()), "class_uid", "activity_id", "status_id", "severity_id", "actor", "ip", "port", "is_mfa"))
 BOOK.on("norm_sudo", "v_events", f"""SELECT event_id, CASE WHEN k % 3 = 0 THEN 1007 ELSE 3003 END AS class_uid, CASE WHEN k % 3 = 2 THEN 2 ELSE 1 END AS status_id, CASE WHEN k % 3 = 0 AND k % 2 = 1 THEN 1 ELSE 3 END AS severity_id, {WHO_SQL} AS actor,
-  CASE WHEN k % 3 = 1 OR k % 6 = 0 THEN 'root' WHEN k % 3 = 0 THEN 'deploy' END AS target, CASE WHEN k % 3 = 0 THEN '/bin/ls -l' END AS command FROM v_events""")(lambda df: opened(df, N.sudo(SUDO), "class_uid", "status_id", "severity_id", "actor", "target", "command"))
+  CASE WHEN k % 3 = 1 OR k % 6 = 0 THEN 'root' WHEN k % 3 = 0 THEN 'deploy' END AS target, CASE WHEN k % 3 = 0 THEN '/bin/ls -l' END AS command FROM v_events""")(lambda df: opened(df, N.sudo(sudo_text()), "class_uid", "status_id", "severity_id", "actor", "target", "command"))
 BOOK.on("norm_shadow_utils", "v_events", f"""SELECT event_id, CASE WHEN k % 4 = 1 THEN 3006 ELSE 3001 END AS class_uid, CASE k % 4 WHEN 0 THEN 1 WHEN 1 THEN 3 WHEN 2 THEN 6 ELSE 3 END AS activity_id, CASE k % 4 WHEN 0 THEN 3 WHEN 1 THEN CASE WHEN k % 8 = 1 THEN 4 ELSE 2 END WHEN 2 THEN 3 ELSE 0 END AS severity_id,
-  CASE WHEN k % 4 = 3 THEN {WHO_SQL} ELSE 'root' END AS actor, {WHO_SQL} AS target, CASE WHEN k % 8 = 1 THEN 'sudo' WHEN k % 4 = 1 THEN 'games' END AS group_name FROM v_events""")(lambda df: opened(df, N.shadow_utils(SHADOW, F.lit(None).cast("string")), "class_uid", "activity_id", "severity_id", "actor", "target", "group_name"))
+  CASE WHEN k % 4 = 3 THEN {WHO_SQL} ELSE 'root' END AS actor, {WHO_SQL} AS target, CASE WHEN k % 8 = 1 THEN 'sudo' WHEN k % 4 = 1 THEN 'games' END AS group_name FROM v_events""")(lambda df: opened(df, N.shadow_utils(shadow_text(), F.lit(None).cast("string")), "class_uid", "activity_id", "severity_id", "actor", "target", "group_name"))
 
 
 @BOOK.on("norm_auditd", "v_events", "SELECT event_id, CASE WHEN k % 2 = 0 THEN 1007 ELSE 1001 END AS class_uid, CASE WHEN k % 6 = 0 THEN 2 ELSE 1 END AS status_id, CASE WHEN k % 2 = 0 THEN 0 WHEN k % 3 = 0 THEN 3 ELSE 1 END AS severity_id, principal AS actor, CASE WHEN k % 2 = 0 THEN '/bin/cat' WHEN k % 3 = 0 THEN '/etc/shadow' ELSE '/var/log/' || hostname END AS path FROM v_events")
@@ -89,7 +104,7 @@ def raw_records(df: DataFrame) -> DataFrame:
     """Envelopes of all sources, some of them unknown or broken."""
     cloud = cloud_payload(df)
     source = F.when(F.col("k") % 6 == 0, "linux.sshd").when(F.col("k") % 6 == 1, "aws.cloudtrail").when(F.col("k") % 6 == 2, "app.audit").when(F.col("k") % 6 == 3, "linux.sudo").when(F.col("k") % 6 == 4, "linux.sshd").otherwise("unknown.x")
-    raw = F.when(F.col("k") % 6 == 0, line(df, "sshd", SSHD)).when(F.col("k") % 6 == 3, line(df, "sudo", SUDO)).when(F.col("k") % 6 == 4, F.lit("broken line"))
+    raw = F.when(F.col("k") % 6 == 0, line(df, "sshd", sshd_text())).when(F.col("k") % 6 == 3, line(df, "sudo", sudo_text())).when(F.col("k") % 6 == 4, F.lit("broken line"))
     payload = F.when(F.col("k") % 6 == 1, F.col("payload")).when(F.col("k") % 6 == 2, F.to_json(F.struct(F.lit("login").alias("action"), F.col("principal").alias("user"))))
     return cloud.select("event_id", "t", source.alias("source"), "tenant", payload.alias("payload"), raw.alias("raw"), F.timestamp_micros("t").alias("received_at"))
 
@@ -151,6 +166,6 @@ BOOK.on("norm_document", "v_events", """SELECT event_id, '{"principal":"' || pri
 def identity(events: DataFrame, users: DataFrame) -> DataFrame:
     """An address, a bare name or a number leads to the person's address."""
     own = users.where("user_id < 150").select(F.col("email").alias("canonical"), (F.col("user_id") % 25 == 0).alias("service"), F.explode(F.array(F.lower("email"), F.substring_index("email", "@", 1), F.concat(F.lit("uid-"), F.col("user_id").cast("string")))).alias("alias"))
-    address = F.when(F.col("k") % 3 == 0, F.upper(F.concat(WHO, F.lit("@corp.example"))))
-    named = events.withColumn("a", address).withColumn("n", F.when(F.col("k") % 3 == 1, WHO)).withColumn("u", F.concat(F.lit("uid-"), F.col("user_id").cast("string")))
+    address = F.when(F.col("k") % 3 == 0, F.upper(F.concat(who(), F.lit("@corp.example"))))
+    named = events.withColumn("a", address).withColumn("n", F.when(F.col("k") % 3 == 1, who())).withColumn("u", F.concat(F.lit("uid-"), F.col("user_id").cast("string")))
     return N.identities(named, own, "a", "n", "u").select("event_id", "canonical", "is_service")

@@ -143,7 +143,7 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def with_views(body: str) -> str:
     """A DuckDB query with the views that it names put before it."""
-    used = [v for v in VIEWS if re.search(rf"\b{v}\b", body)]
+    used = [v for v in VIEWS if re.search(rf"\b{v}\b", body) and f"{v} AS (SELECT * FROM (" not in body]
     clauses = ",\n".join(f"{v} AS (SELECT * FROM ({text(v, 'duckdb')}))" for v in used)
     body = body.strip()
     m = re.match(r"WITH\s+(RECURSIVE\s+)?", body)
