@@ -66,7 +66,7 @@ def stride(length: int, vocabulary_size: int) -> int:
 
 
 def sequences(docs: DataFrame, vocabulary: str, length: int = LENGTH, text: str = "text") -> DataFrame:
-    """(doc_id, part, record) of every sequence of every document."""
+    """(doc_id, part, record) of every sequence of every document; records travel compressed."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(vocabulary)
@@ -86,7 +86,7 @@ def sequences(docs: DataFrame, vocabulary: str, length: int = LENGTH, text: str
                     for i in range(count):
                         ids.append(doc_id)
                         parts.append(i)
-                        records.append(head[i].tobytes() + rows[i].tobytes())
+                        records.append(zlib.compress(head[i].tobytes() + rows[i].tobytes(), 1))
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(parts, pa.int32()), pa.array(records, pa.binary())], ["doc_id", "part", "record"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text).mapInArrow(cut, "doc_id long, part int, record binary")
@@ -125,15 +125,17 @@ def materialise_order(docs: DataFrame, vocabulary: str, length: int = LENGTH, pe
                     yield close()
                     held = []
                 shard = s
-                held.append(r)
+                held.append(zlib.decompress(r))
         if held:
             yield close()
 
     return materialise(ordered.mapInArrow(join, "shard long, first_slot long, n int, stride int, records binary"), "shards")
 
 
-def read_from(shards: DataFrame, slot: int = 0, length: int = LENGTH) -> DataFrame:
-    """The records from a slot on: slot, shard, byte offset, doc_id, part, n_tokens, crc32 of the real tokens' bytes, token_ids."""
+def read_from(shards: DataFrame, slot: int = 0, length: int = LENGTH, with_ids: bool = True) -> DataFrame:
+    """The records from a slot on: slot, shard, byte offset, doc_id, part, n_tokens, crc32 of the real tokens' bytes, and token_ids if asked for."""
+
+    names = ["slot", "shard", "byte_offset", "doc_id", "part", "n_tokens", "tokens_crc32", "token_ids"]
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -142,24 +144,23 @@ def read_from(shards: DataFrame, slot: int = 0, length: int = LENGTH) -> DataFra
                 width = (size - HEADER.itemsize) // length
                 heads = [np.frombuffer(blob, HEADER, 1, i * size)[0] for i in range(skip, n)]
                 bodies = [blob[i * size + HEADER.itemsize : i * size + HEADER.itemsize + int(h["n"]) * width] for i, h in zip(range(skip, n), heads, strict=True)]
-                ids = [np.frombuffer(b, f"<u{width}").astype(np.int32) for b in bodies]
-                ends = np.cumsum([0, *map(len, ids)])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.arange(first + skip, first + n)), pa.array([shard] * (n - skip), pa.int64()), pa.array(np.arange(skip, n) * size),
-                        pa.array([None if h["doc_id"] == NO_ID else int(h["doc_id"]) for h in heads], pa.int64()), pa.array([int(h["part"]) for h in heads], pa.int32()), pa.array([int(h["n"]) for h in heads], pa.int32()),
-                        pa.array([zlib.crc32(b) for b in bodies], pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32), pa.int32())),
-                    ],
-                    ["slot", "shard", "byte_offset", "doc_id", "part", "n_tokens", "tokens_crc32", "token_ids"],
-                )
+                columns = [
+                    pa.array(np.arange(first + skip, first + n)), pa.array([shard] * (n - skip), pa.int64()), pa.array(np.arange(skip, n) * size),
+                    pa.array([None if h["doc_id"] == NO_ID else int(h["doc_id"]) for h in heads], pa.int64()), pa.array([int(h["part"]) for h in heads], pa.int32()), pa.array([int(h["n"]) for h in heads], pa.int32()),
+                    pa.array([zlib.crc32(b) for b in bodies], pa.int64()),
+                ]
+                if with_ids:
+                    ids = [np.frombuffer(b, f"<u{width}").astype(np.int32) for b in bodies]
+                    columns.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, ids)]), pa.int32()), pa.array(np.concatenate(ids), pa.int32())))
+                yield pa.RecordBatch.from_arrays(columns, names[: len(columns)])
 
     kept = shards.where(F.col("first_slot") + F.col("n") > slot)
-    return kept.mapInArrow(split, "slot long, shard long, byte_offset long, doc_id long, part int, n_tokens int, tokens_crc32 long, token_ids array<int>")
+    return kept.mapInArrow(split, "slot long, shard long, byte_offset long, doc_id long, part int, n_tokens int, tokens_crc32 long" + (", token_ids array<int>" if with_ids else ""))
 
 
 def op8_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    return read_from(materialise_order(docs, default_vocabulary())).drop("token_ids")
+    return read_from(materialise_order(docs, default_vocabulary()), with_ids=False)
 
 
 QUERIES = {"op8_token_shards": op8_token_shards}
