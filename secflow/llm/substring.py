@@ -42,13 +42,13 @@ def numbered_keys(text: Column) -> Column:
 
 def spans(docs: DataFrame, text: str, span: int, min_chars: int) -> DataFrame:
     """(doc_id, first and last piece, h1, h2) of every span."""
-    keyed = docs.select("doc_id", numbered_keys(F.col(text)).alias("k")).where(F.size("k") >= span)
-    one = keyed.select("doc_id", "k", F.explode(F.sequence(F.lit(0), F.size("k") - span)).alias("at"))
-    run = F.slice("k", F.col("at") + 1, span)
-    joined = F.array_join(F.transform(run, lambda x: x["key"]), "\n")
-    made = one.select("doc_id", F.col("k")[F.col("at")]["i"].alias("start"), F.col("k")[F.col("at") + (span - 1)]["i"].alias("end"), joined.alias("words"))
-    made = made.where(F.length("words") >= min_chars + span - 1)
-    return made.select("doc_id", "start", "end", F.xxhash64("words").alias("h1"), F.xxhash64(F.lit("second"), F.col("words")).alias("h2"))
+    keyed = docs.select("doc_id", numbered_keys(F.col(text)).alias("k"))
+    starts = F.sequence(F.lit(0), F.size("k") - span)
+    # Spans become small rows of hashes before they leave the document's row.
+    runs = F.transform(starts, lambda i: F.struct(F.col("k")[i]["i"].alias("start"), F.col("k")[i + (span - 1)]["i"].alias("end"), F.array_join(F.transform(F.slice("k", i + 1, span), lambda x: x["key"]), "\n").alias("words")))
+    runs = F.filter(runs, lambda r: F.length(r["words"]) >= min_chars + span - 1)
+    hashed = F.transform(runs, lambda r: F.struct(r["start"].alias("start"), r["end"].alias("end"), F.xxhash64(r["words"]).alias("h1"), F.xxhash64(F.lit("second"), r["words"]).alias("h2")))
+    return keyed.select("doc_id", F.explode(F.when(F.size("k") >= span, hashed)).alias("s")).select("doc_id", "s.start", "s.end", "s.h1", "s.h2")
 
 
 def remove_repeated_spans(docs: DataFrame, span: int = SPAN, min_chars: int = MIN_CHARS, text: str = "text") -> DataFrame:
