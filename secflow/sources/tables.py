@@ -8,12 +8,18 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Local folders of sessions that name no shared one, as in tests.
+_LOCAL: dict[str, str] = {}
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh path below ``spark.checkpoint.dir``; a local folder only where that is unset."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="secflow-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        app = spark.sparkContext.applicationId
+        if app not in _LOCAL:
+            _LOCAL[app] = "file://" + tempfile.mkdtemp(prefix="secflow-")
+        root = _LOCAL[app]
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
