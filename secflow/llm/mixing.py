@@ -31,7 +31,7 @@ from secflow.llm.common import materialise, read
 WEIGHTS = (3, 1, 2)
 #: Most hash ranges of a source, and ranges of finish time over 0 to 1.
 MAX_RANGES, TIME_RANGES = 4096, 4096
-ROWS_PER_RANGE = 2000
+ROWS_PER_RANGE = 250
 
 
 def word_count(text: Column) -> Column:
