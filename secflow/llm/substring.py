@@ -1,20 +1,22 @@
 """Substring deduplication over sliding spans of sentences.
 
-A text is cut after every full stop, exclamation or question mark that white space follows,
-and after every line feed; blank pieces belong to no span. Every run of ``span``
-consecutive sentences with at least ``min_chars`` code points is hashed (128 bits, of the
-sentences stripped of white space at both ends, A-Z lower-cased). Spans that occur more
-than once anywhere are repeated; the occurrence with the smallest (doc_id, position) is the
-first. Sentences covered by any other occurrence of a repeated span are removed, the rest
-of the text stays as it is.
-
-Counts and firsts are aggregated map-side per hash; only repeated spans are joined back to
-their occurrences, in a join that Spark can split, and only positions travel to documents.
-
-Rows: null and empty texts have no sentences and stay (a null text as ''). Rows that share
-an id are one document: their equal spans at equal positions are one occurrence. Null ids
-come last. Fewer sentences than ``span``: nothing is removed. Other columns pass through,
-same-named ones are replaced; an empty table gives an empty table. Texts are read whole.
+A text is cut after every mark of .!?,;: that white space follows, and after every line
+feed; blank pieces belong to no span. (Cutting at clauses too, not at sentence ends alone,
+finds passages that start or end inside a long sentence.) Every run of ``span`` consecutive
+pieces with at least ``min_chars`` code points is hashed (128 bits, of the pieces stripped
+of white space at both ends, A-Z lower-cased). Spans that occur more than once anywhere are
+repeated; the occurrence with the smallest (doc_id, position) is the first. Pieces covered
+by any other occurrence of a repeated span are removed, the rest of the text stays as it is.
+
+Counts and first documents are plain longs, aggregated map-side per hash; only repeated
+spans are joined back to their occurrences, in a join that Spark can split, and only
+positions travel to documents.
+
+Rows: null and empty texts have no pieces and stay (a null text as ''). Rows that share an
+id are one document: their equal spans at equal positions are one occurrence. Null ids
+count as the largest. Fewer pieces than ``span``: nothing is removed. Other columns pass
+through, same-named ones are replaced; an empty table gives an empty table. Texts are read
+whole.
 """
 
 from __future__ import annotations
@@ -22,11 +24,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from secflow.llm.common import SPACES, read
+from secflow.llm.common import SPACES, materialise, read
 from secflow.llm.line_dedup import line_key
 
-SPAN, MIN_CHARS = 3, 40
-SENTENCE = r"(?s).*?(?:[.!?][\x20\x09-\x0D]|\n|\z)"
+SPAN, MIN_CHARS = 2, 40
+SENTENCE = r"(?s).*?(?:[.!?,;:][\x20\x09-\x0D]|\n|\z)"
+#: Stands for a null id, which comes last.
+NO_ID = (1 << 63) - 1
 
 
 def sentences(text: Column) -> Column:
@@ -53,11 +57,14 @@ def spans(docs: DataFrame, text: str, span: int, min_chars: int) -> DataFrame:
 
 def remove_repeated_spans(docs: DataFrame, span: int = SPAN, min_chars: int = MIN_CHARS, text: str = "text") -> DataFrame:
     """``docs`` with text replaced by what stays, plus ``n_sentences`` (blank pieces not counted) and ``n_removed``."""
-    found = spans(docs, text, span, min_chars)
-    place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("start").alias("start"))
-    by_hash = found.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last"))
-    repeated = by_hash.where(~F.col("first").eqNullSafe(F.col("last"))).select("h1", "h2", "first")
-    later = found.join(repeated, ["h1", "h2"]).where(~place.eqNullSafe(F.col("first")))
+    found = spans(docs, text, span, min_chars).withColumn("doc", F.coalesce("doc_id", F.lit(NO_ID)))
+    by_hash = found.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("times"), F.min("doc").alias("first"))
+    repeated = materialise(by_hash.where("times > 1").select("h1", "h2", "first"), "repeated-spans")
+    places = materialise(found.join(repeated, ["h1", "h2"]), "span-places")
+    # Within the first document its first place is the first occurrence.
+    starts = places.where("doc = first").groupBy("h1", "h2").agg(F.min("start").alias("at"))
+    own = places.where("doc = first").join(starts, ["h1", "h2"]).where("start <> at")
+    later = places.where("doc <> first").select("doc_id", "start", "end").union(own.select("doc_id", "start", "end"))
     covered = later.groupBy(F.col("doc_id").alias("_id")).agg(F.array_distinct(F.flatten(F.collect_set(F.sequence("start", "end")))).alias("_gone"))
     kept = [c for c in docs.columns if c not in ("n_sentences", "n_removed", "_id", "_gone")]
     joined = docs.select(*kept).join(covered, F.col("doc_id").eqNullSafe(F.col("_id")), "left").withColumn("_all", sentences(F.col(text)))
@@ -78,12 +85,12 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE = r"""
-WITH p AS (SELECT doc_id, list_filter(regexp_extract_all(coalesce(text, ''), '(?s).*?(?:[.!?][\x20\x09-\x0D]|\n|\z)'), lambda s: length(s) > 0) AS pieces FROM documents),
+WITH p AS (SELECT doc_id, list_filter(regexp_extract_all(coalesce(text, ''), '(?s).*?(?:[.!?,;:][\x20\x09-\x0D]|\n|\z)'), lambda s: length(s) > 0) AS pieces FROM documents),
 e AS (SELECT doc_id, unnest(pieces) AS piece, generate_subscripts(pieces, 1) AS i FROM p),
 k AS (SELECT *, translate(trim(piece, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM e),
 f AS (SELECT * FROM k WHERE length(key) > 0),
-r AS (SELECT doc_id, i AS s, lead(i, 2) OVER w AS t, key || chr(10) || lead(key, 1) OVER w || chr(10) || lead(key, 2) OVER w AS words FROM f WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
-sp AS (SELECT * FROM r WHERE words IS NOT NULL AND length(words) >= 42),
+r AS (SELECT doc_id, i AS s, lead(i, 1) OVER w AS t, key || chr(10) || lead(key, 1) OVER w AS words FROM f WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+sp AS (SELECT * FROM r WHERE words IS NOT NULL AND length(words) >= 41),
 firsts AS (SELECT words, min((doc_id, s)) AS f FROM sp GROUP BY words HAVING count(*) > 1),
 later AS (SELECT DISTINCT doc_id, s, t FROM sp JOIN firsts USING (words) WHERE (doc_id, s) <> f),
 gone AS (SELECT DISTINCT doc_id, unnest(range(s, t + 1)) AS i FROM later)
