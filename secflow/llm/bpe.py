@@ -150,7 +150,9 @@ class BacktrackingBpe:
         longest = self._matches.iter_long
         dead = bytearray(n + 1)
         out: list[int] = []
-        pos, token = 0, next(longest(text))[1]
+        # One scan serves as long as the longest matches are taken; after any other token a new one starts.
+        scan, whole = longest(text), True
+        pos, token = 0, next(scan)[1]
         while True:
             last = out[-1] if out else -1
             while token >= 0:
@@ -166,18 +168,20 @@ class BacktrackingBpe:
                         ok = pairs[key] = self.compatible(last, token)
                     if ok:
                         break
-                token = shorter[token]
+                token, whole = shorter[token], False
             if token >= 0:
                 out.append(token)
                 pos = end
                 if pos == n:
                     return out
-                token = next(longest(text, pos))[1]
+                if not whole:
+                    scan, whole = longest(text, pos), True
+                token = next(scan)[1]
             else:
                 dead[pos] = 1
                 token = out.pop()
                 pos -= lengths[token]
-                token = shorter[token]
+                token, whole = shorter[token], False
 
     def encode(self, text: str) -> np.ndarray:
         """Ids of a whole text."""

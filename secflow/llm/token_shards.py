@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from secflow.llm.bpe import codec, default_vocabulary
-from secflow.llm.common import materialise, read
+from secflow.llm.common import discard, forget, materialise, read
 
 LENGTH, PER_SHARD, KEY = 1024, 256, 0x5EC0F10A
 NO_ID = -(1 << 63)
@@ -83,10 +83,9 @@ def sequences(docs: DataFrame, vocabulary: str, length: int = LENGTH, text: str
                     head = np.zeros(count, HEADER)
                     head["doc_id"], head["part"], head["n"] = NO_ID if doc_id is None else doc_id, np.arange(count), length
                     head["n"][-1] = len(tokens) - (count - 1) * length
-                    for i in range(count):
-                        ids.append(doc_id)
-                        parts.append(i)
-                        records.append(zlib.compress(head[i].tobytes() + rows[i].tobytes(), 1))
+                    ids += [doc_id] * count
+                    parts += range(count)
+                    records += [zlib.compress(h.tobytes() + r.tobytes(), 1) for h, r in zip(head, rows, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(parts, pa.int32()), pa.array(records, pa.binary())], ["doc_id", "part", "record"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text).mapInArrow(cut, "doc_id long, part int, record binary")
@@ -109,7 +108,11 @@ def materialise_order(docs: DataFrame, vocabulary: str, length: int = LENGTH, pe
             slots = permute(batch.column(0).to_numpy(), total, key)
             yield pa.RecordBatch.from_arrays([pa.array(slots // per_shard), pa.array(slots), batch.column(1)], ["shard", "slot", "record"])
 
-    placed = numbered.mapInArrow(place, "shard long, slot long, record binary")
+    placed = materialise(numbered.mapInArrow(place, "shard long, slot long, record binary"), "slots")
+    # What led here is complete on disk: drop the table of sequences, and let Spark drop the shuffle that read it.
+    discard(docs.sparkSession, made)
+    del made, spread, starts, numbered
+    forget(docs.sparkSession)
     ordered = placed.repartitionByRange("shard").sortWithinPartitions("slot")
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,15 +145,16 @@ def read_from(shards: DataFrame, slot: int = 0, length: int = LENGTH, with_ids:
             for shard, first, n, size, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 skip = max(0, slot - first)
                 width = (size - HEADER.itemsize) // length
-                heads = [np.frombuffer(blob, HEADER, 1, i * size)[0] for i in range(skip, n)]
-                bodies = [blob[i * size + HEADER.itemsize : i * size + HEADER.itemsize + int(h["n"]) * width] for i, h in zip(range(skip, n), heads, strict=True)]
+                rows = np.frombuffer(blob, np.dtype([("head", HEADER), ("ids", f"<u{width}", length)]))[skip:]
+                heads = rows["head"]
+                bodies = [r[:k] for r, k in zip(rows["ids"], heads["n"], strict=True)]
                 columns = [
-                    pa.array(np.arange(first + skip, first + n)), pa.array([shard] * (n - skip), pa.int64()), pa.array(np.arange(skip, n) * size),
-                    pa.array([None if h["doc_id"] == NO_ID else int(h["doc_id"]) for h in heads], pa.int64()), pa.array([int(h["part"]) for h in heads], pa.int32()), pa.array([int(h["n"]) for h in heads], pa.int32()),
-                    pa.array([zlib.crc32(b) for b in bodies], pa.int64()),
+                    pa.array(np.arange(first + skip, first + n)), pa.array(np.full(n - skip, shard)), pa.array(np.arange(skip, n) * size),
+                    pa.array(heads["doc_id"], mask=heads["doc_id"] == NO_ID), pa.array(heads["part"].astype(np.int32)), pa.array(heads["n"].astype(np.int32)),
+                    pa.array([zlib.crc32(b.tobytes()) for b in bodies], pa.int64()),
                 ]
                 if with_ids:
-                    ids = [np.frombuffer(b, f"<u{width}").astype(np.int32) for b in bodies]
+                    ids = [b.astype(np.int32) for b in bodies]
                     columns.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, ids)]), pa.int32()), pa.array(np.concatenate(ids), pa.int32())))
                 yield pa.RecordBatch.from_arrays(columns, names[: len(columns)])
 
