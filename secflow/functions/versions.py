@@ -46,7 +46,16 @@ def constraints(spec: Column) -> Column:
     return F.transform(parts, lambda x: F.struct(F.when(x == "*", "*").otherwise(F.regexp_extract(x, r"^(>=|<=|!=|==|~>|[<>=^~])?", 1)).alias("op"), F.regexp_replace(x, r"^(>=|<=|!=|==|~>|[<>=^~])", "").alias("version")))
 
 
+def limits(spec: Column) -> Column:
+    """The (op, key) parts of a range."""
+    return F.transform(constraints(spec), lambda c: F.struct(c["op"].alias("op"), version_key(c["version"]).alias("key")))
+
+
+def within(key: Column, bounds: Column) -> Column:
+    """Whether a version key meets all limits of a range."""
+    return F.forall(bounds, lambda c: constraint(c["op"], key, c["key"]))
+
+
 def in_range(version: Column, spec: Column) -> Column:
     """Whether a version meets every constraint of a range."""
-    key = version_key(version)
-    return F.forall(constraints(spec), lambda c: constraint(c["op"], key, version_key(c["version"])))
+    return within(version_key(version), limits(spec))

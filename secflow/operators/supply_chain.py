@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from secflow.functions.versions import in_range, version_key
+from secflow.functions.versions import limits, version_key, within
 
 SEVERITIES = ("low", "medium", "high", "critical")
 CYCLONEDX = "bomFormat string, metadata struct<component: struct<name: string, `bom-ref`: string>>, components array<struct<name: string, version: string, purl: string, `bom-ref`: string, scope: string>>, dependencies array<struct<ref: string, dependsOn: array<string>>>"
@@ -48,13 +48,18 @@ def newest_inventory(components: DataFrame, order: str, keys: list[str], unique:
     return components.withColumn("_newest", newest).where(F.col(order) == F.col("_newest")).drop("_newest").dropDuplicates(unique)
 
 
+def version_pairs(components: DataFrame, advisories: DataFrame) -> DataFrame:
+    """Components with every advisory on their package; versions are parsed once a row, before the join multiplies them."""
+    keyed = components.withColumn("_key", version_key(F.col("version")))
+    return keyed.join(advisories.withColumns({"_fixed": version_key(F.col("fixed")), "_limits": limits(F.col("affected"))}), "package")
+
+
 def match_advisories(components: DataFrame, advisories: DataFrame) -> DataFrame:
     """Components with every advisory on their package (and ecosystem, where it names one): fixed, affected or not_affected."""
-    a = advisories.withColumnRenamed("ecosystem", "_eco")
-    pairs = components.join(a, "package").where(F.col("_eco").isNull() | (F.col("_eco") == F.col("ecosystem")))
-    fixed = F.coalesce(version_key(F.col("version")) >= version_key(F.col("fixed")), F.lit(False))
-    status = F.when(in_range(F.col("version"), F.col("affected")) & ~fixed, "affected").when(fixed, "fixed").otherwise("not_affected")
-    return pairs.withColumn("status", status).drop("_eco")
+    pairs = version_pairs(components, advisories.withColumnRenamed("ecosystem", "_eco")).where(F.col("_eco").isNull() | (F.col("_eco") == F.col("ecosystem")))
+    fixed = F.coalesce(F.col("_key") >= F.col("_fixed"), F.lit(False))
+    status = F.when(within(F.col("_key"), F.col("_limits")) & ~fixed, "affected").when(fixed, "fixed").otherwise("not_affected")
+    return pairs.withColumn("status", status).drop("_eco", "_key", "_fixed", "_limits")
 
 
 def impact(applications: DataFrame, matches: DataFrame) -> DataFrame:

@@ -165,7 +165,9 @@ BOOK.on("norm_document", "v_events", """SELECT event_id, '{"principal":"' || pri
 @BOOK.over("norm_identity", "v_events", "v_users", oracle="SELECT event_id, CASE WHEN k % 3 = 2 AND user_id % 11 <> 0 THEN 'user' || user_id || '@corp.example' WHEN k % 3 <> 2 THEN 'user' || user_id || '@corp.example' ELSE 'user' || user_id || '@corp.example' END AS canonical, user_id % 25 = 0 AS is_service FROM v_events")
 def identity(events: DataFrame, users: DataFrame) -> DataFrame:
     """An address, a bare name or a number leads to the person's address."""
-    own = users.where("user_id < 150").select(F.col("email").alias("canonical"), (F.col("user_id") % 25 == 0).alias("service"), F.explode(F.array(F.lower("email"), F.substring_index("email", "@", 1), F.concat(F.lit("uid-"), F.col("user_id").cast("string")))).alias("alias"))
+    # A bare name is the own domain's: other domains use the same ones.
+    bare = F.when(F.lower("email").endswith("@corp.example"), F.substring_index("email", "@", 1))
+    own = users.select(F.col("email").alias("canonical"), (F.col("user_id") % 25 == 0).alias("service"), F.explode(F.array(F.lower("email"), bare, F.concat(F.lit("uid-"), F.col("user_id").cast("string")))).alias("alias")).where("alias IS NOT NULL")
     address = F.when(F.col("k") % 3 == 0, F.upper(F.concat(who(), F.lit("@corp.example"))))
     named = events.withColumn("a", address).withColumn("n", F.when(F.col("k") % 3 == 1, who())).withColumn("u", F.concat(F.lit("uid-"), F.col("user_id").cast("string")))
     return N.identities(named, own, "a", "n", "u").select("event_id", "canonical", "is_service")

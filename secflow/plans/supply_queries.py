@@ -102,8 +102,8 @@ BOOK.on("sbom_purl", "v_components", f"SELECT part_id, CASE WHEN part_id % 6 <>
 )
 BOOK.on("sbom_inventory", "v_components", "SELECT tenant, application, package, version FROM v_components WHERE revision = 2 AND app_id % 2 = 1 OR app_id % 2 = 0 AND revision = 1 GROUP BY ALL")(lambda df: S.newest_inventory(df, "revision", ["tenant", "application"], ["tenant", "application", "package", "version"]).select("tenant", "application", "package", "version"))
 BOOK.on("sbom_version_key", "v_components", f"SELECT part_id, CAST(dense_rank() OVER (PARTITION BY package ORDER BY {DUCK_KEY.format('version')}) AS BIGINT) AS place FROM v_components")(lambda df: df.withColumn("place", F.dense_rank().over(Window.partitionBy("package").orderBy(V.version_key(F.col("version")))).cast("long")).select("part_id", "place"))
-BOOK.over("sbom_range_match", "v_components", "v_advisories", oracle=f"SELECT c.part_id, a.vuln_id, {DUCK_KEY.format('version')} >= {DUCK_KEY.format(LOW)} AND {DUCK_KEY.format('version')} < {DUCK_KEY.format(HIGH)} AS inside FROM v_components c JOIN v_advisories a USING (package)")(lambda c, a: c.join(a.drop("ecosystem"), "package").select("part_id", "vuln_id", V.in_range(F.col("version"), F.col("affected")).alias("inside")))
-BOOK.over("sbom_fixed", "v_components", "v_advisories", oracle=f"SELECT c.part_id, a.vuln_id, {DUCK_KEY.format('version')} >= {DUCK_KEY.format('fixed')} AS fixed FROM v_components c JOIN v_advisories a USING (package)")(lambda c, a: c.join(a.drop("ecosystem"), "package").select("part_id", "vuln_id", (V.version_key(F.col("version")) >= V.version_key(F.col("fixed"))).alias("fixed")))
+BOOK.over("sbom_range_match", "v_components", "v_advisories", oracle=f"SELECT c.part_id, a.vuln_id, {DUCK_KEY.format('version')} >= {DUCK_KEY.format(LOW)} AND {DUCK_KEY.format('version')} < {DUCK_KEY.format(HIGH)} AS inside FROM v_components c JOIN v_advisories a USING (package)")(lambda c, a: S.version_pairs(c, a.drop("ecosystem")).select("part_id", "vuln_id", V.within(F.col("_key"), F.col("_limits")).alias("inside")))
+BOOK.over("sbom_fixed", "v_components", "v_advisories", oracle=f"SELECT c.part_id, a.vuln_id, {DUCK_KEY.format('version')} >= {DUCK_KEY.format('fixed')} AS fixed FROM v_components c JOIN v_advisories a USING (package)")(lambda c, a: S.version_pairs(c, a.drop("ecosystem")).select("part_id", "vuln_id", (F.col("_key") >= F.col("_fixed")).alias("fixed")))
 BOOK.over("sbom_match", "v_components", "v_advisories", oracle=f"WITH {MATCHES} SELECT part_id, vuln_id, status FROM matches")(lambda c, a: S.match_advisories(c, a).select("part_id", "vuln_id", "status"))
 BOOK.over("sbom_impact", "v_components", "v_advisories", oracle=f"WITH {MATCHES}, o AS (SELECT * FROM matches WHERE severity = 'critical') SELECT a.app_id, CASE WHEN max(CASE WHEN o.status = 'affected' THEN 1 ELSE 0 END) = 1 THEN 'affected' WHEN count(o.app_id) > 0 THEN 'unaffected' ELSE 'not_present' END AS state, count(o.app_id) FILTER (WHERE o.status = 'affected') AS findings FROM (SELECT DISTINCT app_id FROM v_components) a LEFT JOIN o USING (app_id) GROUP BY a.app_id")(lambda c, a: S.impact(c.select("app_id").distinct(), S.match_advisories(c, a).where("severity = 'critical'")).select("app_id", "state", "findings"))
 BOOK.over("sbom_findings", "v_components", "v_advisories", oracle=f"WITH {MATCHES} SELECT application, package, vuln_id, severity, count(*) AS parts FROM matches WHERE status = 'affected' GROUP BY ALL")(lambda c, a: S.match_advisories(c, a).where("status = 'affected'").groupBy("application", "package", "vuln_id", "severity").agg(F.count(F.lit(1)).alias("parts")))

@@ -74,7 +74,7 @@ SELECT o_orderkey * 10 + n.n AS id, o_orderkey AS incident_id, 't' || @str(o_cus
   CASE (o_orderkey + n.n) % 5 WHEN 0 THEN 'new' WHEN 1 THEN 'triaged' WHEN 2 THEN 'investigating' WHEN 3 THEN 'contained' ELSE 'closed' END AS from_status,
   CASE (o_orderkey * 3 + n.n * 2) % 5 WHEN 0 THEN 'new' WHEN 1 THEN 'triaged' WHEN 2 THEN 'investigating' WHEN 3 THEN 'contained' ELSE 'closed' END AS to_status,
   (o_custkey + n.n) % 25 AS team_id, CASE WHEN o_orderkey % 7 = 0 THEN n.n + 1 ELSE n.n END AS expected_version
-FROM orders CROSS JOIN (SELECT 1 AS n UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4) n WHERE o_orderkey % 4 = 0"""),
+FROM orders CROSS JOIN (SELECT 1 AS n UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4) n"""),
     "v_components": (("part", "supplier"), """
 SELECT s_suppkey AS app_id, 'app-' || @str(s_suppkey) AS application, 't' || @str(s_suppkey % 3) AS tenant,
   CASE WHEN s_suppkey % 3 = 0 THEN 'critical' WHEN s_suppkey % 3 = 1 THEN 'high' ELSE 'low' END AS criticality,
@@ -89,7 +89,7 @@ SELECT 'VULN-' || @str(p_partkey) AS vuln_id, 'lib-' || @str(p_partkey % 97) AS
   '>=' || @str(p_size % 3) || '.' || @str(p_partkey % 10) || '.0 <' || @str(p_size % 3 + 2) || '.' || @str(p_partkey % 7) || '.5' AS affected,
   @str(p_size % 3 + 2) || '.' || @str(p_partkey % 7) || '.5' AS fixed,
   CASE p_partkey % 4 WHEN 0 THEN 'critical' WHEN 1 THEN 'high' WHEN 2 THEN 'medium' ELSE 'low' END AS severity
-FROM part WHERE p_partkey % 20 = 0"""),
+FROM part"""),
     "v_notes": (("conversations",), """
 SELECT conv_id * 100 + turn AS id, conv_id AS incident_id, 't' || @str(conv_id % 3) AS tenant, turn AS t,
   CASE WHEN turn % 3 = 0 THEN NULL WHEN turn % 3 = 1 THEN conv_id * 100 + turn - 1 ELSE conv_id * 100 + turn + 90000000 END AS parent_id,
@@ -99,12 +99,12 @@ FROM conversations"""),
     "v_users": (("customer",), """
 SELECT c_custkey AS user_id, 'user' || @str(c_custkey % 150) || CASE WHEN c_custkey < 150 THEN '@corp.example' ELSE '@other' || @str(@div(c_custkey, 150)) || '.example' END AS email,
   CASE c_custkey % 3 WHEN 0 THEN 'viewer' WHEN 1 THEN 'analyst' ELSE 'lead' END AS role, c_custkey % 25 AS team_id
-FROM customer WHERE c_custkey < 200"""),
+FROM customer"""),
     "v_teams": (("nation",), "SELECT CAST(n_nationkey AS BIGINT) AS team_id, 'team-' || @str(n_nationkey) AS team, n_nationkey % 4 <> 1 AS enabled FROM nation"),
     "v_links": (("orders",), """
 SELECT o_orderkey AS a, (o_orderkey * 31 + o_custkey) % 500 AS b,
   CASE o_orderkey % 4 WHEN 0 THEN 'related' WHEN 1 THEN 'duplicate_of' WHEN 2 THEN 'child_of' ELSE 'related' END AS kind, @us(o_orderdate) AS t
-FROM orders WHERE o_orderkey < 500"""),
+FROM orders"""),
 }
 
 
