@@ -13,6 +13,10 @@ corrected count decides.
 Only the filter (a fixed number of slots) goes through the driver. It is trained on all
 labelled documents, or on about ``max_train_docs`` of them, drawn evenly by a hash of the id.
 
+A text may be in no learned language at all, and the largest count still names one. For a
+filter that drops such texts, ``least_shares`` learns what share of their n-grams the
+documents of each language have at least, and ``recognised`` compares a text's with it.
+
 Rows: a null text or one without letters is ``und`` with score 0. Null languages teach
 nothing; without any training rows every text is ``und``. Equal counts fall to the first
 language in code-point order. Repeated rows keep one output row each; other columns pass
@@ -40,6 +44,8 @@ HASHES = 3
 SLOTS, MAX_LANGUAGES, MAX_TRAIN_DOCS = 1 << 20, 63, 20_000
 #: Letters of a text that are looked up at a time.
 PIECE = 1 << 20
+#: A learned share is this part of the share that all but LOW of the language's documents have; below it by ERRORS standard errors, a text is in another language.
+LOW, PART, ERRORS = 0.01, 0.5, 3.0
 _FOLD: list[np.ndarray] = []
 
 
@@ -133,39 +139,46 @@ class Filter:
             found = found & self.masks[s]
         return found
 
-    def counts(self, text: str) -> np.ndarray:
-        """Corrected number of the text's n-grams per language."""
+    def counts(self, text: str) -> tuple[np.ndarray, int]:
+        """Corrected number of the text's n-grams per language, and the number of all n-grams."""
         total, n = np.zeros(len(self.languages)), 0
         for h in pieces(text):
             masks = self.lookup(h)
             n += len(h)
             total += [np.count_nonzero(masks & self.bit(i)) for i in range(len(self.languages))]
-        return np.maximum(0, (total - n * self.rates) / np.maximum(1 - self.rates, 1e-9))
+        return np.maximum(0, (total - n * self.rates) / np.maximum(1 - self.rates, 1e-9)), n
 
-    def predict(self, text: str | None) -> tuple[str, float]:
-        """The language and its share of the two largest corrected counts (0 to 1)."""
+    def predict(self, text: str | None) -> tuple[str, float, float, int]:
+        """The language, its share of the two largest corrected counts (0 to 1), its corrected count and the number of n-grams."""
         if not text or not self.languages or not letters(text).any():
-            return UNKNOWN, 0.0
-        c = self.counts(text)
+            return UNKNOWN, 0.0, 0.0, 0
+        c, n = self.counts(text)
         best = int(np.argmax(c))
         others = np.delete(c, best)
         second = float(others.max()) if len(others) else 0.0
-        return self.languages[best], float(c[best] / (c[best] + second)) if c[best] > 0 else 0.0
+        return self.languages[best], float(c[best] / (c[best] + second)) if c[best] > 0 else 0.0, float(c[best]), n
 
 
-def train(docs: DataFrame, text: str = "text", lang: str = "lang", slots: int = SLOTS, ratio: float = 0.4, min_docs: int = 2, max_train_docs: int = MAX_TRAIN_DOCS) -> Filter:
-    """Learns a filter from labelled documents."""
+def draw(docs: DataFrame, text: str = "text", lang: str = "lang", max_docs: int = MAX_TRAIN_DOCS) -> tuple[list[str], DataFrame]:
+    """The languages of labelled documents, and about ``max_docs`` of their (text, lang)."""
     known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.xxhash64(F.lit("train"), text).alias("_draw"))
     sizes = known.groupBy("lang").count().orderBy("lang").limit(MAX_LANGUAGES + 1).collect()
     if len(sizes) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     languages = [r["lang"] for r in sizes]
     if not languages:
-        return Filter([], np.zeros(slots, np.uint64))
+        return [], known.select("text", "lang")
     # An even share for each language, so that a rare one is learned too.
-    each = max(1, max_train_docs // len(languages))
+    each = max(1, max_docs // len(languages))
     share = F.create_map(*(F.lit(x) for r in sizes for x in (r["lang"], min(1.0, each / r["count"]))))
-    drawn = known.where(F.pmod("_draw", F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30))
+    return languages, known.where(F.pmod("_draw", F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30)).select("text", "lang")
+
+
+def train(docs: DataFrame, text: str = "text", lang: str = "lang", slots: int = SLOTS, ratio: float = 0.4, min_docs: int = 2, max_train_docs: int = MAX_TRAIN_DOCS) -> Filter:
+    """Learns a filter from labelled documents."""
+    languages, drawn = draw(docs, text, lang, max_train_docs)
+    if not languages:
+        return Filter([], np.zeros(slots, np.uint64))
 
     def grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -175,7 +188,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", slots: int =
                 yield pd.DataFrame({"lang": name, "h": h.view(np.int64), "n": n.astype(np.int64), "docs": 0})
                 yield pd.DataFrame({"lang": [name], "h": [None], "n": [None], "docs": [len(part)]}).astype({"h": "Int64", "n": "Int64"})
 
-    counted = drawn.select("text", "lang").mapInPandas(grams, "lang string, h long, n long, docs long")
+    counted = drawn.mapInPandas(grams, "lang string, h long, n long, docs long")
     by_gram = counted.groupBy("h", "lang").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
     by_gram = by_gram.groupBy("h").agg(F.map_from_entries(F.collect_list(F.struct("lang", F.struct("n", "docs").alias("v")))).alias("v")).persist()
     docs_of = {k: v["docs"] for k, v in (by_gram.where(F.col("h").isNull()).first() or {"v": {}})["v"].items()}
@@ -197,10 +210,10 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", slots: int =
     return Filter(languages, masks)
 
 
-def identify(docs: DataFrame, model: Filter, text: str = "text") -> DataFrame:
-    """Adds ``lang_pred`` and ``score``."""
+def identify(docs: DataFrame, model: Filter, text: str = "text", evidence: bool = False) -> DataFrame:
+    """Adds ``lang_pred`` and ``score``; as ``evidence`` also ``lang_count`` (corrected) and ``n_grams``."""
     shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.masks))  # a fixed number of slots
-    added = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    added = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("lang_count", T.DoubleType()), T.StructField("n_grams", T.LongType())][: 4 if evidence else 2])
     kept = [c for c in docs.columns if c not in added.names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,11 +221,28 @@ def identify(docs: DataFrame, model: Filter, text: str = "text") -> DataFrame:
         for batch in batches:
             found = [own.predict(t.as_py()) for t in batch.column(batch.schema.get_field_index(text))]
             columns = [batch.column(batch.schema.get_field_index(c)) for c in kept]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], [*kept, *added.names])
+            types = (pa.string(), pa.float64(), pa.float64(), pa.int64())[: len(added)]
+            yield pa.RecordBatch.from_arrays([*columns, *(pa.array([f[i] for f in found], t) for i, t in enumerate(types))], [*kept, *added.names])
 
     return docs.mapInArrow(run, T.StructType([*(docs.schema[c] for c in kept), *added.fields]))
 
 
+def least_shares(docs: DataFrame, model: Filter, text: str = "text", lang: str = "lang", max_docs: int = MAX_TRAIN_DOCS) -> dict[str, float]:
+    """For each language, the share of n-grams that its labelled documents have at least, with a margin."""
+    found = identify(draw(docs, text, lang, max_docs)[1], model, evidence=True).where("lang = lang_pred AND n_grams > 0")
+    low = found.groupBy("lang").agg(F.percentile_approx(F.col("lang_count") / F.col("n_grams"), LOW).alias("low")).collect()  # one row a language
+    return {r["lang"]: PART * min(1.0, r["low"]) for r in low}
+
+
+def recognised(least: dict[str, float]) -> Column:
+    """Whether an identified text, with its evidence, has enough n-grams of the language found; short texts get the benefit of the doubt, those without any n-gram of it don't."""
+    if not least:
+        return F.lit(False)
+    share = F.coalesce(F.create_map(*(F.lit(x) for item in least.items() for x in item))[F.col("lang_pred")], F.lit(0.0))
+    n = F.col("n_grams")
+    return (F.col("lang_count") > 0) & (F.col("lang_count") >= share * n - ERRORS * F.sqrt(n * share * (1 - share)))
+
+
 def held_out() -> Column:
     return F.pmod(crc32_of_id(), F.lit(3)) == 1
 
