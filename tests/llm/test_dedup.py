@@ -4,9 +4,11 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from secflow.llm import line_dedup, minhash, substring
 
+SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, n_lines string, extra int"
 
 
@@ -48,22 +50,115 @@ def test_odd_rows(spark, operator):
 
 
 def test_known_frequent_lines_leave_the_runs_alone(spark):
-    runs = line_dedup.LineRuns(spark, min_docs=2, fanout=2)
-    for n in range(5):
-        runs.add(frame(spark, [(2 * n, "same\nown" + str(n), "", 0), (2 * n + 1, "same", "", 0)]))
-    assert sum(map(len, runs.levels)) < 5
+    """Every run but the first of a line is without it, and runs are merged level by level."""
+    docs = frame(spark, [(n, "same\nown" + str(n), "", 0) for n in range(40)])
+    runs = line_dedup.LineRuns(spark, min_docs=2, buckets=3)
+    counts = line_dedup.batch_counts(line_dedup.line_hashes(docs, "text", 1), runs, 5)
+    same = docs.select(F.xxhash64(F.lit("same"))).first()[0]
+    for b in range(5):
+        batch = spark.table(counts).where(f"batch = {b}").select("h1", "h2", "n_docs")
+        assert batch.where(F.col("h1") == same).count() == 1
+        before = {run for level in runs.levels for run in level}
+        runs.add(batch)
+        new = [run for level in runs.levels for run in level if run not in before]
+        if b in (2, 4):  # batches that no merge follows
+            assert spark.table(new[0]).where(F.col("h1") == same).count() == 0
+    assert [len(level) for level in runs.levels] == [1, 0, 1]
     assert runs.frequent().count() == 1
+    runs.close()
+
+
+def test_batches_meet_runs_in_merge_joins_without_a_shuffle(spark):
+    plans = []
+    own = line_dedup.LineRuns.table
+
+    def table(self, rows, *partitions):
+        plans.append(rows._jdf.queryExecution().executedPlan().toString())
+        return own(self, rows, *partitions)
+
+    line_dedup.LineRuns.table = table
+    try:
+        line_dedup.op9_line_dedup(spark, SF).count()
+    finally:
+        line_dedup.LineRuns.table = own
+    anti = [p for p in plans if "LeftAnti" in p]
+    assert len(anti) == 3 and all("SortMergeJoin" in p and "Exchange" not in p for p in anti)
+    assert any("FullOuter" in p and "Exchange" not in p for p in plans)
+
+
+def test_rows_of_one_id_are_one_document_to_line_counts(spark):
+    rows = [(7, f"twelve\nown {n}", "x", n) for n in range(12)] + [(None, "none", "x", n) for n in range(12)] + [(100 + n, "ten ids", "x", n) for n in range(10)]
+    got = line_dedup.drop_frequent_lines(frame(spark, rows)).collect()
+    assert {r.text for r in got if r.doc_id == 7} == {f"twelve\nown {n}" for n in range(12)}
+    assert {r.text for r in got if r.doc_id is None} == {"none"}
+    assert {(r.text, r.n_dropped) for r in got if (r.doc_id or 0) >= 100} == {("", 1)}
+
+
+PASSAGE = "The first sentence has quite a few words here, more than ten. The second one follows it at once, as they often do! Is this the third of them, or is it not?"
 
 
 def test_spans(spark):
-    passage = "The first sentence has quite a few words here. The second one follows it at once! Is this the third of them?"
-    rows = [(1, f"Intro one is here. {passage} Outro one.", "", 0), (2, f"{passage} Something else entirely stands here.", "", 0), (3, "Nothing of it. Is repeated. At all in this text.", "", 0), (4, f"x.\n{passage}\n{passage} y.", "", 0)]
+    rows = [(1, f"Intro one is here. {PASSAGE} Outro one.", "", 0), (2, f"{PASSAGE} Something else entirely stands here.", "", 0), (3, "Nothing of it. Is repeated. At all in this text.", "", 0), (4, f"x.\n{PASSAGE}\n{PASSAGE} y.", "", 0)]
     got = {r.doc_id: r for r in substring.remove_repeated_spans(frame(spark, rows)).collect()}
     assert got[1].text == rows[0][1] and got[1].n_removed == 0 and got[3].text == rows[2][1]
     assert got[2].text == "Something else entirely stands here." and got[2].n_removed == 3
     assert got[4].text == "x.\ny." and got[4].n_removed == 6
 
 
+def test_spans_leave_other_rows_of_an_id_alone(spark):
+    other = "Some text of its own stands here, and nothing repeats it. It has a second sentence, too. And here comes a third one, which ends it."
+    rows = [(1, PASSAGE, "", 0), (5, PASSAGE, "", 1), (5, other, "", 2), (None, other.upper() + " More.", "", 3), (None, PASSAGE + " Rest.", "", 4), (None, "Short one. Two. Three of them.", "", 5)]
+    got = {r.extra: (r.text, r.n_removed) for r in substring.remove_repeated_spans(frame(spark, rows)).collect()}
+    assert got[0] == (PASSAGE, 0) and got[1] == ("", 3) and got[2] == (other, 0)
+    assert got[3] == ("More.", 3) and got[4] == ("Rest.", 3) and got[5] == (rows[5][1], 0)
+
+
+def test_spans_of_few_or_long_sentences(spark):
+    long = " ".join(f"word{i}" for i in range(60))  # one piece, long enough by itself
+    two = " ".join(f"left{i}" for i in range(28)) + ". " + " ".join(f"right{i}" for i in range(28)) + "."
+    inside = ", ".join(" ".join(f"c{i}x{j}" for j in range(9)) for i in range(8))  # a passage inside one long sentence
+    rows = [(1, long, "", 0), (2, "Own start.\n" + long, "", 0), (3, two, "", 0), (4, two, "", 0), (5, f"Here it, {inside}, goes on.", "", 0), (6, f"There again, {inside}, it does not.", "", 0)]
+    got = {r.doc_id: r for r in substring.remove_repeated_spans(frame(spark, rows)).collect()}
+    assert [got[i].n_removed for i in (1, 3, 5)] == [0, 0, 0]
+    assert got[2].text == "Own start.\n" and got[4].text == "" and got[6].n_removed == 8
+
+
+def brute_spans(rows):
+    """Tokens by plain loops: (doc_id, text) pairs with distinct ids to (text kept, pieces removed)."""
+    cut = {}
+    for i, t in rows:
+        parts = []
+        for s in re.findall(r"(?s).*?(?:[.!?][\x20\x09-\x0d]|\n|\Z)", t):
+            parts += [x for x in (re.findall(r"(?s).*?(?:[.!?,;:][\x20\x09-\x0d]|\n|\Z)", s) if len(s.split()) > 30 else [s]) if x]
+        cut[i] = parts
+    spans = {}
+    for i in sorted(cut):
+        own = [(n, p.strip().lower()) for n, p in enumerate(cut[i]) if p.strip()]
+        for a in range(len(own)):
+            for b in range(a, len(own)):
+                words = sum(len(k.split()) for _, k in own[a : b + 1])
+                if words >= 50 or (b - a >= 2 and words >= 25):
+                    spans.setdefault(tuple(k for _, k in own[a : b + 1]), []).append((i, own[a][0], own[b][0]))
+                    break
+    gone = {i: set() for i in cut}
+    for places in spans.values():
+        for i, s, e in places[1:]:
+            gone[i] |= set(range(s, e + 1))
+    return {i: ("".join(p for n, p in enumerate(parts) if n not in gone[i]), sum(1 for n, p in enumerate(parts) if n in gone[i] and p.strip())) for i, parts in cut.items()}
+
+
+def test_spans_against_brute_force(spark):
+    rnd = random.Random(5)
+    pool = [" ".join(rnd.choice("abcdefghij") * rnd.randint(1, 3) for _ in range(rnd.choice([2, 6, 12, 35, 55]))) + rnd.choice([". ", "! ", "?\n", ", and so. ", " \n\n"]) for _ in range(25)]
+    rows = []
+    for i in range(120):
+        at = rnd.randrange(20)
+        rows.append((i, "".join(rnd.choices(pool, k=rnd.randint(0, 3)) + pool[at : at + rnd.randint(0, 5)] + rnd.choices(pool, k=rnd.randint(0, 2))).title()))
+    want = brute_spans(rows)
+    got = {r.doc_id: (r.text, r.n_removed) for r in substring.remove_repeated_spans(frame(spark, [(i, t, "", 0) for i, t in rows])).collect()}
+    assert got == want and sum(n for _, n in want.values()) > 100
+
+
 def brute(rows, percent):
     sets = {}
     for i, t, *_ in rows:
