@@ -181,9 +181,9 @@ def brute(rows, percent):
     return {i: (len(s), find(i)) for i, s in sets.items()}
 
 
-@pytest.mark.parametrize("region,block", [(32, 256), (2, 5)])
+@pytest.mark.parametrize("region,block", [(32, 256), (2, 5), (1, 2)])
 def test_near_duplicates_against_brute_force(spark, monkeypatch, region, block):
-    """The second case takes crowded regions whole and compares families in several blocks."""
+    """The other cases take crowded regions whole and compare families by pivots, in several blocks."""
     monkeypatch.setattr(minhash, "REGION", region)
     monkeypatch.setattr(minhash, "BLOCK", block)
     rnd = random.Random(11)
@@ -196,6 +196,10 @@ def test_near_duplicates_against_brute_force(spark, monkeypatch, region, block):
                 words[rnd.randrange(len(words))] = f"x{rnd.randint(0, 9)}"
             rows.append((n, " ".join(words).upper() if n % 2 else "\n".join(words), "", 0))
             n += 1
+    line = [f"c{i}" for i in range(240)]  # a chain: neighbours are linked, the ends are far apart
+    for at in range(0, 90, 6):
+        rows.append((n, " ".join(line[at : at + 150]), "", 0))
+        n += 1
     want = brute(rows, 85)
     got = minhash.near_duplicates(frame(spark, rows)).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
@@ -204,8 +208,10 @@ def test_near_duplicates_against_brute_force(spark, monkeypatch, region, block):
 
 
 def test_near_duplicates_odd_rows(spark):
-    got = minhash.near_duplicates(frame(spark, odd_rows())).collect()
-    assert len(got) == len(odd_rows())
+    found = minhash.near_duplicates(frame(spark, odd_rows()))
+    assert found.columns == ["doc_id", "n_lines", "extra", "n_shingles", "component_id", "kept"]
+    got = found.collect()
+    assert sorted(r.extra or 0 for r in got) == sorted(r[3] or 0 for r in odd_rows())
     by = {}
     for r in got:
         by.setdefault(r.doc_id, []).append((r.n_shingles, r.component_id, r.kept))
