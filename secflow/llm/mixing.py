@@ -4,12 +4,14 @@ Every document of a source gets a place in the source's shuffled order (by the M
 id). A source is read again from its start when it ends, twice at most. A copy's virtual
 finish time is the source's words up to and including it divided by the source's target.
 All copies, range-sorted by finish time, form the mixed order, truncated where the total
-budget ends; the copy on the border is taken in part.
+budget ends; the copy on the border is taken in part. ``mix_documents`` returns the
+documents in that order, partition after partition.
 
 The cumulative sums are distributed: words are summed by (source, hash range) first, so
 one window never holds more than one hash range of one source; the global order uses
-ranges of the finish time in the same way. Only per-range sums meet in one task, and
-their number is bounded by the range parameters.
+ranges of the finish time in the same way. There are about as many ranges as a range has
+documents (the square root of all), so neither the windows nor the sums that meet in one
+task grow with the corpus itself.
 
 Targets: sources by code point, null last, weigh 3, 1, 2, repeating, and share ``share``
 times all words; a target stops at ``repeats`` times its source's words, and the excess
@@ -17,21 +19,21 @@ goes to the others by weight.
 
 Rows: a null text has size 0 and takes nothing; a null source is a source of its own; a
 null doc_id hashes as an empty id. Repeated rows are documents of their own, and ties in
-the order (same hash and id) fall to the smaller text size, so reruns agree. An empty table
-gives an empty table. Added columns replace same-named ones.
+the order (same hash and id) fall to the smaller text size, then to the text's hash, so
+reruns agree. Columns pass through, whatever their names; an empty table gives an empty
+table.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from secflow.llm.common import materialise, read
+from secflow.llm.common import discard, materialise, read
 
 WEIGHTS = (3, 1, 2)
-#: Most hash ranges of a source, and ranges of finish time over 0 to 1.
-MAX_RANGES, TIME_RANGES = 4096, 4096
-ROWS_PER_RANGE = 250
 
 
 def word_count(text: Column) -> Column:
@@ -66,66 +68,93 @@ def source_targets(sums: DataFrame, share: float, repeats: int, weights: tuple[i
     return t.withColumn("target", F.when(F.col("fits") | (level.isNotNull() & (level * F.col("weight") <= cap)), level * F.col("weight")).otherwise(cap)).drop("level", "fits")
 
 
+#: The order of a source's documents, and of all copies with the same finish time.
+PLACE = ["shuffle", "doc_id", "size", "print"]
+ORDER = ["finish", *KEYS, *PLACE, "copy"]
+
+
+def _sized(text: str) -> list[Column]:
+    """What the mix needs to know of a document."""
+    shuffle = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    return ["doc_id", "source", *_keys(), word_count(F.col(text)).alias("size"), shuffle.alias("shuffle"), F.xxhash64(text).alias("print")]
+
+
 class Mix:
     """A mix of ``docs``; ``places`` has no texts: one row per document with its order in its source."""
 
     def __init__(self, docs: DataFrame, share: float = 1.5, repeats: int = 2, weights: tuple[int, ...] = WEIGHTS, text: str = "text"):
         self.repeats, self.share = repeats, share
-        sized = docs.select("doc_id", "source", *_keys(), word_count(F.col(text)).alias("size"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("shuffle"))
-        sized = materialise(sized, "mix-sizes")
-        ranges = max(1, min(MAX_RANGES, sized.count() // ROWS_PER_RANGE))
-        spread = sized.withColumn("part", F.floor(F.conv(F.substring("shuffle", 1, 8), 16, 10).cast("long") * ranges / F.lit(1 << 32)))
-        by_part = spread.groupBy(*KEYS, "part").agg(F.sum("size").alias("words"))
+        sized = materialise(docs.select(*_sized(text)), "mix-sizes")
+        self.ranges = max(1, math.isqrt(sized.count()))
+        by_part = self.spread(sized).groupBy(*KEYS, "part").agg(F.sum("size").alias("words"))
         by_part = by_part.withColumn("start", F.sum("words").over(Window.partitionBy(*KEYS).orderBy("part")) - F.col("words"))
         sources = source_targets(by_part.groupBy(*KEYS).agg(F.sum("words").alias("source_size")), share, repeats, weights)
-        starts = by_part.drop("words").join(sources, KEYS)
-        inside = Window.partitionBy(*KEYS, "part").orderBy("shuffle", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-        placed = spread.join(starts, [*KEYS, "part"]).withColumn("upto", F.col("start") + F.sum("size").over(inside))
-        self.places = materialise(placed.select("doc_id", "source", *KEYS, "size", "shuffle", "source_size", "target", "upto"), "mix-places")
+        #: Per hash range of a source: the words before it, and the source's size and target.
+        self.starts = materialise(by_part.drop("words").join(sources, KEYS), "mix-starts")
+        self.places = materialise(self.placed(sized).select("doc_id", "source", *KEYS, "size", "shuffle", "print", "source_size", "target", "upto"), "mix-places")
         self.total = self.places.agg(F.sum("size")).first()[0] or 0
         self.budget = self.total * share
+        discard(docs.sparkSession, sized)
+
+    def spread(self, sized: DataFrame) -> DataFrame:
+        return sized.withColumn("part", F.floor(F.conv(F.substring("shuffle", 1, 8), 16, 10).cast("long") * self.ranges / F.lit(1 << 32)))
+
+    def placed(self, sized: DataFrame) -> DataFrame:
+        """Adds to sized documents the words of their source up to and including them (``upto``)."""
+        inside = Window.partitionBy(*KEYS, "part").orderBy(*PLACE).rowsBetween(Window.unboundedPreceding, 0)
+        return self.spread(sized).join(self.starts, [*KEYS, "part"]).withColumn("upto", F.col("start") + F.sum("size").over(inside))
 
     def finish(self, copy: Column) -> Column:
         """Virtual finish time of a copy (0, 1, ...) of a document; null where the source has no words."""
         return F.when(F.col("target") > 0, (copy * F.col("source_size") + F.col("upto")) / F.col("target"))
 
+    def copies(self, placed: DataFrame) -> DataFrame:
+        """Every copy of every document that has words, with its finish time."""
+        copies = placed.where(F.col("size") > 0).withColumn("copy", F.explode(F.array(*map(F.lit, range(self.repeats)))))
+        return copies.withColumn("finish", self.finish(F.col("copy"))).where(F.col("finish").isNotNull())
+
     def order(self) -> DataFrame:
         """The mixed order: one row per copy taken, with its finish time, the words before it (``at``) and those taken of it."""
-        copies = self.places.where(F.col("size") > 0).withColumn("copy", F.explode(F.array(*map(F.lit, range(self.repeats)))))
-        copies = copies.withColumn("finish", self.finish(F.col("copy"))).where(F.col("finish").isNotNull())
-        copies = copies.withColumn("slice", F.floor(F.col("finish") * TIME_RANGES))
+        copies = self.copies(self.places).withColumn("slice", F.floor(F.col("finish") * self.ranges))
         by_slice = copies.groupBy("slice").agg(F.sum("size").alias("words"))
         by_slice = by_slice.withColumn("start", F.sum("words").over(Window.orderBy("slice")) - F.col("words")).where(F.col("start") < self.budget)
-        inside = Window.partitionBy("slice").orderBy("finish", *KEYS, "shuffle", "doc_id", "size", "copy").rowsBetween(Window.unboundedPreceding, 0)
+        inside = Window.partitionBy("slice").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, 0)
         ranked = copies.join(by_slice.select("slice", "start"), "slice").withColumn("at", F.col("start") + F.sum("size").over(inside) - F.col("size"))
         taken = F.least(F.col("size").cast("double"), F.lit(float(self.budget)) - F.col("at"))
         return ranked.withColumn("taken", F.floor(taken)).where(F.col("taken") > 0).drop("slice", "start")
 
+    def border(self) -> tuple[Column, int] | None:
+        """The last copy of the mixed order, as a struct of ORDER, and the words taken of it; every copy before it is whole."""
+        last = self.order().agg(F.max(F.struct(*ORDER)).alias("k"), F.max_by("taken", F.struct(*ORDER)).alias("part"))
+        row = last.first()
+        if row is None or row["k"] is None:
+            return None
+        return F.struct(*(F.lit(row["k"][f.name]).cast(f.dataType).alias(f.name) for f in last.schema["k"].dataType)), row["part"]
+
     def taken(self) -> DataFrame:
-        """One row per document: ``taken``, the words that the mix takes of it, repeats counted.
-
-        The last copy of the mixed order marks the border; every copy before it is whole.
-        """
-        keys = ["finish", *KEYS, "shuffle", "doc_id", "size", "copy"]
-        last = self.order().agg(F.max(F.struct(*keys)).alias("k"), F.max_by("taken", F.struct(*keys)).alias("part")).first()
-        if last is None or last["k"] is None:
-            return self.places.withColumn("taken", F.lit(0).cast("long"))
-        k, total = last["k"], F.lit(0).cast("long")
-        border = F.struct(*(F.lit(k[c]).cast(t).alias(c) for c, t in (("finish", "double"), ("no_source", "boolean"), ("source_key", "string"), ("shuffle", "string"), ("doc_id", "long"), ("size", "long"), ("copy", "int"))))
+        """One row per document: ``taken``, the words that the mix takes of it, repeats counted."""
+        border, total = self.border(), F.lit(0).cast("long")
+        if border is None:
+            return self.places.withColumn("taken", total)
         for copy in range(self.repeats):
-            own = F.struct(self.finish(F.lit(copy)).alias("finish"), *KEYS, "shuffle", "doc_id", "size", F.lit(copy).alias("copy"))
-            words = F.when(own < border, F.col("size")).when(own == border, F.lit(last["part"])).otherwise(0)
+            own = F.struct(self.finish(F.lit(copy)).alias("finish"), *KEYS, *PLACE, F.lit(copy).alias("copy"))
+            words = F.when(own < border[0], F.col("size")).when(own == border[0], F.lit(border[1])).otherwise(0)
             total = total + F.when((F.col("size") > 0) & (F.col("target") > 0), words).otherwise(0)
         return self.places.withColumn("taken", total.cast("long"))
 
 
-def mix_documents(docs: DataFrame, share: float = 1.5, repeats: int = 2, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
-    """The documents that the mix takes, each as often as it takes it (a part counts as a time), with their own columns."""
-    taken = Mix(docs, share, repeats, weights).taken().where(F.col("taken") > 0)
-    times = taken.groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size")).agg(F.max(F.ceil(F.col("taken") / F.col("size"))).cast("int").alias("_times"))
-    sized = docs.withColumn("_words", word_count(F.col("text")))
-    on = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_words") == F.col("_size"))
-    return sized.join(times, on).select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_copy")).drop("_copy")
+def mix_documents(docs: DataFrame, share: float = 1.5, repeats: int = 2, weights: tuple[int, ...] = WEIGHTS, text: str = "text") -> DataFrame:
+    """The documents that the mix takes, each as often as it takes it (a part counts as a time), with their own columns, in the mixed order.
+
+    Texts move twice: to their source's hash range, and to their place in the order.
+    """
+    mix = Mix(docs, share, repeats, weights, text)
+    border = mix.border()
+    if border is None:
+        return docs.limit(0)
+    whole = docs.select(F.struct(*docs.columns).alias("_document"), *_sized(text))
+    copies = mix.copies(mix.placed(whole)).where(F.struct(*ORDER) <= border[0])
+    return copies.repartitionByRange(*ORDER).sortWithinPartitions(*ORDER).select("_document.*")
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

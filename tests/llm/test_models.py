@@ -94,6 +94,15 @@ def test_mix(spark):
     assert sorted(map(str, got)) == sorted(map(str, mixing.Mix(docs.repartition(7)).taken().collect()))
     order = mixing.Mix(docs).order().collect()
     assert sum(r.taken for r in order) == sum(r.taken for r in got)
+    # The documents come in the mixed order.
+    mixed = mixing.mix_documents(docs.withColumns({"_document": F.lit(1), "copy": F.lit("own"), "size": F.lit(None)}))
+    assert mixed.columns == [*docs.columns, "_document", "copy", "size"]
+    place = {}
+    for r in order:
+        place.setdefault((r.doc_id, r.source, r["size"]), []).append(r.at)
+    got = [(r.doc_id, r.source, len(r.text.split())) for r in mixed.collect()]
+    assert len(got) == len(order) and len(order) > docs.count() / 2
+    assert [min(place[k]) for k in dict.fromkeys(got)] == sorted(min(place[k]) for k in dict.fromkeys(got))
     times = mixing.mix_documents(docs).groupBy("doc_id").count().collect()
     assert max(r["count"] for r in times) <= 4
     assert mixing.Mix(docs.limit(0)).taken().count() == 0 and mixing.mix_documents(docs.limit(0)).count() == 0
