@@ -148,8 +148,17 @@ class BacktrackingBpe:
         n = len(text)
         lengths, shorter, pairs, size = self._length, self._shorter, self._pairs, self._size
         longest = self._matches.iter_long
-        dead = bytearray(n + 1)
+        # Most words are their longest matches, all compatible.
         out: list[int] = []
+        known, last = pairs.get, -1
+        for _, token in longest(text):
+            if last >= 0 and not known(last * size + token):
+                break
+            out.append(token)
+            last = token
+        else:
+            return out
+        dead, out = bytearray(n + 1), []
         # One scan serves as long as the longest matches are taken; after any other token a new one starts.
         scan, whole = longest(text), True
         pos, token = 0, next(scan)[1]

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -52,17 +50,6 @@ def discard(spark: SparkSession, *tables: DataFrame) -> None:
         p.getFileSystem(conf).delete(p, True)
 
 
-def forget(spark: SparkSession) -> None:
-    """Has Spark delete the shuffle files of plans that nothing refers to any more, which it does when garbage is collected.
-
-    Python's references go first, then the JVM's; the second round takes what the first let go.
-    """
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(1)
-
-
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

@@ -7,19 +7,25 @@ range. A keyed Feistel network over the smallest even number of bits that holds
 the numbers; numbers that fall outside 0 .. N-1 are permuted again (cycle walking), so
 every sequence gets a slot of its own and every slot is filled. Range partitions of the
 slots write shards of ``per_shard`` records, each record of the same number of bytes: slot
-s lies in shard s // per_shard at byte (s % per_shard) * stride. ``read_from`` continues at
-any slot without reading what lies before it.
+s lies in shard s // per_shard at byte (s % per_shard) * stride of its ``records``. Shards
+are the rows of a Parquet table in slot order, one folder a range of them, so that their
+padding is compressed; ``read_from`` continues at any slot, and opens neither the folders
+nor the row groups that lie before it.
 
 Record, little-endian: doc_id int64, part uint32, real tokens uint32, then ``length`` ids
-as uint16 (uint32 for larger vocabularies).
+as uint16 (uint32 for larger vocabularies). On their way to the shard records are without
+padding.
 
 Rows: null and empty texts are one sequence that holds the end token; a null id is written
-as -2**63; repeated rows are sequences of their own, ordered by their bytes; an empty table
-makes no shards. The order depends on ids, texts and key only, not on the files' layout.
+as -2**63; repeated rows are sequences of their own, ordered by their bytes; texts are
+encoded whole, whatever their length; columns other than the id and the text are left out;
+an empty table makes no shards. The order depends on ids, texts and key only, not on the
+files' layout.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -29,14 +35,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from secflow.llm.bpe import codec, default_vocabulary
-from secflow.llm.common import discard, forget, materialise, read
+from secflow.llm.common import discard, materialise, new_table, read
 
 LENGTH, PER_SHARD, KEY = 1024, 256, 0x5EC0F10A
 NO_ID = -(1 << 63)
 HEADER = np.dtype([("doc_id", "<i8"), ("part", "<u4"), ("n", "<u4")])
 ROUNDS = 6
-#: Most hash ranges for numbering.
-MAX_RANGES, ROWS_PER_RANGE = 1 << 16, 4000
+#: Shards that one task writes at least, and tasks at most before it writes more.
+SHARDS_PER_TASK, TASKS = 24, 100_000
 
 
 def _round(half: np.ndarray, key: int, i: int) -> np.ndarray:
@@ -66,7 +72,7 @@ def stride(length: int, vocabulary_size: int) -> int:
 
 
 def sequences(docs: DataFrame, vocabulary: str, length: int = LENGTH, text: str = "text") -> DataFrame:
-    """(doc_id, part, record) of every sequence of every document; records travel compressed."""
+    """(doc_id, part, record) of every sequence of every document; records without padding."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(vocabulary)
@@ -78,25 +84,24 @@ def sequences(docs: DataFrame, vocabulary: str, length: int = LENGTH, text: str
                 for doc_id, t in zip(batch.column(0)[at : at + 256].to_pylist(), batch.column(1)[at : at + 256].to_pylist(), strict=True):
                     tokens = np.append(bpe.encode(t or ""), end)
                     count = -(-len(tokens) // length)
-                    rows = np.full((count, length), end, kind)
-                    rows.reshape(-1)[: len(tokens)] = tokens
+                    tokens = tokens.astype(kind)
                     head = np.zeros(count, HEADER)
                     head["doc_id"], head["part"], head["n"] = NO_ID if doc_id is None else doc_id, np.arange(count), length
                     head["n"][-1] = len(tokens) - (count - 1) * length
                     ids += [doc_id] * count
                     parts += range(count)
-                    records += [zlib.compress(h.tobytes() + r.tobytes(), 1) for h, r in zip(head, rows, strict=True)]
+                    records += [h.tobytes() + tokens[k * length : (k + 1) * length].tobytes() for k, h in enumerate(head)]
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(parts, pa.int32()), pa.array(records, pa.binary())], ["doc_id", "part", "record"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text).mapInArrow(cut, "doc_id long, part int, record binary")
 
 
-def materialise_order(docs: DataFrame, vocabulary: str, length: int = LENGTH, per_shard: int = PER_SHARD, key: int = KEY, text: str = "text") -> DataFrame:
-    """The shards (shard, first_slot, n, stride, records), written to the shared folder in slot order."""
-    made = sequences(docs, vocabulary, length, text).withColumn("h", F.xxhash64(F.lit(key), "doc_id"))
-    made = materialise(made, "sequences")
+def materialise_order(docs: DataFrame, vocabulary: str, length: int = LENGTH, per_shard: int = PER_SHARD, key: int = KEY, text: str = "text", shards_per_task: int = SHARDS_PER_TASK) -> DataFrame:
+    """The shards (shard, first_slot, n, stride, records, task), written to the shared folder in slot order, a folder a task."""
+    spark = docs.sparkSession
+    made = materialise(sequences(docs, vocabulary, length, text).withColumn("h", F.xxhash64(F.lit(key), "doc_id")), "sequences")
     total = made.count()
-    ranges = int(min(MAX_RANGES, max(1, total // ROWS_PER_RANGE)))
+    ranges = max(1, math.isqrt(total))
     spread = made.withColumn("range", F.floor((F.shiftrightunsigned("h", 32)) * ranges / F.lit(1 << 32)))
     starts = spread.groupBy("range").agg(F.count(F.lit(1)).alias("rows"))
     starts = starts.withColumn("start", F.sum("rows").over(Window.orderBy("range")) - F.col("rows")).drop("rows")
@@ -106,33 +111,40 @@ def materialise_order(docs: DataFrame, vocabulary: str, length: int = LENGTH, pe
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             slots = permute(batch.column(0).to_numpy(), total, key)
-            yield pa.RecordBatch.from_arrays([pa.array(slots // per_shard), pa.array(slots), batch.column(1)], ["shard", "slot", "record"])
+            yield pa.RecordBatch.from_arrays([pa.array(slots), batch.column(1)], ["slot", "record"])
 
-    placed = materialise(numbered.mapInArrow(place, "shard long, slot long, record binary"), "slots")
-    # What led here is complete on disk: drop the table of sequences, and let Spark drop the shuffle that read it.
-    discard(docs.sparkSession, made)
-    del made, spread, starts, numbered
-    forget(docs.sparkSession)
-    ordered = placed.repartitionByRange("shard").sortWithinPartitions("slot")
+    shards = -(-total // per_shard)
+    each = max(shards_per_task, -(-shards // TASKS))
+    task = F.floor(F.col("slot") / (per_shard * each)).cast("int")
+    # Ranges of slots are known beforehand: no sampling, and no task starts inside a shard.
+    ordered = numbered.mapInArrow(place, "slot long, record binary").repartitionById(max(1, -(-shards // each)), task).sortWithinPartitions("slot")
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # One shard at a time is held: its records arrive in slot order, and a shard never crosses partitions.
+        # One shard at a time is held: its records arrive in slot order.
         shard, held = None, []
 
         def close() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([shard * per_shard], pa.int64()), pa.array([len(held)], pa.int32()), pa.array([len(held[0])], pa.int32()), pa.array([b"".join(held)], pa.binary())], ["shard", "first_slot", "n", "stride", "records"])
+            size = stride(length, codec(vocabulary)._size + 1)
+            end = next(iter(codec(vocabulary).special.values()), codec(vocabulary)._size)
+            pad = np.full(length, end, "<u2" if size == HEADER.itemsize + 2 * length else "<u4").tobytes()
+            blob = b"".join(r + pad[len(r) - HEADER.itemsize :] for r in held)
+            row = [shard, shard * per_shard, len(held), size, blob, shard // each]
+            return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int32()), strict=True)], ["shard", "first_slot", "n", "stride", "records", "task"])
 
         for batch in batches:
-            for s, r in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                if s != shard and held:
+            for s, r in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if s // per_shard != shard and held:
                     yield close()
                     held = []
-                shard = s
-                held.append(zlib.decompress(r))
+                shard = s // per_shard
+                held.append(r)
         if held:
             yield close()
 
-    return materialise(ordered.mapInArrow(join, "shard long, first_slot long, n int, stride int, records binary"), "shards")
+    path, made_shards = new_table(spark, "shards"), ordered.mapInArrow(join, "shard long, first_slot long, n int, stride int, records binary, task int")
+    made_shards.write.partitionBy("task").parquet(path)
+    discard(spark, made)
+    return spark.read.schema(made_shards.schema).parquet(path)
 
 
 def read_from(shards: DataFrame, slot: int = 0, length: int = LENGTH, with_ids: bool = True) -> DataFrame:
@@ -158,7 +170,13 @@ def read_from(shards: DataFrame, slot: int = 0, length: int = LENGTH, with_ids:
                     columns.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, ids)]), pa.int32()), pa.array(np.concatenate(ids), pa.int32())))
                 yield pa.RecordBatch.from_arrays(columns, names[: len(columns)])
 
-    kept = shards.where(F.col("first_slot") + F.col("n") > slot)
+    kept = shards
+    if slot > 0:
+        # The slot's shard starts a folder or lies in one; what comes before is neither listed for reading nor opened.
+        begin = shards.where(F.col("first_slot") <= slot).agg(F.max_by(F.struct("task", "first_slot"), "first_slot").alias("b")).first()["b"]
+        if begin is not None:
+            kept = shards.where((F.col("task") >= begin["task"]) & (F.col("first_slot") >= begin["first_slot"]))
+    kept = kept.select("shard", "first_slot", "n", "stride", "records").where(F.col("first_slot") + F.col("n") > slot)
     return kept.mapInArrow(split, "slot long, shard long, byte_offset long, doc_id long, part int, n_tokens int, tokens_crc32 long" + (", token_ids array<int>" if with_ids else ""))
 
 

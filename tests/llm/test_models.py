@@ -1,5 +1,7 @@
 """Language ID, quality, nearest neighbours, mixing, token shards: held-out accuracy, recall, exactness, odd rows."""
 
+import shutil
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -128,8 +130,20 @@ def test_shards(spark):
         ids = [*codec.encode(t or "").tolist(), 50256]
         want += [(str(i), n // 16, ids[n : n + 16]) for n in range(0, len(ids), 16)]
     assert sorted((str(r.doc_id), r.part, r.token_ids) for r in got) == sorted(want)
-    again = token_shards.read_from(token_shards.materialise_order(docs.repartition(5), vocabulary, length=16, per_shard=8), slot=11, length=16).collect()
-    assert sorted(map(str, again)) == sorted(str(r) for r in got if r.slot >= 11)
+    shards = token_shards.materialise_order(docs.repartition(5).withColumn("extra", F.lit(1)), vocabulary, length=16, per_shard=8, shards_per_task=2)
+    for slot in (11, 16, 40, len(got) - 1, len(got) + 5):
+        later = token_shards.read_from(shards, slot=slot, length=16)
+        assert sorted(map(str, later.collect())) == sorted(str(r) for r in got if r.slot >= slot)
+    # What lies before the slot is never opened: it may be gone.
+    folders = {f.split("task=")[1].split("/")[0]: f.rsplit("/", 1)[0].removeprefix("file://") for f in shards.inputFiles()}
+    assert len(folders) > 3
+    later = token_shards.read_from(shards, slot=40, length=16)
+    for task, folder in folders.items():
+        if int(task) < 40 // 16:
+            shutil.rmtree(folder)
+    assert sorted(map(str, later.collect())) == sorted(str(r) for r in got if r.slot >= 40)
+    long = [(1, "a b " * 30_000)]
+    assert token_shards.read_from(token_shards.materialise_order(spark.createDataFrame(long, "doc_id long, text string"), vocabulary)).agg(F.sum("n_tokens")).first()[0] == len(codec.encode(long[0][1])) + 1
     assert token_shards.materialise_order(docs.limit(0), vocabulary).count() == 0
 
 
