@@ -1,23 +1,27 @@
 """Approximate nearest neighbours: inverted file of coarse centroids, product-quantised residuals, exact reranking.
 
 ``train`` fits coarse centroids and the residuals' sub-quantisers by k-means on a sample of
-at most about ``TRAIN`` vectors (drawn by a hash of the id; the only vectors that reach the
-driver). ``build`` assigns every vector to its list and stores its code of ``parts`` bytes.
+``TRAIN`` vectors, or SAMPLE for every list if that is more, ``MOST`` at most (drawn by a hash
+of the id; the only vectors that reach the driver). There are as many lists as the square
+root of the number of vectors, and at most one for every SAMPLE vectors drawn. ``build`` assigns every vector to its list and stores its code of ``parts`` bytes.
 ``search`` sends each query to its ``probes`` nearest lists (set in training so that they
-hold HELD of the sample's exact neighbours; more if they hold too few rows), scans the lists' codes with the query's asymmetric distance table, reranks the
+hold HELD of the sample's exact neighbours; more if they hold too few rows), scans the
+lists' codes with the query's asymmetric distance table, reranks the
 ``rerank`` best of every list part by the exact Euclidean distance in double precision, and
 merges the parts' best. Lists are cut into parts of about ``PART`` rows, so a list that
 holds a third of all vectors is spread over many tasks.
 
 Nearness: smallest Euclidean distance, ties to the smaller id; a query is no neighbour of
 its own row (id). Rows: vectors that are null, zero, hold null or non-finite components, or
-differ from the most frequent length take no part; rows with a null id take no part; of
+differ from the most frequent length take no part (among those of one length any finite
+value does: codes are made of components clipped to 1e15, distances of the original ones); rows with a null id take no part; of
 rows that repeat an id each counts as a candidate, but only the first (by vector) as a
 query. Fewer candidates than ``k`` give all of them; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,8 +32,8 @@ from pyspark.sql import functions as F
 
 from secflow.llm.common import materialise, read
 
-#: Bounds: training sample, coarse lists, rows of a list part scanned by one task.
-TRAIN, MAX_LISTS, PART = 20_000, 1024, 4096
+#: Training sample at least, for every list, and at most; rows of a list part scanned by one task.
+TRAIN, SAMPLE, MOST, PART = 20_000, 16, 1 << 18, 4096
 PARTS, RERANK = 16, 100
 #: Share of true neighbours that the probed lists should hold, and sample queries by which the number of probes is set.
 HELD, TRIALS = 0.98, 400
@@ -41,14 +45,13 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 1) -> np.ndarray
     rng = np.random.default_rng(seed)
     centres = distinct[rng.permutation(len(distinct))[:k]].astype(np.float32)
     for _ in range(rounds):
-        d = squared(x, centres)
-        own = d.argmin(1)
+        own, d = nearest(x, centres)
         sums = np.zeros_like(centres, dtype=np.float64)
         np.add.at(sums, own, x)
         n = np.bincount(own, minlength=len(centres))
         centres[n > 0] = (sums[n > 0] / n[n > 0, None]).astype(np.float32)
         if (n == 0).any():
-            far = np.argsort(-d[np.arange(len(x)), own], kind="stable")[: int((n == 0).sum())]
+            far = np.argsort(-d, kind="stable")[: int((n == 0).sum())]
             centres[np.flatnonzero(n == 0)[: len(far)]] = x[far]
     return centres
 
@@ -58,6 +61,34 @@ def squared(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return (x * x).sum(1)[:, None] - 2 * (x @ c.T) + (c * c).sum(1)[None]
 
 
+def nearest(x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest centroid of every row and its squared distance, some rows at a time."""
+    own, far = np.empty(len(x), np.int64), np.empty(len(x), np.float32)
+    step = max(1, (1 << 23) // max(1, len(c)))
+    for at in range(0, len(x), step):
+        d = squared(x[at : at + step], c)
+        own[at : at + step] = d.argmin(1)
+        far[at : at + step] = d[np.arange(len(d)), own[at : at + step]]
+    return own, far
+
+
+def rough(vectors: list) -> np.ndarray:
+    """Vectors as the quantiser sees them: single precision, clipped."""
+    return np.clip(np.array(vectors, np.float64), -1e15, 1e15).astype(np.float32)
+
+
+def distances(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Euclidean distances in double precision; squares that would overflow are scaled first."""
+    rest = x.astype(np.float64) - q.astype(np.float64)
+    with np.errstate(over="ignore", invalid="ignore"):
+        d = np.sqrt((rest**2).sum(1))
+    large = ~np.isfinite(d)
+    if large.any():
+        top = np.abs(rest[large]).max(1)
+        d[large] = top * np.sqrt(((rest[large] / top[:, None]) ** 2).sum(1))
+    return d
+
+
 @dataclass(frozen=True)
 class Quantiser:
     """Coarse centroids, and the centroids of each part of the residuals."""
@@ -68,11 +99,11 @@ class Quantiser:
     probes: int
 
     def lists(self, x: np.ndarray) -> np.ndarray:
-        return squared(x, self.coarse).argmin(1)
+        return nearest(x, self.coarse)[0]
 
     def encode(self, x: np.ndarray, lists: np.ndarray) -> np.ndarray:
         rest = x - self.coarse[lists]
-        return np.stack([squared(rest[:, s:e], b).argmin(1) for b, s, e in zip(self.books, self.cuts, self.cuts[1:], strict=False)], 1).astype(np.uint8)
+        return np.stack([nearest(rest[:, s:e], b)[0] for b, s, e in zip(self.books, self.cuts, self.cuts[1:], strict=False)], 1).astype(np.uint8)
 
     def table(self, q: np.ndarray, own: int) -> np.ndarray:
         """(parts, 256) squared distances of a query's residual to every sub-centroid."""
@@ -89,15 +120,16 @@ def valid(vector: Column) -> Column:
 
 
 def usable(vectors: DataFrame, id_column: str, column: str) -> DataFrame:
-    """(id, vec) of the rows that take part."""
-    own = vectors.select(F.col(id_column).cast("long").alias("id"), F.col(column).cast("array<float>").alias("vec")).where(F.col("id").isNotNull() & valid(F.col("vec")))
+    """(id, vec) of the rows that take part; vectors stay in single precision if they are, else they become double."""
+    kind = "array<float>" if dict(vectors.dtypes)[column] == "array<float>" else "array<double>"
+    own = vectors.select(F.col(id_column).cast("long").alias("id"), F.col(column).cast(kind).alias("vec")).where(F.col("id").isNotNull() & valid(F.col("vec")))
     common = own.groupBy(F.size("vec").alias("n")).count().orderBy(F.desc("count"), "n").first()
     return own.where(F.size("vec") == (common["n"] if common else -1))
 
 
 def probes_for(x: np.ndarray, coarse: np.ndarray, k: int = 10) -> int:
     """The fewest nearest lists that hold the share HELD of the sample's own exact neighbours."""
-    lists, ranks = squared(x, coarse).argmin(1), []
+    lists, ranks = nearest(x, coarse)[0], []
     for i in np.random.default_rng(3).permutation(len(x))[:TRIALS]:
         d = ((x - x[i]) ** 2).sum(1)
         d[i] = np.inf
@@ -109,14 +141,15 @@ def probes_for(x: np.ndarray, coarse: np.ndarray, k: int = 10) -> int:
 
 
 def train(own: DataFrame, count: int, lists: int | None = None, parts: int = PARTS, sample: int = TRAIN) -> Quantiser:
-    share = min(1.0, sample / max(1, count))
+    lists = lists or max(1, math.isqrt(count))
+    share = min(1.0, min(MOST, max(sample, SAMPLE * lists)) / max(1, count))
     rows = own.where(F.pmod(F.xxhash64(F.lit("train"), "id"), F.lit(1 << 30)) < share * (1 << 30)).orderBy("id", "vec").toPandas()
-    x = np.array(rows["vec"].tolist(), np.float32)
+    x = rough(rows["vec"].tolist())
     if not len(x):
-        x = np.array(own.limit(1).toPandas()["vec"].tolist(), np.float32)
+        x = rough(own.limit(1).toPandas()["vec"].tolist())
     dim = x.shape[1]
-    coarse = kmeans(x, lists or int(np.clip(np.sqrt(count), 1, MAX_LISTS)))
-    rest = x - coarse[squared(x, coarse).argmin(1)]
+    coarse = kmeans(x, max(1, min(lists, len(x) // SAMPLE)) if count > len(x) else lists)
+    rest = x - coarse[nearest(x, coarse)[0]]
     parts = min(parts, dim)
     cuts = tuple(int(c) for c in np.linspace(0, dim, parts + 1))
     return Quantiser(coarse, tuple(kmeans(rest[:, s:e], 256, seed=i) for i, (s, e) in enumerate(zip(cuts, cuts[1:], strict=False))), cuts, probes_for(x, coarse))
@@ -130,11 +163,11 @@ def build(own: DataFrame, model: Quantiser) -> DataFrame:
         m = shared.value
         for batch in batches:
             if len(batch):
-                x = np.array(batch["vec"].tolist(), np.float32)
+                x = rough(batch["vec"].tolist())
                 lists = m.lists(x)
                 yield batch.assign(list=lists, code=[c.tobytes() for c in m.encode(x, lists)])
 
-    made = own.mapInPandas(assign, "id long, vec array<float>, list int, code binary")
+    made = own.mapInPandas(assign, f"id long, vec {dict(own.dtypes)['vec']}, list int, code binary")
     return materialise(made, "ivf-index")
 
 
@@ -142,13 +175,13 @@ def best(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: n
     """Each query's k nearest of one list part: scan by table, then exact distances of the best."""
     out, rows = [], np.arange(codes.shape[1])
     for qid, q in zip(query_ids, queries, strict=True):
-        near = model.table(q.astype(np.float32), own)[rows, codes].sum(1)
+        near = model.table(rough(q), own)[rows, codes].sum(1)
         mine = np.flatnonzero(ids != qid)
         if len(mine) > rerank:
             # All rows as near as the last one that fits stay, so equal codes are never cut by chance.
             last = np.partition(near[mine], rerank - 1)[rerank - 1]
             mine = mine[near[mine] <= last]
-        d = np.sqrt(((vectors[mine].astype(np.float64) - q.astype(np.float64)) ** 2).sum(1))
+        d = distances(q, vectors[mine])
         order = np.lexsort([ids[mine], d])[:k]
         out.append(pd.DataFrame({"query_id": qid, "vec_id": ids[mine][order], "score": d[order]}))
     return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
@@ -168,7 +201,7 @@ def search(index: DataFrame, model: Quantiser, queries: DataFrame, k: int = 10,
         for batch in batches:
             if not len(batch):
                 continue
-            order = squared(np.array(batch["vec"].tolist(), np.float32), m.coarse).argsort(1, kind="stable")
+            order = squared(rough(batch["vec"].tolist()), m.coarse).argsort(1, kind="stable")
             held = n[order].cumsum(1)
             # At least ``probes`` lists, and as many as hold k rows besides the query's own.
             take = np.maximum(probes, (held < 2 * k + 1).sum(1) + 1)
@@ -176,7 +209,7 @@ def search(index: DataFrame, model: Quantiser, queries: DataFrame, k: int = 10,
             yield pd.DataFrame(rows, columns=["query_id", "query", "list"])
 
     one = queries.groupBy("id").agg(F.min("vec").alias("vec"))
-    sent = one.mapInPandas(route, "query_id long, query array<float>, list int")
+    sent = one.mapInPandas(route, f"query_id long, query {dict(queries.dtypes)['vec']}, list int")
     sent = sent.withColumn("part", F.explode(F.sequence(F.lit(0), parts[F.col("list")] - 1)))
 
     def scan(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
@@ -184,7 +217,7 @@ def search(index: DataFrame, model: Quantiser, queries: DataFrame, k: int = 10,
         if not len(asked) or not len(held):
             return best(np.zeros(0), np.zeros((0, 1)), np.zeros(0), np.zeros((0, 1)), np.zeros((0, 1)), 0, m, k, rerank)
         codes = np.frombuffer(b"".join(held["code"]), np.uint8).reshape(len(held), -1)
-        return best(asked["query_id"].to_numpy(), np.array(asked["query"].tolist(), np.float32), held["id"].to_numpy(), np.array(held["vec"].tolist(), np.float32), codes, int(held["list"].iloc[0]), m, k, rerank)
+        return best(asked["query_id"].to_numpy(), np.array(asked["query"].tolist()), held["id"].to_numpy(), np.array(held["vec"].tolist()), codes, int(held["list"].iloc[0]), m, k, rerank)
 
     found = sent.groupBy("list", "part").cogroup(cut.groupBy("list", "part")).applyInPandas(scan, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")

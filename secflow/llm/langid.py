@@ -4,14 +4,14 @@ Training counts, in how many of a language's documents each character n-gram (3
 letters, with a blank at word borders) occurs. An n-gram is typical of every language in
 which its rate is at least ``ratio`` of its highest rate over languages, and in at least
 ``min_docs`` documents. The typical n-grams go into a bit-sliced Bloom filter: each of its
-``slots`` holds a mask with one bit per language, so that the AND of an n-gram's slots is
-the mask of all languages that may contain it. For a text, the bits of all n-grams' masks
+``slots`` holds a mask with one bit per language (of as many words as the languages need), so
+that the AND of an n-gram's slots is the mask of all languages that may contain it. For a text, the bits of all n-grams' masks
 are counted per language. Each count is corrected for the language's false-positive rate
 (its share of filled slots to the power of the number of hashes), and the largest
 corrected count decides.
 
 Only the filter (a fixed number of slots) goes through the driver. It is trained on all
-labelled documents, or on about ``max_train_docs`` of them, drawn evenly by a hash of the id.
+labelled documents, or on about ``max_train_docs`` of them, drawn evenly by a hash of the text.
 
 A text may be in no learned language at all, and the largest count still names one. For a
 filter that drops such texts, ``least_shares`` learns what share of their n-grams the
@@ -40,8 +40,10 @@ from secflow.llm.common import crc32_of_id, read
 UNKNOWN = "und"
 SIZES = (3, 4, 5)
 HASHES = 3
-#: Bounds: filter slots (the driver holds one mask each), languages (bits of a mask), documents to learn from.
-SLOTS, MAX_LANGUAGES, MAX_TRAIN_DOCS = 1 << 20, 63, 20_000
+#: Bounds: filter slots (the driver holds one mask each), documents to learn from.
+SLOTS, MAX_TRAIN_DOCS = 1 << 20, 20_000
+#: Languages of one word of a mask.
+WORD = 63
 #: Letters of a text that are looked up at a time.
 PIECE = 1 << 20
 #: A learned share is this part of the share that all but LOW of the language's documents have; below it by ERRORS standard errors, a text is in another language.
@@ -120,16 +122,19 @@ def pieces(text: str) -> Iterator[np.ndarray]:
 
 
 class Filter:
-    """A trained bit-sliced filter: one mask per slot; ``masks`` and ``rates`` are all that a prediction needs."""
+    """A trained bit-sliced filter: a mask of one or more words per slot; ``masks`` and ``rates`` are all that a prediction needs."""
 
     def __init__(self, languages: list[str], masks: np.ndarray):
         # The narrowest type: the filter should stay in the processor's cache.
-        self.languages, self.masks = languages, masks.astype(np.min_scalar_type((1 << max(1, len(languages))) - 1))
-        fill = np.array([np.count_nonzero(self.masks & self.bit(i)) / len(masks) for i in range(len(languages))])
+        self.languages, masks = languages, masks.reshape(len(masks), -1)
+        self.masks = masks.astype(np.min_scalar_type((1 << max(1, min(WORD, len(languages)))) - 1))
+        fill = self.holders(self.masks) / len(masks)
         self.rates = fill**HASHES
 
-    def bit(self, i: int) -> np.integer:
-        return self.masks.dtype.type(1 << i)
+    def holders(self, masks: np.ndarray) -> np.ndarray:
+        """How many of the masks have each language's bit."""
+        kind = self.masks.dtype.type
+        return np.array([np.count_nonzero(masks[:, i // WORD] & kind(1 << i % WORD)) for i in range(len(self.languages))])
 
     def lookup(self, h: np.ndarray) -> np.ndarray:
         """Mask of the languages that may contain each n-gram."""
@@ -143,9 +148,8 @@ class Filter:
         """Corrected number of the text's n-grams per language, and the number of all n-grams."""
         total, n = np.zeros(len(self.languages)), 0
         for h in pieces(text):
-            masks = self.lookup(h)
             n += len(h)
-            total += [np.count_nonzero(masks & self.bit(i)) for i in range(len(self.languages))]
+            total += self.holders(self.lookup(h))
         return np.maximum(0, (total - n * self.rates) / np.maximum(1 - self.rates, 1e-9)), n
 
     def predict(self, text: str | None) -> tuple[str, float, float, int]:
@@ -162,9 +166,7 @@ class Filter:
 def draw(docs: DataFrame, text: str = "text", lang: str = "lang", max_docs: int = MAX_TRAIN_DOCS) -> tuple[list[str], DataFrame]:
     """The languages of labelled documents, and about ``max_docs`` of their (text, lang)."""
     known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.xxhash64(F.lit("train"), text).alias("_draw"))
-    sizes = known.groupBy("lang").count().orderBy("lang").limit(MAX_LANGUAGES + 1).collect()
-    if len(sizes) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    sizes = known.groupBy("lang").count().orderBy("lang").collect()  # one row a language
     languages = [r["lang"] for r in sizes]
     if not languages:
         return [], known.select("text", "lang")
@@ -194,19 +196,21 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", slots: int =
     docs_of = {k: v["docs"] for k, v in (by_gram.where(F.col("h").isNull()).first() or {"v": {}})["v"].items()}
     rate = F.array(*(F.when(F.coalesce(F.col("v")[x]["n"], F.lit(0)) >= min_docs, F.col("v")[x]["n"] / F.lit(max(1, docs_of.get(x, 0)))).otherwise(0.0) for x in languages))
     typical = by_gram.where(F.col("h").isNotNull()).select("h", rate.alias("r")).withColumn("top", F.array_max("r")).where(F.col("top") > 0)
-    mask = F.lit(0).cast("long")
+    words = [F.lit(0).cast("long") for _ in range(0, len(languages), WORD)]
     for i in range(len(languages)):
-        mask = mask.bitwiseOR(F.when(F.col("r")[i] >= ratio * F.col("top"), F.lit(1 << i)).otherwise(F.lit(0)).cast("long"))
+        words[i // WORD] = words[i // WORD].bitwiseOR(F.when(F.col("r")[i] >= ratio * F.col("top"), F.lit(1 << i % WORD)).otherwise(F.lit(0)).cast("long"))
+    names = [f"m{w}" for w in range(len(words))]
 
     def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for s in slots_of(batch["h"].to_numpy(np.int64).view(np.uint64), slots):
-                yield pd.DataFrame({"slot": s, "mask": batch["mask"].to_numpy(np.int64)})
+                yield batch[names].assign(slot=s)
 
-    filled = typical.select("h", mask.alias("mask")).mapInPandas(fill, "slot long, mask long").groupBy("slot").agg(F.bit_or("mask").alias("mask")).toPandas()
+    made = typical.select("h", *(w.alias(n) for w, n in zip(words, names, strict=True))).mapInPandas(fill, ", ".join(f"{n} long" for n in [*names, "slot"]))
+    filled = made.groupBy("slot").agg(*(F.bit_or(n).alias(n) for n in names)).toPandas()
     by_gram.unpersist()
-    masks = np.zeros(slots, np.uint64)
-    masks[filled["slot"].to_numpy(np.int64)] = filled["mask"].to_numpy(np.int64).view(np.uint64)
+    masks = np.zeros((slots, len(names)), np.uint64)
+    masks[filled["slot"].to_numpy(np.int64)] = filled[names].to_numpy(np.int64).view(np.uint64)
     return Filter(languages, masks)
 
 

@@ -147,6 +147,60 @@ def test_shards(spark):
     assert token_shards.materialise_order(docs.limit(0), vocabulary).count() == 0
 
 
+def test_nearest_of_repeated_ids_ties_and_doubles(spark, tmp_path):
+    rows = [(100 * (i // 3), [float(i % 3), 1.0]) for i in range(9)] + [(7, [1e300, -1e300]), (8, [1e300, 0.0]), (9, [0.1, 1.0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    table.write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = ivfpq.op6_nearest(spark, str(tmp_path)).collect()
+    for q in (0, 100, 200):
+        mine = min(v for i, v in rows if i == q)
+        d = lambda v, m=mine: np.hypot(v[0] - m[0], v[1] - m[1])
+        want = sorted((d(v), i) for i, v in rows if i != q)[:10]
+        own = sorted((r for r in got if r.query_id == q), key=lambda r: r["rank"])
+        assert [r.vec_id for r in own] == [i for _, i in want]
+        assert np.allclose([r.score for r in own], [x for x, _ in want], rtol=1e-14)
+    table.limit(0).write.parquet(f"{tmp_path}/none/embeddings.parquet")
+    assert ivfpq.op6_nearest(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_more_languages_than_bits_of_a_word(spark):
+    """Every language has words of its own; masks, rates and corrected counts against sets."""
+    names = [f"l{i:03}" for i in range(150)]
+    word = lambda i, k: "".join(chr(0x4E00 + 40 * i + 7 * k + j) for j in range(5))
+    docs = spark.createDataFrame([(" ".join(word(i, k) for k in range(4)), n) for i, n in enumerate(names) for _ in range(3)], "text string, lang string")
+    model = langid.train(docs, slots=1 << 14)
+    assert model.masks.shape == (1 << 14, 3)
+    held = {n: set() for n in names}
+    for i, n in enumerate(names):
+        held[n] = set(np.concatenate(list(langid.pieces(" ".join(word(i, k) for k in range(4))))).tolist())
+    for i in (0, 62, 63, 149):
+        grams = np.array(sorted(held[names[i]]), np.uint64)
+        masks = model.lookup(grams)
+        assert all(masks[:, i // langid.WORD] & model.masks.dtype.type(1 << i % langid.WORD))
+        slots = {int(s) for h in held[names[i]] for s in np.concatenate(langid.slots_of(np.array([h], np.uint64), 1 << 14))}
+        assert model.rates[i] == pytest.approx((len(slots) / (1 << 14)) ** langid.HASHES)
+        counts, n = model.counts(" ".join(word(i, k) for k in range(4)))
+        assert n == len(grams) and counts[i] == pytest.approx(n) and counts.argmax() == i
+    got = langid.identify(docs.withColumnRenamed("lang", "own"), model).where("own <> lang_pred").count()
+    assert got == 0
+
+
+def test_ranking_is_the_best_of_its_pairs():
+    """Newton's weights against plain gradient descent on the same pairs' loss."""
+    rnd = np.random.default_rng(4)
+    good, bad = rnd.normal(0.4, 1, (40, 3)), rnd.normal(0, 1, (30, 3))
+    model = quality.fit_pairs(good, bad, 500, 0.3)
+    z = lambda x: np.clip((x - model.centre) / model.scale, -8, 8)
+    spread = np.random.default_rng(7)
+    index = [np.concatenate([spread.permutation(len(x)) for _ in range(-(-500 // len(x)))])[:500] for x in (good, bad)]
+    d, w = z(good)[index[0]] - z(bad)[index[1]], np.zeros(3)
+    for _ in range(20_000):
+        w += 0.5 * (d.T @ (1 / (1 + np.exp(d @ w))) / 500 - quality.RIDGE * w)
+    assert np.allclose(model.weights, w, atol=1e-4)
+    below = np.concatenate([model.score(good), model.score(bad)]) < 0.3
+    assert abs(below.sum() - len(bad)) <= 1
+
+
 @pytest.mark.parametrize("k", [1, 5])
 def test_kmeans_of_equal_rows(k):
     assert len(ivfpq.kmeans(np.ones((9, 3), np.float32), k)) == 1
