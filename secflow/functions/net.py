@@ -20,6 +20,20 @@ def ipv4(address: Column) -> Column:
     return F.when(address.rlike(IPV4), number)
 
 
+def _network(text: str | None) -> tuple[bytes, bytes] | tuple[None, None]:
+    try:
+        found = ipaddress.ip_network(text, strict=False)
+    except ValueError:
+        return None, None
+    return (found[0].packed, found[-1].packed) if found.version == 6 else (None, None)
+
+
+@F.pandas_udf(T.StructType([T.StructField("low", T.BinaryType()), T.StructField("high", T.BinaryType())]))
+def network6(cidr: pd.Series) -> pd.DataFrame:
+    """First and last address of a version 6 network, null for any other text."""
+    return pd.DataFrame([_network(c) for c in cidr], columns=["low", "high"])
+
+
 @F.pandas_udf(T.BinaryType())
 def ipv6(address: pd.Series) -> pd.Series:
     """The 16 bytes of a version 6 address, null for any other text."""

@@ -63,7 +63,9 @@ def rule_class(rule: Rule) -> Column:
 
 def match_rules(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """One row per event and rule that it matches: rule_id, matched search names; every rule is evaluated in one scan."""
-    out, arms = df, []
+    classes = sorted({c for r in rules for c in r.classes})
+    # Where every rule names its classes, no other event needs to leave the scan.
+    out, arms = df.where(F.col("class_uid").isin(*classes)) if all(r.classes for r in rules) else df, []
     for i, r in enumerate(rules):
         searches, own_class = rule_column(df, r)
         names = {f"_{i}_{n}": c for n, c in searches.items()}

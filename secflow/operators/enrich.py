@@ -2,7 +2,8 @@
 
 Indicator tables may be large: exact lookups are plain equi-joins, and network lookups
 bucket both sides on the /16 prefix, so neither needs a broadcast. Pattern dimensions
-(assets, accounts) are small by nature; their size is checked before they are broadcast.
+(assets, accounts) become one expression over the distinct values: exact patterns are
+joined by equality, globs are tried in order.
 """
 
 from __future__ import annotations
@@ -10,13 +11,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from secflow.functions.net import ipv4
+from secflow.functions.net import IPV4, ipv4, ipv6, network6
 from secflow.functions.predicates import glob_regex
 
 #: Verdicts from best to worst.
 VERDICTS = ("unknown", "benign", "suspicious", "anonymizer", "malicious")
 LEVEL_SCORES = {"low": 3, "medium": 5, "high": 8, "critical": 10}
-MOST_PATTERNS = 10_000
+#: Globs of one expression; more are tried step after step.
+GLOBS = 500
 
 
 def verdict_rank(verdict: Column) -> Column:
@@ -29,19 +31,31 @@ def match_indicators(values: DataFrame, indicators: DataFrame) -> DataFrame:
 
 
 def network_buckets(networks: DataFrame) -> DataFrame:
-    """Adds low and high address and one row per /16 prefix that a network (``cidr``) touches."""
+    """Adds low and high address and one row per /16 prefix that a version 4 network (``cidr``) touches."""
     base, bits = F.substring_index("cidr", "/", 1), F.substring_index("cidr", "/", -1).cast("int")
     size = F.expr("shiftleft(CAST(1 AS BIGINT), 32 - CAST(substring_index(cidr, '/', -1) AS INT))")
     low = (ipv4(base) - F.pmod(ipv4(base), size)).alias("low")
-    out = networks.where((bits >= 0) & (bits <= 32)).withColumn("low", low).withColumn("high", F.col("low") + size - 1)
+    out = networks.where((bits >= 0) & (bits <= 32) & base.rlike(IPV4)).withColumn("low", low).withColumn("high", F.col("low") + size - 1)
     return out.withColumn("prefix", F.explode(F.sequence(F.shiftright("low", 16), F.shiftright("high", 16))))
 
 
+def network_buckets6(networks: DataFrame) -> DataFrame:
+    """The same for version 6: addresses are 16 bytes, a bucket is their first two."""
+    out = networks.where(F.col("cidr").contains(":")).withColumn("_r", network6(F.col("cidr"))).withColumns({"low": F.col("_r.low"), "high": F.col("_r.high")}).drop("_r").where("low IS NOT NULL")
+    return out.withColumn("prefix", F.explode(F.sequence(first_bytes("low"), first_bytes("high"))))
+
+
+def first_bytes(column: str) -> Column:
+    return F.conv(F.hex(F.substring(column, 1, 2)), 16, 10).cast("int")
+
+
 def match_networks(values: DataFrame, networks: DataFrame) -> DataFrame:
-    """Each address with the first network (by ``ordinal``) that contains it; addresses in none are absent."""
-    own = values.select("value").distinct().withColumn("ip", ipv4(F.col("value"))).where("ip IS NOT NULL").withColumn("prefix", F.shiftright("ip", 16))
-    found = own.join(network_buckets(networks), "prefix").where("ip BETWEEN low AND high")
-    return found.groupBy("value").agg(F.min_by("cidr", "ordinal").alias("cidr"), F.min_by("verdict", "ordinal").alias("verdict"), F.min_by("score", "ordinal").alias("score"))
+    """Each address with the first network (by ``ordinal``) of its version that contains it; addresses in none are absent."""
+    own = values.select("value").distinct()
+    four = own.withColumn("ip", ipv4(F.col("value"))).where("ip IS NOT NULL").withColumn("prefix", F.shiftright("ip", 16))
+    six = own.where(F.col("value").contains(":")).withColumn("ip", ipv6(F.col("value"))).where("ip IS NOT NULL").withColumn("prefix", first_bytes("ip"))
+    found = [a.join(b, "prefix").where("ip BETWEEN low AND high").select("value", "cidr", "verdict", "score", "ordinal") for a, b in ((four, network_buckets(networks)), (six, network_buckets6(networks)))]
+    return found[0].union(found[1]).groupBy("value").agg(F.min_by("cidr", "ordinal").alias("cidr"), F.min_by("verdict", "ordinal").alias("verdict"), F.min_by("score", "ordinal").alias("score"))
 
 
 def merge_verdicts(answers: DataFrame) -> DataFrame:
@@ -55,12 +69,14 @@ def merge_verdicts(answers: DataFrame) -> DataFrame:
 
 def first_pattern(values: DataFrame, patterns: DataFrame) -> DataFrame:
     """(value, level) of the first pattern that fits: an exact one, else by ``ordinal``. ``patterns``: regex, pattern, level, ordinal."""
-    if patterns.count() > MOST_PATTERNS:
-        raise ValueError("more patterns than a broadcast should carry")
     own = values.select("value").where("value IS NOT NULL").distinct()
-    hits = own.join(F.broadcast(patterns), F.expr("lower(value) RLIKE regex"))
-    order = F.struct((F.lower("pattern") != F.lower("value")).alias("glob"), F.col("ordinal"))
-    return hits.groupBy("value").agg(F.min_by("level", order).alias("level"))
+    exact = patterns.groupBy(F.lower("pattern").alias("_own")).agg(F.min_by("level", "ordinal").alias("level"))
+    own = own.join(exact, F.lower("value") == F.col("_own"), "left").drop("_own")
+    globs = patterns.where(F.col("pattern").rlike("[*?]")).orderBy("ordinal").select("regex", "level").collect()  # a dimension
+    for at in range(0, len(globs), GLOBS):
+        hits = [F.when(F.lower("value").rlike(g["regex"]), F.lit(g["level"])) for g in globs[at : at + GLOBS]]
+        own = own.withColumn("level", F.coalesce("level", *hits))
+    return own.where("level IS NOT NULL")
 
 
 def pattern_table(df: DataFrame, rows: list[tuple[str, str]]) -> DataFrame:

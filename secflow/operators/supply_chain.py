@@ -9,7 +9,9 @@ from secflow.functions.versions import limits, version_key, within
 
 SEVERITIES = ("low", "medium", "high", "critical")
 CYCLONEDX = "bomFormat string, metadata struct<component: struct<name: string, `bom-ref`: string>>, components array<struct<name: string, version: string, purl: string, `bom-ref`: string, scope: string>>, dependencies array<struct<ref: string, dependsOn: array<string>>>"
-SPDX = "spdxVersion string, name string, documentDescribes array<string>, packages array<struct<SPDXID: string, name: string, versionInfo: string, externalRefs: array<struct<referenceType: string, referenceLocator: string>>>>"
+SPDX = "spdxVersion string, name string, documentDescribes array<string>, packages array<struct<SPDXID: string, name: string, versionInfo: string, externalRefs: array<struct<referenceType: string, referenceLocator: string>>, primaryPackagePurpose: string>>"
+#: Purposes of an SPDX package that the application depends on itself, if one is given.
+DIRECT = ("APPLICATION", "LIBRARY")
 
 
 def purl_parts(purl: Column) -> Column:
@@ -24,22 +26,23 @@ def synthetic_purl(name: Column, version: Column) -> Column:
 
 
 def from_cyclonedx(documents: DataFrame, text: str = "document") -> DataFrame:
-    """Components of CycloneDX documents; direct ones are those that the application depends on itself."""
+    """Components of CycloneDX documents; direct ones are those that the application depends on itself, or all if the document doesn't say."""
     parsed = documents.withColumn("_d", F.from_json(text, CYCLONEDX)).where("_d.bomFormat = 'CycloneDX'")
     own = F.filter("_d.dependencies", lambda d: d["ref"] == F.col("_d.metadata.component.bom-ref"))
-    direct = F.flatten(F.transform(own, lambda d: d["dependsOn"]))
-    found = parsed.withColumn("_direct", direct).withColumn("_c", F.explode("_d.components"))
+    named = F.flatten(F.transform(own, lambda d: F.coalesce(d["dependsOn"], F.array().cast("array<string>"))))
+    direct = F.when(F.coalesce(F.size("_direct"), F.lit(-1)) <= 0, True).otherwise(F.coalesce(F.array_contains("_direct", F.coalesce("_c.bom-ref", "_c.purl")), F.lit(False)))
+    found = parsed.withColumn("_direct", named).withColumn("_c", F.explode("_d.components"))
     keep = [c for c in documents.columns if c != text]
-    return found.select(*keep, F.col("_d.metadata.component.name").alias("application"), F.col("_c.name").alias("name"), F.col("_c.version").alias("version"), F.coalesce("_c.purl", synthetic_purl(F.col("_c.name"), F.col("_c.version"))).alias("purl"), F.coalesce(F.expr("array_contains(_direct, _c.`bom-ref`)"), F.lit(False)).alias("direct"))
+    return found.select(*keep, F.col("_d.metadata.component.name").alias("application"), F.col("_c.name").alias("name"), F.col("_c.version").alias("version"), F.coalesce("_c.purl", synthetic_purl(F.col("_c.name"), F.col("_c.version"))).alias("purl"), direct.alias("direct"))
 
 
 def from_spdx(documents: DataFrame, text: str = "document") -> DataFrame:
-    """Packages of SPDX documents without the described root."""
+    """Packages of SPDX documents without the described root; direct unless their purpose is another than an application or library."""
     parsed = documents.withColumn("_d", F.from_json(text, SPDX)).where("_d.spdxVersion IS NOT NULL").withColumn("_p", F.explode("_d.packages"))
     ref = F.filter("_p.externalRefs", lambda r: r["referenceType"] == "purl")
     keep = [c for c in documents.columns if c != text]
     own = parsed.where(~F.coalesce(F.expr("array_contains(_d.documentDescribes, _p.SPDXID)"), F.lit(False)))
-    return own.select(*keep, F.col("_d.name").alias("application"), F.col("_p.name").alias("name"), F.col("_p.versionInfo").alias("version"), F.coalesce(F.get(ref, F.lit(0))["referenceLocator"], synthetic_purl(F.col("_p.name"), F.col("_p.versionInfo"))).alias("purl"), F.lit(False).alias("direct"))
+    return own.select(*keep, F.col("_d.name").alias("application"), F.col("_p.name").alias("name"), F.col("_p.versionInfo").alias("version"), F.coalesce(F.get(ref, F.lit(0))["referenceLocator"], synthetic_purl(F.col("_p.name"), F.col("_p.versionInfo"))).alias("purl"), (F.col("_p.primaryPackagePurpose").isNull() | F.col("_p.primaryPackagePurpose").isin(*DIRECT)).alias("direct"))
 
 
 def newest_inventory(components: DataFrame, order: str, keys: list[str], unique: list[str]) -> DataFrame:

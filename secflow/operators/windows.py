@@ -49,8 +49,14 @@ def evidence(df: DataFrame, keys: list[str], span: int, id_column: str, time: st
 def suppress(df: DataFrame, keys: list[str], ttl: int, columns: list[str], time: str = "t") -> DataFrame:
     """Per key: the first row fires, then none until ``ttl`` seconds after the last that fired; a row at exactly the end fires.
 
-    A fold over each key's rows in time order; suppressed rows don't extend the silence.
+    A fold over a run of the key's rows in time order; suppressed rows don't extend the
+    silence. A pause of ``ttl`` seconds ends a run: the row after it fires whatever came
+    before, so each run is folded by itself. Of rows with equal times only the first can fire.
     """
+    order = Window.partitionBy(*keys).orderBy(time, *columns)
+    same = F.coalesce(F.lag(time).over(order) == F.col(time), F.lit(False))
+    firsts = df.withColumn("_same", same).where("NOT _same" if ttl > 0 else "true").drop("_same")
+    df, keys = sessions(firsts, keys, ttl, False, columns, time).withColumnRenamed("session", "_run"), [*keys, "_run"]
     row = F.struct(F.col(time).alias("_t"), *columns)
     rows = F.sort_array(F.collect_list(row))
     empty = F.expr("filter(array(NULL), x -> x IS NOT NULL)")
@@ -63,7 +69,7 @@ def suppress(df: DataFrame, keys: list[str], ttl: int, columns: list[str], time:
         return F.struct(F.when(fires, x["_t"]).otherwise(state["last"]).alias("last"), F.when(fires, F.concat(state["fired"], F.array(x))).otherwise(state["fired"]).alias("fired"))
 
     fired = grouped.select(*keys, F.explode(F.aggregate("_rows", start, step, lambda s: s["fired"])).alias("_x"))
-    return fired.select(*keys, F.col("_x._t").alias(time), *(F.col("_x")[c].alias(c) for c in columns if c != time))
+    return fired.select(*keys[:-1], F.col("_x._t").alias(time), *(F.col("_x")[c].alias(c) for c in columns if c != time))
 
 
 def sessions(df: DataFrame, keys: list[str], gap: int, inclusive: bool, order: list[str], time: str = "t") -> DataFrame:

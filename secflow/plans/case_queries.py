@@ -103,12 +103,12 @@ def value_count(df: DataFrame) -> DataFrame:
 
 @BOOK.on("cor_temporal", "v_alerts", f"WITH {KEYED}, c AS (SELECT id, count(DISTINCT rule_id) {BY} AS rules FROM keyed) SELECT id FROM c WHERE rules = 3")
 def temporal(df: DataFrame) -> DataFrame:
-    return C.temporal(keyed(df), RULES3).select("id")
+    return C.temporal(keyed(df)).select("id")
 
 
 @BOOK.on("cor_temporal_ordered", "v_alerts", f"WITH {KEYED}, {SEQ} SELECT id FROM q WHERE {ORDERED}")
 def temporal_ordered(df: DataFrame) -> DataFrame:
-    return C.temporal_ordered(keyed(df), RULES3).select("id")
+    return C.temporal_ordered(keyed(df)).select("id")
 
 
 HITS = f"WITH RECURSIVE {KEYED}, {SEQ}, h AS (SELECT *, id AS event_id FROM q WHERE {ORDERED})" + """, n AS (SELECT *, row_number() OVER (PARTITION BY tenant, key ORDER BY t, event_id) AS i FROM h),
@@ -117,8 +117,8 @@ HITS = f"WITH RECURSIVE {KEYED}, {SEQ}, h AS (SELECT *, id AS event_id FROM q WH
 
 
 def hits(df: DataFrame) -> DataFrame:
-    found = C.temporal_ordered(keyed(df), RULES3).withColumn("event_id", F.col("id"))
-    return W.suppress(found, ["tenant", "key"], SPAN, ["event_id", "sequence"])
+    found = C.temporal_ordered(keyed(df)).withColumn("event_id", F.col("id"))
+    return W.suppress(found, ["tenant", "key"], SPAN, ["event_id", "first_seen", "observed"])
 
 
 @BOOK.on("cor_suppress", "v_alerts", f"{HITS} SELECT tenant, key, t FROM g WHERE fires")
@@ -128,7 +128,7 @@ def cor_suppress(df: DataFrame) -> DataFrame:
 
 @BOOK.on("cor_hit", "v_alerts", f"{HITS} SELECT g.tenant, g.key, g.t AS last_seen, h.l[1].t AS ignored, list_min(list_transform(h.l, lambda x: x.t)) AS first_seen, len(h.l)::BIGINT AS alerts, substring(sha256(g.tenant || '|takeover|' || g.key), 1, 32) AS hit_key FROM g JOIN h ON h.event_id = g.event_id AND h.tenant = g.tenant WHERE g.fires".replace("h.l[1].t AS ignored, ", ""))
 def cor_hit(df: DataFrame) -> DataFrame:
-    return hits(df).select("tenant", "key", F.col("t").alias("last_seen"), F.col("sequence")[0]["t"].alias("first_seen"), F.size("sequence").cast("long").alias("alerts"), C.hit_key(F.col("tenant"), "takeover", F.col("key")).alias("hit_key"))
+    return hits(df).select("tenant", "key", F.col("t").alias("last_seen"), "first_seen", F.col("observed").alias("alerts"), C.hit_key(F.col("tenant"), "takeover", F.col("key")).alias("hit_key"))
 
 
 # Alerts and incidents
@@ -146,13 +146,13 @@ def status_changes(df: DataFrame) -> DataFrame:
 
 @BOOK.on("inc_from_hits", "v_alerts", f"{HITS} SELECT g.tenant, g.key AS principal, 'takeover' AS scenario, g.t AS last_seen, len(h.l)::BIGINT AS alerts FROM g JOIN h ON h.event_id = g.event_id AND h.tenant = g.tenant WHERE g.fires")
 def from_hits(df: DataFrame) -> DataFrame:
-    return hits(df).select("tenant", F.col("key").alias("principal"), F.lit("takeover").alias("scenario"), F.col("t").alias("last_seen"), F.size("sequence").cast("long").alias("alerts"))
+    return hits(df).select("tenant", F.col("key").alias("principal"), F.lit("takeover").alias("scenario"), F.col("t").alias("last_seen"), F.col("observed").alias("alerts"))
 
 
 @BOOK.on("inc_from_alerts", "v_alerts", f"WITH {KEYED}, {SEQ}, used AS (SELECT DISTINCT tenant, principal FROM q WHERE {ORDERED}) SELECT id, tenant, risk_score FROM v_alerts a WHERE risk_score >= 70 AND NOT is_building_block AND NOT EXISTS (SELECT 1 FROM used u WHERE u.tenant = a.tenant AND u.principal = a.principal)")
 def from_alerts(df: DataFrame) -> DataFrame:
     """Risky alerts of principals that no scenario covers."""
-    used = C.temporal_ordered(keyed(df), RULES3).select("tenant", "principal").distinct()
+    used = C.temporal_ordered(keyed(df)).select("tenant", "principal").distinct()
     return df.where((F.col("risk_score") >= I.OPENS_AT) & ~F.col("is_building_block")).join(used, ["tenant", "principal"], "left_anti").select("id", "tenant", "risk_score")
 
 

@@ -88,9 +88,9 @@ def logsource(df: DataFrame) -> DataFrame:
     return df.where(S.logsource("account") & (F.col("tenant") == "t1")).select("event_id")
 
 
-@BOOK.on("pred_tenant", "v_events", "SELECT event_id, tenant <> 't1' AS elsewhere FROM v_events WHERE event_id % 10 = 0 AND tenant = 't1' OR event_id % 10 = 0 AND tenant <> 't1'")
+@BOOK.on("pred_tenant", "v_events", "SELECT event_id, tenant <> 't1' AS elsewhere FROM v_events WHERE k % 10 = 0")
 def tenant(df: DataFrame) -> DataFrame:
-    wanted = df.where("event_id % 10 = 0").select("event_id")
+    wanted = df.where("k % 10 = 0").select("event_id")
     return S.tenant_rows(df, "t1", wanted, "event_id").select("event_id", "elsewhere")
 
 

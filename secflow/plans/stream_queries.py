@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,14 +52,19 @@ def log_files(df: DataFrame) -> DataFrame:
 
 @BOOK.on("src_intel_feed", "v_events", "SELECT 'indicator' AS kind, source_ip AS value, CASE WHEN min(user_id) % 10 = 0 THEN 'malicious' ELSE 'suspicious' END AS verdict, min(user_id)::INT AS score FROM v_events WHERE user_id % 5 = 0 GROUP BY source_ip UNION ALL SELECT 'network', '10.' || user_id % 4 || '.0.0/16', 'suspicious', 1 FROM v_events WHERE user_id % 5 > 1 GROUP BY 2")
 def feed(df: DataFrame) -> DataFrame:
-    """A feed document written from the events' addresses, read back as rows."""
+    """Feed documents of some hundred entries each, written from the events' addresses and read back as rows."""
     entry = lambda v, s: F.struct(v.alias("verdict"), s.alias("score"))
     one = df.where("user_id % 5 = 0").groupBy("source_ip").agg(F.min("user_id").alias("u"))
     ips = one.select(F.lit(1).alias("g"), F.col("source_ip").alias("v"), entry(F.when(F.col("u") % 10 == 0, "malicious").otherwise("suspicious"), F.col("u").cast("int")).alias("e"))
     nets = df.where("user_id % 5 > 1").select(F.lit(2).alias("g"), F.concat(F.lit("10."), (F.col("user_id") % 4).cast("string"), F.lit(".0.0/16")).alias("v")).distinct().select("g", "v", entry(F.lit("suspicious"), F.lit(1)).alias("e"))
+    entries = ips.unionByName(nets)
+    many = entries.agg(F.ceil(F.count(F.lit(1)) / 500).alias("documents"))  # one row
+    entries = entries.join(F.broadcast(many)).withColumn("document", F.pmod(F.xxhash64("v"), F.greatest("documents", F.lit(1))))
     pick = lambda g: F.map_from_entries(F.collect_list(F.when(F.col("g") == g, F.struct("v", "e"))))
-    document = ips.unionByName(nets).agg(F.to_json(F.struct(pick(1).alias("indicators"), pick(2).alias("networks"))).alias("feed"))
-    return logs.intel_feed(document).select("kind", "value", "verdict", "score")
+    document = entries.groupBy("document").agg(F.to_json(F.struct(pick(1).alias("indicators"), pick(2).alias("networks"))).alias("value"))
+    path = shared_path(df.sparkSession, "feed")
+    document.select("value").write.text(path)
+    return logs.intel_feed(df.sparkSession.read.text(path), "value").select("kind", "value", "verdict", "score")
 
 
 @BOOK.over("src_dims", "v_alerts", oracle="WITH o(tactic, tactic_id, ordinal) AS (VALUES " + ", ".join(f"('{s}', '{i}', {n})" for n, (s, i, _) in enumerate(TACTICS)) + ") SELECT tactic_id, ordinal, count(*) AS n FROM v_alerts JOIN o USING (tactic) GROUP BY ALL")
@@ -106,8 +113,20 @@ def stream_normalize(df: DataFrame) -> DataFrame:
     return one.unionByName(spark.read.parquet(bad).select("event_id", "mapper", F.lit(True).alias("rejected")))
 
 
-BOOK.on("st_detect", "v_events", D.BOOK.oracles["win_suppress"])(lambda df: J.collect_to(J.threshold_alerts(stream_of(D.failed(df).select("tenant", "principal", "event_id", "t").coalesce(1), "failed"), ["tenant", "principal"], 86400, 3, 86400), shared_path(df.sparkSession, "fired")).select("tenant", "principal", "event_id", "t"))
-BOOK.on("st_correlate", "v_alerts", C.BOOK.oracles["cor_suppress"])(lambda df: J.collect_to(J.ordered_hits(stream_of(df.where(F.col("rule_id").isin(*C.RULES3)).select("tenant", F.lower("principal").alias("key"), "id", "rule_id", "t").coalesce(1), "alerts"), ["tenant", "key"], C.RULES3, C.SPAN), shared_path(df.sparkSession, "hits")).select("tenant", "key", "t"))
+def as_it_arrives(df: DataFrame, job: Callable[[DataFrame], DataFrame], runs: int = 3) -> DataFrame:
+    """A job over rows that arrive in several runs, one span of time after the other; each run takes up its state where the last one left it."""
+    spark, inbox = df.sparkSession, shared_path(df.sparkSession, "inbox")
+    out, state = shared_path(spark, "out"), shared_path(spark, "state")
+    low, high = df.agg(F.min("t"), F.max("t")).first()
+    cuts = [low + (high - low + 1) * n // runs for n in range(runs + 1)] if low is not None else [0, 1]
+    for start, end in zip(cuts, cuts[1:], strict=False):
+        df.where((F.col("t") >= start) & (F.col("t") < end)).write.mode("append").parquet(inbox)
+        found = J.collect_to(job(spark.readStream.schema(df.schema).parquet(inbox)), out, checkpoint=state)
+    return found
+
+
+BOOK.on("st_detect", "v_events", D.BOOK.oracles["win_suppress"])(lambda df: as_it_arrives(D.failed(df).select("tenant", "principal", "event_id", "t"), lambda s: J.threshold_alerts(s, ["tenant", "principal"], 86400, 3, 86400)).select("tenant", "principal", "event_id", "t"))
+BOOK.on("st_correlate", "v_alerts", C.BOOK.oracles["cor_suppress"])(lambda df: as_it_arrives(df.where(F.col("rule_id").isin(*C.RULES3)).select("tenant", F.lower("principal").alias("key"), "id", "rule_id", "t"), lambda s: J.ordered_hits(s, ["tenant", "key"], C.RULES3, C.SPAN)).select("tenant", "key", "t"))
 BOOK.on("st_enrich", "v_events", U.BOOK.oracles["enr_events"])(lambda df: J.collect_to(stream_of(df.select("event_id", "source_ip"), "addresses").join(U.reports(df), F.col("source_ip") == F.col("value"), "left").select("event_id", "verdict", "categories"), shared_path(df.sparkSession, "enriched")))
 
 LATE = "SELECT event_id, coalesce(seen < max(seen) OVER (PARTITION BY tenant ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 21600000000, false) AS late FROM (SELECT *, t - (k % 10) * 3600000000 AS seen FROM v_events)"
@@ -142,9 +161,12 @@ BOOK.on("st_latency_quantiles", "v_events", "SELECT t // 86400000000 * 864000000
 )
 
 
-@BOOK.on("st_health_alerts", "v_events", "WITH w AS (SELECT t // 3600000000 * 3600000000 AS start, count(*) AS n, count(*) FILTER (WHERE status_id = 2) AS failed FROM v_events GROUP BY 1) SELECT start, 'failure rate' AS problem FROM w WHERE failed * 100 > n * 35 UNION ALL SELECT start, 'little traffic' FROM w WHERE n < 10")
+@BOOK.on("st_health_alerts", "v_events", "WITH e AS (SELECT t // 3600000000 * 3600000000 AS start, count(*) AS n, count(*) FILTER (WHERE status_id = 2) AS failed FROM v_events GROUP BY 1), h AS (SELECT unnest(range((SELECT min(start) FROM e), (SELECT max(start) FROM e) + 1, 3600000000)) AS start), w AS (SELECT h.start, coalesce(n, 0) AS n, coalesce(failed, 0) AS failed FROM h LEFT JOIN e USING (start)) SELECT start, 'failure rate' AS problem FROM w WHERE failed * 100 > n * 35 UNION ALL SELECT start, 'little traffic' FROM w WHERE n < 10")
 def health(df: DataFrame) -> DataFrame:
-    hours = df.groupBy(F.window(F.timestamp_micros("t"), "1 hour")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("status_id") == 2).alias("failed")).select(F.unix_micros("window.start").alias("start"), "n", "failed")
+    """Hours with too many failures or too little traffic; an hour without any event has the least."""
+    held = df.groupBy(F.window(F.timestamp_micros("t"), "1 hour")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("status_id") == 2).alias("failed")).select(F.unix_micros("window.start").alias("start"), "n", "failed")
+    span = held.agg(F.explode(F.sequence(F.min("start"), F.max("start"), F.lit(3_600_000_000))).alias("start"))
+    hours = span.join(held, "start", "left").na.fill(0)
     tests = F.array_compact(F.array(F.when(F.col("failed") * 100 > F.col("n") * 35, "failure rate"), F.when(F.col("n") < 10, "little traffic")))
     return hours.select("start", F.explode(tests).alias("problem"))
 

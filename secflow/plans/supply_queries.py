@@ -55,7 +55,7 @@ BOOK.on("enr_events", "v_events", f"WITH {ANSWERS_SQL}, {MERGED_SQL} SELECT even
 BOOK.on("enr_alerts", "v_events", f"WITH {ANSWERS_SQL}, {MERGED_SQL} SELECT event_id, CASE WHEN verdict IN ('malicious', 'anonymizer') THEN 'source is ' || verdict || ' (' || score || ')' END AS factor FROM v_events LEFT JOIN merged ON v_events.source_ip = merged.value WHERE event_type = 'error'")(
     lambda df: df.drop("value").where("event_type = 'error'").join(reports(df), F.col("source_ip") == F.col("value"), "left").select("event_id", F.when(F.col("verdict").isin("malicious", "anonymizer"), F.format_string("source is %s (%d)", "verdict", "score")).alias("factor"))
 )
-BOOK.on("enr_bulk_lookup", "v_events", f"WITH {ANSWERS_SQL}, {MERGED_SQL} SELECT v.value, coalesce(m.verdict, 'unknown') AS verdict FROM (SELECT DISTINCT source_ip AS value FROM v_events WHERE user_id < 30) v LEFT JOIN merged m USING (value)")(lambda df: addresses(df.where("user_id < 30")).distinct().join(reports(df), "value", "left").select("value", F.coalesce("verdict", F.lit("unknown")).alias("verdict")))
+BOOK.on("enr_bulk_lookup", "v_events", f"WITH {ANSWERS_SQL}, {MERGED_SQL} SELECT v.value, coalesce(m.verdict, 'unknown') AS verdict FROM (SELECT DISTINCT source_ip AS value FROM v_events ) v LEFT JOIN merged m USING (value)")(lambda df: addresses(df).distinct().join(reports(df), "value", "left").select("value", F.coalesce("verdict", F.lit("unknown")).alias("verdict")))
 BOOK.on("enr_indicator_prune", "v_events", "SELECT event_id FROM v_events WHERE coalesce(CASE WHEN k % 2 = 0 THEN t + 86400000000 * k END, t) >= 1707000000000000 - 10 * 86400000000")(lambda df: E.prune(df.withColumn("expires_at", F.when(F.col("k") % 2 == 0, F.col("t") + 86400000000 * F.col("k"))).withColumn("updated_at", F.col("t")), 1707000000000000, 10).select("event_id"))
 
 ASSETS = [("db-prod-1", "critical"), ("db-prod-*", "high"), ("web-?", "low"), ("*", "medium")]
@@ -86,21 +86,22 @@ def documents(df: DataFrame, kind: str) -> DataFrame:
         body = F.struct(F.lit("CycloneDX").alias("bomFormat"), root.alias("metadata"), "components", F.array(F.struct(F.lit("root").alias("ref"), F.col("on").alias("dependsOn"))).alias("dependencies"))
     else:
         refs = F.when(purl.isNotNull(), F.array(F.struct(F.lit("purl").alias("referenceType"), purl.alias("referenceLocator"))))
-        part = F.struct(ref.alias("SPDXID"), F.col("package").alias("name"), F.col("version").alias("versionInfo"), refs.alias("externalRefs"))
+        purpose = F.when(F.col("part_id") % 5 == 0, "LIBRARY").when(F.col("part_id") % 5 == 1, "SOURCE")
+        part = F.struct(ref.alias("SPDXID"), F.col("package").alias("name"), F.col("version").alias("versionInfo"), refs.alias("externalRefs"), purpose.alias("primaryPackagePurpose"))
         made = df.groupBy("app_id", "application").agg(F.collect_list(part).alias("p"))
-        root = F.struct(F.lit("root").alias("SPDXID"), F.col("application").alias("name"), F.lit("1").alias("versionInfo"), F.lit(None).cast("array<struct<referenceType:string,referenceLocator:string>>").alias("externalRefs"))
+        root = F.struct(F.lit("root").alias("SPDXID"), F.col("application").alias("name"), F.lit("1").alias("versionInfo"), F.lit(None).cast("array<struct<referenceType:string,referenceLocator:string>>").alias("externalRefs"), F.lit(None).cast("string").alias("primaryPackagePurpose"))
         body = F.struct(F.lit("SPDX-2.3").alias("spdxVersion"), F.col("application").alias("name"), F.array(F.lit("root")).alias("documentDescribes"), F.concat(F.array(root), "p").alias("packages"))
     return made.select("app_id", F.to_json(body).alias("document"))
 
 
 PURL_SQL = "CASE WHEN part_id % 6 <> 0 THEN 'pkg:' || ecosystem || '/org/' || package || '@' || version ELSE 'pkg:generic/' || package || '@' || version END"
-BOOK.on("sbom_cyclonedx", "v_components", f"SELECT app_id, application, package AS name, version, {PURL_SQL} AS purl, direct FROM v_components")(lambda df: S.from_cyclonedx(documents(df, "cyclonedx")))
-BOOK.on("sbom_spdx", "v_components", f"SELECT app_id, application, package AS name, version, {PURL_SQL} AS purl FROM v_components")(lambda df: S.from_spdx(documents(df, "spdx")).drop("direct"))
+BOOK.on("sbom_cyclonedx", "v_components", f"SELECT app_id, application, package AS name, version, {PURL_SQL} AS purl, direct OR NOT bool_or(direct) OVER (PARTITION BY app_id) AS direct FROM v_components")(lambda df: S.from_cyclonedx(documents(df, "cyclonedx")))
+BOOK.on("sbom_spdx", "v_components", f"SELECT app_id, application, package AS name, version, {PURL_SQL} AS purl, part_id % 5 <> 1 AS direct FROM v_components")(lambda df: S.from_spdx(documents(df, "spdx")))
 BOOK.on("src_sbom_docs", "v_components", "SELECT application, count(*) AS components FROM v_components GROUP BY application")(lambda df: S.from_cyclonedx(documents(df.where("app_id % 2 = 0"), "cyclonedx")).unionByName(S.from_spdx(documents(df.where("app_id % 2 = 1"), "spdx"))).groupBy("application").agg(F.count(F.lit(1)).alias("components")))
 BOOK.on("sbom_purl", "v_components", f"SELECT part_id, CASE WHEN part_id % 6 <> 0 THEN ecosystem ELSE 'generic' END AS ecosystem, package AS name, version FROM v_components")(
     lambda df: df.select("part_id", S.purl_parts(F.when(F.col("part_id") % 6 != 0, F.concat(F.lit("pkg:"), "ecosystem", F.lit("/org/"), "package", F.lit("@"), "version", F.lit("?arch=x#src"))).otherwise(S.synthetic_purl(F.col("package"), F.col("version")))).alias("p")).select("part_id", "p.ecosystem", "p.name", "p.version")
 )
-BOOK.on("sbom_inventory", "v_components", "SELECT tenant, application, package, version FROM v_components WHERE revision = 2 AND app_id % 2 = 1 OR app_id % 2 = 0 AND revision = 1 GROUP BY ALL")(lambda df: S.newest_inventory(df, "revision", ["tenant", "application"], ["tenant", "application", "package", "version"]).select("tenant", "application", "package", "version"))
+BOOK.on("sbom_inventory", "v_components", "SELECT DISTINCT tenant, application, package, version FROM (SELECT *, max(revision) OVER (PARTITION BY tenant, application) AS newest FROM v_components) WHERE revision = newest")(lambda df: S.newest_inventory(df, "revision", ["tenant", "application"], ["tenant", "application", "package", "version"]).select("tenant", "application", "package", "version"))
 BOOK.on("sbom_version_key", "v_components", f"SELECT part_id, CAST(dense_rank() OVER (PARTITION BY package ORDER BY {DUCK_KEY.format('version')}) AS BIGINT) AS place FROM v_components")(lambda df: df.withColumn("place", F.dense_rank().over(Window.partitionBy("package").orderBy(V.version_key(F.col("version")))).cast("long")).select("part_id", "place"))
 BOOK.over("sbom_range_match", "v_components", "v_advisories", oracle=f"SELECT c.part_id, a.vuln_id, {DUCK_KEY.format('version')} >= {DUCK_KEY.format(LOW)} AND {DUCK_KEY.format('version')} < {DUCK_KEY.format(HIGH)} AS inside FROM v_components c JOIN v_advisories a USING (package)")(lambda c, a: S.version_pairs(c, a.drop("ecosystem")).select("part_id", "vuln_id", V.within(F.col("_key"), F.col("_limits")).alias("inside")))
 BOOK.over("sbom_fixed", "v_components", "v_advisories", oracle=f"SELECT c.part_id, a.vuln_id, {DUCK_KEY.format('version')} >= {DUCK_KEY.format('fixed')} AS fixed FROM v_components c JOIN v_advisories a USING (package)")(lambda c, a: S.version_pairs(c, a.drop("ecosystem")).select("part_id", "vuln_id", (F.col("_key") >= F.col("_fixed")).alias("fixed")))
@@ -115,7 +116,7 @@ BOOK.over("sbom_stats", "v_components", "v_advisories", oracle=f"WITH {MATCHES}
 
 # Collaboration
 
-BOOK.over("note_mentions", "v_notes", "v_users", oracle="""WITH h AS (SELECT DISTINCT id, unnest(['user' || incident_id % 60, 'user' || (incident_id + t) % 200 || '@corp.example', 'ghost' || t]) AS handle FROM v_notes),
+BOOK.over("note_mentions", "v_notes", "v_users", oracle="""WITH h AS (SELECT DISTINCT id, lower(unnest(regexp_extract_all(' ' || body, '(^|[^A-Za-z0-9_.@])@([A-Za-z0-9_.+-]*[A-Za-z0-9_](@[A-Za-z0-9_.-]*[A-Za-z0-9_])?)', 2))) AS handle FROM v_notes),
   p AS (SELECT DISTINCT email FROM v_users), l AS (SELECT split_part(email, '@', 1) AS local, count(*) AS holders, min(email) AS only FROM p GROUP BY 1)
   SELECT h.id, h.handle, CASE WHEN p.email IS NOT NULL OR l.holders = 1 THEN 'resolved' WHEN l.holders > 1 THEN 'ambiguous' ELSE 'unknown' END AS state, coalesce(p.email, CASE WHEN l.holders = 1 THEN l.only END) AS email FROM h LEFT JOIN p ON h.handle = p.email LEFT JOIN l ON h.handle = l.local""")(T.mentions)
 BOOK.on("note_threads", "v_notes", "SELECT n.id, n.incident_id, coalesce((SELECT string_agg(r.id::VARCHAR, ',' ORDER BY r.t, r.id) FROM v_notes r WHERE r.parent_id = n.id AND r.incident_id = n.incident_id), '') AS replies FROM v_notes n WHERE NOT EXISTS (SELECT 1 FROM v_notes p WHERE p.id = n.parent_id AND p.incident_id = n.incident_id)")(T.threads)

@@ -82,7 +82,7 @@ SELECT s_suppkey AS app_id, 'app-' || @str(s_suppkey) AS application, 't' || @st
   CASE p_partkey % 3 WHEN 0 THEN 'npm' WHEN 1 THEN 'pypi' ELSE 'maven' END AS ecosystem,
   @str(@div(p_size, 10)) || '.' || @str(p_size % 10) || '.' || @str(p_partkey % 12) || CASE WHEN p_partkey % 19 = 0 THEN '-rc1' WHEN p_partkey % 23 = 0 THEN '-beta.2' ELSE '' END AS version,
   p_partkey % 4 = 0 AS direct, 1 + p_partkey % 2 AS revision
-FROM part JOIN supplier ON s_suppkey = p_partkey % 40"""),
+FROM part CROSS JOIN (SELECT count(*) AS n FROM supplier) apps JOIN supplier ON s_suppkey = 1 + p_partkey % n"""),
     "v_advisories": (("part",), """
 SELECT 'VULN-' || @str(p_partkey) AS vuln_id, 'lib-' || @str(p_partkey % 97) AS package,
   CASE WHEN p_partkey % 5 = 0 THEN NULL WHEN p_partkey % 3 = 0 THEN 'npm' WHEN p_partkey % 3 = 1 THEN 'pypi' ELSE 'maven' END AS ecosystem,
@@ -94,7 +94,7 @@ FROM part"""),
 SELECT conv_id * 100 + turn AS id, conv_id AS incident_id, 't' || @str(conv_id % 3) AS tenant, turn AS t,
   CASE WHEN turn % 3 = 0 THEN NULL WHEN turn % 3 = 1 THEN conv_id * 100 + turn - 1 ELSE conv_id * 100 + turn + 90000000 END AS parent_id,
   'user' || @str(conv_id % 150) || '@corp.example' AS author,
-  'Hello @user' || @str(conv_id % 60) || ' see mail bob@corp.example and @User' || @str((conv_id + turn) % 200) || '@corp.example. cc @ghost' || @str(turn) || ', ' || substring(coalesce(text, ''), 1, 40) AS body
+  'Hello @user' || @str(conv_id % 60) || ' see mail bob@corp.example and @User' || @str((conv_id + turn) % 200) || '@corp.example. cc @ghost' || @str(turn) || ', ' || coalesce(text, '') AS body
 FROM conversations"""),
     "v_users": (("customer",), """
 SELECT c_custkey AS user_id, 'user' || @str(c_custkey % 150) || CASE WHEN c_custkey < 150 THEN '@corp.example' ELSE '@other' || @str(@div(c_custkey, 150)) || '.example' END AS email,
@@ -102,7 +102,7 @@ SELECT c_custkey AS user_id, 'user' || @str(c_custkey % 150) || CASE WHEN c_cust
 FROM customer"""),
     "v_teams": (("nation",), "SELECT CAST(n_nationkey AS BIGINT) AS team_id, 'team-' || @str(n_nationkey) AS team, n_nationkey % 4 <> 1 AS enabled FROM nation"),
     "v_links": (("orders",), """
-SELECT o_orderkey AS a, (o_orderkey * 31 + o_custkey) % 500 AS b,
+SELECT o_orderkey AS a, (o_orderkey * 31 + o_custkey) % (SELECT count(*) FROM orders) AS b,
   CASE o_orderkey % 4 WHEN 0 THEN 'related' WHEN 1 THEN 'duplicate_of' WHEN 2 THEN 'child_of' ELSE 'related' END AS kind, @us(o_orderdate) AS t
 FROM orders"""),
 }

@@ -2,32 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from secflow.sources.tables import written
 
-def write_events(batch: DataFrame, path: str, key: str = "dedup_key", time: str = "t") -> dict[str, int]:
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder at a path of any file system that Spark knows."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def write_events(batch: DataFrame, path: str, key: str = "dedup_key", time: str = "t", id_column: str = "event_id") -> dict[str, int]:
     """Appends the events whose (tenant, key) the table doesn't hold, by tenant and day; returns how many were new and how many repeated.
 
-    Only the day partitions that the batch touches are read. A retry writes nothing twice.
+    Of a batch's rows with one key the first by (time, id) counts. The batch is computed once,
+    into a table of its own. Only the day partitions that it touches are read, and a table that
+    can't be read is an error, not an empty one. A retry writes nothing twice.
     """
     spark = batch.sparkSession
-    own = batch.withColumn("event_date", F.to_date(F.timestamp_micros(time))).dropDuplicates(["tenant", key])
-    days = [r[0] for r in own.select("event_date").distinct().collect()]  # the days of one batch
-    try:
-        held = spark.read.parquet(path).where(F.col("event_date").isin(days)).select("tenant", key)
-        fresh = own.join(held, ["tenant", key], "left_anti")
-    except AnalysisException:
-        fresh = own
-    total = batch.count()
-    fresh = fresh.persist()
-    try:
-        new = fresh.count()
-        fresh.write.mode("append").partitionBy("tenant", "event_date").parquet(path)
-    finally:
-        fresh.unpersist()
-    return {"indexed": new, "duplicates": total - new}
+    held = written(batch.withColumn("event_date", F.to_date(F.timestamp_micros(time))), "batch")
+    rows = spark.read.parquet(held)
+    first = F.row_number().over(Window.partitionBy("tenant", key).orderBy(time, id_column))
+    fresh = rows.withColumn("_first", first).where("_first = 1").drop("_first")
+    seen = rows.groupBy("event_date").count().collect()  # the days of one batch
+    before = 0
+    if exists(spark, path):
+        table = spark.read.parquet(path).where(F.col("event_date").isin([r["event_date"] for r in seen])).select("tenant", key)
+        fresh = fresh.join(table, ["tenant", key], "left_anti")
+        before = spark.read.parquet(path).count()
+    fresh.write.mode("append").partitionBy("tenant", "event_date").parquet(path)
+    new = spark.read.parquet(path).count() - before  # from the files' footers
+    return {"indexed": new, "duplicates": sum(r["count"] for r in seen) - new}
 
 
 def for_topic(df: DataFrame, columns: list[str]) -> DataFrame:
