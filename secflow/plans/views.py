@@ -82,7 +82,7 @@ SELECT s_suppkey AS app_id, 'app-' || @str(s_suppkey) AS application, 't' || @st
   CASE p_partkey % 3 WHEN 0 THEN 'npm' WHEN 1 THEN 'pypi' ELSE 'maven' END AS ecosystem,
   @str(@div(p_size, 10)) || '.' || @str(p_size % 10) || '.' || @str(p_partkey % 12) || CASE WHEN p_partkey % 19 = 0 THEN '-rc1' WHEN p_partkey % 23 = 0 THEN '-beta.2' ELSE '' END AS version,
   p_partkey % 4 = 0 AS direct, 1 + p_partkey % 2 AS revision
-FROM part CROSS JOIN (SELECT count(*) AS n FROM supplier) apps JOIN supplier ON s_suppkey = 1 + p_partkey % n"""),
+FROM part CROSS JOIN (SELECT count(*) AS n FROM supplier) apps JOIN supplier ON s_suppkey = p_partkey % n"""),
     "v_advisories": (("part",), """
 SELECT 'VULN-' || @str(p_partkey) AS vuln_id, 'lib-' || @str(p_partkey % 97) AS package,
   CASE WHEN p_partkey % 5 = 0 THEN NULL WHEN p_partkey % 3 = 0 THEN 'npm' WHEN p_partkey % 3 = 1 THEN 'pypi' ELSE 'maven' END AS ecosystem,
