@@ -2,16 +2,22 @@
 
 ``decode`` reads every part of the lossless format: prefix codes (simple, normal and
 meta), back-references, the colour cache, and the predictor, cross-colour, subtract-green
-and colour-indexing (palette) transforms, which it then inverts. ``encode`` writes a
-picture with one group of prefix codes of one fixed length, over the byte values that the
-picture uses; on these, pixels are cut from the bit stream in bulk.
+and colour-indexing (palette) transforms, which it then inverts. Where a picture has one group
+of codes and no cache, its tokens are read in bulk: what would start at every bit is looked
+up at once, a walk from token to token picks those that do, and back-references are
+resolved by following their sources.
+
+``encode`` writes a picture with a palette of the byte values in use (several pixels to one
+where there are few), back-references to earlier repeats of at least MATCH pixels, and
+prefix codes fitted to both. The other transforms and the cache don't make texts smaller;
+it writes none, and only the reader knows them.
 
 ``store_texts`` packs a text's UTF-8 bytes, padded with zeros to a positive multiple of
-64, four to a pixel (green, red, blue, alpha).
+64, one to a pixel (as its green).
 
 Rows: a null text is an empty text (64 zero bytes); equal texts give equal values; repeated
 rows and ties keep one output row each; other columns pass through, same-named ones are
-replaced; an empty table gives an empty table. Texts are stored whole: rows of 16 pixels,
+replaced; an empty table gives an empty table. Texts are stored whole: rows of 64 pixels,
 wider ones where a picture would be more than 16,384 rows high.
 """
 
@@ -19,7 +25,9 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import heapq
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -49,6 +57,10 @@ DISTANCES = (
 )
 ARGB = ("alpha", "red", "green", "blue")
 PREDICTOR, CROSS_COLOUR, SUBTRACT_GREEN, PALETTE = range(4)
+#: Least and most pixels of a back-reference, longest prefix code written, bits looked at at once by the reader.
+MATCH, LONGEST, WIDEST, CHUNK = 8, 4096, 12, 1 << 18
+#: Code lengths of the code length symbols as written: a complete code of 0, 2 .. 12 and the two runs of zeros (4 bits), 1 and 13 .. 15 (5 bits).
+LENGTH_CODE = {**{n: 4 for n in (0, *range(2, 13), 17, 18)}, **{n: 5 for n in (1, 13, 14, 15)}}
 
 
 class Bits:
@@ -218,6 +230,115 @@ def _bulk(bits: Bits, codes: list[PrefixCode], count: int) -> np.ndarray | None:
     return out.view("<u4").reshape(count)
 
 
+def _look(code: PrefixCode, window: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Symbol and width of the code at the low end of each window."""
+    if code.only is not None:
+        return np.full(len(window), code.only, np.uint16), np.zeros(len(window), np.uint8)
+    at = (window & np.uint64((1 << code.bits) - 1)).view(np.int64)
+    return code.symbols.take(at), code.widths.take(at)
+
+
+def _walk(after: np.ndarray) -> np.ndarray:
+    """The places 0, after[0], after[after[0]], ... below len(after): every eighth one by one, those between at once."""
+    n = len(after)
+    step = np.append(np.minimum(after, n), n)
+    far = step
+    for _ in range(3):
+        far = far[far]
+    found, at, jump = [], 0, memoryview(far)
+    while at < n:
+        found.append(at)
+        at = jump[at]
+    places = [np.array(found)]
+    for _ in range(7):
+        places.append(step[places[-1]])
+    tokens = np.stack(places, 1).reshape(-1)
+    return tokens[tokens < n]
+
+
+def _long_values(symbols: np.ndarray, window: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lengths or distances of prefix symbols, their extra bits at the low end of the windows, and the number of those."""
+    symbols = symbols.astype(np.int64)
+    extra = np.maximum(0, (symbols - 2) >> 1)
+    more = (window & ((np.uint64(1) << extra.astype(np.uint64)) - np.uint64(1))).astype(np.int64)
+    return np.where(symbols < 4, symbols + 1, ((2 + (symbols & 1)) << extra) + more + 1), extra
+
+
+def _bulk_tokens(bits: Bits, codes: list[PrefixCode], count: int, width: int) -> np.ndarray | None:
+    """All pixels of a picture with one group of codes and no cache; None where a token may not fit a window."""
+    green, red, blue, alpha, far = codes
+    if max(green.bits + red.bits + blue.bits + alpha.bits, green.bits + 10 + far.bits + 18) > 57 or green.only is not None and not (red.bits or blue.bits or alpha.bits):
+        return None
+    stream = np.concatenate([np.frombuffer(bits.data, np.uint8), np.zeros(16, np.uint8)])
+    values, lengths, backs, held = [], [], [], 0
+    most = max(green.bits + red.bits + blue.bits + alpha.bits, 57 if any(green.lengths[256:]) else 0)
+    while held < count:
+        if bits.at >= bits.end:
+            raise ValueError("the picture ends early")
+        first, n = bits.at >> 3, min(CHUNK, bits.end - bits.at, (count - held) * most)
+        part = stream[first : first + (n + 7 >> 3) + 9]
+        words = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(part, 8)).view("<u8").reshape(-1)
+        window = (words[: -(-(n + 7) // 8), None] >> np.arange(8, dtype=np.uint64)).reshape(-1)[bits.at & 7 :][:n]
+        symbol, used = _look(green, window)
+        size = used.astype(np.int64)
+        for code in (red, blue, alpha):
+            if code.only is None:
+                size += _look(code, window >> size.view(np.uint64))[1]
+        back = np.flatnonzero(symbol >= 256)
+        if len(back):
+            rest = window[back] >> used[back].astype(np.uint64)
+            extra = np.maximum(0, (symbol[back].astype(np.int64) - 258) >> 1)
+            kind, wide = _look(far, rest >> extra.view(np.uint64))
+            size[back] = used[back] + extra + wide + np.maximum(0, (kind.astype(np.int64) - 2) >> 1)
+        after = np.arange(n) + size
+        tokens = _walk(after)
+        at, own = int(after[tokens[-1]]), symbol[tokens].astype(np.int64)
+        is_back = own >= 256
+        length, distance, value = np.ones(len(tokens), np.int64), np.zeros(len(tokens), np.int64), np.zeros(len(tokens), np.uint32)
+        if is_back.any():
+            rest = window[tokens[is_back]] >> used[tokens[is_back]].astype(np.uint64)
+            length[is_back], extra = _long_values(own[is_back] - 256, rest)
+            rest >>= extra.astype(np.uint64)
+            kind, wide = _look(far, rest)
+            distance[is_back] = _long_values(kind, rest >> wide.astype(np.uint64))[0]
+        rest, channels = window[tokens] >> used[tokens].astype(np.uint64), []
+        for code in (red, blue, alpha):
+            seen, wide = _look(code, rest)
+            channels.append(seen.astype(np.uint32))
+            rest = rest >> wide.astype(np.uint64)
+        value = channels[2] << np.uint32(24) | channels[0] << np.uint32(16) | (own & 255).astype(np.uint32) << np.uint32(8) | channels[1]
+        ends = held + np.cumsum(length)
+        last = int(np.searchsorted(ends, count))
+        if last < len(tokens):  # what follows the picture isn't its
+            at, tokens, ends = int(after[tokens[last]]), tokens[: last + 1], ends[: last + 1]
+        if bits.at + at > bits.end:
+            raise ValueError("the picture ends early")
+        values.append(value[: len(tokens)])
+        lengths.append(length[: len(tokens)])
+        backs.append(distance[: len(tokens)])
+        held = int(ends[-1])
+        bits.at += at
+    value, length, code = np.concatenate(values), np.concatenate(lengths), np.concatenate(backs)
+    starts = np.cumsum(length) - length
+    pixels, source = np.zeros(count, np.uint32), np.arange(count)
+    copies = np.flatnonzero(code)
+    pixels[starts[code == 0]] = value[code == 0]
+    if len(copies):
+        near = np.array([max(1, x + y * width) for x, y in DISTANCES])
+        back = np.where(code[copies] > len(DISTANCES), code[copies] - len(DISTANCES), near[np.minimum(code[copies], len(DISTANCES)) - 1])
+        if held > count or (back > starts[copies]).any():
+            raise ValueError("a back-reference leaves the picture")
+        n = length[copies]
+        place = np.repeat(starts[copies] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        source[place] -= np.repeat(back, n)
+        while True:  # a copy of a copy, until all come from a literal
+            before = source[source]
+            if (before == source).all():
+                break
+            source = before
+    return pixels[source]
+
+
 def _read_pixels(bits: Bits, width: int, height: int, top: bool) -> np.ndarray:
     """Pixels 0xAARRGGBB of an entropy-coded image."""
     cache_bits = bits.take(4) if bits.take(1) else 0
@@ -232,8 +353,12 @@ def _read_pixels(bits: Bits, width: int, height: int, top: bool) -> np.ndarray:
     sizes = (256 + 24 + (1 << cache_bits if cache_bits else 0), 256, 256, 256, 40)
     codes = [_read_codes(bits, sizes) for _ in range(groups)]
     count = width * height
-    if groups == 1 and not cache_bits and (found := _bulk(bits, codes[0], count)) is not None:
-        return found
+    if groups == 1 and not cache_bits:
+        found = _bulk(bits, codes[0], count)
+        if found is None and count > 16:
+            found = _bulk_tokens(bits, codes[0], count, width)
+        if found is not None:
+            return found
     pixels, cache, at, own = [0] * count, [0] * (1 << cache_bits), 0, codes[0]
     spread = 32 - cache_bits
     while at < count:
@@ -415,29 +540,156 @@ class BitWriter:
         self.put(symbol, 8)
 
 
-@functools.lru_cache(2048)
-def _fixed_code(symbols: bytes, w: int, size: int) -> tuple[int, int]:
-    """The bits, and their number, of a normal prefix code that gives each of 2**w symbols a code of w bits."""
-    out = BitWriter()
-    # Code length symbols: w (code 0), 0 (code 10), 18, a run of 11 to 138 zeros (code 11).
-    own = {0: 2, w: 1, 18: 2}
+def code_lengths(counts: np.ndarray) -> np.ndarray:
+    """Lengths of a best prefix code of at most WIDEST bits for the symbols with a count."""
+    used, out = np.flatnonzero(counts), np.zeros(len(counts), np.int64)
+    if len(used) < 2:
+        out[used] = 1
+        return out
+    weights = counts[used].tolist()
+    while True:
+        heap = [(w, i) for i, w in enumerate(weights)]
+        heapq.heapify(heap)
+        parent, node = [0] * (2 * len(used) - 1), len(used)
+        while len(heap) > 1:
+            (w, i), (v, j) = heapq.heappop(heap), heapq.heappop(heap)
+            parent[i] = parent[j] = node
+            heapq.heappush(heap, (w + v, node))
+            node += 1
+        depth = [0] * node
+        for i in range(node - 2, -1, -1):
+            depth[i] = depth[parent[i]] + 1
+        if max(depth[: len(used)]) <= WIDEST:
+            out[used] = depth[: len(used)]
+            return out
+        weights = [(w + 1) // 2 for w in weights]  # flatter, and so shorter
+
+
+def canonical(lengths: np.ndarray) -> np.ndarray:
+    """The codes of canonical lengths, first bit lowest."""
+    codes = np.zeros(len(lengths), np.uint64)
+    used = np.flatnonzero(lengths)
+    if len(used) < 2:
+        return codes
+    order = used[np.argsort(lengths[used], kind="stable")]
+    steps = 1 << (WIDEST - lengths[order])
+    top = np.cumsum(steps) - steps
+    codes[order] = reversed_bits(WIDEST)[top] & ((1 << lengths[order]) - 1)
+    return codes
+
+
+@functools.cache
+def _length_codes() -> dict[int, tuple[int, int]]:
+    """(code, width) of each code length symbol."""
+    lengths = np.zeros(19, np.int64)
+    for symbol, n in LENGTH_CODE.items():
+        lengths[symbol] = n
+    return {symbol: (int(c), LENGTH_CODE[symbol]) for symbol, c in enumerate(canonical(lengths)) if symbol in LENGTH_CODE}
+
+
+def put_code(out: BitWriter, lengths: np.ndarray) -> None:
+    """Writes a prefix code: a single symbol (or none) as a simple code, more by their lengths."""
+    used = np.flatnonzero(lengths)
+    if len(used) < 2 and (not len(used) or used[0] < 256):
+        out.one_symbol(int(used[0]) if len(used) else 0)
+        return
+    codes = _length_codes()
     out.put(0, 1)
     out.put(len(CODE_LENGTH_ORDER) - 4, 4)
     for s in CODE_LENGTH_ORDER:
-        out.put(own.get(s, 0), 3)
+        out.put(LENGTH_CODE.get(s, 0), 3)
     out.put(0, 1)
     at = 0
-    for s in [*symbols, size]:
-        while s - at >= 11:
+    for s in [*used.tolist(), len(lengths)]:
+        while s - at >= 3:
             run = min(s - at, 138)
-            out.put(0b11 | (run - 11) << 2, 9)
+            code, n = codes[17 if run < 11 else 18]
+            out.put(code, n)
+            out.put(run - (3 if run < 11 else 11), 3 if run < 11 else 7)
             at += run
         for _ in range(s - at):
-            out.put(0b01, 2)
-        if s < size:
-            out.put(0, 1)
+            out.put(*codes[0])
+        if s < len(lengths):
+            out.put(*codes[int(lengths[s])])
         at = s + 1
-    return out.value, out.at
+
+
+def prefix_symbols(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Prefix symbol, number of extra bits and their value, of lengths or distance codes."""
+    v = values - 1
+    high = np.maximum(1, np.frexp(np.maximum(v, 1).astype(np.float64))[1] - 1)
+    extra = np.where(v < 4, 0, high - 1)
+    return np.where(v < 4, v, 2 * high + ((v >> np.maximum(0, high - 1)) & 1)), extra, np.where(v < 4, 0, v & ((1 << extra) - 1))
+
+
+def repeats(x: np.ndarray) -> tuple[list[int], list[int], list[int]]:
+    """Starts, lengths and distances of back-references: at each place the latest repeat of MATCH pixels, as long as it goes on, first come first served."""
+    if len(x) <= MATCH:
+        return [], [], []
+    keys = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(x, MATCH)).view("<u8").reshape(-1)
+    order = np.argsort(keys, kind="stable")
+    same = np.flatnonzero(keys[order[1:]] == keys[order[:-1]])
+    back = np.zeros(len(keys), np.int64)
+    back[order[1:][same]] = order[1:][same] - order[:-1][same]
+    back[back > (1 << 20) - len(DISTANCES)] = 0
+    places = np.flatnonzero(back)
+    if not len(places):
+        return [], [], []
+    # A repeat lasts while the distance stays the same from place to place.
+    ends = np.flatnonzero(np.diff(back, append=-1))
+    lasts = ends[np.searchsorted(ends, places)]
+    lengths, places_list, distances = np.minimum(lasts - places + MATCH, LONGEST).tolist(), places.tolist(), back[places].tolist()
+    out, at, k = ([], [], []), 0, 0
+    while (k := bisect_left(places_list, at, k)) < len(places_list):
+        at = places_list[k]
+        out[0].append(at)
+        out[1].append(lengths[k])
+        out[2].append(distances[k])
+        at += lengths[k]
+    return out
+
+
+def put_tokens(out: BitWriter, x: np.ndarray) -> bytes:
+    """Codes and tokens of a one-channel picture, after what ``out`` holds; returns all bytes."""
+    starts, lengths, backs = (np.array(r, np.int64) for r in repeats(x))
+    alone = np.ones(len(x), bool)
+    if len(starts):
+        cover = np.zeros(len(x) + 1, np.int64)
+        cover[starts] += 1
+        cover[starts + lengths] -= 1
+        alone = np.cumsum(cover)[:-1] == 0
+    literals = np.flatnonzero(alone)
+    ls, le, lv = prefix_symbols(lengths)
+    ds, de, dv = prefix_symbols(backs + len(DISTANCES))
+    of_green = code_lengths(np.bincount(x[literals], minlength=280) + (np.bincount(ls + 256, minlength=280) if len(ls) else 0))
+    of_far = code_lengths(np.bincount(ds, minlength=40))
+    put_code(out, of_green)
+    for _ in range(3):
+        out.one_symbol(0)
+    put_code(out, of_far)
+    green, far = canonical(of_green), canonical(of_far)
+    wide_green, wide_far = (np.where(np.count_nonzero(n) < 2, 0, n) for n in (of_green, of_far))
+    u = lambda a: a.astype(np.uint64)
+    n = wide_green[ls + 256] if len(ls) else ls
+    value = green[ls + 256] | u(lv) << u(n)
+    n = n + le
+    value |= far[ds] << u(n)
+    n = n + wide_far[ds]
+    value |= u(dv) << u(n)
+    places = np.concatenate([literals, starts])
+    order = np.argsort(places, kind="stable")
+    values, sizes = np.concatenate([green[x[literals]], value])[order], np.concatenate([wide_green[x[literals]], n + de])[order]
+    offsets = out.at + np.cumsum(sizes) - sizes
+    total = out.at + int(sizes.sum())
+    words = np.zeros((total >> 6) + 2, np.uint64)
+    head = out.value.to_bytes(-(-out.at // 64) * 8, "little")
+    words[: len(head) // 8] = np.frombuffer(head, "<u8")
+    word, shift = offsets >> 6, u(offsets & 63)
+    first = np.flatnonzero(np.diff(word, prepend=-1))
+    words[word[first]] |= np.bitwise_or.reduceat(values << shift, first)
+    over = np.flatnonzero((shift > 0) & (offsets + sizes > (word + 1) << 6))  # one a word at most
+    words[word[over] + 1] |= values[over] >> (np.uint64(64) - shift[over])
+    return words.tobytes()[: -(-total // 8)]
 
 
 def riff(stream: bytes) -> bytes:
@@ -446,56 +698,55 @@ def riff(stream: bytes) -> bytes:
 
 
 def encode(samples: np.ndarray, width: int) -> bytes:
-    """A lossless WebP file of bytes, four to a pixel (green, red, blue, alpha), ``width`` pixels a row."""
-    height = len(samples) // 4 // width
-    used = np.flatnonzero(np.bincount(samples, minlength=256))
-    w = max(1, int(len(used) - 1).bit_length())
-    # A complete code of 2**w symbols: those in use, then the lowest others.
-    taken = np.zeros(256, bool)
-    taken[used] = True
-    taken[np.flatnonzero(~taken)[: (1 << w) - len(used)]] = True
-    symbols = np.flatnonzero(taken)
+    """A lossless WebP file of bytes, one to a pixel (its green), ``width`` pixels a row."""
+    height = len(samples) // width
     out = BitWriter()
     out.put(0x2F, 8)
     out.put(width - 1, 14)
     out.put(height - 1, 14)
     out.put(1, 1)
-    out.put(0, 3 + 1 + 1 + 1)  # version, no transform, no colour cache, no meta codes
-    own = symbols.astype(np.uint8).tobytes()
-    for size in (280, 256, 256, 256):
-        out.put(*_fixed_code(own, w, size))
-    out.one_symbol(0)
-    codes = np.zeros(256, np.uint64)
-    codes[symbols] = reversed_bits(w)
-    fields = codes[samples].reshape(-1, 8) << (np.arange(8, dtype=np.uint64) * np.uint64(w))
-    eight = np.bitwise_or.reduce(fields, 1)
-    body = eight.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :w].reshape(-1)
-    shift = out.at % 8
-    head = out.value.to_bytes(-(-out.at // 8), "little")
-    if shift:
-        moved = np.zeros(len(body) + 1, np.uint16)
-        moved[:-1] = body.astype(np.uint16) << shift
-        moved[1:] |= body.astype(np.uint16) >> (8 - shift)
-        moved = (moved & 255).astype(np.uint8)
-        moved[0] |= head[-1]
-        return riff(head[:-1] + moved.tobytes())
-    return riff(head + body.tobytes())
+    out.put(0, 3)
+    colours = np.flatnonzero(np.bincount(samples, minlength=256))
+    n = len(colours)
+    out.put(1, 1)
+    out.put(PALETTE, 2)
+    out.put(n - 1, 8)
+    # The palette is a picture of steps from colour to colour.
+    steps = np.diff(colours, prepend=0)
+    lengths = code_lengths(np.bincount(steps, minlength=280))
+    codes = canonical(lengths)
+    out.put(0, 1)  # no colour cache
+    put_code(out, lengths)
+    for _ in range(4):
+        out.one_symbol(0)
+    if np.count_nonzero(lengths) > 1:
+        for step in steps.tolist():
+            out.put(int(codes[step]), int(lengths[step]))
+    index = np.zeros(256, np.uint8)
+    index[colours] = np.arange(n)
+    x = index[samples].reshape(height, width)
+    bits = 8 if n > 16 else 4 if n > 4 else 2 if n > 2 else 1
+    if bits < 8:
+        per = 8 // bits
+        padded = np.zeros((height, -(-width // per) * per), np.uint8)
+        padded[:, :width] = x
+        x = np.bitwise_or.reduce(padded.reshape(height, -1, per) << (np.arange(per, dtype=np.uint8) * np.uint8(bits)), 2)
+    out.put(0, 1 + 1 + 1)  # no more transforms, no colour cache, no meta codes
+    return riff(put_tokens(out, x.reshape(-1)))
 
 
 def pack(text: str | None) -> tuple[bytes, int, int]:
     """The picture of a text, the text's bytes and the bytes stored."""
     raw = (text or "").encode("utf-8", "surrogatepass")
     padded = raw + b"\0" * (max(64, -(-len(raw) // 64) * 64) - len(raw))
-    pixels = len(padded) // 4
-    width = 16 * -(-pixels // (16 * MAX_SIDE))
-    full = padded + b"\0" * (-pixels % width * 4)
+    width = 64 * -(-len(padded) // (64 * MAX_SIDE))
+    full = padded + b"\0" * (-len(padded) % width)
     return encode(np.frombuffer(full, np.uint8), width), len(raw), len(padded)
 
 
 def unpack(media: bytes, payload_bytes: int) -> bytes:
     """The stored bytes of a picture."""
-    pixels = decode(media).reshape(-1).astype("<u4").view(np.uint8).reshape(-1, 4)
-    return pixels[:, (1, 2, 0, 3)].tobytes()[:payload_bytes]
+    return ((decode(media).reshape(-1) >> np.uint32(8)) & np.uint32(255)).astype(np.uint8).tobytes()[:payload_bytes]
 
 
 def features(payload: bytes) -> str:

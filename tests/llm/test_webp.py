@@ -191,3 +191,31 @@ def test_operator(spark):
     assert len({r.media_sha256 for r in one}) == 3 and {r.n_bytes for r in one} == {0, 4, 200_000}
     assert webp.store_and_read(docs.limit(0)).count() == 0
     assert webp.store_texts(docs).where(F.col("media").isNull()).count() == 0
+
+
+def test_texts_of_documents_use_the_method(spark, monkeypatch):
+    """Palette, prefix codes of several lengths and back-references; reading in bulk equals reading symbol by symbol."""
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()]
+    texts += ["ab" * 400, "abcabd" * 300 + "x", "".join(chr(32 + (i * i) % 90) for i in range(5000)), "word " * 60_000]
+    seen = {"palette": 0, "copies": 0, "lengths": 0}
+    invert, bulk = webp.invert_palette, webp._bulk_tokens
+
+    def palette(*args):
+        seen["palette"] += 1
+        return invert(*args)
+
+    def tokens(bits, codes, count, width):
+        seen["copies"] += any(codes[0].lengths[256:])
+        seen["lengths"] += len({n for n in codes[0].lengths if n}) > 1
+        return bulk(bits, codes, count, width)
+
+    monkeypatch.setattr(webp, "invert_palette", palette)
+    monkeypatch.setattr(webp, "_bulk_tokens", tokens)
+    made = [webp.pack(t) for t in texts]
+    assert [webp.unpack(m, n) for m, _, n in made] == [(t or "").encode().ljust(n, b"\0") for t, (_, _, n) in zip(texts, made, strict=True)]
+    assert seen["palette"] == len(texts) and seen["copies"] > len(texts) * 0.8 and seen["lengths"] > len(texts)
+    assert sum(len(m) for m, _, _ in made) < 0.6 * sum(n for _, _, n in made)
+    monkeypatch.setattr(webp, "CHUNK", 999)
+    in_parts = [webp.decode(m) for m, *_ in made[:40]]
+    monkeypatch.setattr(webp, "_bulk_tokens", lambda *args: None)
+    assert all((webp.decode(m) == p).all() for (m, *_), p in zip(made, in_parts, strict=False))
