@@ -119,12 +119,16 @@ class PrefixCode:
             self.widths[order] = widths[places]
             self.table: list[tuple[int, int]] | None = None
 
+    def pairs(self) -> list[tuple[int, int]]:
+        """The table as (symbol, width) pairs."""
+        if self.table is None:
+            self.table = list(zip(self.symbols.tolist(), self.widths.tolist(), strict=True))
+        return self.table
+
     def read(self, bits: Bits) -> int:
         if self.only is not None:
             return self.only
-        if self.table is None:
-            self.table = list(zip(self.symbols.tolist(), self.widths.tolist(), strict=True))
-        symbol, n = self.table[bits.peek(self.bits)]
+        symbol, n = self.pairs()[bits.peek(self.bits)]
         bits.take(n)
         return symbol
 
@@ -162,18 +166,33 @@ def _read_code(bits: Bits, size: int) -> PrefixCode:
         of_lengths[CODE_LENGTH_ORDER[i]] = bits.take(3)
     left = 2 + bits.take(2 + 2 * bits.take(3)) if bits.take(1) else size
     code, at, previous = _prefix_code(tuple(of_lengths)), 0, 8
+    if code.only is not None:
+        table, mask = [(code.only, 0)], 0
+    else:
+        table, mask = code.pairs(), (1 << code.bits) - 1
+    # A length takes 14 bits at most: 7 of its code, 7 of a run.
+    window, used = bits.span(bits.at, min(14 * size, bits.end - bits.at)), 0
     while at < size and left:
         left -= 1
-        symbol = code.read(bits)
+        symbol, n = table[window & mask]
+        window >>= n
+        used += n
         if symbol < 16:
             lengths[at] = symbol
             at += 1
             previous = symbol or previous
         else:
-            times = 3 + bits.take(2) if symbol == 16 else 3 + bits.take(3) if symbol == 17 else 11 + bits.take(7)
-            lengths[at : at + times] = [previous if symbol == 16 else 0] * times
+            n, least = ((2, 3), (3, 3), (7, 11))[symbol - 16]
+            times = least + (window & ((1 << n) - 1))
+            window >>= n
+            used += n
+            if symbol == 16:
+                lengths[at : at + times] = [previous] * times
             at += times
-    if len(lengths) > size:
+    bits.at += used
+    if bits.at > bits.end:
+        raise ValueError("the picture ends early")
+    if at > size:
         raise ValueError("too many code lengths")
     return _prefix_code(tuple(lengths))
 
@@ -599,23 +618,29 @@ def put_code(out: BitWriter, lengths: np.ndarray) -> None:
     for s in CODE_LENGTH_ORDER:
         out.put(LENGTH_CODE.get(s, 0), 3)
     out.put(0, 1)
-    at = 0
+    at, value, size, widths = 0, 0, 0, lengths.tolist()
     for s in [*used.tolist(), len(lengths)]:
         while s - at >= 3:
             run = min(s - at, 138)
             code, n = codes[17 if run < 11 else 18]
-            out.put(code, n)
-            out.put(run - (3 if run < 11 else 11), 3 if run < 11 else 7)
+            value |= (code | (run - (3 if run < 11 else 11)) << n) << size
+            size += n + (3 if run < 11 else 7)
             at += run
         for _ in range(s - at):
-            out.put(*codes[0])
+            value |= codes[0][0] << size
+            size += codes[0][1]
         if s < len(lengths):
-            out.put(*codes[int(lengths[s])])
+            code, n = codes[widths[s]]
+            value |= code << size
+            size += n
         at = s + 1
+    out.put(value, size)
 
 
 def prefix_symbols(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Prefix symbol, number of extra bits and their value, of lengths or distance codes."""
+    if not len(values):
+        return values, values, values
     v = values - 1
     high = np.maximum(1, np.frexp(np.maximum(v, 1).astype(np.float64))[1] - 1)
     extra = np.where(v < 4, 0, high - 1)
@@ -636,7 +661,7 @@ def repeats(x: np.ndarray) -> tuple[list[int], list[int], list[int]]:
     if not len(places):
         return [], [], []
     # A repeat lasts while the distance stays the same from place to place.
-    ends = np.flatnonzero(np.diff(back, append=-1))
+    ends = np.flatnonzero(np.concatenate([back[1:] != back[:-1], [True]]))
     lasts = ends[np.searchsorted(ends, places)]
     lengths, places_list, distances = np.minimum(lasts - places + MATCH, LONGEST).tolist(), places.tolist(), back[places].tolist()
     out, at, k = ([], [], []), 0, 0
@@ -685,7 +710,7 @@ def put_tokens(out: BitWriter, x: np.ndarray) -> bytes:
     head = out.value.to_bytes(-(-out.at // 64) * 8, "little")
     words[: len(head) // 8] = np.frombuffer(head, "<u8")
     word, shift = offsets >> 6, u(offsets & 63)
-    first = np.flatnonzero(np.diff(word, prepend=-1))
+    first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
     words[word[first]] |= np.bitwise_or.reduceat(values << shift, first)
     over = np.flatnonzero((shift > 0) & (offsets + sizes > (word + 1) << 6))  # one a word at most
     words[word[over] + 1] |= values[over] >> (np.uint64(64) - shift[over])
@@ -711,17 +736,19 @@ def encode(samples: np.ndarray, width: int) -> bytes:
     out.put(1, 1)
     out.put(PALETTE, 2)
     out.put(n - 1, 8)
-    # The palette is a picture of steps from colour to colour.
-    steps = np.diff(colours, prepend=0)
-    lengths = code_lengths(np.bincount(steps, minlength=280))
+    # The palette is a picture of steps from colour to colour, in codes of one length: those used, and the lowest others to fill it.
+    steps = np.concatenate([colours[:1], colours[1:] - colours[:-1]])
+    lengths, w = np.zeros(280, np.int64), int(len(own := np.unique(steps)) - 1).bit_length()
+    lengths[own] = max(1, w)
+    lengths[np.flatnonzero(lengths == 0)[: (1 << w) - len(own)]] = w
     codes = canonical(lengths)
     out.put(0, 1)  # no colour cache
     put_code(out, lengths)
     for _ in range(4):
         out.one_symbol(0)
     if np.count_nonzero(lengths) > 1:
-        for step in steps.tolist():
-            out.put(int(codes[step]), int(lengths[step]))
+        for code in codes[steps].tolist():
+            out.put(code, w)
     index = np.zeros(256, np.uint8)
     index[colours] = np.arange(n)
     x = index[samples].reshape(height, width)
