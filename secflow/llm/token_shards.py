@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from secflow.llm.bpe import codec, default_vocabulary
-from secflow.llm.common import discard, materialise, new_table, read
+from secflow.llm.common import discard, materialise, new_table, read, shuffles_dropped
 
 LENGTH, PER_SHARD, KEY = 1024, 256, 0x5EC0F10A
 NO_ID = -(1 << 63)
@@ -99,7 +99,7 @@ def sequences(docs: DataFrame, vocabulary: str, length: int = LENGTH, text: str
 def materialise_order(docs: DataFrame, vocabulary: str, length: int = LENGTH, per_shard: int = PER_SHARD, key: int = KEY, text: str = "text", shards_per_task: int = SHARDS_PER_TASK) -> DataFrame:
     """The shards (shard, first_slot, n, stride, records, task), written to the shared folder in slot order, a folder a task."""
     spark = docs.sparkSession
-    made = materialise(sequences(docs, vocabulary, length, text).withColumn("h", F.xxhash64(F.lit(key), "doc_id")), "sequences")
+    made = materialise(sequences(docs, vocabulary, length, text).withColumn("h", F.xxhash64(F.lit(key), "doc_id")), "sequences", "zstd")
     total = made.count()
     ranges = max(1, math.isqrt(total))
     spread = made.withColumn("range", F.floor((F.shiftrightunsigned("h", 32)) * ranges / F.lit(1 << 32)))
@@ -117,7 +117,11 @@ def materialise_order(docs: DataFrame, vocabulary: str, length: int = LENGTH, pe
     each = max(shards_per_task, -(-shards // TASKS))
     task = F.floor(F.col("slot") / (per_shard * each)).cast("int")
     # Ranges of slots are known beforehand: no sampling, and no task starts inside a shard.
-    ordered = numbered.mapInArrow(place, "slot long, record binary").repartitionById(max(1, -(-shards // each)), task).sortWithinPartitions("slot")
+    # Two steps, so that what the first one moved is gone when the second moves it again.
+    with shuffles_dropped(spark):
+        placed = materialise(numbered.mapInArrow(place, "slot long, record binary"), "slots", "zstd")
+    discard(spark, made)
+    ordered = placed.repartitionById(max(1, -(-shards // each)), task).sortWithinPartitions("slot")
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # One shard at a time is held: its records arrive in slot order.
@@ -142,8 +146,9 @@ def materialise_order(docs: DataFrame, vocabulary: str, length: int = LENGTH, pe
             yield close()
 
     path, made_shards = new_table(spark, "shards"), ordered.mapInArrow(join, "shard long, first_slot long, n int, stride int, records binary, task int")
-    made_shards.write.partitionBy("task").parquet(path)
-    discard(spark, made)
+    with shuffles_dropped(spark):
+        made_shards.write.partitionBy("task").parquet(path, compression="zstd")
+    discard(spark, placed)
     return spark.read.schema(made_shards.schema).parquet(path)
 
 
