@@ -1,6 +1,7 @@
 """Byte-pair encoding by backtracking over Aho-Corasick matches, and decoding by an offset table.
 
-A text is cut at the special tokens and by the vocabulary's pre-token pattern. Within one
+A text is cut at the special tokens and by the pre-token pattern of byte-level vocabularies;
+known words come from a bounded table. Within one
 pre-token the encoder walks from the left: it asks the automaton for the longest token that
 starts at the position, and keeps it only if the
 pair (previous token, token) is compatible, that is, if merging the two tokens' bytes by
@@ -21,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from array import array
 from collections.abc import Callable, Iterator
 
@@ -31,8 +33,10 @@ from pyspark.sql import types as T
 
 from secflow.llm.common import read
 
-#: Bounds of the per-worker caches; a full cache is dropped and refilled, results do not change.
-MAX_WORDS, MAX_PAIRS = 600_000, 1_000_000
+#: Bounds of the per-worker caches; a full cache is dropped and refilled, longer keys are not kept; results do not change.
+MAX_WORDS, MAX_KEY, MAX_PAIRS = 600_000, 64, 1_000_000
+#: The pre-token pattern for texts of ASCII characters only.
+_ASCII_WORDS = re.compile(r"'(?:[sdmt]|ll|ve|re)| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+").findall
 _FAR = 1 << 60
 
 
@@ -50,12 +54,16 @@ def byte_alphabet() -> list[str]:
 class Words(dict):
     """Pre-token to its ids as little-endian bytes; misses are encoded on first use."""
 
-    def __init__(self, encode: Callable[[str], list[int]]):
+    def __init__(self, encode: Callable[[str], bytes]):
         super().__init__()
         self.encode = encode
 
     def __missing__(self, word: str) -> bytes:
-        self[word] = found = array("i", self.encode(word)).tobytes()
+        found = self.encode(word)
+        if len(word) <= MAX_KEY:
+            if len(self) >= MAX_WORDS:
+                self.clear()
+            self[word] = found
         return found
 
 
@@ -110,7 +118,7 @@ class BacktrackingBpe:
         self._pairs: dict[int, bool] = {}
         self._size = size
         self._decimal = list(map(str, range(size)))
-        self.words = Words(self.encode_word)
+        self.words = Words(lambda word: array("i", self.encode_word(word)).tobytes())
         pattern = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
         self._split = regex.compile(pattern).findall
         self._cut = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
@@ -192,19 +200,19 @@ class BacktrackingBpe:
                 pos -= lengths[token]
                 token, whole = shorter[token], False
 
+    def _of_words(self, text: str) -> bytes:
+        """Ids of a text without special tokens, pre-token by pre-token."""
+        return b"".join(map(self.words.__getitem__, _ASCII_WORDS(text) if text.isascii() else self._split(text)))
+
     def encode(self, text: str) -> np.ndarray:
         """Ids of a whole text."""
-        if len(self.words) > MAX_WORDS:
-            self.words.clear()
-        look = self.words.__getitem__
-        if self._cut is None or not self._cut.search(text):
-            return np.frombuffer(b"".join(map(look, self._split(text))), "<i4")
+        if not any(s in text for s in self.special):
+            return np.frombuffer(self._of_words(text), "<i4")
         out, at = [], 0
         for m in self._cut.finditer(text):
-            out += map(look, self._split(text[at : m.start()]))
-            out.append(array("i", [self.special[m[0]]]).tobytes())
+            out += [self._of_words(text[at : m.start()]), array("i", [self.special[m[0]]]).tobytes()]
             at = m.end()
-        return np.frombuffer(b"".join([*out, *map(look, self._split(text[at:]))]), "<i4")
+        return np.frombuffer(b"".join([*out, self._of_words(text[at:])]), "<i4")
 
     def decimal(self, ids: np.ndarray) -> str:
         """The ids as decimal text, joined by commas."""
