@@ -11,21 +11,50 @@ from secflow.functions.times import parse_time
 from secflow.functions.versions import in_range, version_key
 from secflow.operators import windows as W
 
-ROW = "principal string, status string, source_ip string, http_code string, operation string, criticality array<string>, groups array<string>, is_mfa boolean, blob string"
-TABLE = [
-    ("principal", ["ALEX"], (), True), ("principal", ["alex"], ("cased",), False), ("principal", ["Alex"], ("cased",), True), ("principal", ["a*x"], (), True), ("principal", ["a?x"], (), False),
-    ("principal", ["a\\*x"], (), False), ("status", ["ail"], ("contains",), True), ("status", ["fail"], ("startswith",), True), ("status", ["ure"], ("endswith",), True), ("status", ["F.*e$"], ("re",), True), ("status", ["f.*e$"], ("re",), False),
-    ("status", ["f.*e$"], ("re", "i"), True), ("source_ip", ["185.220.101.0/24"], ("cidr",), True), ("source_ip", ["185.220.102.0/24"], ("cidr",), False), ("principal", ["10.0.0.0/8"], ("cidr",), False),
-    ("http_code", [400], ("gte",), True), ("http_code", [403], ("gt",), False), ("http_code", [403], (), True), ("criticality", ["HIGH"], (), True), ("criticality", ["high", "low"], ("all",), True), ("criticality", ["high", "mid"], ("all",), False),
-    ("groups", [None], (), True), ("groups", [True], ("exists",), False), ("groups", [False], ("exists",), True), ("is_mfa", [False], (), True), ("is_mfa", [True], (), False), ("principal", ["nobody", None], (), False), ("principal", ["operation"], ("fieldref",), False),
-    ("blob", ["secret"], ("base64offset", "contains"), True), ("operation", ["createaccesskey"], (), True),
-]
-
-
-@pytest.mark.parametrize("field,values,mods,expected", TABLE)
+ROW = "who string, outcome string, address string, code string, act string, tags array<string>, teams array<string>, verified boolean, encoded string"
+MIRA = ("Mira", "Denied", "192.0.2.77", "502", "RotateSigningKey", ["gold", "edge"], None, False, base64.b64encode(b"a token b").decode())
+#: field, values, modifiers, whether the row matches.
+CASES = [
+    ("who", ["mIrA"], (), True),
+    ("who", ["mira"], ("cased",), False),
+    ("who", ["Mira"], ("cased",), True),
+    ("who", ["m*a"], (), True),
+    ("who", ["m??a"], (), True),
+    ("who", ["m?a"], (), False),
+    ("who", ["m\\*a"], (), False),
+    ("who", ["otto", "mira"], (), True),
+    ("who", ["otto", None], (), False),
+    ("who", ["act"], ("fieldref",), False),
+    ("who", ["198.51.100.0/24"], ("cidr",), False),
+    ("outcome", ["ENI"], ("contains",), True),
+    ("outcome", ["den"], ("startswith",), True),
+    ("outcome", ["nied"], ("endswith",), True),
+    ("outcome", ["nied"], ("startswith",), False),
+    ("outcome", ["D\\w+d$"], ("re",), True),
+    ("outcome", ["d\\w+d$"], ("re",), False),
+    ("outcome", ["d\\w+d$"], ("re", "i"), True),
+    ("address", ["192.0.2.64/26"], ("cidr",), True),
+    ("address", ["192.0.2.0/26"], ("cidr",), False),
+    ("code", [502], (), True),
+    ("code", [502], ("gte",), True),
+    ("code", [502], ("gt",), False),
+    ("code", [1000], ("lt",), True),
+    ("tags", ["Gold"], (), True),
+    ("tags", ["edge", "gold"], ("all",), True),
+    ("tags", ["gold", "core"], ("all",), False),
+    ("teams", [None], (), True),
+    ("teams", [True], ("exists",), False),
+    ("teams", [False], ("exists",), True),
+    ("verified", [False], (), True),
+    ("verified", [True], (), False),
+    ("encoded", ["token"], ("base64offset", "contains"), True),
+    ("act", ["rotatesigningkey"], (), True),
+]
+
+
+@pytest.mark.parametrize("field,values,mods,expected", CASES)
 def test_modifiers(spark, field, values, mods, expected):
-    blob = base64.b64encode(b"xx secret yy").decode()
-    df = spark.createDataFrame([("Alex", "Failure", "185.220.101.7", "403", "CreateAccessKey", ["high", "low"], None, False, blob)], ROW)
+    df = spark.createDataFrame([MIRA], ROW)
     p = P.predicate(df.schema, field, values, mods)
     assert df.select(p, ~p).first() == (expected, not expected)
 
