@@ -151,12 +151,9 @@ BOOK.on("norm_flatten", "v_events", "SELECT event_id, path, value FROM (SELECT e
 
 
 def flatten(df: DataFrame) -> DataFrame:
-    """Nested fields as (path, value) rows; lists become several rows of one path."""
+    """The leaves of a nested event as (path, value) rows."""
     nested = df.select("event_id", F.struct(F.struct(F.struct(F.col("principal").alias("name")).alias("user")).alias("actor"), F.struct("hostname").alias("device"), "groups").alias("event"))
-    paths = ["event.actor.user.name", "event.device.hostname"]
-    rows = F.array(*(F.struct(F.lit(p.removeprefix("event.")).alias("path"), F.col(p).alias("value")) for p in paths))
-    many = F.transform(F.coalesce("event.groups", F.array().cast("array<string>")), lambda g: F.struct(F.lit("groups").alias("path"), g.alias("value")))
-    return nested.select("event_id", F.explode(F.concat(rows, many)).alias("r")).select("event_id", "r.path", "r.value")
+    return nested.select("event_id", F.inline(N.flat(F.col("event"), nested.schema["event"].dataType)))
 
 
 BOOK.on("norm_document", "v_events", """SELECT event_id, '{"principal":"' || principal || '"' || CASE WHEN target_principal IS NOT NULL THEN ',"target_principal":"' || target_principal || '"' ELSE '' END || ',"k":' || k || '}' AS document FROM v_events""")(lambda df: df.select("event_id", F.to_json(F.struct("principal", "target_principal", "k")).alias("document")))

@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from secflow.operators import correlate, enrich, incidents, supply_chain, windows
+from secflow.operators import correlate, enrich, incidents, normalize, supply_chain, windows
 from secflow.sources import sinks
 
 HOUR = 3600
@@ -70,3 +70,11 @@ def test_sink_keeps_the_first_and_fails_on_a_broken_table(spark, tmp_path):
     spark.range(1).withColumn("event_date", F.lit("x")).write.mode("overwrite").parquet(path)
     with pytest.raises(Exception, match="dedup_key"):
         sinks.write_events(batch, path)
+
+
+def test_leaves_of_nested_columns(spark):
+    kind = "e struct<who: struct<name: string, id: int>, items: array<struct<uid: string, marks: array<string>>>, tags: array<string>, rest: map<string, string>, none: struct<x: string>>"
+    full = ((("eve", 7), [("a", ["m", "n"]), None, (None, None)], ["t", None, "u"], {"k": "v", "z": None}, None),)
+    df = spark.createDataFrame([full, (None,)], kind)
+    got = [sorted(map(tuple, r.l)) for r in df.select(normalize.flat(F.col("e"), df.schema["e"].dataType).alias("l")).collect()]
+    assert got == [[("items[0].marks", "m"), ("items[0].marks", "n"), ("items[0].uid", "a"), ("rest.k", "v"), ("tags", "t"), ("tags", "u"), ("who.id", "7"), ("who.name", "eve")], []]
