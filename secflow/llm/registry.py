@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from secflow.llm import bpe, ivfpq, langid, line_dedup, minhash, mixing, quality, substring, token_shards, webp
+from secflow.llm import bpe, ivfpq, langid, line_dedup, merkle, minhash, mixing, quality, substring, token_shards, webp
 
-MODULES = [bpe, ivfpq, langid, line_dedup, minhash, mixing, quality, substring, token_shards, webp]
+MODULES = [bpe, ivfpq, langid, line_dedup, merkle, minhash, mixing, quality, substring, token_shards, webp]
 
 
 def queries() -> dict:
