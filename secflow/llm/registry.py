@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from secflow.llm import bpe, chat, ivfpq, langid, line_dedup, merkle, minhash, mixing, quality, substring, token_shards, webp
+from secflow.llm import bpe, chat, ivfpq, langid, line_dedup, merkle, minhash, mixing, quality, substring, token_shards, variants, webp
 
-MODULES = [bpe, chat, ivfpq, langid, line_dedup, merkle, minhash, mixing, quality, substring, token_shards, webp]
+MODULES = [bpe, chat, ivfpq, langid, line_dedup, merkle, minhash, mixing, quality, substring, token_shards, variants, webp]
 
 
 def queries() -> dict:
