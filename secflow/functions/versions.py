@@ -1,8 +1,10 @@
 """Sortable version keys and range constraints, all as column expressions.
 
-A key is a struct (release numbers padded with zeros, whether it is final, pre-release
-parts), compared field by field: numbers by value, missing ones as zero, a pre-release
-before its release, and build metadata ignored.
+A version is a release and, behind its first dash, a pre-release; each is a list of numbers
+and words, and missing ones count as zero, however many. A pre-release sorts before its
+release, build metadata is ignored. A key is a struct that compares like that field by
+field: zeros inside a list become one token that says how many they are and whether what
+follows is above or below zero, and a last token stands for the zeros that never end.
 """
 
 from __future__ import annotations
@@ -10,52 +12,103 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Release numbers that a key compares; further ones are ignored.
-DEPTH = 6
-#: Order of pre-release words.
-PRE_RANKS = {"dev": 0, "alpha": 1, "a": 1, "beta": 2, "b": 2, "rc": 3, "pre": 3, "c": 3}
+#: Order of pre-release words; any other word sorts after numbers.
+PRE_RANKS = {"dev": -5, "alpha": -4, "a": -4, "beta": -3, "b": -3, "rc": -2, "pre": -2, "preview": -2, "snapshot": -2}
+TOKEN = "struct<rank:int,size:int,word:string,side:int,zeros:int>"
+EVERYTHING = ("*", "any")
 
 
-def version_key(version: Column) -> Column:
-    plain = F.regexp_replace(F.lower(F.trim(version)), r"^v|\+.*$", "")
-    release = F.regexp_extract(plain, r"^(\d+(?:\.\d+)*)", 1)
-    rest = F.regexp_replace(F.substr(plain, F.length(release) + 1), r"^[-.]", "")
-    numbers = F.transform(F.split(release, r"\."), lambda x: F.coalesce(x.try_cast("long"), F.lit(0).cast("long")))
-    padded = F.slice(F.concat(numbers, F.array_repeat(F.lit(0).cast("long"), DEPTH)), 1, DEPTH)
+def _token(rank: Column, size: Column, word: Column, side: Column, zeros: Column) -> Column:
+    return F.struct(rank.cast("int").alias("rank"), size.cast("int").alias("size"), word.alias("word"), side.cast("int").alias("side"), zeros.cast("int").alias("zeros"))
+
+
+def _tokens(text: Column, endless: bool = True) -> Column:
+    """The numbers and words of a text as comparable tokens; ``endless`` adds the zeros behind the last one."""
+    zero, none = F.lit(0), F.array().cast(f"array<{TOKEN}>")
     ranks = F.create_map(*(F.lit(x) for item in PRE_RANKS.items() for x in item))
-    words = F.filter(F.regexp_extract_all(rest, F.lit(r"\d+|[a-z]+"), F.lit(0)), lambda x: x != "")
-    parts = F.transform(words, lambda x: F.struct(F.when(x.rlike("^[0-9]"), F.lit(-1)).otherwise(F.coalesce(ranks[x], F.lit(9))).alias("rank"), F.coalesce(x.try_cast("long"), F.lit(0).cast("long")).alias("number"), F.when(x.rlike("^[a-z]"), x).otherwise("").alias("word")))
-    return F.struct(padded.alias("release"), (F.size(words) == 0).alias("final"), parts.alias("pre"))
+    start = F.struct(none.alias("done"), zero.alias("zeros"))
+
+    def add(state: Column, part: Column) -> Column:
+        number = part.rlike("^[0-9]")
+        digits = F.when(number, F.regexp_replace(part, "^0+", "")).otherwise("")
+        rank = F.when(number, zero).otherwise(F.coalesce(ranks[part], F.lit(1)))
+        # Numbers compare by how many digits they have, then digit by digit: no number is too long.
+        own = _token(rank, F.length(digits), F.when(number, digits).otherwise(part), zero, zero)
+        run = F.when(state["zeros"] > 0, F.array(_token(zero, zero, F.lit(""), F.when(rank < 0, -1).otherwise(1), F.when(rank < 0, state["zeros"]).otherwise(-state["zeros"])))).otherwise(none)
+        return F.when(number & (digits == ""), F.struct(state["done"].alias("done"), (state["zeros"] + 1).alias("zeros"))).otherwise(F.struct(F.concat(state["done"], run, F.array(own)).alias("done"), zero.alias("zeros")))
+
+    found = F.aggregate(F.regexp_extract_all(text, F.lit("[0-9]+|[a-z]+"), F.lit(0)), start, add)["done"]
+    return F.concat(found, F.array(_token(zero, zero, F.lit(""), zero, zero))) if endless else found
+
+
+def _plain(version: Column) -> Column:
+    return F.regexp_replace(F.lower(F.trim(version)), r"^v+|\+.*$", "")
+
+
+def version_key(version: Column) -> Column:
+    """The key of a version; null for null."""
+    plain = _plain(version)
+    before = F.substring_index(plain, "-", 1)
+    pre = F.substr(plain, F.length(before) + 2)
+    key = F.struct(_tokens(before).alias("release"), (~pre.rlike("[0-9a-z]")).alias("final"), _tokens(pre).alias("pre"))
+    return F.when(version.isNotNull(), key)
 
 
-def constraint(op: Column, key: Column, bound: Column) -> Column:
-    """Whether a version key meets one constraint; ``^`` keeps the first non-zero number, ``~`` and ``~>`` the first two."""
-    release, limit = key["release"], bound["release"]
-    same = lambda n: F.slice(release, 1, n) == F.slice(limit, 1, n)
-    caret = F.when(limit[0] > 0, same(1)).when(limit[1] > 0, same(2)).otherwise(same(3))
-    return (
-        F.when(op == ">=", key >= bound).when(op == "<=", key <= bound).when(op == ">", key > bound).when(op == "<", key < bound).when(op == "!=", key != bound)
-        .when(op == "^", (key >= bound) & caret).when(op.isin("~", "~>"), (key >= bound) & same(2)).when(op == "*", F.lit(True)).otherwise(key == bound)
-    )
+def _below(numbers: Column) -> Column:
+    """A key below all versions that begin with these numbers, the last of them not zero."""
+    return F.struct(_tokens(numbers, endless=False).alias("release"), F.lit(False).alias("final"), _tokens(F.lit(""), endless=False).alias("pre"))
 
 
 def constraints(spec: Column) -> Column:
-    """The (op, version) parts of a range; a blank or comma separates them, a blank after an operator belongs to it."""
-    tight = F.regexp_replace(F.trim(spec), r"(>=|<=|!=|==|~>|[<>=^~])\s+", "$1")
-    parts = F.filter(F.split(tight, r"[\s,]+"), lambda x: x != "")
-    return F.transform(parts, lambda x: F.struct(F.when(x == "*", "*").otherwise(F.regexp_extract(x, r"^(>=|<=|!=|==|~>|[<>=^~])?", 1)).alias("op"), F.regexp_replace(x, r"^(>=|<=|!=|==|~>|[<>=^~])", "").alias("version")))
+    """The (op, version) parts of a range; a blank or comma separates them, a blank after an operator belongs to it. Null, blank, ``*`` and ``any`` ask for nothing."""
+    tight = F.regexp_replace(F.trim(F.coalesce(spec, F.lit(""))), r"(>=|<=|!=|==|~>|[<>=^~])\s+", "$1")
+    parts = F.filter(F.split(tight, r"[\s,]+"), lambda x: (x != "") & ~F.lower(x).isin(*EVERYTHING))
+    op = r"^(>=|<=|!=|==|~>|[<>=^~])"
+    return F.transform(parts, lambda x: F.struct(F.regexp_extract(x, op, 1).alias("op"), F.regexp_replace(x, op, "").alias("version")))
+
+
+#: Where a bound lies among keys equal to its own: before them, or behind.
+BEFORE, BEHIND = -1, 1
 
 
 def limits(spec: Column) -> Column:
-    """The (op, key) parts of a range."""
-    return F.transform(constraints(spec), lambda c: F.struct(c["op"].alias("op"), version_key(c["version"]).alias("key")))
+    """What a range asks of a version key: ``low`` and ``high``, each a (key, side) or null for none, and ``not_``, the keys left out.
+
+    ``^`` keeps the first number, ``~`` and ``~>`` the first two.
+    """
+    parts = F.transform(constraints(spec), lambda c: F.struct(c["op"].alias("op"), version_key(c["version"]).alias("key"), _plain(c["version"]).alias("plain")))
+    numbers = lambda c: F.regexp_extract_all(F.substring_index(c["plain"], "-", 1), F.lit("[0-9]+"), F.lit(0))
+    number = lambda c, i: F.coalesce(F.get(numbers(c), F.lit(i)).try_cast("decimal(38,0)"), F.lit(0))
+    more = lambda n: (n + 1).cast("decimal(38,0)").cast("string")
+    same = {1: lambda c: _below(more(number(c, 0))), 2: lambda c: _below(F.concat(number(c, 0).cast("string"), F.lit("."), more(number(c, 1))))}
+    at = lambda key, side: F.struct(key.alias("key"), F.lit(side).alias("side"))
+    lows = F.filter(F.transform(parts, lambda c: F.when(c["op"].isin(">=", "", "=", "==", "^", "~", "~>"), at(c["key"], BEFORE)).when(c["op"] == ">", at(c["key"], BEHIND))), lambda x: x.isNotNull())
+    highs = F.filter(
+        F.transform(parts, lambda c: F.when(c["op"].isin("<=", "", "=", "=="), at(c["key"], BEHIND)).when(c["op"] == "<", at(c["key"], BEFORE)).when(c["op"] == "^", at(same[1](c), BEFORE)).when(c["op"].isin("~", "~>"), at(same[2](c), BEFORE))),
+        lambda x: x.isNotNull(),
+    )
+    left_out = F.transform(F.filter(parts, lambda c: c["op"] == "!="), lambda c: c["key"])
+    return F.struct(F.array_max(lows).alias("low"), F.array_min(highs).alias("high"), left_out.alias("not_"))
 
 
 def within(key: Column, bounds: Column) -> Column:
-    """Whether a version key meets all limits of a range."""
-    return F.forall(bounds, lambda c: constraint(c["op"], key, c["key"]))
+    """Whether a version key meets the limits of a range; a version that isn't there meets none."""
+    place = F.struct(key.alias("key"), F.lit(0).alias("side"))
+    low = bounds["low"].isNull() | (bounds["low"] < place)
+    high = bounds["high"].isNull() | (place < bounds["high"])
+    return F.coalesce(key.isNotNull() & low & high & ~F.exists(bounds["not_"], lambda k: k == key), F.lit(False))
+
+
+def known(version: Column) -> Column:
+    """The version, null where it is empty."""
+    return F.nullif(F.trim(version), F.lit(""))
 
 
 def in_range(version: Column, spec: Column) -> Column:
     """Whether a version meets every constraint of a range."""
-    return within(version_key(version), limits(spec))
+    return within(version_key(known(version)), limits(spec))
+
+
+def is_fixed(version: Column, fixed: Column) -> Column:
+    """Whether a version holds the published fix; without a fix, or a version, it doesn't."""
+    return F.coalesce(version_key(known(version)) >= version_key(known(fixed)), F.lit(False))

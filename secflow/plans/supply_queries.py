@@ -69,10 +69,14 @@ BOOK.on("enr_account_flags", "v_events", "SELECT DISTINCT principal, CASE WHEN s
 
 #: A version as one text that sorts like it: three numbers, then z for a final release or the pre-release.
 DUCK_KEY = "(lpad(split_part(split_part({0}, '-', 1), '.', 1), 6, '0') || lpad(split_part(split_part({0}, '-', 1), '.', 2), 6, '0') || lpad(split_part(split_part({0}, '-', 1), '.', 3), 6, '0') || CASE WHEN contains({0}, '-') THEN split_part({0}, '-', 2) ELSE 'z' END)"
-LOW, HIGH = "split_part(substring(affected, 3), ' ', 1)", "substring(split_part(affected, ' ', 2), 2)"
-MATCHES = f"""matches AS (SELECT c.*, a.vuln_id, a.severity, a.fixed, CASE WHEN {DUCK_KEY.format('version')} >= {DUCK_KEY.format('fixed')} THEN 'fixed'
-  WHEN {DUCK_KEY.format('version')} >= {DUCK_KEY.format(LOW)} AND {DUCK_KEY.format('version')} < {DUCK_KEY.format(HIGH)} THEN 'affected' ELSE 'not_affected' END AS status
-  FROM v_components c JOIN v_advisories a ON a.package = c.package AND (a.ecosystem IS NULL OR a.ecosystem = c.ecosystem))"""
+_K = {c: DUCK_KEY.format(c) for c in ("version", "low", "high", "fixed")}
+_SAME = "split_part(version, '.', {0}) = split_part(low, '.', {0})".format
+#: Whether a version lies in an advisory's range, by the form of the range; and whether it is open to it.
+INSIDE = f"""CASE WHEN form IN (0, 1, 4) THEN true WHEN form = 2 THEN {_K['version']} >= {_K['low']} AND {_SAME(1)} WHEN form = 3 THEN {_K['version']} >= {_K['low']} AND {_SAME(1)} AND {_SAME(2)}
+  WHEN form = 5 THEN {_K['version']} >= {_K['low']} AND {_K['version']} < {_K['high']} ELSE {_K['version']} >= {_K['low']} AND {_K['version']} < {_K['high']} END"""
+OPEN = f"({INSIDE}) AND (coalesce(fixed, '') = '' OR {_K['version']} < {_K['fixed']})"
+PAIRS = "FROM v_components c JOIN v_advisories a ON a.package = c.package AND (a.ecosystem IS NULL OR a.ecosystem = c.ecosystem)"
+MATCHES = f"matches AS (SELECT c.*, a.vuln_id, a.severity, a.fixed {PAIRS} WHERE {OPEN})"
 
 
 def documents(df: DataFrame, kind: str) -> DataFrame:
@@ -80,39 +84,50 @@ def documents(df: DataFrame, kind: str) -> DataFrame:
     purl = F.when(F.col("part_id") % 6 != 0, F.concat(F.lit("pkg:"), "ecosystem", F.lit("/org/"), "package", F.lit("@"), "version"))
     ref = F.concat(F.lit("r"), F.col("part_id").cast("string"))
     if kind == "cyclonedx":
-        part = F.struct(F.col("package").alias("name"), "version", purl.alias("purl"), ref.alias("bom-ref"))
+        license = F.when(F.col("part_id") % 4 == 0, F.array(F.struct(F.struct(F.lit("MIT").alias("id"), F.lit(None).cast("string").alias("name")).alias("license"), F.lit(None).cast("string").alias("expression")))).when(F.col("part_id") % 4 == 1, F.array(F.struct(F.lit(None).cast("struct<id:string,name:string>").alias("license"), F.lit("Apache-2.0 OR MIT").alias("expression"))))
+        part = F.struct(F.when(F.col("part_id") % 12 == 6, "Library").alias("type"), F.col("package").alias("name"), "version", purl.alias("purl"), ref.alias("bom-ref"), license.alias("licenses"))
         made = df.groupBy("app_id", "application").agg(F.collect_list(part).alias("components"), F.collect_list(F.when(F.col("direct"), ref)).alias("on"))
         root = F.struct(F.struct(F.col("application").alias("name"), F.lit("root").alias("bom-ref")).alias("component"))
         body = F.struct(F.lit("CycloneDX").alias("bomFormat"), root.alias("metadata"), "components", F.array(F.struct(F.lit("root").alias("ref"), F.col("on").alias("dependsOn"))).alias("dependencies"))
     else:
         refs = F.when(purl.isNotNull(), F.array(F.struct(F.lit("purl").alias("referenceType"), purl.alias("referenceLocator"))))
         purpose = F.when(F.col("part_id") % 5 == 0, "LIBRARY").when(F.col("part_id") % 5 == 1, "SOURCE")
-        part = F.struct(ref.alias("SPDXID"), F.col("package").alias("name"), F.col("version").alias("versionInfo"), refs.alias("externalRefs"), purpose.alias("primaryPackagePurpose"))
+        part = F.struct(ref.alias("SPDXID"), F.col("package").alias("name"), F.col("version").alias("versionInfo"), F.when(F.col("part_id") % 4 == 0, "NOASSERTION").otherwise("BSD-2-Clause").alias("licenseConcluded"), refs.alias("externalRefs"), purpose.alias("primaryPackagePurpose"))
         made = df.groupBy("app_id", "application").agg(F.collect_list(part).alias("p"))
-        root = F.struct(F.lit("root").alias("SPDXID"), F.col("application").alias("name"), F.lit("1").alias("versionInfo"), F.lit(None).cast("array<struct<referenceType:string,referenceLocator:string>>").alias("externalRefs"), F.lit(None).cast("string").alias("primaryPackagePurpose"))
+        root = F.struct(F.lit("root").alias("SPDXID"), F.col("application").alias("name"), F.lit("1").alias("versionInfo"), F.lit(None).cast("string").alias("licenseConcluded"), F.lit(None).cast("array<struct<referenceType:string,referenceLocator:string>>").alias("externalRefs"), F.lit(None).cast("string").alias("primaryPackagePurpose"))
         body = F.struct(F.lit("SPDX-2.3").alias("spdxVersion"), F.col("application").alias("name"), F.array(F.lit("root")).alias("documentDescribes"), F.concat(F.array(root), "p").alias("packages"))
     return made.select("app_id", F.to_json(body).alias("document"))
 
 
 PURL_SQL = "CASE WHEN part_id % 6 <> 0 THEN 'pkg:' || ecosystem || '/org/' || package || '@' || version ELSE 'pkg:generic/' || package || '@' || version END"
-BOOK.on("sbom_cyclonedx", "v_components", f"SELECT app_id, application, package AS name, version, {PURL_SQL} AS purl, direct OR NOT bool_or(direct) OVER (PARTITION BY app_id) AS direct FROM v_components")(lambda df: S.from_cyclonedx(documents(df, "cyclonedx")))
-BOOK.on("sbom_spdx", "v_components", f"SELECT app_id, application, package AS name, version, {PURL_SQL} AS purl, part_id % 5 <> 1 AS direct FROM v_components")(lambda df: S.from_spdx(documents(df, "spdx")))
+TYPED_PURL = PURL_SQL.replace("'pkg:generic/'", "CASE WHEN part_id % 12 = 6 THEN 'pkg:library/' ELSE 'pkg:generic/' END")
+BOOK.on("sbom_cyclonedx", "v_components", f"SELECT app_id, application, package AS name, version, {TYPED_PURL} AS purl, CASE part_id % 4 WHEN 0 THEN 'MIT' WHEN 1 THEN 'Apache-2.0 OR MIT' ELSE '' END AS licenses, direct OR NOT bool_or(direct) OVER (PARTITION BY app_id) AS direct FROM v_components")(lambda df: S.from_cyclonedx(documents(df, "cyclonedx")).withColumn("licenses", F.array_join("licenses", ", ")))
+BOOK.on("sbom_spdx", "v_components", f"SELECT app_id, application, package AS name, version, {PURL_SQL} AS purl, part_id % 5 <> 1 AS direct, CASE WHEN part_id % 4 = 0 THEN '' ELSE 'BSD-2-Clause' END AS licenses FROM v_components")(lambda df: S.from_spdx(documents(df, "spdx")).withColumn("licenses", F.array_join("licenses", ", ")))
 BOOK.on("src_sbom_docs", "v_components", "SELECT application, count(*) AS components FROM v_components GROUP BY application")(lambda df: S.from_cyclonedx(documents(df.where("app_id % 2 = 0"), "cyclonedx")).unionByName(S.from_spdx(documents(df.where("app_id % 2 = 1"), "spdx"))).groupBy("application").agg(F.count(F.lit(1)).alias("components")))
 BOOK.on("sbom_purl", "v_components", f"SELECT part_id, CASE WHEN part_id % 6 <> 0 THEN ecosystem ELSE 'generic' END AS ecosystem, package AS name, version FROM v_components")(
     lambda df: df.select("part_id", S.purl_parts(F.when(F.col("part_id") % 6 != 0, F.concat(F.lit("pkg:"), "ecosystem", F.lit("/org/"), "package", F.lit("@"), "version", F.lit("?arch=x#src"))).otherwise(S.synthetic_purl(F.col("package"), F.col("version")))).alias("p")).select("part_id", "p.ecosystem", "p.name", "p.version")
 )
 BOOK.on("sbom_inventory", "v_components", "SELECT DISTINCT tenant, application, package, version FROM (SELECT *, max(revision) OVER (PARTITION BY tenant, application) AS newest FROM v_components) WHERE revision = newest")(lambda df: S.newest_inventory(df, "revision", ["tenant", "application"], ["tenant", "application", "package", "version"]).select("tenant", "application", "package", "version"))
 BOOK.on("sbom_version_key", "v_components", f"SELECT part_id, CAST(dense_rank() OVER (PARTITION BY package ORDER BY {DUCK_KEY.format('version')}) AS BIGINT) AS place FROM v_components")(lambda df: df.withColumn("place", F.dense_rank().over(Window.partitionBy("package").orderBy(V.version_key(F.col("version")))).cast("long")).select("part_id", "place"))
-BOOK.over("sbom_range_match", "v_components", "v_advisories", oracle=f"SELECT c.part_id, a.vuln_id, {DUCK_KEY.format('version')} >= {DUCK_KEY.format(LOW)} AND {DUCK_KEY.format('version')} < {DUCK_KEY.format(HIGH)} AS inside FROM v_components c JOIN v_advisories a USING (package)")(lambda c, a: S.version_pairs(c, a.drop("ecosystem")).select("part_id", "vuln_id", V.within(F.col("_key"), F.col("_limits")).alias("inside")))
-BOOK.over("sbom_fixed", "v_components", "v_advisories", oracle=f"SELECT c.part_id, a.vuln_id, {DUCK_KEY.format('version')} >= {DUCK_KEY.format('fixed')} AS fixed FROM v_components c JOIN v_advisories a USING (package)")(lambda c, a: S.version_pairs(c, a.drop("ecosystem")).select("part_id", "vuln_id", (F.col("_key") >= F.col("_fixed")).alias("fixed")))
-BOOK.over("sbom_match", "v_components", "v_advisories", oracle=f"WITH {MATCHES} SELECT part_id, vuln_id, status FROM matches")(lambda c, a: S.match_advisories(c, a).select("part_id", "vuln_id", "status"))
-BOOK.over("sbom_impact", "v_components", "v_advisories", oracle=f"WITH {MATCHES}, o AS (SELECT * FROM matches WHERE severity = 'critical') SELECT a.app_id, CASE WHEN max(CASE WHEN o.status = 'affected' THEN 1 ELSE 0 END) = 1 THEN 'affected' WHEN count(o.app_id) > 0 THEN 'unaffected' ELSE 'not_present' END AS state, count(o.app_id) FILTER (WHERE o.status = 'affected') AS findings FROM (SELECT DISTINCT app_id FROM v_components) a LEFT JOIN o USING (app_id) GROUP BY a.app_id")(lambda c, a: S.impact(c.select("app_id").distinct(), S.match_advisories(c, a).where("severity = 'critical'")).select("app_id", "state", "findings"))
-BOOK.over("sbom_findings", "v_components", "v_advisories", oracle=f"WITH {MATCHES} SELECT application, package, vuln_id, severity, count(*) AS parts FROM matches WHERE status = 'affected' GROUP BY ALL")(lambda c, a: S.match_advisories(c, a).where("status = 'affected'").groupBy("application", "package", "vuln_id", "severity").agg(F.count(F.lit(1)).alias("parts")))
-BOOK.over("sbom_applications", "v_components", "v_advisories", oracle=f"WITH {MATCHES}, f AS (SELECT application, count(*) AS findings FROM matches WHERE status = 'affected' GROUP BY application) SELECT c.application, count(*) AS components, count(*) FILTER (WHERE direct) AS direct, coalesce(max(f.findings), 0) AS findings FROM v_components c LEFT JOIN f USING (application) GROUP BY c.application")(
-    lambda c, a: c.groupBy("application").agg(F.count(F.lit(1)).alias("components"), F.count_if("direct").alias("direct")).join(S.match_advisories(c, a).where("status = 'affected'").groupBy("application").agg(F.count(F.lit(1)).alias("findings")), "application", "left").select("application", "components", "direct", F.coalesce("findings", F.lit(0)).alias("findings"))
+BOOK.over("sbom_range_match", "v_components", "v_advisories", oracle=f"SELECT c.part_id, a.vuln_id {PAIRS} WHERE {INSIDE}")(lambda c, a: S.in_range_matches(c, a).select("part_id", "vuln_id"))
+BOOK.over("sbom_match", "v_components", "v_advisories", oracle=f"WITH {MATCHES} SELECT part_id, vuln_id, 'affected' AS status FROM matches")(lambda c, a: S.match_advisories(c, a).select("part_id", "vuln_id", F.lit("affected").alias("status")))
+BOOK.over("sbom_impact", "v_components", "v_advisories", oracle=f"WITH {MATCHES}, o AS (SELECT * FROM matches WHERE severity = 'critical'), h AS (SELECT DISTINCT c.app_id {PAIRS} WHERE a.severity = 'critical'), f AS (SELECT app_id, count(*) AS findings FROM o GROUP BY 1) SELECT a.app_id, CASE WHEN f.findings > 0 THEN 'affected' WHEN h.app_id IS NOT NULL THEN 'unaffected' ELSE 'not_present' END AS state, coalesce(f.findings, 0) AS findings FROM (SELECT DISTINCT app_id FROM v_components) a LEFT JOIN f USING (app_id) LEFT JOIN h USING (app_id)")(lambda c, a: S.impact(c.select("app_id").distinct(), c, a.where("severity = 'critical'")).select("app_id", "state", "findings"))
+
+
+@BOOK.over("sbom_fixed", "v_components", "v_advisories", oracle=f"WITH f AS (SELECT c.part_id, c.version, a.vuln_id, a.form, a.low, a.high, CASE WHEN a.form = 2 THEN '1.0.1' ELSE a.fixed END AS now_fixed {PAIRS} WHERE {OPEN}) SELECT part_id, vuln_id, CASE WHEN coalesce(now_fixed, '') = '' OR {_K['version']} < {DUCK_KEY.format('now_fixed')} THEN 'affected' ELSE 'fixed' END AS status FROM f")
+def fix_published(components: DataFrame, advisories: DataFrame) -> DataFrame:
+    """Links found earlier, after some advisories published an earlier fix: their status now."""
+    links = S.match_advisories(components, advisories).select("part_id", "vuln_id", "version")
+    revised = advisories.withColumn("fixed", F.when(F.col("form") == 2, "1.0.1").otherwise(F.col("fixed")))
+    return S.rematch(links, revised).select("part_id", "vuln_id", "status")
+
+
+BOOK.over("sbom_findings", "v_components", "v_advisories", oracle=f"WITH {MATCHES} SELECT application, package, vuln_id, severity, count(*) AS parts FROM matches GROUP BY ALL")(lambda c, a: S.match_advisories(c, a).groupBy("application", "package", "vuln_id", "severity").agg(F.count(F.lit(1)).alias("parts")))
+BOOK.over("sbom_applications", "v_components", "v_advisories", oracle=f"WITH {MATCHES}, f AS (SELECT application, count(*) AS findings FROM matches GROUP BY application) SELECT c.application, count(*) AS components, count(*) FILTER (WHERE direct) AS direct, coalesce(max(f.findings), 0) AS findings FROM v_components c LEFT JOIN f USING (application) GROUP BY c.application")(
+    lambda c, a: c.groupBy("application").agg(F.count(F.lit(1)).alias("components"), F.count_if("direct").alias("direct")).join(S.match_advisories(c, a).groupBy("application").agg(F.count(F.lit(1)).alias("findings")), "application", "left").select("application", "components", "direct", F.coalesce("findings", F.lit(0)).alias("findings"))
 )
 BOOK.on("sbom_components", "v_components", "SELECT package, count(DISTINCT version) AS versions, count(DISTINCT application) AS applications FROM v_components WHERE contains(package, '-1') GROUP BY package")(lambda df: df.where(F.lower("package").contains("-1")).groupBy("package").agg(F.countDistinct("version").alias("versions"), F.countDistinct("application").alias("applications")))
-BOOK.over("sbom_stats", "v_components", "v_advisories", oracle=f"WITH {MATCHES} SELECT severity, count(*) AS findings, count(DISTINCT application) AS applications FROM matches WHERE status = 'affected' GROUP BY severity")(lambda c, a: S.match_advisories(c, a).where("status = 'affected'").groupBy("severity").agg(F.count(F.lit(1)).alias("findings"), F.countDistinct("application").alias("applications")))
+BOOK.over("sbom_stats", "v_components", "v_advisories", oracle=f"WITH {MATCHES} SELECT severity, count(*) AS findings, count(DISTINCT application) AS applications FROM matches GROUP BY severity")(lambda c, a: S.match_advisories(c, a).groupBy("severity").agg(F.count(F.lit(1)).alias("findings"), F.countDistinct("application").alias("applications")))
 
 # Collaboration
 
@@ -132,11 +147,12 @@ def reasons(df: DataFrame) -> DataFrame:
 BOOK.on("note_watchers", "v_notes", f"WITH {REASONS} SELECT incident_id, email, arg_min(reason, (t, reason)) AS reason, min(t) AS since FROM reasons GROUP BY incident_id, email")(lambda df: T.watchers(reasons(df)))
 
 
-@BOOK.over("notify_recipients", "v_notes", "v_users", oracle=f"WITH {REASONS}, w AS (SELECT DISTINCT incident_id, email FROM reasons), l AS (SELECT DISTINCT n.incident_id, u.email FROM (SELECT DISTINCT incident_id FROM v_notes) n JOIN v_users u ON u.team_id = n.incident_id % 25 AND u.role = 'lead') SELECT incident_id, email FROM (SELECT * FROM w UNION SELECT * FROM l) WHERE email <> 'user' || incident_id % 150 || '@corp.example'")
+@BOOK.over("notify_recipients", "v_notes", "v_users", oracle=f"WITH {REASONS}, w AS (SELECT DISTINCT incident_id, email FROM reasons), l AS (SELECT DISTINCT n.incident_id, u.email FROM (SELECT DISTINCT incident_id FROM v_notes) n JOIN v_users u ON u.team_id = n.incident_id % (SELECT max(team_id) + 1 FROM v_users) AND u.role = 'lead') SELECT incident_id, email FROM (SELECT * FROM w UNION SELECT * FROM l) WHERE email <> 'user' || incident_id % 150 || '@corp.example'")
 def recipients(notes: DataFrame, users: DataFrame) -> DataFrame:
     """Watchers and the team's leads, without the actor."""
     watching = reasons(notes).select("incident_id", "email")
-    teams = notes.select("incident_id").distinct().withColumn("team_id", F.col("incident_id") % 25)
+    count = users.agg((F.max("team_id") + 1).alias("teams"))  # one row
+    teams = notes.select("incident_id").distinct().join(F.broadcast(count)).withColumn("team_id", F.col("incident_id") % F.col("teams"))
     leads = teams.join(users.where("role = 'lead'"), "team_id").select("incident_id", "email")
     actor = F.concat(F.lit("user"), (F.col("incident_id") % 150).cast("string"), F.lit("@corp.example"))
     return watching.union(leads).distinct().where(F.col("email") != actor)

@@ -78,18 +78,19 @@ FROM orders CROSS JOIN (SELECT 1 AS n UNION ALL SELECT 2 UNION ALL SELECT 3 UNIO
     "v_components": (("part", "supplier"), """
 SELECT s_suppkey AS app_id, 'app-' || @str(s_suppkey) AS application, 't' || @str(s_suppkey % 3) AS tenant,
   CASE WHEN s_suppkey % 3 = 0 THEN 'critical' WHEN s_suppkey % 3 = 1 THEN 'high' ELSE 'low' END AS criticality,
-  p_partkey AS part_id, 'lib-' || @str(p_partkey % 97) AS package,
+  p_partkey AS part_id, 'lib-' || @str(p_partkey % (7 + @div((SELECT count(*) FROM part), 20))) AS package,
   CASE p_partkey % 3 WHEN 0 THEN 'npm' WHEN 1 THEN 'pypi' ELSE 'maven' END AS ecosystem,
   @str(@div(p_size, 10)) || '.' || @str(p_size % 10) || '.' || @str(p_partkey % 12) || CASE WHEN p_partkey % 19 = 0 THEN '-rc1' WHEN p_partkey % 23 = 0 THEN '-beta.2' ELSE '' END AS version,
   p_partkey % 4 = 0 AS direct, 1 + p_partkey % 2 AS revision
 FROM part CROSS JOIN (SELECT count(*) AS n FROM supplier) apps JOIN supplier ON s_suppkey = p_partkey % n"""),
     "v_advisories": (("part",), """
-SELECT 'VULN-' || @str(p_partkey) AS vuln_id, 'lib-' || @str(p_partkey % 97) AS package,
+SELECT *, CASE form WHEN 0 THEN NULL WHEN 1 THEN 'any' WHEN 2 THEN '^' || low WHEN 3 THEN '~>' || low WHEN 4 THEN ' ' WHEN 5 THEN '>=' || low || ', !=' || high || ' <=' || high ELSE '>=' || low || ' <' || high END AS affected
+FROM (SELECT 'VULN-' || @str(p_partkey) AS vuln_id, 'lib-' || @str(p_partkey % (7 + @div((SELECT count(*) FROM part), 20))) AS package,
   CASE WHEN p_partkey % 5 = 0 THEN NULL WHEN p_partkey % 3 = 0 THEN 'npm' WHEN p_partkey % 3 = 1 THEN 'pypi' ELSE 'maven' END AS ecosystem,
-  '>=' || @str(p_size % 3) || '.' || @str(p_partkey % 10) || '.0 <' || @str(p_size % 3 + 2) || '.' || @str(p_partkey % 7) || '.5' AS affected,
-  @str(p_size % 3 + 2) || '.' || @str(p_partkey % 7) || '.5' AS fixed,
+  p_partkey % 13 AS form, @str(p_size % 3) || '.' || @str(p_partkey % 10) || '.0' AS low, @str(p_size % 3 + 2) || '.' || @str(p_partkey % 7) || '.5' AS high,
+  CASE WHEN p_partkey % 11 = 0 THEN NULL WHEN p_partkey % 11 = 1 THEN '' ELSE @str(p_size % 3 + 2) || '.' || @str(p_partkey % 7) || '.5' END AS fixed,
   CASE p_partkey % 4 WHEN 0 THEN 'critical' WHEN 1 THEN 'high' WHEN 2 THEN 'medium' ELSE 'low' END AS severity
-FROM part"""),
+FROM part) a"""),
     "v_notes": (("conversations",), """
 SELECT conv_id * 100 + turn AS id, conv_id AS incident_id, 't' || @str(conv_id % 3) AS tenant, turn AS t,
   CASE WHEN turn % 3 = 0 THEN NULL WHEN turn % 3 = 1 THEN conv_id * 100 + turn - 1 ELSE conv_id * 100 + turn + 90000000 END AS parent_id,
@@ -98,7 +99,7 @@ SELECT conv_id * 100 + turn AS id, conv_id AS incident_id, 't' || @str(conv_id %
 FROM conversations"""),
     "v_users": (("customer",), """
 SELECT c_custkey AS user_id, 'user' || @str(c_custkey % 150) || CASE WHEN c_custkey < 150 THEN '@corp.example' ELSE '@other' || @str(@div(c_custkey, 150)) || '.example' END AS email,
-  CASE c_custkey % 3 WHEN 0 THEN 'viewer' WHEN 1 THEN 'analyst' ELSE 'lead' END AS role, c_custkey % 25 AS team_id
+  CASE c_custkey % 3 WHEN 0 THEN 'viewer' WHEN 1 THEN 'analyst' ELSE 'lead' END AS role, c_custkey % (1 + @div((SELECT count(*) FROM customer), 30)) AS team_id
 FROM customer"""),
     "v_teams": (("nation",), "SELECT CAST(n_nationkey AS BIGINT) AS team_id, 'team-' || @str(n_nationkey) AS team, n_nationkey % 4 <> 1 AS enabled FROM nation"),
     "v_links": (("orders",), """

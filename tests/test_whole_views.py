@@ -3,7 +3,6 @@
 import pytest
 from pyspark.sql import functions as F
 
-from secflow.operators import supply_chain
 from secflow.plans.normalize_queries import identity
 from secflow.plans.views import view
 
@@ -20,18 +19,3 @@ def test_every_user_is_an_identity(spark):
     events = spark.createDataFrame([(1, 200, 2), (2, 1, 1), (3, 1, 2), (4, 151, 2)], "event_id long, user_id long, k long").withColumn("principal", F.concat(F.lit("user"), "user_id", F.lit("@corp.example")))
     got = sorted((r.event_id, r.canonical, r.is_service) for r in identity(events, users).collect())
     assert got == [(1, "user50@other1.example", True), (2, "user1@corp.example", False), (3, "user1@corp.example", False), (4, "user1@other1.example", False)]
-
-
-def test_advisories_against_brute_force(spark):
-    """All pairs of a package, from the table itself."""
-    c, a = view(spark, "/root/testdata/sf0.001", "v_components"), view(spark, "/root/testdata/sf0.001", "v_advisories")
-    key = lambda v: (tuple(map(int, v.split("-")[0].split("."))), "-" not in v)
-    want, advisories = set(), a.collect()
-    for x in c.collect():
-        for y in advisories:
-            if x.package == y.package and y.ecosystem in (None, x.ecosystem):
-                low, high = (p.lstrip("<>=") for p in y.affected.split())
-                fixed = key(x.version) >= key(y.fixed)
-                want.add((x.part_id, y.vuln_id, "fixed" if fixed else "affected" if key(low) <= key(x.version) < key(high) else "not_affected"))
-    got = supply_chain.match_advisories(c, a).select("part_id", "vuln_id", "status").collect()
-    assert len(got) == len(want) and {tuple(r) for r in got} == want and {s for *_, s in want} > {"fixed"}
