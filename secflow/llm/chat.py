@@ -7,8 +7,9 @@ tree are formatted.
 Method: self-joins follow the replies. Round j joins the table of 2^j-th ancestors with
 itself, which gives the 2^(j+1)-th ones and adds up scores on the way, so rounds grow with
 the logarithm of the deepest path. Leaves are ranked by their path's score, and the chosen
-paths are enumerated from the same tables: round j adds to every message found so far its
-2^j-th ancestor, so each message is found once. Texts join last, and only those chosen.
+paths are enumerated from the same tables, from the longest jump down: round j adds to every
+message found so far its 2^j-th ancestor, so each message is found once. Texts join last, and
+only those chosen.
 
 The template writes a message as ``<|im_start|>role``, a line feed, the text and
 ``<|im_end|>`` with a line feed. ``<|`` inside a role or text becomes ``<\\|`` (and each
@@ -117,13 +118,17 @@ class Replies:
 
     def paths(self, branches: DataFrame) -> DataFrame:
         """``branches`` with one row per message of each: ``node`` and ``turn``, its place from the root, from 0."""
-        found = branches.withColumn("node", F.col("leaf")).withColumn("turn", F.col("depth") - 1)
-        carried = [c for c in found.columns if c not in ("node", "turn")]
-        for j, jump in enumerate(self.jumps):
+        # From the longest jump to the shortest, so that a message passes through about one join
+        # however long the longest path is: a path comes in when a jump fits into it.
+        start = branches.withColumn("node", F.col("leaf")).withColumn("turn", F.col("depth") - 1)
+        carried = [c for c in start.columns if c not in ("node", "turn")]
+        found = start.where(F.col("turn") >= 2 ** len(self.jumps))
+        for j, jump in reversed(list(enumerate(self.jumps))):
+            found = found.unionByName(start.where((F.col("turn") >= 2**j) & (F.col("turn") < 2 ** (j + 1))))
             far = F.when(F.col("up").isNotNull(), F.struct(F.col("up").alias("node"), (F.col("turn") - 2**j).alias("turn")))
             both = F.filter(F.array(F.struct("node", "turn"), far), lambda x: x.isNotNull())
             found = found.join(jump, ["tree", "node"], "left").select(*carried, F.explode(both).alias("x")).select(*carried, "x.*")
-        return found
+        return found.unionByName(start.where("turn = 0"))
 
     def close(self, spark: SparkSession) -> None:
         discard(spark, *self.tables)
