@@ -32,11 +32,11 @@ def level_severity(level: Column) -> Column:
     """Severity of a rule level; an unknown level counts as medium."""
     found = F.when(F.lit(False), F.lit(0))
     for name, value in LEVELS.items():
-        found = found.when(level == name, value)
+        found = found.when(F.lower(level) == name, value)
     return found.otherwise(LEVELS["medium"])
 
 
-def signals(*, source_ip: Column, internal: list[str], verdict: Column, class_uid: Column, status_id: Column, is_mfa: Column, time: Column, privileged: Column, critical: Column, service: Column, load_test: Column) -> Column:
+def signals(*, source_ip: Column, internal: list[str], verdict: Column, class_uid: Column, status_id: Column, is_mfa: Column, time: Column, privileged: Column, critical: Column, service: Column, load_test: Column, first_seen: Column | None = None, maintenance: Column | None = None) -> Column:
     """Names of the context signals that hold, as an array in a fixed order."""
     is_internal = F.lit(False)
     for network in internal:
@@ -50,12 +50,23 @@ def signals(*, source_ip: Column, internal: list[str], verdict: Column, class_ui
         "off_hours": (hour < 6) | (hour >= 22) | (F.weekday(time) >= 5),
         "privileged_target": privileged,
         "critical_asset_touched": critical,
+        "first_seen_source": F.lit(False) if first_seen is None else first_seen,
         "service_account": service,
         "load_test_account": load_test,
+        "known_maintenance_window": F.lit(False) if maintenance is None else maintenance,
     }
     return F.array_compact(F.array(*(F.when(F.coalesce(t, F.lit(False)), F.lit(n)) for n, t in tests.items())))
 
 
+#: Signals that by themselves say an alert is almost surely benign.
+SUPPRESSING = ("load_test_account", "known_maintenance_window")
+
+
+def suppressing(names: Column) -> Column:
+    """Those of the signals that silence an alert, in their fixed order."""
+    return F.filter(F.array(*map(F.lit, SUPPRESSING)), lambda n: F.array_contains(names, n))
+
+
 def modifier(names: Column) -> Column:
     """Product of the signals' weights, clamped."""
     weights = F.create_map(*(F.lit(x) for item in WEIGHTS.items() for x in item))
@@ -63,8 +74,9 @@ def modifier(names: Column) -> Column:
 
 
 def alert_score(severity: Column, confidence: Column, criticality: Column, factor: Column) -> Column:
-    """Geometric mean of three 0-10 ratings as a 0-100 base; a factor above 1 fills part of the headroom, one below damps. Halves round to even."""
-    base = 100 * F.pow(severity / 10 * (confidence / 10) * (criticality / 10), F.lit(1.0 / 3.0))
+    """Geometric mean of three ratings, each held to 1..10, as a 0-100 base; a factor above 1 fills part of the headroom, one below damps. Halves round to even."""
+    held = [F.greatest(F.lit(1), F.least(F.lit(10), x)) / 10 for x in (severity, confidence, criticality)]
+    base = 100 * F.pow(held[0] * held[1] * held[2], F.lit(1.0 / 3.0))
     share = (factor - 1.0) / (CEILING - 1.0)
     raised = base + F.least((100.0 - base) * share, MOST_POINTS * share)
     return F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.bround(F.when(factor >= 1.0, raised).otherwise(base * factor)))).cast("long")

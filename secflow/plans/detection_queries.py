@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from secflow.functions import risk
@@ -90,11 +90,14 @@ def entity_keys(df: DataFrame) -> DataFrame:
     return df.select("event_id", F.array_join(D.entity_keys(F.col("principal"), F.col("source_ip"), F.col("hostname"), session), ",").alias("keys"))
 
 
-@BOOK.on("det_context_suppressed", "v_events", f"WITH {MATCHED} SELECT event_id, rule_id, CASE WHEN starts_with(principal, 'svc-') AND k % 10 = 0 THEN 'service_account,known_maintenance_window' WHEN starts_with(principal, 'svc-') THEN 'service_account' ELSE 'known_maintenance_window' END AS reason FROM matched WHERE starts_with(principal, 'svc-') OR k % 10 = 0")
+LOAD_TEST, MAINTENANCE = "(user_id % 13 = 0 AND user_id % 11 <> 0)", "(k % 10 = 0)"
+
+
+@BOOK.on("det_context_suppressed", "v_events", f"WITH {MATCHED} SELECT event_id, rule_id, concat_ws(',', CASE WHEN {LOAD_TEST} THEN 'load_test_account' END, CASE WHEN {MAINTENANCE} THEN 'known_maintenance_window' END) AS reason FROM matched WHERE {LOAD_TEST} OR {MAINTENANCE}")
 def context_suppressed(df: DataFrame) -> DataFrame:
-    """Alerts that benign context silences, kept in a table of their own with the reason."""
-    benign = F.array_compact(F.array(F.when(F.col("principal").startswith("svc-"), F.lit("service_account")), F.when(F.col("k") % 10 == 0, F.lit("known_maintenance_window"))))
-    return D.match_rules(df, RULES).withColumn("why", benign).where(F.size("why") > 0).select("event_id", "rule_id", F.array_join("why", ",").alias("reason"))
+    """Alerts that benign context silences, kept in a table of their own with the reason. A service account alone silences nothing."""
+    found = D.match_rules(df, RULES).withColumn("why", risk.suppressing(_signals(df, F.expr(LOAD_TEST), F.expr(MAINTENANCE))))
+    return found.where(F.size("why") > 0).select("event_id", "rule_id", F.array_join("why", ",").alias("reason"))
 
 
 @BOOK.on("det_retro_hunt", "v_events", f"SELECT event_id, t, principal FROM v_events WHERE {DUCK_RULES['idn-role-change']} AND t BETWEEN 1704500000000000 AND 1706000000000000 ORDER BY t DESC, event_id LIMIT 100")
@@ -237,9 +240,9 @@ def context(df: DataFrame) -> DataFrame:
     return df.select("event_id", F.array_join(_signals(df), ",").alias("signals"))
 
 
-def _signals(df: DataFrame):
+def _signals(df: DataFrame, load_test: Column | None = None, maintenance: Column | None = None) -> Column:
     verdict = F.when(F.col("k") < 5, "malicious").when(F.col("k") < 10, "vpn")
-    return risk.signals(source_ip=F.col("source_ip"), internal=INTERNAL, verdict=verdict, class_uid=F.col("class_uid"), status_id=F.col("status_id"), is_mfa=F.col("is_mfa"), time=F.timestamp_micros("t"), privileged=F.array_contains("groups", "wheel"), critical=F.col("hostname").startswith("db-prod"), service=F.col("principal").startswith("svc-"), load_test=F.lit(False))
+    return risk.signals(source_ip=F.col("source_ip"), internal=INTERNAL, verdict=verdict, class_uid=F.col("class_uid"), status_id=F.col("status_id"), is_mfa=F.col("is_mfa"), time=F.timestamp_micros("t"), privileged=F.array_contains("groups", "wheel"), critical=F.col("hostname").startswith("db-prod"), service=F.col("principal").startswith("svc-"), load_test=F.lit(False) if load_test is None else load_test, maintenance=maintenance)
 
 
 DUCK_FACTOR = """CASE WHEN NOT (starts_with(source_ip, '10.') OR starts_with(source_ip, '192.168.')) THEN 1.1::DOUBLE ELSE 1 END * CASE WHEN k < 5 THEN 1.3::DOUBLE WHEN k < 10 THEN 1.2::DOUBLE ELSE 1 END

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from secflow.functions.times import parse_time
+from secflow.operators import events as E
 from secflow.operators import normalize as N
 from secflow.plans.base import Book
 
@@ -116,12 +117,9 @@ BOOK.on("udf_mapper_registry", "v_events", "SELECT event_id, 6003 AS class_uid,
 
 def registered(df: DataFrame) -> DataFrame:
     """A source of one's own: a function from columns to the mapped struct."""
-    N.register_source("unknown", lambda payload, raw: N.made(class_uid=N.API, activity_id=1, actor=F.col("principal")))
-    try:
-        raw = raw_records(df).join(df.select("event_id", "principal"), "event_id").where("source = 'unknown.x'")
-        return N.normalize(raw).select("event_id", "event.class_uid", "event.actor")
-    finally:
-        del N.MAPPERS["unknown"]
+    own = {"unknown": lambda payload, raw: N.made(class_uid=N.API, activity_id=1, actor=F.col("principal"))}
+    raw = raw_records(df).join(df.select("event_id", "principal"), "event_id").where("source = 'unknown.x'")
+    return N.normalize(raw, own).select("event_id", "event.class_uid", "event.actor")
 
 
 BOOK.on("norm_labels", "v_events", "SELECT event_id, class_uid // 1000 AS category_uid, class_uid * 100 + activity_id AS type_uid, CASE class_uid WHEN 3001 THEN 'Account Change' WHEN 3002 THEN 'Authentication' WHEN 3005 THEN 'User Access Management' ELSE 'Datastore Activity' END AS class_name, CASE status_id WHEN 1 THEN 'Success' ELSE 'Failure' END AS status, CASE severity_id WHEN 1 THEN 'Informational' WHEN 2 THEN 'Low' ELSE 'High' END AS severity FROM v_events")(
@@ -143,10 +141,57 @@ KEY_SQL = "sha256(concat_ws('|', tenant, class_uid::VARCHAR, activity_id::VARCHA
 BOOK.on("norm_dedup_key", "v_events", f"SELECT event_id, {KEY_SQL} AS dedup_key FROM v_events")(lambda df: df.select("event_id", N.content_key(F.col("tenant"), F.col("class_uid"), F.col("activity_id"), F.timestamp_micros("t"), F.col("principal"), F.col("target_principal"), F.col("source_ip"), F.col("hostname"), F.col("status_id"), F.col("operation"), F.lit(None).cast("string"), F.col("message")).alias("dedup_key")))
 BOOK.on("norm_record_key", "v_events", "SELECT event_id, sha256(tenant || '|linux|' || coalesce(user_agent, '')) AS record_key FROM v_events")(lambda df: df.select("event_id", N.record_key(F.col("tenant"), F.lit("linux"), F.col("user_agent")).alias("record_key")))
 BOOK.on("norm_entities", "v_events", "SELECT event_id, CASE WHEN k % 4 = 0 THEN message ELSE principal END AS principal, coalesce(target_principal, 'none') AS target, status_id = 2 AS is_failure FROM v_events")(lambda df: df.select("event_id", N.first_known(F.when(F.col("k") % 4 == 0, "").otherwise(F.col("principal")), F.col("message")).alias("principal"), N.first_known(F.col("target_principal"), F.lit("none")).alias("target"), (F.col("status_id") == 2).alias("is_failure")))
-BOOK.on("norm_stamp", "v_events", "SELECT event_id, 'Linux Host' AS product, 'Linux' AS vendor, CASE WHEN k % 2 = 0 THEN t // 1000000 * 1000000 ELSE t END AS t FROM v_events")(lambda df: N.stamp(df.withColumn("event_time", F.when(F.col("k") % 2 == 0, F.expr("CAST(t div 1000000 AS STRING)")).otherwise("?")).withColumn("received_at", F.timestamp_micros("t")), "Linux Host", "Linux").select("event_id", "product", "vendor", F.unix_micros("time").alias("t")))
-BOOK.on("norm_observables", "v_events", "SELECT event_id, concat_ws(',', 'ip=' || source_ip, 'user=' || principal, CASE WHEN target_principal <> principal THEN 'user=' || target_principal END, 'hostname=' || hostname) AS found FROM v_events")(
-    lambda df: df.select("event_id", F.array_join(F.transform(N.observables(src__ip=("ip", F.col("source_ip")), actor__user=("user", F.col("principal")), user__name=("user", F.col("target_principal")), device__hostname=("hostname", F.col("hostname"))), lambda x: F.concat_ws("=", x["type"], x["value"])), ",").alias("found"))
+
+
+def app_records(df: DataFrame) -> DataFrame:
+    """Every event as the record that an application would have logged."""
+    action = F.when(F.col("event_type") == "error", "login_failed").when(F.col("event_type") == "signup", "login").when(F.col("event_type") == "purchase", "role_change").when(F.col("event_type") == "click", "api_key_created").otherwise("data_access")
+    at = F.timestamp_micros("t")
+    payload = F.struct(
+        action.alias("action"), F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("timestamp"), F.col("principal").alias("user"), F.col("target_principal").alias("target_user"), F.col("source_ip").alias("ip"), F.col("hostname").alias("host"),
+        F.col("session_uid").alias("session_id"), "operation", "user_agent", F.col("http_code").alias("status_code"), F.col("is_mfa").alias("mfa_used"), "groups", "message",
+    )
+    return df.select("event_id", F.lit("app.audit").alias("source"), "tenant", F.to_json(payload).alias("payload"), F.lit(None).cast("string").alias("raw"), at.alias("received_at"), F.lit("edge-1").alias("collector"))
+
+
+def events_of(df: DataFrame) -> DataFrame:
+    """The view's events, read from records, in their nested form."""
+    return E.check_schema(E.nested(N.normalize(app_records(df))))
+
+
+ISO = "strftime(make_timestamp(t), '%Y-%m-%dT%H:%M:%S.%f{0}')"
+NESTED_KEY = "sha256(concat_ws('|', tenant, class_uid::VARCHAR, activity_id::VARCHAR, " + ISO.format("+00:00") + ", principal, coalesce(target_principal, 'None'), source_ip, hostname, status_id::VARCHAR, operation, '', message))"
+MAIL = "CASE WHEN contains({0}, '@') THEN {0} END"
+DOCUMENT = f"""json_merge_patch('{{}}', to_json({{
+  class_uid: class_uid, class_name: CASE class_uid WHEN 3001 THEN 'Account Change' WHEN 3002 THEN 'Authentication' WHEN 3005 THEN 'User Access Management' ELSE 'Datastore Activity' END, category_uid: class_uid // 1000, activity_id: activity_id, type_uid: class_uid * 100 + activity_id,
+  "time": {ISO.format('+00:00')}, status_id: status_id, status: CASE status_id WHEN 1 THEN 'Success' ELSE 'Failure' END, severity_id: severity_id, severity: CASE severity_id WHEN 1 THEN 'Informational' WHEN 2 THEN 'Low' ELSE 'High' END,
+  metadata: {{product: {{name: 'Application', vendor_name: 'Own'}}, log_name: 'app', log_provider: 'edge-1', processed_time: {ISO.format('+00:00')}, original_time: {ISO.format('Z')}}},
+  actor: {{"user": {{name: principal, email_addr: {MAIL.format('principal')}, groups: groups}}, session: {{uid: session_uid}}}},
+  "user": CASE WHEN target_principal IS NOT NULL THEN {{name: target_principal, email_addr: {MAIL.format('target_principal')}, type: 'User'}} END,
+  src_endpoint: {{ip: source_ip}}, device: {{hostname: hostname}}, api: {{operation: operation}}, http_request: CASE WHEN user_agent IS NOT NULL THEN {{user_agent: user_agent}} END, http_response: {{code: http_code}}, is_mfa: is_mfa, message: message,
+  observables: list_filter([{{name: 'src_endpoint.ip', type: 'ip', value: source_ip}}, {{name: 'actor.user.name', type: 'user', value: principal}}, {{name: 'user.name', type: 'user', value: CASE WHEN target_principal <> principal THEN target_principal END}}, {{name: 'device.hostname', type: 'hostname', value: hostname}}], lambda x: x.value IS NOT NULL),
+  unmapped: {{action: CASE event_type WHEN 'error' THEN 'login_failed' WHEN 'signup' THEN 'login' WHEN 'purchase' THEN 'role_change' WHEN 'click' THEN 'api_key_created' ELSE 'data_access' END, groups: groups, host: hostname, ip: source_ip, message: message, mfa_used: is_mfa, operation: operation, session_id: session_uid, status_code: http_code, target_user: target_principal, "timestamp": {ISO.format('Z')}, "user": principal, user_agent: user_agent}},
+  ev_tenant: tenant, ev_source: 'app.audit', ev_dedup_key: {NESTED_KEY}}}))"""
+
+BOOK.on("norm_stamp", "v_events", f"SELECT event_id, tenant, 'app.audit' AS source, 'Application' AS product, 'Own' AS vendor, 'edge-1' AS provider, t AS processed, {ISO.format('Z')} AS original, t, {NESTED_KEY} AS dedup_key FROM v_events")(
+    lambda df: events_of(df).select("event_id", "ocsf.ev_tenant", "ocsf.ev_source", "ocsf.metadata.product.*", "ocsf.metadata.log_provider", F.unix_micros("ocsf.metadata.processed_time"), "ocsf.metadata.original_time", F.unix_micros("ocsf.time"), "ocsf.ev_dedup_key").toDF("event_id", "tenant", "source", "product", "vendor", "provider", "processed", "original", "t", "dedup_key")
 )
+BOOK.on("norm_observables", "v_events", "SELECT event_id, unnest(list_filter(['src_endpoint.ip|ip|' || source_ip, 'actor.user.name|user|' || principal, CASE WHEN target_principal <> principal THEN 'user.name|user|' || target_principal END, 'device.hostname|hostname|' || hostname], lambda x: x IS NOT NULL)) AS found FROM v_events")(
+    lambda df: events_of(df).select("event_id", F.explode("ocsf.observables").alias("o")).select("event_id", F.concat_ws("|", "o.name", "o.type", "o.value").alias("found"))
+)
+BOOK.on("norm_document", "v_events", f"SELECT event_id, {DOCUMENT}::VARCHAR AS document FROM v_events")(lambda df: events_of(df).select("event_id", E.document().alias("document")))
+BOOK.on("norm_vendor_fields", "v_events", "SELECT event_id, unnest(['ip', 'host', 'status_code']) AS key, unnest([source_ip, hostname, http_code::VARCHAR]) AS value FROM v_events UNION ALL SELECT event_id, 'target_user', target_principal FROM v_events WHERE target_principal IS NOT NULL")(
+    lambda df: E.vendor_fields(events_of(df)).where(F.col("key").isin("ip", "host", "status_code", "target_user"))
+)
+BOOK.on("norm_faults", "v_events", "SELECT CASE k % 6 WHEN 4 THEN 'unrecognized record' WHEN 5 THEN 'no mapper for source' WHEN 0 THEN 'tenant' ELSE '' END AS fault, count(*) AS n FROM v_events GROUP BY 1")(lambda df: faulty(df))
+
+
+def faulty(df: DataFrame) -> DataFrame:
+    """Events that the schema check refuses, beside the records that no mapper took."""
+    done = E.nested(N.normalize(raw_records(df).withColumn("tenant", F.when(F.col("source") == "linux.sshd", "").otherwise(F.col("tenant")))))
+    return done.groupBy(F.coalesce("error", F.array_join(E.faults(), ",")).alias("fault")).agg(F.count(F.lit(1)).alias("n"))
+
+
 BOOK.on("norm_flatten", "v_events", "SELECT event_id, path, value FROM (SELECT event_id, unnest(['actor.user.name', 'device.hostname']) AS path, unnest([principal, hostname]) AS value FROM v_events) UNION ALL SELECT event_id, 'groups', unnest(groups) FROM v_events")(lambda df: flatten(df))
 
 
@@ -156,9 +201,6 @@ def flatten(df: DataFrame) -> DataFrame:
     return nested.select("event_id", F.inline(N.flat(F.col("event"), nested.schema["event"].dataType)))
 
 
-BOOK.on("norm_document", "v_events", """SELECT event_id, '{"principal":"' || principal || '"' || CASE WHEN target_principal IS NOT NULL THEN ',"target_principal":"' || target_principal || '"' ELSE '' END || ',"k":' || k || '}' AS document FROM v_events""")(lambda df: df.select("event_id", F.to_json(F.struct("principal", "target_principal", "k")).alias("document")))
-
-
 @BOOK.over("norm_identity", "v_events", "v_users", oracle="SELECT event_id, CASE WHEN k % 3 = 2 AND user_id % 11 <> 0 THEN 'user' || user_id || '@corp.example' WHEN k % 3 <> 2 THEN 'user' || user_id || '@corp.example' ELSE 'user' || user_id || '@corp.example' END AS canonical, user_id % 25 = 0 AS is_service FROM v_events")
 def identity(events: DataFrame, users: DataFrame) -> DataFrame:
     """An address, a bare name or a number leads to the person's address."""

@@ -88,10 +88,9 @@ def logsource(df: DataFrame) -> DataFrame:
     return df.where(S.logsource("account") & (F.col("tenant") == "t1")).select("event_id")
 
 
-@BOOK.on("pred_tenant", "v_events", "SELECT event_id, tenant <> 't1' AS elsewhere FROM v_events WHERE k % 10 = 0")
+@BOOK.on("pred_tenant", "v_events", "SELECT event_id, tenant <> 't1' AS elsewhere FROM v_events")
 def tenant(df: DataFrame) -> DataFrame:
-    wanted = df.where("k % 10 = 0").select("event_id")
-    return S.tenant_rows(df, "t1", wanted, "event_id").select("event_id", "elsewhere")
+    return S.tenant_rows(df, "t1", df.select("event_id"), "event_id").select("event_id", "elsewhere")
 
 
 @BOOK.on("pred_event_search", "v_events", """SELECT event_id FROM v_events WHERE tenant = 't2' AND class_uid IN (3001, 3002) AND severity_id >= 2

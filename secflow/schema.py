@@ -4,23 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-
-
 USER = "STRUCT<name: STRING, uid: STRING, email_addr: STRING, type: STRING, groups: ARRAY<STRING>>"
-ENDPOINT = "STRUCT<ip: STRING, port: INT, hostname: STRING, svc_name: STRING, country: STRING>"
-PROCESS = f"STRUCT<name: STRING, pid: INT, cmd_line: STRING, user: {USER}>"
-RESOURCE = "STRUCT<uid: STRING, name: STRING, type: STRING, criticality: STRING, data_classification: STRING>"
-#: One nested row per event; the vendor's own fields stay in ``unmapped``.
+ENDPOINT = "STRUCT<ip: STRING, port: INT, hostname: STRING, country: STRING>"
+RESOURCE = "STRUCT<uid: STRING, name: STRING, type: STRING, criticality: STRING>"
+#: One nested row per event; the vendor's own record stays whole in ``unmapped``. Names that start with ev_ are bookkeeping.
 EVENT_DDL = f"""
-class_uid INT, class_name STRING, category_uid INT, activity_id INT, activity_name STRING, type_uid INT,
-time TIMESTAMP, status_id INT, status STRING, status_detail STRING, severity_id INT, severity STRING,
-metadata STRUCT<product: STRUCT<name: STRING, vendor_name: STRING, feature: STRING>, uid: STRING, log_name: STRING, labels: ARRAY<STRING>>,
-actor STRUCT<user: {USER}, session: STRUCT<uid: STRING, is_remote: BOOLEAN>, process: {PROCESS}, authorizations: ARRAY<STRING>>,
-user {USER}, src_endpoint {ENDPOINT}, dst_endpoint {ENDPOINT}, device STRUCT<hostname: STRING, ip: STRING, type: STRING>,
+class_uid INT, class_name STRING, category_uid INT, activity_id INT, type_uid INT, time TIMESTAMP,
+status_id INT, status STRING, status_detail STRING, severity_id INT, severity STRING,
+metadata STRUCT<product: STRUCT<name: STRING, vendor_name: STRING>, uid: STRING, log_name: STRING, log_provider: STRING, processed_time: TIMESTAMP, original_time: STRING>,
+actor STRUCT<user: {USER}, session: STRUCT<uid: STRING>, process: STRUCT<name: STRING, cmd_line: STRING>>,
+user {USER}, src_endpoint {ENDPOINT}, dst_endpoint {ENDPOINT}, device STRUCT<hostname: STRING, ip: STRING>,
 api STRUCT<operation: STRING, service: STRING>, http_request STRUCT<url: STRING, http_method: STRING, user_agent: STRING>, http_response STRUCT<code: INT>,
-resources ARRAY<{RESOURCE}>, file STRUCT<name: STRING, path: STRING, hashes: MAP<STRING, STRING>>, group STRUCT<name: STRING, type: STRING, privileges: ARRAY<STRING>>,
-auth_protocol STRING, logon_type STRING, is_mfa BOOLEAN, message STRING, unmapped MAP<STRING, STRING>,
-ev_id STRING, ev_tenant STRING, ev_source STRING, ev_raw STRING, ev_dedup_key STRING
+resources ARRAY<{RESOURCE}>, file STRUCT<name: STRING, path: STRING, hashes: MAP<STRING, STRING>>, group STRUCT<name: STRING>,
+auth_protocol STRING, logon_type STRING, is_mfa BOOLEAN, message STRING, observables ARRAY<STRUCT<name: STRING, type: STRING, value: STRING>>, unmapped VARIANT,
+ev_tenant STRING, ev_source STRING, ev_raw STRING, ev_dedup_key STRING
 """
 
 
@@ -32,9 +29,9 @@ def event_schema() -> T.StructType:
 CLASSES = {1001: "File System Activity", 1007: "Process Activity", 3001: "Account Change", 3002: "Authentication", 3003: "Authorize Session", 3004: "Entity Management", 3005: "User Access Management", 3006: "Group Management", 4002: "HTTP Activity", 6003: "API Activity", 6005: "Datastore Activity"}
 SEVERITIES = {0: "Unknown", 1: "Informational", 2: "Low", 3: "Medium", 4: "High", 5: "Critical", 6: "Fatal"}
 STATUSES = {0: "Unknown", 1: "Success", 2: "Failure"}
-#: Rule level to severity score.
+#: Rule level to severity score.
 LEVELS = {"informational": 1, "low": 3, "medium": 5, "high": 8, "critical": 10}
-#: Kill-chain order of tactics: slug, id, name.
+#: Kill-chain order of tactics: slug, id, name.
 TACTICS = [
     ("reconnaissance", "TA0043", "Reconnaissance"), ("resource-development", "TA0042", "Resource Development"), ("initial-access", "TA0001", "Initial Access"),
     ("execution", "TA0002", "Execution"), ("persistence", "TA0003", "Persistence"), ("privilege-escalation", "TA0004", "Privilege Escalation"),
