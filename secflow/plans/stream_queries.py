@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from secflow.functions import predicates as P
@@ -18,6 +18,7 @@ from secflow.schema import TACTICS
 from secflow.sources import logs, sinks
 from secflow.sources.tables import shared_path, stream_of, written
 from secflow.streaming import jobs as J
+from secflow.streaming import processors as R
 
 BOOK = Book()
 
@@ -125,19 +126,58 @@ def as_it_arrives(df: DataFrame, job: Callable[[DataFrame], DataFrame], runs: in
     return found
 
 
-BOOK.on("st_detect", "v_events", D.BOOK.oracles["win_suppress"])(lambda df: as_it_arrives(D.failed(df).select("tenant", "principal", "event_id", "t"), lambda s: J.threshold_alerts(s, ["tenant", "principal"], 86400, 3, 86400)).select("tenant", "principal", "event_id", "t"))
-BOOK.on("st_correlate", "v_alerts", C.BOOK.oracles["cor_suppress"])(lambda df: as_it_arrives(df.where(F.col("rule_id").isin(*C.RULES3)).select("tenant", F.lower("principal").alias("key"), "id", "rule_id", "t"), lambda s: J.ordered_hits(s, ["tenant", "key"], C.RULES3, C.SPAN)).select("tenant", "key", "t"))
+BOOK.on("st_detect", "v_events", D.BOOK.oracles["win_suppress"])(lambda df: as_it_arrives(D.failed(df).select("tenant", "principal", "event_id", "t"), lambda s: R.threshold_alerts(s, ["tenant", "principal"], 86400, 3, 86400)).select("tenant", "principal", "event_id", "t"))
+BOOK.on("st_correlate", "v_alerts", C.BOOK.oracles["cor_suppress"])(lambda df: as_it_arrives(df.where(F.col("rule_id").isin(*C.RULES3)).select("tenant", F.lower("principal").alias("key"), "id", "rule_id", "t"), lambda s: R.ordered_hits(s, ["tenant", "key"], C.RULES3, C.SPAN)).select("tenant", "key", "t"))
 BOOK.on("st_enrich", "v_events", U.BOOK.oracles["enr_events"])(lambda df: J.collect_to(stream_of(df.select("event_id", "source_ip"), "addresses").join(U.reports(df), F.col("source_ip") == F.col("value"), "left").select("event_id", "verdict", "categories"), shared_path(df.sparkSession, "enriched")))
 
-LATE = "SELECT event_id, coalesce(seen < max(seen) OVER (PARTITION BY tenant ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 21600000000, false) AS late FROM (SELECT *, t - (k % 10) * 3600000000 AS seen FROM v_events)"
+BOOK.on("st_event_dedup", "v_events", D.BOOK.oracles["win_event_dedup"])(lambda df: as_it_arrives(df.select("hostname", "event_type", "country", "event_id", "t"), lambda s: R.accepted(s, ["hostname", "event_type", "country"], 3600)).select("event_id"))
+
+#: Rows arrive in three runs, each a third of the ids; their times are out of order by up to nine hours.
+RUNS, DELAY = 3, 7200
+SEEN = "(t - (k % 10) * 3600000000)"
+LATE = f"""WITH r AS (SELECT event_id, tenant, hostname, {SEEN} AS seen, ntile({RUNS}) OVER (ORDER BY event_id) AS run FROM v_events),
+  m AS (SELECT tenant, hostname, run, max(seen) AS newest FROM r GROUP BY ALL),
+  b AS (SELECT r.event_id, r.seen, (SELECT max(newest) FROM m WHERE m.tenant = r.tenant AND m.hostname = r.hostname AND m.run < r.run) AS before FROM r)
+  SELECT event_id, coalesce(seen < before - {DELAY} * 1000000::BIGINT, false) AS late FROM b"""
 
 
 @BOOK.on("st_late_data", "v_events", LATE)
 def late(df: DataFrame) -> DataFrame:
-    """Rows older than the newest time that arrived before them, less the allowed delay, are late; in order of arrival."""
-    at = F.col("t") - (F.col("k") % 10) * 3_600_000_000
-    before = Window.partitionBy("tenant").orderBy("event_id").rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumn("at", at).select("event_id", F.coalesce(F.col("at") < F.max("at").over(before) - 21_600_000_000, F.lit(False)).alias("late"))
+    """A stream in three runs; rows older than what their host had sent in earlier runs go to a table of their own."""
+    spark, inbox, state = df.sparkSession, shared_path(df.sparkSession, "inbox"), shared_path(df.sparkSession, "state")
+    good, bad = shared_path(spark, "on-time"), shared_path(spark, "late")
+    rows = df.select("tenant", "hostname", "event_id", F.expr(SEEN).alias("t"))
+    # Whole numbers: the first runs hold one row more where they don't divide, as ntile deals them.
+    for low, high in _runs(df, RUNS):
+        rows.where((F.col("event_id") >= low) & (F.col("event_id") < high)).write.mode("append").parquet(inbox)
+
+        def handle(batch: DataFrame, n: int) -> None:
+            batch.where("late").write.mode("overwrite").parquet(f"{bad}/batch={n}")
+            batch.where("NOT late").write.mode("overwrite").parquet(f"{good}/batch={n}")
+
+        J.drain(R.lateness(spark.readStream.schema(rows.schema).parquet(inbox), ["tenant", "hostname"], DELAY), handle, checkpoint=state)
+    kind = "event_id long, t long, late boolean"
+    return spark.read.schema(kind).parquet(good).union(spark.read.schema(kind).parquet(bad)).select("event_id", "late")
+
+
+def _runs(df: DataFrame, runs: int) -> list[tuple[int, int]]:
+    """Ranges of dense ids, dealt like ntile."""
+    low, n = df.agg(F.min("event_id"), F.count(F.lit(1))).first()
+    cuts = [low or 0]
+    for i in range(runs):
+        cuts.append(cuts[-1] + n // runs + (i < n % runs))
+    return list(zip(cuts, cuts[1:]))
+
+
+SILENT = 43200
+QUIET = f"""WITH w AS (SELECT hostname, country, t, lead(t) OVER (PARTITION BY hostname, country ORDER BY t, event_id) AS next FROM v_events), m AS (SELECT max(t) // 1000 AS mark FROM v_events)
+  SELECT DISTINCT hostname, country, t AS since FROM w, m WHERE next - t >= {SILENT} * 1000000::BIGINT OR (next IS NULL AND -((-t - {SILENT} * 1000000::BIGINT) // 1000) < mark)"""
+
+
+@BOOK.on("st_silent_sources", "v_events", QUIET)
+def quiet(df: DataFrame) -> DataFrame:
+    """Pauses of half a day of a host and country; the last ones are told by timers, without a row of theirs."""
+    return as_it_arrives(df.select("hostname", "country", "t"), lambda s: R.silent(s, ["hostname", "country"], SILENT)).select("hostname", "country", "since")
 
 
 @BOOK.on("st_exactly_once", "v_events", f"SELECT tenant, {KEY_SQL} AS dedup_key, min(event_id) AS event_id FROM v_events GROUP BY ALL")

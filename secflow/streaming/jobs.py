@@ -2,23 +2,21 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from secflow.operators.windows import SECOND
 from secflow.sources.tables import shared_path
+from secflow.streaming.processors import rocks
 
 
 def drain(stream: DataFrame, handle: Callable[[DataFrame, int], None], mode: str = "append", checkpoint: str | None = None) -> None:
     """Runs a stream over what is there, batch by batch; a second run with the same checkpoint takes up only what is new."""
     where = checkpoint or shared_path(stream.sparkSession, "stream-state")
-    query = stream.writeStream.outputMode(mode).option("checkpointLocation", where).trigger(availableNow=True).foreachBatch(handle).start()
-    query.awaitTermination()
+    with rocks(stream.sparkSession):
+        query = stream.writeStream.outputMode(mode).option("checkpointLocation", where).trigger(availableNow=True).foreachBatch(handle).start()
+        query.awaitTermination()
 
 
 def collect_to(stream: DataFrame, path: str, mode: str = "append", checkpoint: str | None = None) -> DataFrame:
@@ -27,74 +25,6 @@ def collect_to(stream: DataFrame, path: str, mode: str = "append", checkpoint: s
     return stream.sparkSession.read.schema(stream.schema).parquet(path).select(*stream.columns)
 
 
-def threshold_alerts(events: DataFrame, keys: list[str], span: int, at_least: int, ttl: int, id_column: str = "event_id") -> DataFrame:
-    """Per key: fires when at least so many events lie in the last ``span`` seconds, then is silent for ``ttl`` seconds.
-
-    State per key: the times still in the window and when it last fired; it expires when
-    the watermark passes the window and the silence.
-    """
-    keep = max(span, ttl)
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        times, fired = json.loads(state.get[0]) if state.exists else ([], None)
-        rows = pd.concat(list(batches)).sort_values(["t", id_column])
-        out = []
-        for t, i in zip(rows["t"], rows[id_column], strict=True):
-            times = [x for x in times if x >= t - span * SECOND]
-            times.append(int(t))
-            if len(times) >= at_least and (fired is None or t - fired >= ttl * SECOND):
-                fired = int(t)
-                out.append((*key, int(i), int(t), len(times)))
-        state.update((json.dumps([times, fired]),))
-        expiry = (max([*times, fired or 0]) + keep * SECOND) // 1000
-        if expiry > state.getCurrentWatermarkMs():
-            state.setTimeoutTimestamp(expiry)
-        yield pd.DataFrame(out, columns=[*keys, id_column, "t", "observed"])
-
-    kinds = dict(events.dtypes)
-    out = ", ".join(f"{k} {kinds[k]}" for k in keys) + f", {id_column} long, t long, observed long"
-    timed = events.withColumn("_time", F.timestamp_micros("t")).withWatermark("_time", f"{keep} seconds")
-    return timed.groupBy(*keys).applyInPandasWithState(step, out, "state string", "append", GroupStateTimeout.EventTimeTimeout)
-
-
-def ordered_hits(alerts: DataFrame, keys: list[str], rules: list[str], span: int, id_column: str = "id") -> DataFrame:
-    """Per key: fires when the rules have been seen in order within ``span`` seconds, then is silent for as long."""
-
-    def seen_in_order(rows: list) -> bool:
-        stage = 0
-        for _, _, rule in rows:
-            if stage < len(rules) and rule == rules[stage]:
-                stage += 1
-        return stage == len(rules)
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        held, fired = json.loads(state.get[0]) if state.exists else ([], None)
-        rows = pd.concat(list(batches)).sort_values(["t", id_column])
-        out = []
-        for t, i, rule in zip(rows["t"], rows[id_column], rows["rule_id"], strict=True):
-            held = [x for x in held if x[0] >= t - span * SECOND]
-            held.append([int(t), int(i), rule])
-            if seen_in_order(held) and (fired is None or t - fired >= span * SECOND):
-                fired = int(t)
-                out.append((*key, int(t), len(held)))
-        state.update((json.dumps([held, fired]),))
-        expiry = (max([x[0] for x in held] + [fired or 0]) + span * SECOND) // 1000
-        if expiry > state.getCurrentWatermarkMs():
-            state.setTimeoutTimestamp(expiry)
-        yield pd.DataFrame(out, columns=[*keys, "t", "alerts"])
-
-    kinds = dict(alerts.dtypes)
-    out = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", t long, alerts long"
-    timed = alerts.withColumn("_time", F.timestamp_micros("t")).withWatermark("_time", f"{span} seconds")
-    return timed.groupBy(*keys).applyInPandasWithState(step, out, "state string", "append", GroupStateTimeout.EventTimeTimeout)
-
-
 def counters(stream: DataFrame, width: str, labels: list[str], delay: str = "1 hour") -> DataFrame:
     """Counts per window of event time and labels."""
     timed = stream.withColumn("_time", F.timestamp_micros("t")).withWatermark("_time", delay)
