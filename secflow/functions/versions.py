@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from secflow.functions.columns import once
+
 #: Order of pre-release words; any other word sorts after numbers.
 PRE_RANKS = {"dev": -5, "alpha": -4, "a": -4, "beta": -3, "b": -3, "rc": -2, "pre": -2, "preview": -2, "snapshot": -2}
 TOKEN = "struct<rank:int,size:int,word:string,side:int,zeros:int>"
@@ -45,13 +47,14 @@ def _plain(version: Column) -> Column:
     return F.regexp_replace(F.lower(F.trim(version)), r"^v+|\+.*$", "")
 
 
+def _key_of(plain: Column) -> Column:
+    before = F.substring_index(plain, "-", 1)
+    return once(F.struct(before.alias("release"), F.substr(plain, F.length(before) + 2).alias("pre")), lambda p: F.struct(_tokens(p["release"]).alias("release"), (~p["pre"].rlike("[0-9a-z]")).alias("final"), _tokens(p["pre"]).alias("pre")))
+
+
 def version_key(version: Column) -> Column:
     """The key of a version; null for null."""
-    plain = _plain(version)
-    before = F.substring_index(plain, "-", 1)
-    pre = F.substr(plain, F.length(before) + 2)
-    key = F.struct(_tokens(before).alias("release"), (~pre.rlike("[0-9a-z]")).alias("final"), _tokens(pre).alias("pre"))
-    return F.when(version.isNotNull(), key)
+    return F.when(version.isNotNull(), once(_plain(version), _key_of))
 
 
 def _below(numbers: Column) -> Column:
@@ -76,19 +79,25 @@ def limits(spec: Column) -> Column:
 
     ``^`` keeps the first number, ``~`` and ``~>`` the first two.
     """
-    parts = F.transform(constraints(spec), lambda c: F.struct(c["op"].alias("op"), version_key(c["version"]).alias("key"), _plain(c["version"]).alias("plain")))
     numbers = lambda c: F.regexp_extract_all(F.substring_index(c["plain"], "-", 1), F.lit("[0-9]+"), F.lit(0))
     number = lambda c, i: F.coalesce(F.get(numbers(c), F.lit(i)).try_cast("decimal(38,0)"), F.lit(0))
     more = lambda n: (n + 1).cast("decimal(38,0)").cast("string")
-    same = {1: lambda c: _below(more(number(c, 0))), 2: lambda c: _below(F.concat(number(c, 0).cast("string"), F.lit("."), more(number(c, 1))))}
     at = lambda key, side: F.struct(key.alias("key"), F.lit(side).alias("side"))
-    lows = F.filter(F.transform(parts, lambda c: F.when(c["op"].isin(">=", "", "=", "==", "^", "~", "~>"), at(c["key"], BEFORE)).when(c["op"] == ">", at(c["key"], BEHIND))), lambda x: x.isNotNull())
-    highs = F.filter(
-        F.transform(parts, lambda c: F.when(c["op"].isin("<=", "", "=", "=="), at(c["key"], BEHIND)).when(c["op"] == "<", at(c["key"], BEFORE)).when(c["op"] == "^", at(same[1](c), BEFORE)).when(c["op"].isin("~", "~>"), at(same[2](c), BEFORE))),
-        lambda x: x.isNotNull(),
-    )
-    left_out = F.transform(F.filter(parts, lambda c: c["op"] == "!="), lambda c: c["key"])
-    return F.struct(F.array_max(lows).alias("low"), F.array_min(highs).alias("high"), left_out.alias("not_"))
+
+    def one(c: Column) -> Column:
+        """What a single constraint asks."""
+        op, key = c["op"], once(c["plain"], _key_of)
+        low = F.when(op.isin(">=", "", "=", "==", "^", "~", "~>"), at(key, BEFORE)).when(op == ">", at(key, BEHIND))
+        upto = F.when(op == "^", more(number(c, 0))).when(op.isin("~", "~>"), F.concat(number(c, 0).cast("string"), F.lit("."), more(number(c, 1))))
+        high = F.when(op.isin("<=", "", "=", "=="), at(key, BEHIND)).when(op == "<", at(key, BEFORE)).when(upto.isNotNull(), at(_below(upto), BEFORE))
+        return F.struct(low.alias("low"), high.alias("high"), F.when(op == "!=", key).alias("not_"))
+
+    def all_(parts: Column) -> Column:
+        told = lambda name: F.filter(F.transform(parts, lambda p: p[name]), lambda x: x.isNotNull())
+        return F.struct(F.array_max(told("low")).alias("low"), F.array_min(told("high")).alias("high"), told("not_").alias("not_"))
+
+    asked = F.transform(constraints(spec), lambda c: F.struct(c["op"].alias("op"), _plain(c["version"]).alias("plain")))
+    return once(F.transform(asked, one), all_)
 
 
 def within(key: Column, bounds: Column) -> Column:

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import functools
 
-from pyspark.sql import Column, DataFrame, Row, Window
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
+from secflow.operators import ranges
+
 #: Severity order, risk at which a single alert opens an incident, first incident number.
 SEVERITY_ORDER = ("informational", "low", "medium", "high", "critical")
 OPENS_AT, FIRST_NUMBER = 70, 2001
@@ -36,8 +38,8 @@ def latest(df: DataFrame, keys: list[str], value: str, order: list[str]) -> Data
 
 def numbered(df: DataFrame, tenant: str, order: list[str]) -> DataFrame:
     """Adds ``key``: INC-2001, INC-2002, ... in each tenant's order of creation."""
-    n = F.row_number().over(Window.partitionBy(tenant).orderBy(*order)) + (FIRST_NUMBER - 1)
-    return df.withColumn("key", F.concat(F.lit("INC-"), n.cast("string")))
+    placed = ranges.running(df, [tenant], order, _before=F.lit(1))
+    return placed.withColumn("key", F.concat(F.lit("INC-"), (F.col("_before") + FIRST_NUMBER).cast("string"))).drop("_before")
 
 
 def canonical_links(edges: DataFrame) -> DataFrame:

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from secflow.operators import ranges
+
 MINUTE = 60_000_000
 #: Minutes to acknowledge and to resolve by severity, share of the window at which a clock is at risk.
 POLICY = {"critical": (15, 240), "high": (60, 480), "medium": (240, 1440), "low": (480, 4320)}
@@ -41,13 +45,12 @@ def summarise(df: DataFrame, keys: list[str], seconds: str) -> DataFrame:
 
     The percentile is the value at place min(floor(n * 0.9), n - 1) of the sorted values, found by counting equal values, so no group is collected.
     """
-    from pyspark.sql import Window
-
     own = df.where(F.col(seconds) >= 0)
     counted = own.groupBy(*keys, seconds).agg(F.count(F.lit(1)).alias("_n"))
-    whole = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    upto = F.sum("_n").over(whole.orderBy(seconds).rowsBetween(Window.unboundedPreceding, 0))
-    placed = counted.withColumn("_upto", upto).withColumn("_all", F.sum("_n").over(whole))
+    placed = ranges.running(counted, keys, [seconds], _before=F.col("_n")).withColumn("_upto", F.col("_before") + F.col("_n"))
+    sizes = placed.groupBy(*keys).agg(F.sum("_n").alias("_all")).select(*(F.col(k).alias(f"_g{i}") for i, k in enumerate(keys)), "_all")
+    same = functools.reduce(Column.__and__, (F.col(k).eqNullSafe(F.col(f"_g{i}")) for i, k in enumerate(keys)), F.lit(True))
+    placed = placed.join(sizes if keys else F.broadcast(sizes), same)  # one row without keys
     at = lambda k: F.min(F.when(F.col("_upto") > k, F.col(seconds)))
     n = F.col("_all")
     return placed.groupBy(*keys).agg(

@@ -74,7 +74,7 @@ def versions_in(components: DataFrame, ranges: DataFrame) -> DataFrame:
     # A version counts in its ecosystem and in the group of ranges that name none.
     grouped = own.withColumn("_group", F.explode(F.array_distinct(F.array(F.coalesce("ecosystem", F.lit("")), F.lit("")))))
     keyed = spark.read.parquet(written(grouped.withColumn("_key", version_key(F.col("version"))), "versions"))
-    asked = ranges.withColumn("_group", F.coalesce("ecosystem", F.lit(""))).drop("ecosystem")
+    asked = spark.read.parquet(written(ranges, "limits")).withColumn("_group", F.coalesce("ecosystem", F.lit(""))).drop("ecosystem")
     asked = asked.withColumns({"_low": F.col("bounds.low"), "_high": F.col("bounds.high")})
     met = points_in_intervals(keyed.select("package", "_group", "_key").distinct(), asked, ["package", "_group"], "_key", "_low", "_high")
     met = met.where(~F.exists("bounds.not_", lambda k: k == F.col("_key")))

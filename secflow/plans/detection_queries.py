@@ -179,14 +179,14 @@ def win_threshold(df: DataFrame) -> DataFrame:
   UNION ALL SELECT event_id, count(*) OVER (ORDER BY t RANGE BETWEEN 3600000000 PRECEDING AND CURRENT ROW), '*' FROM v_events WHERE event_type = 'signup'""")
 def win_group_null(df: DataFrame) -> DataFrame:
     by_target = W.observe(df.where("event_type <> 'view'"), ["target_principal"], 604800).select("event_id", "observed", F.lit("target").alias("grouping"))
-    everyone = W.observe(df.where("event_type = 'signup'").withColumn("all", F.lit("*")), ["all"], 3600).select("event_id", "observed", F.lit("*").alias("grouping"))
+    everyone = W.count_all(df.where("event_type = 'signup'"), 3600, "event_id").select("event_id", "observed", F.lit("*").alias("grouping"))
     return by_target.union(everyone)
 
 
 @BOOK.on("win_evidence", "v_events", f"WITH {FAILED}, o AS (SELECT event_id, t, count(*) {FRAME} AS observed, min(t) {FRAME} AS first_seen, list(event_id) {FRAME} AS ids FROM failed) SELECT event_id, observed, first_seen, array_to_string(list_sort(ids), ',') AS event_ids FROM o WHERE observed >= 3")
 def win_evidence(df: DataFrame) -> DataFrame:
-    seen = W.evidence(W.observe(failed(df), KEYS, 86400), KEYS, 86400, "event_id")
-    return W.threshold(seen, ">=", 3).select("event_id", "observed", "first_seen", F.array_join("event_ids", ",").alias("event_ids"))
+    fired = W.threshold(W.observe(failed(df), KEYS, 86400), ">=", 3).select(*KEYS, "event_id", "t", "observed")
+    return W.evidence(fired, failed(df), KEYS, 86400, "event_id").select("event_id", "observed", "first_seen", F.array_join("event_ids", ",").alias("event_ids"))
 
 
 #: Greedy silence as a recursion over each key's rows in order.

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from secflow.sources.tables import written
@@ -14,27 +14,36 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def write_events(batch: DataFrame, path: str, key: str = "dedup_key", time: str = "t", id_column: str = "event_id") -> dict[str, int]:
     """Appends the events whose (tenant, key) the table doesn't hold, by tenant and day; returns how many were new and how many repeated.
 
     Of a batch's rows with one key the first by (time, id) counts. The batch is computed once,
-    into a table of its own. Only the day partitions that it touches are read, and a table that
+    into a table of its own that goes when the call ends; what it holds and what was new are
+    observed while the two tables are written, so nothing is counted again and other writers
+    don't matter. Only the days from the batch's first to its last are read, and a table that
     can't be read is an error, not an empty one. A retry writes nothing twice.
     """
-    spark = batch.sparkSession
-    held = written(batch.withColumn("event_date", F.to_date(F.timestamp_micros(time))), "batch")
-    rows = spark.read.parquet(held)
-    first = F.row_number().over(Window.partitionBy("tenant", key).orderBy(time, id_column))
-    fresh = rows.withColumn("_first", first).where("_first = 1").drop("_first")
-    seen = rows.groupBy("event_date").count().collect()  # the days of one batch
-    before = 0
-    if exists(spark, path):
-        table = spark.read.parquet(path).where(F.col("event_date").isin([r["event_date"] for r in seen])).select("tenant", key)
-        fresh = fresh.join(table, ["tenant", key], "left_anti")
-        before = spark.read.parquet(path).count()
-    fresh.write.mode("append").partitionBy("tenant", "event_date").parquet(path)
-    new = spark.read.parquet(path).count() - before  # from the files' footers
-    return {"indexed": new, "duplicates": sum(r["count"] for r in seen) - new}
+    spark, whole, new = batch.sparkSession, Observation(), Observation()
+    dated = batch.withColumn("event_date", F.to_date(F.timestamp_micros(time)))
+    held = written(dated.observe(whole, F.count(F.lit(1)).alias("rows"), F.min("event_date").alias("low"), F.max("event_date").alias("high")), "batch")
+    try:
+        seen = whole.get
+        if not seen["rows"]:
+            return {"indexed": 0, "duplicates": 0}
+        first = F.row_number().over(Window.partitionBy("tenant", key).orderBy(time, id_column))
+        fresh = spark.read.schema(dated.schema).parquet(held).withColumn("_first", first).where("_first = 1").drop("_first")
+        if exists(spark, path):
+            table = spark.read.parquet(path).where(F.col("event_date").between(F.lit(seen["low"]), F.lit(seen["high"])))
+            fresh = fresh.join(table.select("tenant", key), ["tenant", key], "left_anti")
+        fresh.observe(new, F.count(F.lit(1)).alias("rows")).write.mode("append").partitionBy("tenant", "event_date").parquet(path)
+        return {"indexed": new.get["rows"], "duplicates": seen["rows"] - new.get["rows"]}
+    finally:
+        delete(spark, held)
 
 
 def for_topic(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -60,13 +60,17 @@ def fires(times: np.ndarray, fired: int | None, ttl: int) -> tuple[list[int], in
 
 
 class Keyed(StatefulProcessor):
-    """A processor whose keys are cleared ``keep`` microseconds of event time after their last row."""
+    """A processor whose keys are cleared ``keep`` microseconds of event time after their newest row.
+
+    One value per key holds its newest time, when its timer wakes, and when it last fired. A
+    timer that wakes before its key is done is set again, so rows don't move timers.
+    """
 
     keep: int
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.last = handle.getValueState("last", "t long")
+        self.held = handle.getValueState("held", "t long, wakes long, fired long")
         self.open(handle)
 
     def open(self, handle: StatefulProcessorHandle) -> None:
@@ -75,22 +79,37 @@ class Keyed(StatefulProcessor):
     def clear(self) -> None:
         """Clears further state."""
 
-    def touch(self, t: int, watermark: int) -> None:
-        """Remembers the key's newest time and has its timer wake at the end of what it matters for."""
-        held = self.last.get()[0] if self.last.exists() else None
-        if held is None or t > held:
-            self.last.update((t,))
-            for timer in list(self.handle.listTimers()):
-                self.handle.deleteTimer(timer)
-            self.handle.registerTimer(max(self.due(t), watermark + 1))
+    def remembered(self) -> tuple:
+        """(newest time, time of waking, time fired) of the key; nulls for a new one."""
+        return tuple(self.held.get()) if self.held.exists() else (None, None, None)
+
+    def remember(self, before: tuple, newest: int, fired: int | None, watermark: int) -> None:
+        newest = newest if before[0] is None else max(newest, before[0])
+        wakes = before[1]
+        if wakes is None:
+            wakes = max(self.due(newest), watermark + 1)
+            self.handle.registerTimer(wakes)
+        self.held.update((newest, wakes, fired))
 
     def due(self, t: int) -> int:
+        """The first millisecond at which a key last seen at ``t`` is done."""
         return -((-t - self.keep) // 1000)
 
+    def done(self, key: tuple, newest: int) -> Iterator[pd.DataFrame]:
+        """What is told of a key that is cleared."""
+        return iter([])
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        self.last.clear()
+        newest, _, fired = self.remembered()
+        if newest is None:
+            return iter([])
+        if self.due(newest) >= timerValues.getCurrentWatermarkInMs():
+            self.handle.registerTimer(self.due(newest))
+            self.held.update((newest, self.due(newest), fired))
+            return iter([])
+        self.held.clear()
         self.clear()
-        return iter([])
+        return self.done(key, newest)
 
     def close(self) -> None:
         pass
@@ -105,15 +124,14 @@ class Threshold(Keyed):
 
     def open(self, handle: StatefulProcessorHandle) -> None:
         self.times = handle.getListState("times", "t long")
-        self.fired = handle.getValueState("fired", "t long")
 
     def clear(self) -> None:
         self.times.clear()
-        self.fired.clear()
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         t, ids = in_order(rows, "t", self.id_column)
-        held = np.fromiter((x[0] for x in self.times.get()), dtype=np.int64) if self.times.exists() else np.empty(0, np.int64)
+        before = self.remembered()
+        held = np.fromiter((x[0] for x in self.times.get()), dtype=np.int64) if before[0] is not None else np.empty(0, np.int64)
         merged = np.concatenate([held, t])
         order = np.argsort(merged, kind="stable")
         merged = merged[order]
@@ -121,11 +139,9 @@ class Threshold(Keyed):
         place[order] = np.arange(len(order))
         observed = place[len(held) :] - np.searchsorted(merged, t - self.span, "left") + 1
         hot = observed >= self.at_least
-        found, fired = fires(t[hot], self.fired.get()[0] if self.fired.exists() else None, self.ttl)
-        if fired is not None:
-            self.fired.update((fired,))
+        found, fired = fires(t[hot], before[2], self.ttl)
         self.times.put([(int(x),) for x in merged[np.searchsorted(merged, merged[-1] - self.span, "left") :]])
-        self.touch(int(t[-1]), timerValues.getCurrentWatermarkInMs())
+        self.remember(before, int(t[-1]), fired, timerValues.getCurrentWatermarkInMs())
         yield pd.DataFrame({**repeated(self.names, key, len(found)), self.id_column: ids[hot][found], "t": t[hot][found], "observed": observed[hot][found]})
 
 
@@ -144,15 +160,14 @@ class Stages(Keyed):
 
     def open(self, handle: StatefulProcessorHandle) -> None:
         self.starts = handle.getListState("starts", "t long")
-        self.fired = handle.getValueState("fired", "t long")
 
     def clear(self) -> None:
         self.starts.clear()
-        self.fired.clear()
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         t, _, rule = in_order(rows, "t", self.id_column, "rule_id")
-        starts = [x[0] for x in self.starts.get()] if self.starts.exists() else [self.NEVER] * len(self.rules)
+        before = self.remembered()
+        starts = [x[0] for x in self.starts.get()] if before[0] is not None else [self.NEVER] * len(self.rules)
         stage_of: dict[str, list[int]] = {}
         for s in reversed(range(len(self.rules))):
             stage_of.setdefault(self.rules[s], []).append(s)
@@ -161,11 +176,9 @@ class Stages(Keyed):
             for s in stage_of.get(r, ()):  # the later stage of a repeated rule first
                 starts[s] = int(at) if s == 0 else max(starts[s], starts[s - 1])
             complete[i] = starts[-1] >= at - self.span
-        found, fired = fires(t[complete], self.fired.get()[0] if self.fired.exists() else None, self.span)
-        if fired is not None:
-            self.fired.update((fired,))
+        found, fired = fires(t[complete], before[2], self.span)
         self.starts.put([(x,) for x in starts])
-        self.touch(int(t[-1]), timerValues.getCurrentWatermarkInMs())
+        self.remember(before, int(t[-1]), fired, timerValues.getCurrentWatermarkInMs())
         yield pd.DataFrame({**repeated(self.names, key, len(found)), "t": t[complete][found]})
 
 
@@ -176,17 +189,11 @@ class Accepted(Keyed):
         self.ttl = self.keep = ttl * SECOND
         self.id_column = id_column
 
-    def open(self, handle: StatefulProcessorHandle) -> None:
-        self.fired = handle.getValueState("fired", "t long")
-
-    def clear(self) -> None:
-        self.fired.clear()
-
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         t, ids = in_order(rows, "t", self.id_column)
-        found, fired = fires(t, self.fired.get()[0] if self.fired.exists() else None, self.ttl)
-        self.fired.update((fired,))
-        self.touch(int(t[-1]), timerValues.getCurrentWatermarkInMs())
+        before = self.remembered()
+        found, fired = fires(t, before[2], self.ttl)
+        self.remember(before, int(t[-1]), fired, timerValues.getCurrentWatermarkInMs())
         yield pd.DataFrame({self.id_column: ids[found], "t": t[found]})
 
 
@@ -202,19 +209,17 @@ class Silence(Keyed):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         (t,) = in_order(rows, "t")
-        held = self.last.get()[0] if self.last.exists() else None
-        times = t if held is None else np.concatenate([[held], t])
+        before = self.remembered()
+        times = t if before[0] is None else np.sort(np.concatenate([[before[0]], t]))
         pauses = times[:-1][np.diff(times) >= self.keep]
-        self.touch(int(t[-1]), timerValues.getCurrentWatermarkInMs())
+        self.remember(before, int(t[-1]), None, timerValues.getCurrentWatermarkInMs())
         yield self.told(key, pauses)
 
     def told(self, key, since) -> pd.DataFrame:
         return pd.DataFrame({**repeated(self.names, key, len(since)), "since": np.asarray(since, np.int64), "due": np.asarray(since, np.int64) + self.keep})
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        since = self.last.get()[0]
-        self.last.clear()
-        yield self.told(key, [since])
+    def done(self, key: tuple, newest: int) -> Iterator[pd.DataFrame]:
+        yield self.told(key, [newest])
 
 
 class Lateness(StatefulProcessor):
