@@ -29,19 +29,24 @@ TRUE, FALSE = ("true", "yes", "1"), ("false", "no", "0")
 
 #: Vendor field names and the normalized columns they mean.
 ALIASES = {
-    "user": "principal", "username": "principal", "user.name": "principal", "actor.user.name": "principal", "subjectusername": "principal", "useridentity.arn": "principal",
-    "targetuser": "target_principal", "targetusername": "target_principal", "target.user": "target_principal",
-    "src_ip": "source_ip", "sourceip": "source_ip", "sourceipaddress": "source_ip", "client.ip": "source_ip", "src_endpoint.ip": "source_ip", "ipaddress": "source_ip",
-    "host": "hostname", "computer": "hostname", "computername": "hostname", "device.hostname": "hostname",
-    "eventname": "operation", "api.operation": "operation", "action": "operation",
-    "useragent": "user_agent", "http_request.user_agent": "user_agent", "c-useragent": "user_agent",
-    "status_code": "http_code", "sc-status": "http_code", "http_response.code": "http_code", "user.groups.name": "groups", "mfa": "is_mfa",
+    "user": "principal", "username": "principal", "subjectusername": "principal", "actor": "principal", "useridentity.username": "principal", "email": "principal", "useremail": "principal", "user.name": "principal", "actor.user.name": "principal", "useridentity.arn": "principal",
+    "subjectusersid": "principal_uid", "useridentity.principalid": "principal_uid", "useridentity.type": "principal_type",
+    "targetusername": "target_principal", "target_user": "target_principal", "targetuser": "target_principal", "target.user": "target_principal", "requestparameters.username": "target_principal",
+    "group": "group_name", "groupname": "group_name", "targetgroupname": "group_name", "user.groups.name": "groups",
+    "sourceip": "source_ip", "src_ip": "source_ip", "srcip": "source_ip", "ipaddress": "source_ip", "clientip": "source_ip", "client.ip": "source_ip", "sourceipaddress": "source_ip", "src_endpoint.ip": "source_ip",
+    "sourceport": "source_port", "destinationip": "target_ip", "dst_ip": "target_ip", "destinationport": "target_port",
+    "computer": "hostname", "computername": "hostname", "host": "hostname", "workstationname": "hostname", "device.hostname": "hostname",
+    "commandline": "command", "image": "process", "processname": "process", "parentimage": "parent_process", "targetfilename": "path", "filepath": "path", "filename": "file_name", "sha256": "file_sha256", "md5": "file_md5",
+    "eventname": "operation", "action": "operation", "api.operation": "operation", "eventsource": "service", "awsregion": "region", "errorcode": "status_code", "eventtype": "vendor_event_type",
+    "useragent": "user_agent", "c-useragent": "user_agent", "http_request.user_agent": "user_agent", "c-uri": "url", "cs-uri": "url", "uri": "url", "method": "http_method", "cs-method": "http_method",
+    "sc-status": "http_code", "statuscode": "http_code", "status_code": "http_code", "http_response.code": "http_code",
+    "outcome": "status", "result": "status", "eventid": "record_uid", "logontype": "logon_type", "mfa": "is_mfa",
 }
 
 
-def resolve(field: str) -> str:
-    """The normalized column of a field name, whatever its case."""
-    return ALIASES.get(field.lower(), field)
+def resolve(field: str, schema: T.StructType | None = None) -> str:
+    """The normalized column of a field name, whatever its case; a column of the data's own keeps its name."""
+    return field if schema is not None and field in schema.names else ALIASES.get(field.lower(), field)
 
 
 def literal(value: str) -> str | None:
@@ -127,14 +132,17 @@ def one_value(c: Column, value, mods: Sequence[str]) -> Column:
 
 def predicate(schema: T.StructType, field: str, values: Sequence = (), mods: Sequence[str] = ()) -> Column:
     """Two-valued match of a field against its values."""
-    name = resolve(field)
-    c, array = F.col(name), isinstance(schema[name].dataType, T.ArrayType)
+    name = resolve(field, schema)
+    # A field that the data doesn't have is null in every row.
+    c, array = (F.col(name), isinstance(schema[name].dataType, T.ArrayType)) if name in schema.names else (F.lit(None).cast("string"), False)
     if "exists" in mods:
         there = F.size(F.filter(c, lambda x: x.isNotNull())) > 0 if array else c.isNotNull()
         there = F.coalesce(there, F.lit(False))
         return there if values[0] else ~there
     if "fieldref" in mods:
-        other = [resolve(v) for v in values]
+        other = [o for o in (resolve(v, schema) for v in values) if o in schema.names and name in schema.names]
+        if len(other) < len(values):
+            return F.lit(False)
         pairs = [F.arrays_overlap(*(F.transform(F.col(n), F.lower) if isinstance(schema[n].dataType, T.ArrayType) else F.array(F.lower(F.col(n).cast("string"))) for n in (name, o))) for o in other]
         return F.coalesce(reduce(and_ if "all" in mods else or_, pairs), F.lit(False))
     expanded = expand(values, mods)

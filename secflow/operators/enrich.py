@@ -1,7 +1,7 @@
 """Threat intelligence and asset enrichment: joins against reference tables.
 
-Indicator tables may be large: exact lookups are plain equi-joins, and network lookups
-bucket both sides on the /16 prefix, so neither needs a broadcast. Pattern dimensions
+Indicator tables may be large: exact lookups are plain equi-joins, and network lookups are
+equi-joins on the first bits for each prefix length there is, so neither needs a broadcast. Pattern dimensions
 (assets, accounts) become one expression over the distinct values: exact patterns are
 joined by equality, globs are tried in order.
 """
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from secflow.functions.net import IPV4, ipv4, ipv6, network6
+from secflow.functions.net import first_bits, hex4, hex6
 from secflow.functions.predicates import glob_regex
 
 #: Verdicts from best to worst.
@@ -30,32 +30,27 @@ def match_indicators(values: DataFrame, indicators: DataFrame) -> DataFrame:
     return values.select("value").distinct().join(indicators, "value", "left")
 
 
-def network_buckets(networks: DataFrame) -> DataFrame:
-    """Adds low and high address and one row per /16 prefix that a version 4 network (``cidr``) touches."""
-    base, bits = F.substring_index("cidr", "/", 1), F.substring_index("cidr", "/", -1).cast("int")
-    size = F.expr("shiftleft(CAST(1 AS BIGINT), 32 - CAST(substring_index(cidr, '/', -1) AS INT))")
-    low = (ipv4(base) - F.pmod(ipv4(base), size)).alias("low")
-    out = networks.where((bits >= 0) & (bits <= 32) & base.rlike(IPV4)).withColumn("low", low).withColumn("high", F.col("low") + size - 1)
-    return out.withColumn("prefix", F.explode(F.sequence(F.shiftright("low", 16), F.shiftright("high", 16))))
-
-
-def network_buckets6(networks: DataFrame) -> DataFrame:
-    """The same for version 6: addresses are 16 bytes, a bucket is their first two."""
-    out = networks.where(F.col("cidr").contains(":")).withColumn("_r", network6(F.col("cidr"))).withColumns({"low": F.col("_r.low"), "high": F.col("_r.high")}).drop("_r").where("low IS NOT NULL")
-    return out.withColumn("prefix", F.explode(F.sequence(first_bytes("low"), first_bytes("high"))))
-
-
-def first_bytes(column: str) -> Column:
-    return F.conv(F.hex(F.substring(column, 1, 2)), 16, 10).cast("int")
+def addresses(text: Column) -> Column:
+    """(version, digits) of an address of either version; null for any other text."""
+    four, six = hex4(text), hex6(text)
+    return F.when(four.isNotNull(), F.struct(F.lit(4).alias("version"), four.alias("digits"))).when(six.isNotNull(), F.struct(F.lit(6).alias("version"), six.alias("digits")))
 
 
 def match_networks(values: DataFrame, networks: DataFrame) -> DataFrame:
-    """Each address with the first network (by ``ordinal``) of its version that contains it; addresses in none are absent."""
-    own = values.select("value").distinct()
-    four = own.withColumn("ip", ipv4(F.col("value"))).where("ip IS NOT NULL").withColumn("prefix", F.shiftright("ip", 16))
-    six = own.where(F.col("value").contains(":")).withColumn("ip", ipv6(F.col("value"))).where("ip IS NOT NULL").withColumn("prefix", first_bytes("ip"))
-    found = [a.join(b, "prefix").where("ip BETWEEN low AND high").select("value", "cidr", "verdict", "score", "ordinal") for a, b in ((four, network_buckets(networks)), (six, network_buckets6(networks)))]
-    return found[0].union(found[1]).groupBy("value").agg(F.min_by("cidr", "ordinal").alias("cidr"), F.min_by("verdict", "ordinal").alias("verdict"), F.min_by("score", "ordinal").alias("score"))
+    """Each address with the first network (by ``ordinal``) of its version that contains it; addresses in none are absent.
+
+    A network is one row, whatever its size: its version, length and first bits. An address
+    asks once for each length that any network has (161 at most), by an equi-join.
+    """
+    base, length = F.substring_index("cidr", "/", 1), F.substring_index("cidr", "/", -1).try_cast("int")
+    whole = F.when(F.col("cidr").contains("/"), length).otherwise(F.when(F.col("cidr").contains(":"), 128).otherwise(32))
+    nets = networks.withColumn("_a", addresses(base)).withColumn("bits", whole).where("_a IS NOT NULL AND bits BETWEEN 0 AND CASE _a.version WHEN 4 THEN 32 ELSE 128 END")
+    nets = nets.select(F.col("_a.version").alias("version"), "bits", first_bits(F.col("_a.digits"), F.col("bits")).alias("prefix"), "cidr", "verdict", "score", "ordinal")
+    lengths = nets.groupBy("version").agg(F.collect_set("bits").alias("lengths"))  # two rows
+    own = values.select("value").distinct().withColumn("_a", addresses(F.col("value"))).where("_a IS NOT NULL").select("value", "_a.*")
+    asked = own.join(F.broadcast(lengths), "version").withColumn("bits", F.explode("lengths"))
+    met = asked.withColumn("prefix", first_bits(F.col("digits"), F.col("bits"))).join(nets, ["version", "bits", "prefix"])
+    return met.groupBy("value").agg(F.min_by("cidr", "ordinal").alias("cidr"), F.min_by("verdict", "ordinal").alias("verdict"), F.min_by("score", "ordinal").alias("score"))
 
 
 def merge_verdicts(answers: DataFrame) -> DataFrame:

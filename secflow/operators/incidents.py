@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import functools
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
+from secflow.functions.predicates import glob_regex
 from secflow.operators import ranges
 
 #: Severity order, risk at which a single alert opens an incident, first incident number.
@@ -72,27 +74,64 @@ def transition_table(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "from_status string, to_status string")
 
 
-def _conditions(rules: DataFrame) -> list[tuple[Column, Column]]:
-    """Each rule (a literal row) and whether its conditions hold, in order; the rules are a dimension that people write."""
+#: Conditions of a routing rule and the fact of an incident that each asks about: lists of names, lists of globs.
+LISTED = {"severities": "severity", "tenants": "tenant", "tactics": "tactics"}
+GLOBBED = {"scenarios": "scenario", "techniques": "techniques", "rule_ids": "rule_ids", "principals": "principal", "hostnames": "hostnames", "source_ips": "source_ips"}
+#: Rules of one expression; more are tried step after step.
+AT_ONCE = 200
 
-    def holds(r: Row) -> Column:
-        tests = [F.col("severity").isin(r["severities"]) if r["severities"] is not None else None, F.col("principal").rlike(r["pattern"]) if r["pattern"] is not None else None]
-        tests += [F.col("risk_score") >= r["min_risk"] if r["min_risk"] is not None else None, F.col("risk_score") <= r["max_risk"] if r["max_risk"] is not None else None]
-        return F.coalesce(functools.reduce(lambda x, y: x & y, [t for t in tests if t is not None], F.lit(True)), F.lit(False))
 
-    return [(F.struct(F.lit(r["rule"]).alias("rule"), F.lit(r["team"]).alias("team")), holds(r)) for r in rules.orderBy("priority", "rule").collect()]
+def incident_facts(incidents: DataFrame, alerts: DataFrame) -> DataFrame:
+    """Incidents with what routing asks of their alerts: tactics, techniques, rule_ids, hostnames, source_ips."""
+    names = {"tactic": "tactics", "technique": "techniques", "rule_id": "rule_ids", "hostname": "hostnames", "source_ip": "source_ips"}
+    per = alerts.groupBy("incident_id").agg(*(F.array_sort(F.collect_set(c)).alias(n) for c, n in names.items()))
+    return incidents.join(per.withColumnRenamed("incident_id", "id"), "id", "left")
+
+
+def _fits(regex: str) -> Callable[[Column], Column]:
+    return lambda x: (x != "") & x.rlike(regex)
+
+
+def _holds(r: Row, kinds: dict[str, str]) -> Column:
+    """Whether a rule's conditions hold; a condition that it doesn't name, or leaves null, holds."""
+    asked = r.asDict()
+    many = lambda fact: F.col(fact) if kinds[fact].startswith("array") else F.array(fact)
+    tests = [F.coalesce(F.arrays_overlap(F.transform(many(fact), F.lower if name == "severities" else lambda x: x), F.array(*(F.lit(v.lower() if name == "severities" else v) for v in asked[name]))), F.lit(False)) for name, fact in LISTED.items() if asked.get(name) is not None]
+    for name, fact in GLOBBED.items():
+        if asked.get(name) is not None:
+            regex = "|".join(f"(?:{glob_regex(g)})" for g in asked[name]) or "$^"
+            tests.append(F.coalesce(F.exists(many(fact), _fits(regex)), F.lit(False)))
+    if asked.get("pattern") is not None:
+        tests.append(F.col("principal").rlike(asked["pattern"]))
+    tests += [F.col("risk_score") >= asked["min_risk"]] if asked.get("min_risk") is not None else []
+    tests += [F.col("risk_score") <= asked["max_risk"]] if asked.get("max_risk") is not None else []
+    return F.coalesce(functools.reduce(lambda x, y: x & y, tests, F.lit(True)), F.lit(False))
+
+
+def _conditions(incidents: DataFrame, rules: DataFrame) -> list[list[tuple[Column, Column]]]:
+    """Each rule (a literal row) and whether its conditions hold, in order, some at a time; the rules are a dimension that people write."""
+    found = [(F.struct(F.lit(r["rule"]).alias("rule"), F.lit(r["team"]).alias("team")), _holds(r, dict(incidents.dtypes))) for r in rules.orderBy("priority", "rule").collect()]
+    return [found[i : i + AT_ONCE] for i in range(0, len(found), AT_ONCE)]
 
 
 def routing(incidents: DataFrame, rules: DataFrame) -> DataFrame:
     """Every incident with every rule and whether its conditions hold, as an explanation asks for.
 
-    A rule's null condition holds for all; ``severities`` is a list, ``pattern`` a regex on the principal.
+    A rule's null condition holds for all. ``severities``, ``tenants`` and ``tactics`` are
+    lists; ``scenarios``, ``techniques``, ``rule_ids``, ``principals``, ``hostnames`` and
+    ``source_ips`` lists of globs, whatever their case; ``pattern`` is a regex on the
+    principal; ``min_risk`` and ``max_risk`` are limits.
     """
-    verdicts = F.array(*(F.struct(r["rule"].alias("rule"), r["team"].alias("team"), holds.alias("holds")) for r, holds in _conditions(rules)))
-    return incidents.withColumn("_r", F.explode(verdicts)).select("*", "_r.*").drop("_r")
+    out = incidents.withColumn("_r", F.array().cast("array<struct<rule:string,team:int,holds:boolean>>"))
+    for part in _conditions(incidents, rules):
+        out = out.withColumn("_r", F.concat("_r", F.array(*(F.struct(r["rule"].alias("rule"), r["team"].alias("team"), holds.alias("holds")) for r, holds in part))))
+    return out.withColumn("_r", F.explode("_r")).select("*", "_r.*").drop("_r")
 
 
 def first_route(incidents: DataFrame, rules: DataFrame) -> DataFrame:
-    """The rule of lowest (priority, rule) that holds, per incident; null if none does. One projection, no join and no shuffle."""
-    first = F.coalesce(*(F.when(holds, r) for r, holds in _conditions(rules)), F.lit(None).cast(rules.select(F.struct("rule", "team")).schema[0].dataType))
-    return incidents.select("id", first.alias("_r")).select("id", "_r.rule", "_r.team")
+    """The rule of lowest (priority, rule) that holds, per incident; null if none does. Projections only, no join and no shuffle."""
+    kind = rules.select(F.struct("rule", "team")).schema[0].dataType
+    out = incidents.withColumn("_r", F.lit(None).cast(kind))
+    for part in _conditions(incidents, rules):
+        out = out.withColumn("_r", F.coalesce("_r", *(F.when(holds, r) for r, holds in part)))
+    return out.select("id", "_r.rule", "_r.team")

@@ -228,6 +228,29 @@ BOOK.on("route_explain", "v_incidents", f"WITH {DUCK_ROUTES} SELECT id, rule, ho
 BOOK.on("route_first_match", "v_incidents", f"WITH {DUCK_ROUTES} SELECT id, arg_min(rule, (priority, rule)) FILTER (WHERE holds) AS rule, arg_min(team, (priority, rule)) FILTER (WHERE holds) AS team FROM v GROUP BY id")(lambda df: I.first_route(df, routes(df)))
 
 
+#: Rules over the facts of an incident's alerts: rule, priority, team, and one condition each but the last, which has several.
+FACT_ROUTES = [
+    ("f-tactic", 10, 1, {"tactics": ["exfiltration", "credential-access"], "min_risk": 95}), ("f-technique", 20, 2, {"techniques": ["T10?8", "t11*"], "max_risk": 60}), ("f-rule", 30, 3, {"rule_ids": ["AUTH-*"], "tenants": ["t0", "t9"]}),
+    ("f-host", 40, 4, {"hostnames": ["web-[78]", "WEB-8", "db*"]}), ("f-ip", 50, 5, {"source_ips": ["10.0.0.1?"]}), ("f-scenario", 60, 6, {"scenarios": ["brute*"]}), ("f-who", 70, 7, {"principals": ["user1*@corp.example"], "severities": ["HIGH", "critical"]}),
+]
+FACTS = "incidents AS (SELECT incident_id AS id, min(tenant) AS tenant, max(risk_score) AS risk_score, min(principal) AS principal, CASE WHEN count(*) % 2 = 0 THEN 'brute-force' END AS scenario, CASE WHEN max(risk_score) >= 90 THEN 'high' ELSE 'low' END AS severity FROM v_alerts GROUP BY incident_id)"
+
+
+def facts(alerts: DataFrame) -> DataFrame:
+    made = alerts.groupBy(F.col("incident_id").alias("id")).agg(F.min("tenant").alias("tenant"), F.max("risk_score").alias("risk_score"), F.min("principal").alias("principal"), F.when(F.count(F.lit(1)) % 2 == 0, "brute-force").alias("scenario"))
+    return I.incident_facts(made.withColumn("severity", F.when(F.col("risk_score") >= 90, "high").otherwise("low")), alerts)
+
+
+@BOOK.over("route_by_facts", "v_alerts", oracle=f"""WITH {FACTS}, f AS (SELECT incident_id AS id, list(tactic) AS tactics, bool_or(technique GLOB 'T10?8' OR technique GLOB 'T11*') AS technique, bool_or(rule_id LIKE 'auth-%') AS rule_, bool_or(hostname IN ('web-8') OR hostname LIKE 'db%') AS host, bool_or(source_ip GLOB '10.0.0.1?') AS ip FROM v_alerts GROUP BY 1)
+  SELECT id, CASE WHEN (list_contains(tactics, 'exfiltration') OR list_contains(tactics, 'credential-access')) AND risk_score >= 95 THEN 'f-tactic' WHEN technique AND risk_score <= 60 THEN 'f-technique' WHEN rule_ AND tenant IN ('t0', 't9') THEN 'f-rule' WHEN host THEN 'f-host' WHEN ip THEN 'f-ip' WHEN scenario LIKE 'brute%' THEN 'f-scenario' WHEN principal GLOB 'user1*@corp.example' AND severity IN ('high', 'critical') THEN 'f-who' END AS rule FROM incidents JOIN f USING (id)""")
+def route_by_facts(alerts: DataFrame) -> DataFrame:
+    """Incidents routed by tenant, tactic, technique, rule, host, address, scenario, principal, severity and risk."""
+    lists = [*I.LISTED, *I.GLOBBED]
+    kind = "rule string, priority int, team int, min_risk int, max_risk int, " + ", ".join(f"{n} array<string>" for n in lists)
+    rows = [(r, p, t, m.get("min_risk"), m.get("max_risk"), *(m.get(n) for n in lists)) for r, p, t, m in FACT_ROUTES]
+    return I.first_route(facts(alerts), alerts.sparkSession.createDataFrame(rows, kind)).select("id", "rule")
+
+
 @BOOK.over("route_apply", "v_incidents", "v_teams", oracle=f"WITH {DUCK_ROUTES}, f AS (SELECT id, arg_min(rule, (priority, rule)) FILTER (WHERE holds) AS rule, arg_min(team, (priority, rule)) FILTER (WHERE holds) AS team FROM v GROUP BY id) SELECT f.id, coalesce(t.team, CASE WHEN i.severity <> 'informational' THEN 'team-0' END) AS queue, CASE WHEN t.team IS NOT NULL THEN f.rule WHEN i.severity <> 'informational' THEN 'default' ELSE 'unrouted' END AS placed_by FROM f JOIN v_incidents i USING (id) LEFT JOIN v_teams t ON t.team_id = f.team AND t.enabled")
 def route_apply(incidents: DataFrame, teams: DataFrame) -> DataFrame:
     """The rule's team if it exists and works, else the default queue, else none."""

@@ -18,6 +18,30 @@ def test_networks_of_both_versions(spark):
     assert {r.value: r.cidr for r in got.collect()} == {"10.1.2.3": "10.1.0.0/16", "10.200.0.1": "10.0.0.0/8", "2001:db8::1": "2001:db8::/64", "2001:db8:0:ffff::9": "2001:db8::/32", "::1": "::1/128", "fe80::1": "fe80::/9"}
 
 
+def test_networks_against_the_standard_library(spark):
+    import ipaddress
+    import random
+
+    rnd = random.Random(4)
+    ip4 = [str(ipaddress.IPv4Address(rnd.getrandbits(32) & 0xFF0300FF)) for _ in range(60)]
+    ip6 = [str(ipaddress.IPv6Address((0x20010DB8 << 96) | (rnd.getrandbits(96) & rnd.choice([0xFF, 0xF << 80, 0x3F << 33])))) for _ in range(60)]
+    odd = ["::", "::1", "1::", "::ffff:10.1.2.3", "1:2:3:4:5:6:7:8", "1:2:3:4:5:6:7::", "::2:3:4:5:6:7:8", "1:2", ":::", "1::2::3", "12345::", "1:2:3:4:5:6:7:8:9", "1:2:3:4:5:6:7:8::", "g::", "256.1.1.1", "01.2.3.4", "", None, "ABCD::EF"]
+    nets = ["0.0.0.0/0", "::/0"] + [f"{a}/{rnd.randrange(33)}" for a in ip4[:25]] + [f"{a}/{rnd.randrange(129)}" for a in ip6[:25]] + ["10.0.0.0/33", "x/8", "::/129", "1.2.3.4"]
+    known = [(i, n, ipaddress.ip_network(n, strict=False)) for i, n in enumerate(nets) if not n.endswith(("/33", "x/8", "/129"))]
+    want = {}
+    for a in ip4 + ip6 + odd:
+        try:
+            at = ipaddress.ip_address(a)
+        except ValueError:
+            continue
+        found = [n for _, n, net in sorted(known, key=lambda k: -k[0]) if net.version == at.version and at in net]
+        if found:
+            want[a] = found[0]
+    rows = [(n, "benign", 1, -i) for i, n in enumerate(nets)]
+    got = enrich.match_networks(spark.createDataFrame([(a,) for a in ip4 + ip6 + odd], "value string"), spark.createDataFrame(rows, "cidr string, verdict string, score int, ordinal int"))
+    assert {r.value: r.cidr for r in got.collect()} == want
+
+
 def test_patterns_in_several_steps(spark, monkeypatch):
     monkeypatch.setattr(enrich, "GLOBS", 2)
     rows = [("db-*", "high"), ("web-?", "low"), ("db-7", "critical"), ("x*", "low"), ("*", "medium")]
