@@ -25,6 +25,7 @@ FLAT = {
     "class_uid": "class_uid", "activity_id": "activity_id", "status_id": "status_id", "severity_id": "severity_id", "tenant": "ev_tenant", "source_ip": "src_endpoint.ip", "hostname": "device.hostname",
     "session_uid": "actor.session.uid", "operation": "api.operation", "user_agent": "http_request.user_agent", "http_code": "http_response.code", "is_mfa": "is_mfa", "path": "file.path", "command": "actor.process.cmd_line",
     "group_name": "group.name", "country": "src_endpoint.country", "status_detail": "status_detail", "message": "message", "dedup_key": "ev_dedup_key",
+    "principal_type": "actor.user.type", "process": "actor.process.name",
 }
 
 
@@ -88,9 +89,9 @@ def nested(normalized: DataFrame, event: str = "ocsf") -> DataFrame:
     leaves = {
         "class_uid": e("class_uid"), "activity_id": e("activity_id"), "status_id": e("status_id"), "severity_id": e("severity_id"), "status_detail": e("status_detail"), **named, "time": time,
         "metadata.product": product[F.col("mapper")], "metadata.uid": uid, "metadata.log_name": F.col("mapper"), "metadata.log_provider": collector, "metadata.processed_time": F.col("received_at"), "metadata.original_time": original,
-        "actor.user.name": e("actor"), "actor.user.email_addr": address(e("actor")), "actor.user.groups": F.from_json(own("groups"), "array<string>"), "actor.session.uid": e("session"), "actor.process.cmd_line": e("command"), "actor.process.name": own("exe", "comm"),
+        "actor.user.name": e("actor"), "actor.user.email_addr": address(e("actor")), "actor.user.type": F.when(own("is_service_account") == "true", "Service").otherwise(own("userIdentity.type")), "actor.user.groups": F.from_json(own("groups"), "array<string>"), "actor.session.uid": e("session"), "actor.process.cmd_line": e("command"), "actor.process.name": own("exe", "comm"),
         "user.name": target, "user.email_addr": address(target), "user.type": F.when(target.isNotNull(), e("target_type")), "user.groups": F.when(target.isNotNull() & e("group_name").isNotNull(), F.array(e("group_name"))),
-        "src_endpoint.ip": e("ip"), "src_endpoint.port": e("port"), "src_endpoint.country": own("client.geographicalContext.country"), "device.hostname": host,
+        "src_endpoint.ip": e("ip"), "src_endpoint.port": e("port"), "src_endpoint.country": own("client.geographicalContext.country", "country"), "device.hostname": host,
         "api.operation": operation, "api.service": own("eventSource", "service"), "http_request.url": url, "http_request.http_method": own("method"), "http_request.user_agent": own("userAgent", "user_agent", "client.userAgent.rawUserAgent"), "http_response.code": own("status_code").try_cast("int"),
         "resources": F.when(F.col("mapper") == "aws.cloudtrail", F.nullif(N.cloud_resources(F.col("payload")), F.array().cast("array<struct<uid:string,name:string,type:string,criticality:string>>"))),
         "file.path": F.when(e("class_uid") == N.FILE, e("path")), "file.hashes": F.when(own("sha256").isNotNull(), F.create_map(F.lit("sha256"), own("sha256"))), "group.name": e("group_name"),

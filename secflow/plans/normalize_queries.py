@@ -6,9 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from secflow.functions.times import parse_time
+from secflow.operators import chain, detect
 from secflow.operators import events as E
 from secflow.operators import normalize as N
+from secflow.plans import detection_queries
 from secflow.plans.base import Book
+from secflow.sources.tables import written
 
 BOOK = Book()
 S = F.col
@@ -210,3 +213,17 @@ def identity(events: DataFrame, users: DataFrame) -> DataFrame:
     address = F.when(F.col("k") % 3 == 0, F.upper(F.concat(who(), F.lit("@corp.example"))))
     named = events.withColumn("a", address).withColumn("n", F.when(F.col("k") % 3 == 1, who())).withColumn("u", F.concat(F.lit("uid-"), F.col("user_id").cast("string")))
     return N.identities(named, own, "a", "n", "u").select("event_id", "canonical", "is_service")
+
+
+@BOOK.on("det_nested_paths", "v_events", f"WITH {detection_queries.MATCHED} SELECT event_id, rule_id FROM matched")
+def rules_on_events(df: DataFrame) -> DataFrame:
+    """The shipped rules on events that were read from records and stored, through their nested paths."""
+    stored = df.sparkSession.read.parquet(written(E.flat_events(events_of(df)), "events"))
+    return detect.match_rules(stored, detection_queries.RULES).select("event_id", "rule_id")
+
+
+@BOOK.on("chain_events", "v_events", "SELECT event_id, CASE WHEN k % 6 < 4 THEN '' WHEN k % 6 = 4 THEN 'unrecognized record' ELSE 'no mapper for source' END AS why FROM v_events")
+def chain_events(df: DataFrame) -> DataFrame:
+    """The whole chain over records of all sources: which became events, and why the others didn't. Records here differ in content, so none is a repeat."""
+    found = chain.run(raw_records(df).withColumn("payload", F.when(F.col("payload").isNotNull(), F.concat(F.expr("substring(payload, 1, length(payload) - 1)"), F.lit(',"event_id":"'), F.col("event_id").cast("string"), F.lit('"}')))).withColumn("raw", F.when(F.col("raw") == "broken line", F.col("raw")).otherwise(F.concat("raw", F.lit(" #"), F.col("event_id").cast("string")))))
+    return found.rejected.select("event_id", "why").union(found.events.select("event_id", F.lit("")))
