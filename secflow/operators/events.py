@@ -73,7 +73,8 @@ def nested(normalized: DataFrame, event: str = "ocsf") -> DataFrame:
     the content hash and the observables.
     """
     e = lambda n: F.col(f"event.{n}")
-    own = lambda *names: F.coalesce(*(F.get_json_object("payload", f"$.{n}") for n in names))
+    # The record is parsed once; its fields are then found by offset.
+    own = lambda *names: F.coalesce(*(F.try_variant_get("_record", f"$.{n}", "string") for n in names))
     line = N.syslog(F.col("raw"))
     collector = F.col("collector") if "collector" in normalized.columns else F.lit(None).cast("string")
     original = F.coalesce(own("timestamp", "eventTime", "published"), line["timestamp"])
@@ -96,9 +97,10 @@ def nested(normalized: DataFrame, event: str = "ocsf") -> DataFrame:
         "resources": F.when(F.col("mapper") == "aws.cloudtrail", F.nullif(N.cloud_resources(F.col("payload")), F.array().cast("array<struct<uid:string,name:string,type:string,criticality:string>>"))),
         "file.path": F.when(e("class_uid") == N.FILE, e("path")), "file.hashes": F.when(own("sha256").isNotNull(), F.create_map(F.lit("sha256"), own("sha256"))), "group.name": e("group_name"),
         "auth_protocol": e("method"), "logon_type": e("logon_type"), "is_mfa": e("is_mfa"), "message": F.coalesce(own("message"), F.when(F.col("raw").isNotNull(), line["message"])), "observables": F.when(F.size(seen) > 0, seen),
-        "unmapped": F.try_parse_json("payload"), "ev_tenant": F.col("tenant"), "ev_source": F.col("source"), "ev_raw": F.col("raw"), "ev_dedup_key": key,
+        "unmapped": F.col("_record"), "ev_tenant": F.col("tenant"), "ev_source": F.col("source"), "ev_raw": F.col("raw"), "ev_dedup_key": key,
     }
-    return normalized.withColumn(event, F.when(F.col("event").isNotNull(), assemble(event_schema(), leaves)))
+    parsed = normalized.withColumn("_record", F.try_parse_json("payload"))
+    return parsed.withColumn(event, F.when(F.col("event").isNotNull(), assemble(event_schema(), leaves))).drop("_record")
 
 
 def check_schema(df: DataFrame, event: str = "ocsf") -> DataFrame:

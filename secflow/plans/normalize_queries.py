@@ -218,8 +218,9 @@ def identity(events: DataFrame, users: DataFrame) -> DataFrame:
 @BOOK.on("det_nested_paths", "v_events", f"WITH {detection_queries.MATCHED} SELECT event_id, rule_id FROM matched")
 def rules_on_events(df: DataFrame) -> DataFrame:
     """The shipped rules on events that were read from records and stored, through their nested paths."""
-    stored = df.sparkSession.read.parquet(written(E.flat_events(events_of(df)), "events"))
-    return detect.match_rules(stored, detection_queries.RULES).select("event_id", "rule_id")
+    made = events_of(df).select("event_id", "ocsf")
+    stored = df.sparkSession.read.schema(made.schema).parquet(written(made, "events"))
+    return detect.match_rules(E.flat_events(stored), detection_queries.RULES).select("event_id", "rule_id")
 
 
 @BOOK.on("chain_events", "v_events", "SELECT event_id, CASE WHEN k % 6 < 4 THEN '' WHEN k % 6 = 4 THEN 'unrecognized record' ELSE 'no mapper for source' END AS why FROM v_events")
