@@ -91,6 +91,35 @@ def match_rules(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     return found.select(*df.columns, "_m.rule_id", "_m.searches")
 
 
+def _shown(schema: T.StructType, name: str) -> Column:
+    """A field as (name, text), null where the event lacks it; lists as JSON."""
+    kind = schema[name].dataType
+    text = F.to_json(name) if isinstance(kind, (T.ArrayType, T.MapType, T.StructType)) else F.col(name).cast("string")
+    return F.when(text.isNotNull(), F.struct(F.lit(name).alias("key"), text.alias("value")))
+
+
+def with_evidence(matches: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """Adds ``evidence``, a map of field to text: for each search that matched the fields of its first group that holds, then the rule's display fields.
+
+    Only matched rows are looked at again. Fields that the event lacks are left out; a field
+    that several searches name is told once.
+    """
+    schema, none = matches.schema, F.array().cast("array<struct<key:string,value:string>>")
+    found = F.when(F.lit(False), none)
+    for r in rules:
+        parts = []
+        for n, groups in r.searches.items():
+            own = F.when(F.lit(False), none)
+            for g in groups:
+                names = dict.fromkeys(P.resolve(f.split("|")[0], schema) for f in g)
+                own = own.when(P.search(schema, [g]), F.array(*(_shown(schema, c) for c in names if c in schema.names)))
+            parts.append(F.when(F.array_contains("searches", n), F.coalesce(own, none)).otherwise(none))
+        told = [_shown(schema, c) for c in (P.resolve(f, schema) for f in r.fields) if c in schema.names]
+        whole = F.concat(*parts, F.array(*told)) if told else F.concat(*parts)
+        found = found.when(F.col("rule_id") == r.id, F.array_distinct(F.array_compact(whole)))
+    return matches.withColumn("evidence", F.map_from_entries(F.coalesce(found, none)))
+
+
 def rule_table(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """The rules as a dimension: a few rows."""
     rows = [(r.id, r.title, r.level, r.confidence, [t for t in r.tags], list(r.fields)) for r in rules]

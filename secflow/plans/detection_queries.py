@@ -34,17 +34,35 @@ def match_rules(df: DataFrame) -> DataFrame:
     return D.match_rules(df, RULES).select("event_id", "rule_id")
 
 
-@BOOK.on("det_evidence", "v_events", f"""WITH {MATCHED} SELECT event_id, rule_id,
-  CASE rule_id WHEN 'app-sensitive-read' THEN 'selection,selection_user' WHEN 'cloud-agent' THEN 'selection,agent' WHEN 'idn-self-grant' THEN 'selection,own' ELSE 'selection' END AS searches,
-  CASE rule_id WHEN 'auth-failures' THEN 'principal=' || principal || ';source_ip=' || source_ip WHEN 'idn-role-change' THEN 'principal=' || principal || ';target_principal=' || target_principal END AS evidence
-  FROM matched WHERE rule_id IN ('auth-failures', 'idn-role-change', 'app-sensitive-read', 'cloud-agent', 'idn-self-grant')""")
+#: The DuckDB form of each rule's evidence: the searches that matched, and the fields shown, by name.
+GROUPS_JSON = """('["' || array_to_string(groups, '","') || '"]')"""
+ADMIN = f"(list_contains({GROUPS_LOW}, 'admins') OR list_contains({GROUPS_LOW}, 'wheel'))"
+DUCK_EVIDENCE = {
+    "auth-failures": ("selection", "operation principal source_ip status_id"),
+    "auth-success": ("selection", "hostname operation principal status_id"),
+    "app-sensitive-read": ("selection,selection_user", "groups hostname operation principal"),
+    "cloud-no-mfa": ("selection", "is_mfa operation principal status_id"),
+    "cloud-agent": ("selection,agent", "operation user_agent"),
+    "cred-key": ("selection", "operation target_principal"),
+    "end-wheel": ("selection", "groups hostname principal"),
+    "idn-role-change": ("selection", "operation principal target_principal"),
+    "idn-self-grant": ("selection,own", "operation principal"),
+}
+
+
+def _duck_evidence(rule: str, fields: str) -> str:
+    forms = {"groups": GROUPS_JSON}
+    if rule == "app-sensitive-read":  # the first alternative that holds is shown
+        forms = {"groups": f"CASE WHEN {ADMIN} THEN {GROUPS_JSON} END", "principal": f"CASE WHEN NOT {ADMIN} THEN principal END"}
+    return "concat_ws(';', " + ", ".join(f"'{f}=' || ({forms.get(f, f)})" for f in fields.split()) + ")"
+
+
+@BOOK.on("det_evidence", "v_events", f"WITH {MATCHED} SELECT event_id, rule_id, CASE rule_id " + " ".join(f"WHEN '{r}' THEN '{n}'" for r, (n, _) in DUCK_EVIDENCE.items()) + " END AS searches, CASE rule_id " + " ".join(f"WHEN '{r}' THEN {_duck_evidence(r, f)}" for r, (_, f) in DUCK_EVIDENCE.items()) + " END AS evidence FROM matched")
 def evidence(df: DataFrame) -> DataFrame:
-    chosen = [r for r in RULES if r.id in ("auth-failures", "idn-role-change", "app-sensitive-read", "cloud-agent", "idn-self-grant")]
-    shown = F.when(F.lit(False), F.lit(""))
-    for r in chosen:
-        if r.id in ("auth-failures", "idn-role-change"):
-            shown = shown.when(F.col("rule_id") == r.id, F.concat_ws(";", *(F.concat(F.lit(f"{c}="), F.col(c)) for c in r.fields)))
-    return D.match_rules(df, chosen).select("event_id", "rule_id", F.array_join("searches", ",").alias("searches"), shown.alias("evidence"))
+    """Every match with its searches and the values that made them match, by field name."""
+    entries = F.array_sort(F.map_entries("evidence"))
+    told = F.array_join(F.transform(entries, lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";")
+    return D.with_evidence(D.match_rules(df, RULES), RULES).select("event_id", "rule_id", F.array_join("searches", ",").alias("searches"), told.alias("evidence"))
 
 
 @BOOK.on("det_level_filter", "v_events", f"WITH {MATCHED}, {RULE_ROWS} SELECT rule_id, count(*) AS n FROM matched JOIN rules USING (rule_id) WHERE severity >= 8 GROUP BY rule_id")
@@ -218,14 +236,6 @@ def alert_sessions(df: DataFrame) -> DataFrame:
     return parts.groupBy("tenant", "rule_id", "hostname", "session").agg(F.min("t").alias("first_seen"), F.max("t").alias("last_seen"), F.count(F.lit(1)).alias("occurrences"), F.max("risk_score").alias("risk_score")).drop("session")
 
 
-@BOOK.on("win_sweep", "v_events", "SELECT tenant, principal, max(t) AS last, count(*) AS held FROM v_events GROUP BY tenant, principal HAVING max(t) >= (SELECT max(t) FROM v_events) - 43200000000")
-def sweep(df: DataFrame) -> DataFrame:
-    """Keys whose state is still alive half a day before the newest event."""
-    now = df.agg(F.max("t").alias("now"))
-    held = df.groupBy(*KEYS).agg(F.max("t").alias("last"), F.count(F.lit(1)).alias("held"))
-    return held.join(F.broadcast(now), F.col("last") >= F.col("now") - 43200 * W.SECOND).drop("now")  # one row
-
-
 # Risk
 
 INTERNAL = ["10.0.0.0/8", "192.168.0.0/16"]

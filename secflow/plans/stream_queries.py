@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from secflow.functions import histograms as H
 from secflow.functions import predicates as P
 from secflow.operators import normalize as N
 from secflow.plans import case_queries as C
@@ -17,6 +18,7 @@ from secflow.plans.normalize_queries import KEY_SQL, raw_records
 from secflow.schema import TACTICS
 from secflow.sources import logs, sinks
 from secflow.sources.tables import shared_path, stream_of, written
+from secflow.streaming import health as health_jobs
 from secflow.streaming import jobs as J
 from secflow.streaming import processors as R
 
@@ -114,7 +116,7 @@ def stream_normalize(df: DataFrame) -> DataFrame:
     return one.unionByName(spark.read.parquet(bad).select("event_id", "mapper", F.lit(True).alias("rejected")))
 
 
-def as_it_arrives(df: DataFrame, job: Callable[[DataFrame], DataFrame], runs: int = 3) -> DataFrame:
+def as_it_arrives(df: DataFrame, job: Callable[[DataFrame], DataFrame], runs: int = 3, mode: str = "append", per_batch: Callable[[DataFrame], DataFrame] = lambda batch: batch) -> DataFrame:
     """A job over rows that arrive in several runs, one span of time after the other; each run takes up its state where the last one left it."""
     spark, inbox = df.sparkSession, shared_path(df.sparkSession, "inbox")
     out, state = shared_path(spark, "out"), shared_path(spark, "state")
@@ -122,7 +124,7 @@ def as_it_arrives(df: DataFrame, job: Callable[[DataFrame], DataFrame], runs: in
     cuts = [low + (high - low + 1) * n // runs for n in range(runs + 1)] if low is not None else [0, 1]
     for start, end in zip(cuts, cuts[1:], strict=False):
         df.where((F.col("t") >= start) & (F.col("t") < end)).write.mode("append").parquet(inbox)
-        found = J.collect_to(job(spark.readStream.schema(df.schema).parquet(inbox)), out, checkpoint=state)
+        found = J.collect_to(job(spark.readStream.schema(df.schema).parquet(inbox)), out, mode, state, per_batch)
     return found
 
 
@@ -190,25 +192,54 @@ def exactly_once(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path).select("tenant", "dedup_key", "event_id")
 
 
-BOOK.on("st_window_kind", "v_events", "SELECT s AS start, event_type, count(*) AS n FROM (SELECT event_type, unnest([t // 43200000000 * 43200000000, t // 43200000000 * 43200000000 - 43200000000]) AS s FROM v_events) GROUP BY ALL")(
-    lambda df: df.groupBy(F.window(F.timestamp_micros("t"), "1 day", "12 hours"), "event_type").agg(F.count(F.lit(1)).alias("n")).select(F.unix_micros("window.start").alias("start"), "event_type", "n")
-)
+@BOOK.on("st_window_kind", "v_events", "SELECT s AS start, event_type, count(*) AS n FROM (SELECT event_type, unnest([t // 43200000000 * 43200000000, t // 43200000000 * 43200000000 - 43200000000]) AS s FROM v_events) GROUP BY ALL")
+def window_kind(df: DataFrame) -> DataFrame:
+    """Overlapping windows in a stream: each run tells the counts that it changed, and the newest, which is the largest, stands."""
+    told = as_it_arrives(df.select("t", "event_type"), lambda s: J.counters(s, "1 day", ["event_type"], slide="12 hours"), mode="update")
+    return told.groupBy("start", "event_type").agg(F.max("n").alias("n"))
+
+
 BOOK.on("st_pipeline_counters", "v_events", "SELECT t // 3600000000 * 3600000000 AS start, event_type, status_id, count(*) AS n FROM v_events GROUP BY ALL")(
     lambda df: J.collect_to(J.counters(stream_of(df.select("t", "event_type", "status_id"), "counted"), "1 hour", ["event_type", "status_id"]), shared_path(df.sparkSession, "counters"), "complete")
 )
-BOOK.on("st_latency_quantiles", "v_events", "SELECT t // 86400000000 * 86400000000 AS start, quantile_disc(k, 0.5) AS p50, quantile_disc(k, 0.95) AS p95, quantile_disc(k, 0.99) AS p99 FROM v_events GROUP BY 1")(
-    lambda df: df.groupBy(F.window(F.timestamp_micros("t"), "1 day")).agg(F.percentile_approx("k", [0.5, 0.95, 0.99], 1_000_000).alias("q")).select(F.unix_micros("window.start").alias("start"), F.col("q")[0].alias("p50"), F.col("q")[1].alias("p95"), F.col("q")[2].alias("p99"))
-)
+@BOOK.on("st_latency_quantiles", "v_events", "SELECT t // 86400000000 * 86400000000 AS start, quantile_disc(k, 0.5) AS p50, quantile_disc(k, 0.95) AS p95, quantile_disc(k, 0.99) AS p99 FROM v_events GROUP BY 1")
+def latency(df: DataFrame) -> DataFrame:
+    """Each micro-batch adds its histograms of five minutes; those of a day are merged when they are asked for. The stream holds no state, so no row comes too late."""
+    cut = lambda c, minutes: F.col(c) - F.pmod(F.col(c), F.lit(minutes * 60_000_000))
+    parts = as_it_arrives(df.select("t", "k"), lambda s: s, per_batch=lambda batch: H.histogram(batch, [cut("t", 5).alias("start")], F.col("k")))
+    days = parts.withColumn("start", cut("start", 1440))
+    return H.quantiles(days, ["start"], {"p50": 0.5, "p95": 0.95, "p99": 0.99})
+
+
+#: Answers with 503 (k of 95 and more), and events taken up k minutes after they came; the hour's backlog is what came but wasn't taken up.
+BACKLOG = 5
+HEALTH = f"""WITH e AS (SELECT t // 3600000000 * 3600000000 AS start, count(*) AS n, count(*) FILTER (WHERE status_id = 2) AS failed, count(*) FILTER (WHERE k >= 95) AS server FROM v_events GROUP BY 1),
+  d AS (SELECT (t + k * 60000000) // 3600000000 * 3600000000 AS start, count(*) AS done FROM v_events GROUP BY 1),
+  h AS (SELECT unnest(range((SELECT min(start) FROM e), (SELECT max(start) FROM e) + 1, 3600000000)) AS start),
+  w AS (SELECT h.start, coalesce(n, 0) AS n, coalesce(failed, 0) AS failed, coalesce(server, 0) AS server, sum(coalesce(n, 0) - coalesce(done, 0)) OVER (ORDER BY h.start) AS backlog FROM h LEFT JOIN e ON e.start = h.start LEFT JOIN d ON d.start = h.start)
+  SELECT start, 'failure rate' AS problem FROM w WHERE failed * 100 > n * 35 UNION ALL SELECT start, 'little traffic' FROM w WHERE n < 10 UNION ALL SELECT start, 'stalled' FROM w WHERE n = 0
+  UNION ALL SELECT start, 'server errors' FROM w WHERE server * 100 > n * 5 UNION ALL SELECT start, 'backlog' FROM w WHERE backlog > {BACKLOG}"""
+
+
+@BOOK.on("st_health_alerts", "v_events", HEALTH)
+def health(df: DataFrame) -> DataFrame:
+    """Hours with a problem, from counts that a stream's micro-batches add up."""
+    events = df.select("t", "k", (F.col("status_id") == 2).alias("failed"), F.when(F.col("k") >= 95, 503).otherwise(F.col("http_code")).alias("code"), (F.col("t") + F.col("k") * 60 * 1_000_000).alias("taken"))
+    parts = as_it_arrives(events, lambda s: s, per_batch=health_jobs.counted)
+    return health_jobs.problems(parts, failures=35, server=5, least=10, backlog=BACKLOG)
 
 
-@BOOK.on("st_health_alerts", "v_events", "WITH e AS (SELECT t // 3600000000 * 3600000000 AS start, count(*) AS n, count(*) FILTER (WHERE status_id = 2) AS failed FROM v_events GROUP BY 1), h AS (SELECT unnest(range((SELECT min(start) FROM e), (SELECT max(start) FROM e) + 1, 3600000000)) AS start), w AS (SELECT h.start, coalesce(n, 0) AS n, coalesce(failed, 0) AS failed FROM h LEFT JOIN e USING (start)) SELECT start, 'failure rate' AS problem FROM w WHERE failed * 100 > n * 35 UNION ALL SELECT start, 'little traffic' FROM w WHERE n < 10")
-def health(df: DataFrame) -> DataFrame:
-    """Hours with too many failures or too little traffic; an hour without any event has the least."""
-    held = df.groupBy(F.window(F.timestamp_micros("t"), "1 hour")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("status_id") == 2).alias("failed")).select(F.unix_micros("window.start").alias("start"), "n", "failed")
-    span = held.agg(F.explode(F.sequence(F.min("start"), F.max("start"), F.lit(3_600_000_000))).alias("start"))
-    hours = span.join(held, "start", "left").na.fill(0)
-    tests = F.array_compact(F.array(F.when(F.col("failed") * 100 > F.col("n") * 35, "failure rate"), F.when(F.col("n") < 10, "little traffic")))
-    return hours.select("start", F.explode(tests).alias("problem"))
+SWEPT = 43200
+HELD = f"""WITH l AS (SELECT tenant, principal, max(t) AS last FROM v_events GROUP BY ALL), m AS (SELECT max(t) // 1000 AS mark FROM v_events)
+  SELECT tenant, principal, last, count(*) AS held FROM v_events JOIN l USING (tenant, principal), m WHERE t >= last - {SWEPT} * 1000000::BIGINT AND -((-last - {SWEPT} * 1000000::BIGINT) // 1000) >= mark GROUP BY ALL"""
+
+
+@BOOK.on("win_sweep", "v_events", HELD)
+def sweep(df: DataFrame) -> DataFrame:
+    """Keys whose window the stream still holds after three runs, and how many rows each holds; timers have let the idle ones go."""
+    told = as_it_arrives(df.select("tenant", "principal", "t"), lambda s: R.windows(s, ["tenant", "principal"], SWEPT))
+    last = told.groupBy("tenant", "principal").agg(F.max_by(F.struct("last", "held", "alive"), F.struct("last", ~F.col("alive"))).alias("w"))
+    return last.select("tenant", "principal", "w.*").where("alive").drop("alive")
 
 
 # Extension points

@@ -19,13 +19,14 @@ def drain(stream: DataFrame, handle: Callable[[DataFrame, int], None], mode: str
         query.awaitTermination()
 
 
-def collect_to(stream: DataFrame, path: str, mode: str = "append", checkpoint: str | None = None) -> DataFrame:
-    """Drains a stream into a table, one folder per batch, so that a repeated batch replaces itself."""
-    drain(stream, lambda batch, n: batch.write.mode("overwrite").parquet(f"{path}/batch={n}"), mode, checkpoint)
-    return stream.sparkSession.read.schema(stream.schema).parquet(path).select(*stream.columns)
+def collect_to(stream: DataFrame, path: str, mode: str = "append", checkpoint: str | None = None, per_batch: Callable[[DataFrame], DataFrame] = lambda batch: batch) -> DataFrame:
+    """Drains a stream into a table, one folder per batch, so that a repeated batch replaces itself; ``per_batch`` shapes each batch first."""
+    drain(stream, lambda batch, n: per_batch(batch).write.mode("overwrite").parquet(f"{path}/batch={n}"), mode, checkpoint)
+    kind = per_batch(stream).schema
+    return stream.sparkSession.read.schema(kind).parquet(path).select(*kind.names)
 
 
-def counters(stream: DataFrame, width: str, labels: list[str], delay: str = "1 hour") -> DataFrame:
-    """Counts per window of event time and labels."""
+def counters(stream: DataFrame, width: str, labels: list[str], delay: str = "1 hour", slide: str | None = None) -> DataFrame:
+    """Counts per window of event time and labels; windows overlap where ``slide`` is less than their width."""
     timed = stream.withColumn("_time", F.timestamp_micros("t")).withWatermark("_time", delay)
-    return timed.groupBy(F.window("_time", width), *labels).agg(F.count(F.lit(1)).alias("n")).select(F.unix_micros("window.start").alias("start"), *labels, "n")
+    return timed.groupBy(F.window("_time", width, slide), *labels).agg(F.count(F.lit(1)).alias("n")).select(F.unix_micros("window.start").alias("start"), *labels, "n")

@@ -222,6 +222,35 @@ class Silence(Keyed):
         yield self.told(key, [newest])
 
 
+class Windows(Keyed):
+    """Tells after each micro-batch what a key's window of ``span`` seconds holds, and when a timer lets an idle key go."""
+
+    def __init__(self, names: list[str], span: int):
+        self.names, self.keep = names, span * SECOND
+
+    def open(self, handle: StatefulProcessorHandle) -> None:
+        self.times = handle.getListState("times", "t long")
+
+    def clear(self) -> None:
+        self.times.clear()
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        (t,) = in_order(rows, "t")
+        before = self.remembered()
+        if before[0] is not None:
+            t = np.sort(np.concatenate([np.fromiter((x[0] for x in self.times.get()), dtype=np.int64), t]))
+        t = t[np.searchsorted(t, t[-1] - self.keep, "left") :]
+        self.times.put([(int(x),) for x in t])
+        self.remember(before, int(t[-1]), None, timerValues.getCurrentWatermarkInMs())
+        yield self.told(key, int(t[-1]), len(t), True)
+
+    def told(self, key, last: int, held: int, alive: bool) -> pd.DataFrame:
+        return pd.DataFrame({**repeated(self.names, key, 1), "last": [last], "held": [held], "alive": [alive]})
+
+    def done(self, key: tuple, newest: int) -> Iterator[pd.DataFrame]:
+        yield self.told(key, newest, 0, False)
+
+
 class Lateness(StatefulProcessor):
     """Marks a key's rows as late if they are older than its newest row of earlier micro-batches, less ``delay`` seconds."""
 
@@ -275,6 +304,11 @@ def silent(events: DataFrame, keys: list[str], span: int, delay: int = 0) -> Dat
     return _timed(events, delay).groupBy(*keys).transformWithStateInPandas(Silence(keys, span), f"{_keys(events, keys)}, since long, due long", "append", "EventTime")
 
 
+def windows(events: DataFrame, keys: list[str], span: int, delay: int = 0) -> DataFrame:
+    """What each key's window holds after a micro-batch that touched it, and keys let go: keys, last, held, alive."""
+    return _timed(events, delay).groupBy(*keys).transformWithStateInPandas(Windows(keys, span), f"{_keys(events, keys)}, last long, held long, alive boolean", "append", "EventTime")
+
+
 def lateness(events: DataFrame, keys: list[str], delay: int, id_column: str = "event_id") -> DataFrame:
     """All rows with ``late``; nothing is dropped, so late rows can go to a table of their own."""
     return events.groupBy(*keys).transformWithStateInPandas(Lateness(delay, id_column), f"{id_column} long, t long, late boolean", "append", "None")
