@@ -93,6 +93,21 @@ def event_sink(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path).select("tenant", "dedup_key", "event_id")
 
 
+ALERT_KEYS = ["tenant", "rule_id", "principal"]
+
+
+@BOOK.on("snk_alerts", "v_alerts", "SELECT tenant, rule_id, principal, CAST(sum(occurrences) AS BIGINT) AS occurrences, min(t) AS first_seen, max(t) AS last_seen, max(risk_score) AS risk_score, arg_max(level, (risk_score, t, id)) AS level, count(*) AS events FROM v_alerts GROUP BY ALL")
+def alert_sink(df: DataFrame) -> DataFrame:
+    """A stored alert table after three batches, the second of which came twice, with its alerts' events counted."""
+    table, ids = shared_path(df.sparkSession, "alerts"), shared_path(df.sparkSession, "alert-events")
+    for n, part in ((0, "id % 5 < 2"), (1, "id % 5 = 2"), (1, "id % 5 = 2"), (2, "id % 5 > 2")):
+        sinks.upsert_alerts(df.where(part), table, ALERT_KEYS, n)
+        sinks.members(df.where(part), ids, ALERT_KEYS, n)
+    own = df.sparkSession.read.parquet(ids).select(*ALERT_KEYS, "id").distinct().groupBy(*ALERT_KEYS).agg(F.count(F.lit(1)).alias("events"))
+    stored = df.sparkSession.read.parquet(table).select(*ALERT_KEYS, "occurrences", "first_seen", "last_seen", "risk_score", "level")
+    return stored.join(own, ALERT_KEYS)
+
+
 BOOK.on("snk_topics", "v_alerts", """SELECT tenant AS key, '{"id":' || id || ',"rule_id":"' || rule_id || '","risk_score":' || risk_score || '}' AS value FROM v_alerts""")(lambda df: sinks.for_topic(df, ["id", "rule_id", "risk_score"]))
 BOOK.on("snk_dlq", "v_events", "SELECT event_id, CASE k % 6 WHEN 4 THEN 'linux.sshd' ELSE 'unknown.x' END AS source, CASE k % 6 WHEN 4 THEN 'unrecognized record' ELSE 'no mapper for source' END AS error FROM v_events WHERE k % 6 >= 4")(lambda df: sinks.rejected(N.normalize(raw_records(df))).select("event_id", "source", "error"))
 BOOK.on("snk_audit", "v_actions", """SELECT tenant, actor, action, 'incident' AS entity_type, incident_id::VARCHAR AS entity_id, '{"from_status":"' || from_status || '","to_status":"' || to_status || '"}' AS data FROM v_actions""")(lambda df: df.sparkSession.read.parquet(written(sinks.audit_rows(df, "incident"), "audit")).drop("created_at"))
