@@ -3,7 +3,10 @@
 ``train`` fits coarse centroids and the residuals' sub-quantisers by k-means on a sample of
 ``TRAIN`` vectors, or SAMPLE for every list if that is more, ``MOST`` at most (drawn by a hash
 of the id; the only vectors that reach the driver). There are as many lists as the square
-root of the number of vectors, and at most one for every SAMPLE vectors drawn. ``build`` assigns every vector to its list and stores its code of ``parts`` bytes.
+root of the number of vectors. Where ``MOST`` vectors are too few for that many lists, they
+are fitted on two levels: the driver's sample gives cells, and each cell's lists are fitted
+by tasks of their own on its part of a sample of SAMPLE vectors a list, ``PIECE`` at a time;
+only centroids come back. ``build`` assigns every vector to its list and stores its code of ``parts`` bytes.
 ``search`` sends each query to its ``probes`` nearest lists (set in training so that they
 hold HELD of the sample's exact neighbours; more if they hold too few rows), scans the
 lists' codes with the query's asymmetric distance table, reranks the
@@ -11,12 +14,12 @@ lists' codes with the query's asymmetric distance table, reranks the
 merges the parts' best. Lists are cut into parts of about ``PART`` rows, so a list that
 holds a third of all vectors is spread over many tasks.
 
-Nearness: smallest Euclidean distance, ties to the smaller id; a query is no neighbour of
-its own row (id). Rows: vectors that are null, zero, hold null or non-finite components, or
+Nearness: smallest Euclidean distance, ties to the smaller id; a query's candidates are all
+rows but its own. Rows: vectors that are null, zero, hold null or non-finite components, or
 differ from the most frequent length take no part (among those of one length any finite
 value does: codes are made of components clipped to 1e15, distances of the original ones); rows with a null id take no part; of
-rows that repeat an id each counts as a candidate, but only the first (by vector) as a
-query. Fewer candidates than ``k`` give all of them; an empty table gives no rows.
+rows that repeat an id only the first (by vector) is a query, and the others are candidates
+like any row, for it too; of rows alike in both one is the query's own. Fewer candidates than ``k`` give all of them; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -34,6 +37,8 @@ from secflow.llm.common import materialise, read
 
 #: Training sample at least, for every list, and at most; rows of a list part scanned by one task.
 TRAIN, SAMPLE, MOST, PART = 20_000, 16, 1 << 18, 4096
+#: Sampled rows of a cell that one task fits lists on.
+PIECE = 1 << 16
 PARTS, RERANK = 16, 100
 #: Share of true neighbours that the probed lists should hold, and sample queries by which the number of probes is set.
 HELD, TRIALS = 0.98, 400
@@ -89,25 +94,41 @@ def distances(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return d
 
 
+@dataclass(frozen=True)
+class Coarse:
+    """Centroids of the lists; those of cell i are ``centres[starts[i]:starts[i + 1]]`` where there are cells above them."""
+
+    centres: np.ndarray
+    cells: np.ndarray | None = None
+    starts: np.ndarray | None = None
+
+    def lists(self, x: np.ndarray) -> np.ndarray:
+        """The list of every row: its nearest centroid, in its nearest cell."""
+        if self.cells is None:
+            return nearest(x, self.centres)[0]
+        cell, own = nearest(x, self.cells)[0], np.empty(len(x), np.int64)
+        for c in np.unique(cell):
+            rows = np.flatnonzero(cell == c)
+            own[rows] = self.starts[c] + nearest(x[rows], self.centres[self.starts[c] : self.starts[c + 1]])[0]
+        return own
+
+
 @dataclass(frozen=True)
 class Quantiser:
-    """Coarse centroids, and the centroids of each part of the residuals."""
+    """Coarse centroids, one a list, and the centroids of each part of the residuals."""
 
-    coarse: np.ndarray
+    coarse: Coarse
     books: tuple[np.ndarray, ...]
     cuts: tuple[int, ...]
     probes: int
 
-    def lists(self, x: np.ndarray) -> np.ndarray:
-        return nearest(x, self.coarse)[0]
-
     def encode(self, x: np.ndarray, lists: np.ndarray) -> np.ndarray:
-        rest = x - self.coarse[lists]
+        rest = x - self.coarse.centres[lists]
         return np.stack([nearest(rest[:, s:e], b)[0] for b, s, e in zip(self.books, self.cuts, self.cuts[1:], strict=False)], 1).astype(np.uint8)
 
     def table(self, q: np.ndarray, own: int) -> np.ndarray:
         """(parts, 256) squared distances of a query's residual to every sub-centroid."""
-        rest, out = q - self.coarse[own], np.zeros((len(self.books), 256), np.float32)
+        rest, out = q - self.coarse.centres[own], np.zeros((len(self.books), 256), np.float32)
         for i, (b, s, e) in enumerate(zip(self.books, self.cuts, self.cuts[1:], strict=False)):
             out[i, : len(b)] = ((b - rest[s:e]) ** 2).sum(1)
         return out
@@ -127,9 +148,9 @@ def usable(vectors: DataFrame, id_column: str, column: str) -> DataFrame:
     return own.where(F.size("vec") == (common["n"] if common else -1))
 
 
-def probes_for(x: np.ndarray, coarse: np.ndarray, k: int = 10) -> int:
+def probes_for(x: np.ndarray, coarse: np.ndarray, lists: np.ndarray, k: int = 10) -> int:
     """The fewest nearest lists that hold the share HELD of the sample's own exact neighbours."""
-    lists, ranks = nearest(x, coarse)[0], []
+    ranks = []
     for i in np.random.default_rng(3).permutation(len(x))[:TRIALS]:
         d = ((x - x[i]) ** 2).sum(1)
         d[i] = np.inf
@@ -140,31 +161,68 @@ def probes_for(x: np.ndarray, coarse: np.ndarray, k: int = 10) -> int:
     return int(np.quantile(np.concatenate(ranks), HELD)) + 1 if len(x) > 1 else 1
 
 
+def drawn(own: DataFrame, wanted: int, count: int) -> DataFrame:
+    """About so many of ``count`` rows, by a hash of the id."""
+    return own.where(F.pmod(F.xxhash64(F.lit("train"), "id"), F.lit(1 << 30)) < min(1.0, wanted / max(1, count)) * (1 << 30))
+
+
+def two_levels(rows: DataFrame, wanted: int, x: np.ndarray, lists: int) -> Coarse:
+    """Cells from ``x``, and each cell's lists from its share of about ``wanted`` rows, one for every SAMPLE of them."""
+    cells = kmeans(x, math.isqrt(lists))
+    held = np.bincount(nearest(x, cells)[0], minlength=len(cells)) / len(x)
+    pieces = np.maximum(1, np.ceil(held * wanted / PIECE)).astype(np.int64)
+    shared = rows.sparkSession.sparkContext.broadcast((cells, pieces))  # at most the square root of the number of lists
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        above, cut = shared.value
+        for batch in batches:
+            if len(batch):
+                v = rough(batch["vec"].tolist())
+                cell = nearest(v, above)[0]
+                yield pd.DataFrame({"cell": cell, "piece": batch["_salt"].to_numpy() % cut[cell], "vec": list(v)})
+
+    def fit(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        v = rough(part["vec"].tolist())
+        v = v[np.lexsort(v.T[::-1])]  # the same centroids whatever the order of arrival
+        made = kmeans(v, max(1, round(len(v) / SAMPLE)))
+        return pd.DataFrame({"cell": key[0], "piece": key[1], "place": np.arange(len(made)), "centre": list(made)})
+
+    salted = rows.select("vec", F.pmod(F.xxhash64(F.lit("piece"), "id"), F.lit(1 << 30)).alias("_salt"))
+    placed = salted.mapInPandas(place, "cell long, piece long, vec array<float>")
+    found = placed.groupBy("cell", "piece").applyInPandas(fit, "cell long, piece long, place long, centre array<float>").orderBy("cell", "piece", "place").toPandas()
+    own = [np.array(found.loc[found["cell"] == c, "centre"].tolist(), np.float32).reshape(-1, x.shape[1]) for c in range(len(cells))]
+    own = [o if len(o) else cells[c : c + 1] for c, o in enumerate(own)]
+    return Coarse(np.concatenate(own), cells, np.cumsum([0, *map(len, own)]))
+
+
 def train(own: DataFrame, count: int, lists: int | None = None, parts: int = PARTS, sample: int = TRAIN) -> Quantiser:
     lists = lists or max(1, math.isqrt(count))
-    share = min(1.0, min(MOST, max(sample, SAMPLE * lists)) / max(1, count))
-    rows = own.where(F.pmod(F.xxhash64(F.lit("train"), "id"), F.lit(1 << 30)) < share * (1 << 30)).orderBy("id", "vec").toPandas()
-    x = rough(rows["vec"].tolist())
+    wanted = max(sample, SAMPLE * lists)
+    x = rough(drawn(own, min(MOST, wanted), count).orderBy("id", "vec").toPandas()["vec"].tolist())
     if not len(x):
         x = rough(own.limit(1).toPandas()["vec"].tolist())
     dim = x.shape[1]
-    coarse = kmeans(x, max(1, min(lists, len(x) // SAMPLE)) if count > len(x) else lists)
-    rest = x - coarse[nearest(x, coarse)[0]]
+    if SAMPLE * lists > MOST:
+        coarse = two_levels(drawn(own, wanted, count), wanted, x, lists)
+    else:
+        coarse = Coarse(kmeans(x, max(1, min(lists, len(x) // SAMPLE)) if count > len(x) else lists))
+    placed = coarse.lists(x)
+    rest = x - coarse.centres[placed]
     parts = min(parts, dim)
     cuts = tuple(int(c) for c in np.linspace(0, dim, parts + 1))
-    return Quantiser(coarse, tuple(kmeans(rest[:, s:e], 256, seed=i) for i, (s, e) in enumerate(zip(cuts, cuts[1:], strict=False))), cuts, probes_for(x, coarse))
+    return Quantiser(coarse, tuple(kmeans(rest[:, s:e], 256, seed=i) for i, (s, e) in enumerate(zip(cuts, cuts[1:], strict=False))), cuts, probes_for(x, coarse.centres, placed))
 
 
 def build(own: DataFrame, model: Quantiser) -> DataFrame:
     """The index: (list, part, id, vec, code) of every vector, in the shared folder."""
-    shared = own.sparkSession.sparkContext.broadcast(model)  # a fixed number of centroids
+    shared = own.sparkSession.sparkContext.broadcast(model)  # as many centroids as the square root of the number of vectors
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = shared.value
         for batch in batches:
             if len(batch):
                 x = rough(batch["vec"].tolist())
-                lists = m.lists(x)
+                lists = m.coarse.lists(x)
                 yield batch.assign(list=lists, code=[c.tobytes() for c in m.encode(x, lists)])
 
     made = own.mapInPandas(assign, f"id long, vec {dict(own.dtypes)['vec']}, list int, code binary")
@@ -176,7 +234,10 @@ def best(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: n
     out, rows = [], np.arange(codes.shape[1])
     for qid, q in zip(query_ids, queries, strict=True):
         near = model.table(rough(q), own)[rows, codes].sum(1)
-        mine = np.flatnonzero(ids != qid)
+        mine = np.arange(len(ids))
+        own_rows = np.flatnonzero(ids == qid)
+        own_rows = own_rows[(vectors[own_rows] == q).all(1)][:1]  # rows alike in id and vector lie in one part
+        mine = np.delete(mine, own_rows)
         if len(mine) > rerank:
             # All rows as near as the last one that fits stay, so equal codes are never cut by chance.
             last = np.partition(near[mine], rerank - 1)[rerank - 1]
@@ -190,18 +251,20 @@ def best(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: n
 def search(index: DataFrame, model: Quantiser, queries: DataFrame, k: int = 10, probes: int | None = None, rerank: int = RERANK) -> DataFrame:
     """(query_id, rank, vec_id, score); ``queries``: (id, vec)."""
     spark, probes = index.sparkSession, probes or model.probes
-    sizes = {r["list"]: r["n"] for r in index.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per list
-    parts_of = {c: -(-n // PART) for c, n in sizes.items()}
-    shared = spark.sparkContext.broadcast((model, np.array([sizes.get(c, 0) for c in range(len(model.coarse))])))
-    parts = F.create_map(*(F.lit(int(x)) for item in parts_of.items() for x in item)) if parts_of else F.create_map(F.lit(0), F.lit(1))
-    cut = index.withColumn("part", F.pmod(F.xxhash64("id", "vec"), parts[F.col("list")]).cast("int"))
+    # A table of one row a list; Spark broadcasts it while it is small, by its size on disk.
+    lists = materialise(index.groupBy("list").agg(F.count(F.lit(1)).alias("n")).withColumn("parts", F.ceil(F.col("n") / PART).cast("int")), "ivf-lists")
+    sizes = np.zeros(len(model.coarse.centres), np.int64)
+    for r in lists.select("list", "n").toLocalIterator():
+        sizes[r["list"]] = r["n"]
+    shared = spark.sparkContext.broadcast((model, sizes))
+    cut = index.join(lists, "list").withColumn("part", F.pmod(F.xxhash64("id", "vec"), F.col("parts")).cast("int")).drop("n", "parts")
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m, n = shared.value
         for batch in batches:
             if not len(batch):
                 continue
-            order = squared(rough(batch["vec"].tolist()), m.coarse).argsort(1, kind="stable")
+            order = squared(rough(batch["vec"].tolist()), m.coarse.centres).argsort(1, kind="stable")
             held = n[order].cumsum(1)
             # At least ``probes`` lists, and as many as hold k rows besides the query's own.
             take = np.maximum(probes, (held < 2 * k + 1).sum(1) + 1)
@@ -210,7 +273,7 @@ def search(index: DataFrame, model: Quantiser, queries: DataFrame, k: int = 10,
 
     one = queries.groupBy("id").agg(F.min("vec").alias("vec"))
     sent = one.mapInPandas(route, f"query_id long, query {dict(queries.dtypes)['vec']}, list int")
-    sent = sent.withColumn("part", F.explode(F.sequence(F.lit(0), parts[F.col("list")] - 1)))
+    sent = sent.join(lists, "list").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("n", "parts")
 
     def scan(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         m, _ = shared.value

@@ -155,7 +155,7 @@ def test_nearest_of_repeated_ids_ties_and_doubles(spark, tmp_path):
     for q in (0, 100, 200):
         mine = min(v for i, v in rows if i == q)
         d = lambda v, m=mine: np.hypot(v[0] - m[0], v[1] - m[1])
-        want = sorted((d(v), i) for i, v in rows if i != q)[:10]
+        want = sorted((d(v), i) for i, v in rows if (i, v) != (q, mine))[:10]
         own = sorted((r for r in got if r.query_id == q), key=lambda r: r["rank"])
         assert [r.vec_id for r in own] == [i for _, i in want]
         assert np.allclose([r.score for r in own], [x for x, _ in want], rtol=1e-14)
@@ -163,6 +163,37 @@ def test_nearest_of_repeated_ids_ties_and_doubles(spark, tmp_path):
     assert ivfpq.op6_nearest(spark, f"{tmp_path}/none").count() == 0
 
 
+def test_nearest_of_rows_alike_in_id_and_vector(spark):
+    """One of them is the query's own row, the others are neighbours at distance 0."""
+    rows = [(100, [1.0, 2.0])] * 3 + [(5, [1.0, 3.0])]
+    own = spark.createDataFrame(rows, "id long, vec array<double>")
+    model = ivfpq.train(own, 4)
+    got = [(r["rank"], r.vec_id, r.score) for r in ivfpq.search(ivfpq.build(own, model), model, own.where("id = 100")).orderBy("rank").collect()]
+    assert got == [(1, 100, 0.0), (2, 100, 0.0), (3, 5, 1.0)]
+
+
+def test_lists_on_two_levels(spark, monkeypatch):
+    """More lists than the driver's sample could fit: cells, lists within them, small pieces; recall against brute force."""
+    monkeypatch.setattr(ivfpq, "MOST", 400)
+    monkeypatch.setattr(ivfpq, "PIECE", 300)
+    rnd = np.random.default_rng(8)
+    centres = rnd.normal(0, 4, (30, 12))
+    x = np.concatenate([centres[0] + rnd.normal(0, 1, (1500, 12)), centres[rnd.integers(0, 30, 2500)] + rnd.normal(0, 1, (2500, 12))])
+    own = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<double>")
+    model = ivfpq.train(own, len(x), sample=400)
+    assert model.coarse.cells is not None and len(model.coarse.centres) > 400 // ivfpq.SAMPLE
+    assert model.coarse.starts[-1] == len(model.coarse.centres) and (np.diff(model.coarse.starts) > 0).all()
+    index = ivfpq.build(own, model)
+    assert index.count() == len(x) and index.agg(F.max("list")).first()[0] < len(model.coarse.centres)
+    got = ivfpq.search(index, model, own.where("id % 100 = 0")).toPandas()
+    hits = 0
+    for q in range(0, len(x), 100):
+        d = ((x - x[q]) ** 2).sum(1)
+        d[q] = np.inf
+        hits += len(set(got.loc[got["query_id"] == q, "vec_id"]) & set(np.argsort(d)[:10].tolist()))
+    assert hits / (10 * len(range(0, len(x), 100))) >= 0.9
+
+
 def test_more_languages_than_bits_of_a_word(spark):
     """Every language has words of its own; masks, rates and corrected counts against sets."""
     names = [f"l{i:03}" for i in range(150)]
