@@ -1,9 +1,9 @@
 """Threat intelligence and asset enrichment: joins against reference tables.
 
 Indicator tables may be large: exact lookups are plain equi-joins, and network lookups are
-equi-joins on the first bits for each prefix length there is, so neither needs a broadcast. Pattern dimensions
-(assets, accounts) become one expression over the distinct values: exact patterns are
-joined by equality, globs are tried in order.
+equi-joins on the first bits for each prefix length there is, so neither needs a broadcast.
+Pattern dimensions (assets, accounts) are joined by equality too: whole patterns, and the
+plain start or end of globs.
 """
 
 from __future__ import annotations
@@ -63,15 +63,31 @@ def merge_verdicts(answers: DataFrame) -> DataFrame:
 
 
 def first_pattern(values: DataFrame, patterns: DataFrame) -> DataFrame:
-    """(value, level) of the first pattern that fits: an exact one, else by ``ordinal``. ``patterns``: regex, pattern, level, ordinal."""
+    """(value, level) of the first pattern that fits: an exact one, else by ``ordinal``. ``patterns``: regex, pattern, level, ordinal.
+
+    A glob that starts with plain text is met by an equi-join on that text, one that only ends
+    with plain text by a join on its end; a value asks once for each length that such texts
+    have. Only globs with a wildcard at both ends are tried on every value, GLOBS at a time.
+    """
     own = values.select("value").where("value IS NOT NULL").distinct()
+    low = F.lower("value")
     exact = patterns.groupBy(F.lower("pattern").alias("_own")).agg(F.min_by("level", "ordinal").alias("level"))
-    own = own.join(exact, F.lower("value") == F.col("_own"), "left").drop("_own")
-    globs = patterns.where(F.col("pattern").rlike("[*?]")).orderBy("ordinal").select("regex", "level").collect()  # a dimension
-    for at in range(0, len(globs), GLOBS):
-        hits = [F.when(F.lower("value").rlike(g["regex"]), F.lit(g["level"])) for g in globs[at : at + GLOBS]]
-        own = own.withColumn("level", F.coalesce("level", *hits))
-    return own.where("level IS NOT NULL")
+    globs = patterns.where(F.col("pattern").rlike("[*?]") & F.col("level").isNotNull())
+    head, tail = (F.lower(F.regexp_extract("pattern", r, 0)) for r in (r"^[^*?\\]*", r"[^*?\\]*$"))
+    sided = globs.withColumn("_side", F.when(head != "", "head").when(tail != "", "tail")).withColumn("_text", F.when(head != "", head).otherwise(tail))
+    keyed = sided.where("_side IS NOT NULL").select("_side", F.length("_text").alias("_n"), "_text", "regex", "level", "ordinal")
+    lengths = keyed.groupBy("_side").agg(F.collect_set("_n").alias("_lengths"))  # two rows
+    asked = own.join(F.broadcast(lengths)).withColumn("_n", F.explode("_lengths")).where(F.length(low) >= F.col("_n"))
+    asked = asked.select("value", "_side", "_n", F.when(F.col("_side") == "head", F.left(low, F.col("_n"))).otherwise(F.right(low, F.col("_n"))).alias("_text"))
+    met = asked.join(keyed, ["_side", "_n", "_text"]).where(F.rlike(low, F.col("regex"))).groupBy("value").agg(F.min(F.struct("ordinal", "level")).alias("_met"))
+    rest = sided.where("_side IS NULL").orderBy("ordinal").select("regex", "level", "ordinal").collect()  # globs without a plain end
+    out = own.join(exact, low == F.col("_own"), "left").drop("_own").join(met, "value", "left")
+    kind = met.schema["_met"].dataType
+    out = out.withColumn("_rest", F.lit(None).cast(kind))
+    for at in range(0, len(rest), GLOBS):
+        hits = [F.when(low.rlike(g["regex"]), F.struct(F.lit(g["ordinal"]).alias("ordinal"), F.lit(g["level"]).alias("level")).cast(kind)) for g in rest[at : at + GLOBS]]
+        out = out.withColumn("_rest", F.coalesce("_rest", *hits))
+    return out.select("value", F.coalesce("level", F.least("_met", "_rest")["level"]).alias("level")).where("level IS NOT NULL")
 
 
 def pattern_table(df: DataFrame, rows: list[tuple[str, str]]) -> DataFrame:

@@ -101,7 +101,7 @@ def alert_sink(df: DataFrame) -> DataFrame:
     """A stored alert table after three batches, the second of which came twice, with its alerts' events counted."""
     table, ids = shared_path(df.sparkSession, "alerts"), shared_path(df.sparkSession, "alert-events")
     for n, part in ((0, "id % 5 < 2"), (1, "id % 5 = 2"), (1, "id % 5 = 2"), (2, "id % 5 > 2")):
-        sinks.upsert_alerts(df.where(part), table, ALERT_KEYS, n)
+        sinks.upsert_alerts(df.where(part), table, ALERT_KEYS, n, buckets=8)
         sinks.members(df.where(part), ids, ALERT_KEYS, n)
     own = df.sparkSession.read.parquet(ids).select(*ALERT_KEYS, "id").distinct().groupBy(*ALERT_KEYS).agg(F.count(F.lit(1)).alias("events"))
     stored = df.sparkSession.read.parquet(table).select(*ALERT_KEYS, "occurrences", "first_seen", "last_seen", "risk_score", "level")

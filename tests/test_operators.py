@@ -102,3 +102,26 @@ def test_leaves_of_nested_columns(spark):
     df = spark.createDataFrame([full, (None,)], kind)
     got = [sorted(map(tuple, r.l)) for r in df.select(normalize.flat(F.col("e"), df.schema["e"].dataType).alias("l")).collect()]
     assert got == [[("items[0].marks", "m"), ("items[0].marks", "n"), ("items[0].uid", "a"), ("rest.k", "v"), ("tags", "t"), ("tags", "u"), ("who.id", "7"), ("who.name", "eve")], []]
+
+
+def test_globs_against_plain_python(spark):
+    """Heads, tails and globs with neither, in any case, first by order; null and empty values, no patterns."""
+    import random
+    import re
+
+    rnd = random.Random(6)
+    word = lambda n: "".join(rnd.choice("abAB-") for _ in range(n))
+    values = [word(rnd.randrange(1, 7)) for _ in range(150)] + ["", None, "a*b", "x\\y", "\u00c9tage"]
+    forms = [lambda: word(2) + "*", lambda: "*" + word(2), lambda: "*" + word(1) + "*", lambda: word(1) + "?" + word(1), lambda: "?" * rnd.randrange(1, 4), lambda: word(3), lambda: word(1) + "*" + word(1)]
+    rows = [(rnd.choice(forms)(), f"l{i}") for i in range(80)] + [("a\\*b", "escaped"), ("x\\\\*", "slash"), ("\u00e9t*", "accent"), ("zz*", None)]
+    table = enrich.pattern_table(spark.createDataFrame([(1,)], "a int"), rows)
+    regexes = [(p.lower(), re.compile(r.regex.replace("(?si)", ""), re.S | re.I | re.A), level) for (p, level), r in zip(rows, table.orderBy("ordinal").collect(), strict=True)]
+    want = {}
+    for v in {v for v in values if v is not None}:
+        low = v.lower()
+        found = next((level for p, _, level in regexes if p == low), None) or next((level for (p, r, level) in regexes if re.search("[*?]", p) and level and r.search(low)), None)
+        if found:
+            want[v] = found
+    got = [tuple(r) for r in enrich.first_pattern(spark.createDataFrame([(v,) for v in values], "value string"), table).collect()]
+    assert dict(got) == want and len(got) == len(want)
+    assert enrich.first_pattern(spark.createDataFrame([("a",)], "value string"), table.limit(0)).count() == 0
