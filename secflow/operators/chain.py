@@ -37,11 +37,14 @@ class Tables:
     hits: DataFrame
     travel: DataFrame
     incidents: DataFrame
+    guessed: DataFrame
 
 
 #: The rules of a taken account, in order, and the seconds that they may take.
 TAKEOVER, TAKEOVER_SPAN = ("auth-failures", "auth-success", "idn-role-change", "cred-key"), 1800
 TRAVEL_SPAN = 3600
+#: A logon after repeated failures.
+GUESSED, GUESSED_SPAN = ("auth-failures", "auth-success"), 600
 
 
 def fired(matches: DataFrame, rules: Sequence[detect.Rule], silence: int) -> DataFrame:
@@ -84,9 +87,11 @@ def run(raw: DataFrame, rules: Sequence[detect.Rule] = detect.RECORD_RULES, cont
     logons = keyed.where("rule_id = 'auth-success'")
     apart = windows.threshold(windows.observe(logons, ["tenant", "key"], TRAVEL_SPAN, "distinct", "country"), ">=", 2)
     travel = windows.suppress(apart, ["tenant", "key"], TRAVEL_SPAN, ["event_id"])
+    opened = correlate.temporal_ordered(correlate.in_window(keyed, ["tenant", "key"], GUESSED_SPAN, GUESSED, "event_id"))
+    guessed = windows.suppress(opened, ["tenant", "key"], GUESSED_SPAN, ["event_id"])
     # An incident takes the alerts of its window and scores them together.
     span = keyed.join(hits.select("tenant", "key", F.col("t").alias("hit")), ["tenant", "key"]).where(F.col("t").between(F.col("hit") - TAKEOVER_SPAN * windows.SECOND, F.col("hit")))
     per = span.groupBy("tenant", "key", "hit").agg(F.max("risk_score").alias("top"), F.countDistinct("rule_id").alias("rules"), F.size(F.array_distinct(F.flatten(F.collect_set(detect.tactics(F.col("tags")))))).alias("tactics"), F.min("t").alias("first_seen"), F.count(F.lit(1)).alias("alerts"))
     score = risk.incident_score(F.col("top"), F.col("rules"), F.col("tactics"), F.lit(False), F.lit(True))
     incidents = per.withColumn("risk_score", score).select("tenant", F.col("key").alias("principal"), F.lit("account takeover").alias("scenario"), "first_seen", F.col("hit").alias("last_seen"), "alerts", "rules", "risk_score")
-    return Tables(rejected, flat, alerts, made.where(reason != "").withColumn("reason", reason), hits, travel, incidents)
+    return Tables(rejected, flat, alerts, made.where(reason != "").withColumn("reason", reason), hits, travel, incidents, guessed)

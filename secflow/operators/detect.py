@@ -47,9 +47,10 @@ RULES = [
 
 #: Rules over normalized records, with what a window must hold before they fire: events within seconds, per principal.
 RECORD_RULES = [
+    Rule("app-sensitive-read", "Critical or bulk data read", "medium", {"selection": [{"class_uid": 6005, "activity_id": [1, 4]}], "trigger_level": [{"resource_levels": "critical"}], "trigger_volume": [{"record_count|gte": 1000}], "service": [{"principal_type": "Service"}]}, "selection AND 1 of trigger_* AND NOT service", 7, (6005,), tags=("attack.collection", "attack.t1530"), fields=("record_count",)),
     Rule("auth-failures", "Repeated failed logons", "medium", {"selection": [{"class_uid": 3002, "activity_id": 1, "status_id": 2}]}, "selection", 7, (3002,), tags=("attack.credential_access", "attack.t1110"), threshold={"count": 5, "span": 300}),
     Rule("auth-success", "Successful logon", "informational", {"selection": [{"class_uid": 3002, "activity_id": 1, "status_id": 1}]}, "selection", 5, (3002,), tags=("attack.initial_access", "attack.t1078")),
-    Rule("cloud-no-mfa", "Console logon without a second factor", "high", {"selection": [{"operation": "ConsoleLogin", "status_id": 1, "is_mfa": False}]}, "selection", 8, tags=("attack.initial_access", "attack.t1078.004")),
+    Rule("cloud-no-mfa", "Console logon without a second factor", "high", {"selection": [{"operation": "ConsoleLogin", "status_id": 1, "is_mfa": False}], "federated": [{"logon_type": "SAML"}]}, "selection AND NOT federated", 8, tags=("attack.initial_access", "attack.t1078.004")),
     Rule("cloud-logging-off", "Audit logging turned off", "critical", {"selection": [{"operation": ["StopLogging", "DeleteTrail", "PutEventSelectors"]}], "refused": [{"status_id": 2}]}, "selection AND NOT refused", 9, tags=("attack.defense_evasion", "attack.t1562.008")),
     Rule("cred-key", "Access key created", "medium", {"selection": [{"class_uid": 3001, "activity_id": 1, "operation": ["CreateAccessKey", "api_key_created", "system.api_token.create"]}], "service": [{"principal_type": "Service"}]}, "selection AND NOT service", 7, tags=("attack.persistence", "attack.t1098.001")),
     Rule("end-secrets", "Local credential store read", "high", {"selection": [{"command|contains": ["/etc/shadow", "/etc/sudoers", "/root/.ssh/"]}], "agent": [{"process|endswith": ["/backup-agent", "/aide"]}]}, "selection AND NOT agent", 8, tags=("attack.credential_access", "attack.t1003.008")),

@@ -25,7 +25,7 @@ FLAT = {
     "class_uid": "class_uid", "activity_id": "activity_id", "status_id": "status_id", "severity_id": "severity_id", "tenant": "ev_tenant", "source_ip": "src_endpoint.ip", "hostname": "device.hostname",
     "session_uid": "actor.session.uid", "operation": "api.operation", "user_agent": "http_request.user_agent", "http_code": "http_response.code", "is_mfa": "is_mfa", "path": "file.path", "command": "actor.process.cmd_line",
     "group_name": "group.name", "country": "src_endpoint.country", "status_detail": "status_detail", "message": "message", "dedup_key": "ev_dedup_key",
-    "principal_type": "actor.user.type", "process": "actor.process.name",
+    "principal_type": "actor.user.type", "logon_type": "logon_type", "process": "actor.process.name",
 }
 
 
@@ -94,7 +94,7 @@ def nested(normalized: DataFrame, event: str = "ocsf") -> DataFrame:
         "user.name": target, "user.email_addr": address(target), "user.type": F.when(target.isNotNull(), e("target_type")), "user.groups": F.when(target.isNotNull() & e("group_name").isNotNull(), F.array(e("group_name"))),
         "src_endpoint.ip": e("ip"), "src_endpoint.port": e("port"), "src_endpoint.country": own("client.geographicalContext.country", "country"), "device.hostname": host,
         "api.operation": operation, "api.service": own("eventSource", "service"), "http_request.url": url, "http_request.http_method": own("method"), "http_request.user_agent": own("userAgent", "user_agent", "client.userAgent.rawUserAgent"), "http_response.code": own("status_code").try_cast("int"),
-        "resources": F.when(F.col("mapper") == "aws.cloudtrail", F.nullif(N.cloud_resources(F.col("payload")), F.array().cast("array<struct<uid:string,name:string,type:string,criticality:string>>"))),
+        "resources": F.when(F.col("mapper") == "aws.cloudtrail", F.nullif(N.cloud_resources(F.col("payload")), F.array().cast("array<struct<uid:string,name:string,type:string,criticality:string>>"))).when(F.col("mapper") == "app", N.app_resource(own("resource", "object"), own("resource_id"), own("resource_type"), own("resource_criticality"))),
         "file.path": F.when(e("class_uid") == N.FILE, e("path")), "file.hashes": F.when(own("sha256").isNotNull(), F.create_map(F.lit("sha256"), own("sha256"))), "group.name": e("group_name"),
         "auth_protocol": e("method"), "logon_type": e("logon_type"), "is_mfa": e("is_mfa"), "message": F.coalesce(own("message"), F.when(F.col("raw").isNotNull(), line["message"])), "observables": F.when(F.size(seen) > 0, seen),
         "unmapped": F.col("_record"), "ev_tenant": F.col("tenant"), "ev_source": F.col("source"), "ev_raw": F.col("raw"), "ev_dedup_key": key,
@@ -137,7 +137,9 @@ def flat_events(df: DataFrame, event: str = "ocsf", id_column: str = "event_id")
     """Events as the columns that rules and windows know, each read from its nested path."""
     who = lambda part: F.coalesce(F.col(f"{event}.{part}.email_addr"), F.col(f"{event}.{part}.name"))
     own = {n: F.col(f"{event}.{p}") for n, p in FLAT.items()}
-    return df.where(F.col(event).isNotNull()).select(id_column, F.unix_micros(f"{event}.time").alias("t"), F.coalesce(who("actor.user"), who("user")).alias("principal"), who("user").alias("target_principal"), F.col(f"{event}.actor.user.groups").alias("groups"), *(c.alias(n) for n, c in own.items()))
+    levels = F.transform(F.col(f"{event}.resources"), lambda r: r["criticality"]).alias("resource_levels")
+    count = F.try_variant_get(F.col(f"{event}.unmapped"), "$.record_count", "string").try_cast("long").alias("record_count")
+    return df.where(F.col(event).isNotNull()).select(id_column, levels, count, F.unix_micros(f"{event}.time").alias("t"), F.coalesce(who("actor.user"), who("user")).alias("principal"), who("user").alias("target_principal"), F.col(f"{event}.actor.user.groups").alias("groups"), *(c.alias(n) for n, c in own.items()))
 
 
 def document(event: str = "ocsf") -> Column:

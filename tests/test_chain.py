@@ -89,6 +89,15 @@ CASES = [
     ("taken slowly", [*fails("ann", 5, 10), logon("ann", 1000), app(1900, "role_change", target_user="bob"), cloud(2800, "CreateAccessKey")], {"auth-failures": 1, "auth-success": 1, "idn-role-change": 1, "cred-key": 1}, 0, 0),
     ("a stage is missing", [*fails("ann", 5, 10), logon("ann", 70), cloud(190, "CreateAccessKey")], {"auth-failures": 1, "auth-success": 1, "cred-key": 1}, 0, 0),
     ("stages of two people", [*fails("ann", 5, 10), logon("bob", 70), app(130, "role_change", target_user="eve"), cloud(190, "CreateAccessKey")], {"auth-failures": 1, "auth-success": 1, "idn-role-change": 1, "cred-key": 1}, 0, 0),
+    ("critical store read", [app(0, "data_access", resource="customers", resource_criticality="critical", record_count=12)], {"app-sensitive-read": 1}, 0, 0),
+    ("large export", [app(0, "data_export", resource="bills", resource_criticality="high", record_count=1000)], {"app-sensitive-read": 1}, 0, 0),
+    ("export below the limit", [app(0, "data_export", resource="bills", resource_criticality="high", record_count=999)], {}, 0, 0),
+    ("wiki read", [app(0, "data_access", object="wiki", resource_criticality="low")], {}, 0, 0),
+    ("critical store emptied", [app(0, "data_delete", resource="customers", resource_criticality="critical", record_count=5000)], {}, 0, 0),
+    ("job reads its store", [app(0, "data_access", "svc", is_service_account=True, resource="customers", resource_criticality="critical", record_count=25_000)], {}, 0, 0),
+    ("guessed in the end", [*fails("ann", 5, 10), logon("ann", 630)], {"auth-failures": 1, "auth-success": 1}, 0, 0),
+    ("logon before the failures", [logon("ann", 0), *fails("ann", 5, 10, 5)], {"auth-failures": 1, "auth-success": 1}, 0, 0),
+    ("logon after few failures", [*fails("ann", 4, 10), logon("ann", 60)], {"auth-success": 1}, 0, 0),
     ("broken line", [ssh(0, "nothing known"), ("unknown", 1, {"a": 1}, None)], {}, 0, 0),
 ]
 
@@ -102,7 +111,7 @@ def tables(spark):
             rows.append((name, n, source, name, None if payload is None else json.dumps(payload), raw, START + datetime.timedelta(seconds=at)))
     raw = spark.createDataFrame(rows, KIND).drop("case")
     found = chain.run(raw, context=chain.Context(load_test=F.col("principal").startswith("loadtest-")))
-    return {f: getattr(found, f).persist() for f in ("rejected", "events", "alerts", "silenced", "hits", "travel", "incidents")}
+    return {f: getattr(found, f).persist() for f in ("rejected", "events", "alerts", "silenced", "hits", "travel", "incidents", "guessed")}
 
 
 def test_cases(tables):
@@ -122,6 +131,11 @@ def test_incident_of_a_taken_account(tables):
     assert r.last_seen - r.first_seen == 150_000_000
 
 
+def test_logons_after_failures(tables):
+    got = {(r.tenant, r["count"]) for r in tables["guessed"].groupBy("tenant").count().collect()}
+    assert got == {(name, 1) for name in ("taken account", "taken account, others between", "key before the role", "a stage is missing", "guessed in the end")}
+
+
 def test_nothing_is_lost(tables, spark):
     total = sum(len(records) for _, records, *_ in CASES)
     repeats = 3
