@@ -6,12 +6,15 @@ of the id; the only vectors that reach the driver). There are as many lists as t
 root of the number of vectors. Where ``MOST`` vectors are too few for that many lists, they
 are fitted on two levels: the driver's sample gives cells, and each cell's lists are fitted
 by tasks of their own on its part of a sample of SAMPLE vectors a list, ``PIECE`` at a time;
-only centroids come back. ``build`` assigns every vector to its list and stores its code of ``parts`` bytes.
-``search`` sends each query to its ``probes`` nearest lists (set in training so that they
-hold HELD of the sample's exact neighbours; more if they hold too few rows), scans the
-lists' codes with the query's asymmetric distance table, reranks the
-``rerank`` best of every list part by the exact Euclidean distance in double precision, and
-merges the parts' best. Lists are cut into parts of about ``PART`` rows, so a list that
+only centroids come back. ``build`` assigns every vector to its list and stores its code of ``parts`` bytes,
+with the distance between the vector and what the code stands for.
+``search`` sends each query to its ``probes`` nearest lists (more if they hold too few rows).
+``train`` sets their number so that they hold HELD of the sample's exact neighbours, and
+``tuned`` sets it anew by TRIALS of the queries themselves, compared with every vector of the
+index: queries may lie elsewhere than most rows do. The lists' codes are scanned with the
+query's asymmetric distance table; the ``rerank`` best of every list part, and all others that
+by their code's distance could still be among the nearest, are compared by the exact Euclidean
+distance in double precision, and the parts' best are merged. Lists are cut into parts of about ``PART`` rows, so a list that
 holds a third of all vectors is spread over many tasks.
 
 Nearness: smallest Euclidean distance, ties to the smaller id; a query's candidates are all
@@ -26,7 +29,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -40,7 +43,7 @@ TRAIN, SAMPLE, MOST, PART = 20_000, 16, 1 << 18, 4096
 #: Sampled rows of a cell that one task fits lists on.
 PIECE = 1 << 16
 PARTS, RERANK = 16, 100
-#: Share of true neighbours that the probed lists should hold, and sample queries by which the number of probes is set.
+#: Share of true neighbours that the probed lists should hold, and queries by which the number of probes is set.
 HELD, TRIALS = 0.98, 400
 
 
@@ -126,9 +129,16 @@ class Quantiser:
         rest = x - self.coarse.centres[lists]
         return np.stack([nearest(rest[:, s:e], b)[0] for b, s, e in zip(self.books, self.cuts, self.cuts[1:], strict=False)], 1).astype(np.uint8)
 
+    def slack(self, x: np.ndarray, lists: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """The distance of every row to what its code stands for."""
+        shown = self.coarse.centres[lists].astype(np.float64)
+        for i, (b, s, e) in enumerate(zip(self.books, self.cuts, self.cuts[1:], strict=False)):
+            shown[:, s:e] += b[codes[:, i]]
+        return distances(x, shown)
+
     def table(self, q: np.ndarray, own: int) -> np.ndarray:
         """(parts, 256) squared distances of a query's residual to every sub-centroid."""
-        rest, out = q - self.coarse.centres[own], np.zeros((len(self.books), 256), np.float32)
+        rest, out = q - self.coarse.centres[own], np.zeros((len(self.books), 256))
         for i, (b, s, e) in enumerate(zip(self.books, self.cuts, self.cuts[1:], strict=False)):
             out[i, : len(b)] = ((b - rest[s:e]) ** 2).sum(1)
         return out
@@ -214,7 +224,7 @@ def train(own: DataFrame, count: int, lists: int | None = None, parts: int = PAR
 
 
 def build(own: DataFrame, model: Quantiser) -> DataFrame:
-    """The index: (list, part, id, vec, code) of every vector, in the shared folder."""
+    """The index: (list, id, vec, code, slack) of every vector, in the shared folder."""
     shared = own.sparkSession.sparkContext.broadcast(model)  # as many centroids as the square root of the number of vectors
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -223,17 +233,51 @@ def build(own: DataFrame, model: Quantiser) -> DataFrame:
             if len(batch):
                 x = rough(batch["vec"].tolist())
                 lists = m.coarse.lists(x)
-                yield batch.assign(list=lists, code=[c.tobytes() for c in m.encode(x, lists)])
+                codes = m.encode(x, lists)
+                yield batch.assign(list=lists, code=[c.tobytes() for c in codes], slack=m.slack(np.array(batch["vec"].tolist()), lists, codes))
 
-    made = own.mapInPandas(assign, f"id long, vec {dict(own.dtypes)['vec']}, list int, code binary")
+    made = own.mapInPandas(assign, f"id long, vec {dict(own.dtypes)['vec']}, list int, code binary, slack double")
     return materialise(made, "ivf-index")
 
 
-def best(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, codes: np.ndarray, own: int, model: Quantiser, k: int, rerank: int) -> pd.DataFrame:
-    """Each query's k nearest of one list part: scan by table, then exact distances of the best."""
+def tuned(index: DataFrame, model: Quantiser, queries: DataFrame, k: int = 10) -> Quantiser:
+    """The model with as few probes as hold the share HELD of the exact neighbours, over all of the index, of TRIALS queries."""
+    trials = queries.groupBy("id").agg(F.min("vec").alias("vec")).orderBy(F.xxhash64("id")).limit(TRIALS).toPandas()
+    if not len(trials):
+        return model
+    asked = rough(trials["vec"].tolist())
+    shared = index.sparkSession.sparkContext.broadcast((trials["id"].to_numpy(), asked.astype(np.float64)))
+
+    def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, q = shared.value
+        d, lists = np.full((len(q), 0), np.inf), np.zeros((len(q), 0), np.int64)
+        for batch in batches:
+            if len(batch):
+                new = squared(q, rough(batch["vec"].tolist()).astype(np.float64))
+                new[ids[:, None] == batch["id"].to_numpy()[None]] = np.inf
+                d, lists = np.hstack([d, new]), np.hstack([lists, np.broadcast_to(batch["list"].to_numpy(), new.shape)])
+                kept = np.argpartition(d, min(k, d.shape[1]) - 1, axis=1)[:, :k]
+                d, lists = np.take_along_axis(d, kept, 1), np.take_along_axis(lists, kept, 1)
+        at, _ = held = np.nonzero(np.isfinite(d))
+        yield pd.DataFrame({"trial": at, "list": lists[held], "d": d[held]})
+
+    found = index.select("id", "vec", "list").mapInPandas(near, "trial int, list int, d double")
+    nearest_of = Window.partitionBy("trial").orderBy("d", "list")
+    met = found.withColumn("_n", F.row_number().over(nearest_of)).where(F.col("_n") <= k).select("trial", "list").toPandas()
+    if not len(met):
+        return model
+    # The place of each neighbour's list among the lists in order of their distance to the query.
+    place = squared(asked, model.coarse.centres).argsort(1, kind="stable").argsort(1, kind="stable")
+    ranks = place[met["trial"].to_numpy(), met["list"].to_numpy()]
+    return replace(model, probes=int(np.quantile(ranks, HELD, method="higher")) + 1)
+
+
+def best(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, codes: np.ndarray, slack: np.ndarray, own: int, model: Quantiser, k: int, rerank: int) -> pd.DataFrame:
+    """Each query's k nearest of one list part: scan by table, then exact distances of the best and of all that could be nearer."""
     out, rows = [], np.arange(codes.shape[1])
     for qid, q in zip(query_ids, queries, strict=True):
-        near = model.table(rough(q), own)[rows, codes].sum(1)
+        with np.errstate(over="ignore"):
+            near, most = model.table(q.astype(np.float64), own)[rows, codes].sum(1), np.linalg.norm(q.astype(np.float64))
         mine = np.arange(len(ids))
         own_rows = np.flatnonzero(ids == qid)
         own_rows = own_rows[(vectors[own_rows] == q).all(1)][:1]  # rows alike in id and vector lie in one part
@@ -241,7 +285,13 @@ def best(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: n
         if len(mine) > rerank:
             # All rows as near as the last one that fits stay, so equal codes are never cut by chance.
             last = np.partition(near[mine], rerank - 1)[rerank - 1]
-            mine = mine[near[mine] <= last]
+            # A row lies within its slack of what its code stands for: one whose least distance is
+            # beyond k others' greatest is not among the k nearest. NaN, of overflows, stays.
+            shown = np.sqrt(near[mine])
+            kth = min(k, len(mine)) - 1
+            far = np.partition(shown + slack[mine], kth)[kth] * (1 + 1e-6) + 1e-12 * most
+            with np.errstate(invalid="ignore"):
+                mine = mine[(near[mine] <= last) | ~(shown - slack[mine] > far)]
         d = distances(q, vectors[mine])
         order = np.lexsort([ids[mine], d])[:k]
         out.append(pd.DataFrame({"query_id": qid, "vec_id": ids[mine][order], "score": d[order]}))
@@ -278,9 +328,9 @@ def search(index: DataFrame, model: Quantiser, queries: DataFrame, k: int = 10,
     def scan(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         m, _ = shared.value
         if not len(asked) or not len(held):
-            return best(np.zeros(0), np.zeros((0, 1)), np.zeros(0), np.zeros((0, 1)), np.zeros((0, 1)), 0, m, k, rerank)
+            return best(np.zeros(0), np.zeros((0, 1)), np.zeros(0), np.zeros((0, 1)), np.zeros((0, 1)), np.zeros(0), 0, m, k, rerank)
         codes = np.frombuffer(b"".join(held["code"]), np.uint8).reshape(len(held), -1)
-        return best(asked["query_id"].to_numpy(), np.array(asked["query"].tolist()), held["id"].to_numpy(), np.array(held["vec"].tolist()), codes, int(held["list"].iloc[0]), m, k, rerank)
+        return best(asked["query_id"].to_numpy(), np.array(asked["query"].tolist()), held["id"].to_numpy(), np.array(held["vec"].tolist()), codes, held["slack"].to_numpy(), int(held["list"].iloc[0]), m, k, rerank)
 
     found = sent.groupBy("list", "part").cogroup(cut.groupBy("list", "part")).applyInPandas(scan, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
@@ -292,8 +342,9 @@ def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     count = own.count()
     if not count:
         return own.select(F.col("id").alias("query_id"), F.lit(1).alias("rank"), F.col("id").alias("vec_id"), F.lit(0.0).alias("score")).limit(0)
-    model = train(own, count)
-    return search(build(own, model), model, own.where("id % 100 = 0"))
+    model, queries = train(own, count), own.where("id % 100 = 0")
+    index = build(own, model)
+    return search(index, tuned(index, model, queries), queries)
 
 
 QUERIES = {"op6_nearest": op6_nearest}

@@ -235,3 +235,16 @@ def test_ranking_is_the_best_of_its_pairs():
 @pytest.mark.parametrize("k", [1, 5])
 def test_kmeans_of_equal_rows(k):
     assert len(ivfpq.kmeans(np.ones((9, 3), np.float32), k)) == 1
+
+
+def test_queries_that_lie_elsewhere_than_most_rows(spark, tmp_path):
+    """Rows in tight groups whose neighbours share a list, queries between the groups whose neighbours don't."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(80, 16))[rng.integers(0, 80, 6000)] * 10 + rng.normal(size=(6000, 16)) * 0.05
+    x[::100] = rng.normal(size=(60, 16)) * 10
+    spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = ivfpq.op6_nearest(spark, str(tmp_path)).toPandas()
+    d = np.sqrt(((x[:, None, :] - x[None, ::100, :]) ** 2).sum(2))
+    d[np.arange(0, 6000, 100), np.arange(60)] = np.inf
+    found = [len(set(got.loc[got["query_id"] == 100 * i, "vec_id"]) & set(np.argsort(d[:, i])[:10])) for i in range(60)]
+    assert np.mean(found) >= 9
