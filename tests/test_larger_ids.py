@@ -9,6 +9,7 @@ from tests.test_oracles import SF, plain
 NAMES = [
     "enr_bulk_lookup",
     "enr_events",
+    "enr_internal",
 ]
 
 
