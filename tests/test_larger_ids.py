@@ -10,6 +10,7 @@ NAMES = [
     "enr_bulk_lookup",
     "enr_events",
     "enr_internal",
+    "enr_merge_verdicts",
 ]
 
 
