@@ -11,6 +11,7 @@ NAMES = [
     "enr_events",
     "enr_internal",
     "enr_merge_verdicts",
+    "enr_network",
 ]
 
 
