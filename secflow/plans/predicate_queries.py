@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from secflow.functions import predicates as P
 from secflow.operators import search as S
-from secflow.plans.base import Book
+from secflow.plans.base import ADDRESS_SQL, Book
 
 BOOK = Book()
 
@@ -22,7 +22,7 @@ CASES = [
     ("pred_startswith", "user_agent", ["Curl/", "aws*2"], ("startswith",), "coalesce(starts_with(lower(user_agent), 'curl/') OR regexp_full_match(lower(user_agent), 'aws.*2.*'), false)"),
     ("pred_endswith", "user_agent", ["python"], ("endswith",), "coalesce(ends_with(lower(user_agent), 'python'), false)"),
     ("pred_regex", "message", [r"ERROR by user\d+1 k=[5-9]"], ("re", "i"), r"regexp_matches(message, '(?i)ERROR by user\d+1 k=[5-9]')"),
-    ("pred_cidr", "source_ip", ["10.0.0.0/9", "203.0.113.64/26"], ("cidr",), """(
+    ("pred_cidr", "source_ip", ["10.0.0.0/9", "203.0.113.64/26"], ("cidr",), f"""{ADDRESS_SQL.format('source_ip')} AND (
         (string_split(source_ip, '.')[1] = '10' AND string_split(source_ip, '.')[2]::INT < 128) OR
         (starts_with(source_ip, '203.0.113.') AND string_split(source_ip, '.')[4]::INT BETWEEN 64 AND 127))"""),
     ("pred_compare", "k", [40], ("gte",), "k >= 40"),

@@ -12,6 +12,7 @@ NAMES = [
     "enr_internal",
     "enr_merge_verdicts",
     "enr_network",
+    "pred_cidr",
 ]
 
 
