@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from secflow.functions import risk
 from secflow.operators import detect as D
 from secflow.operators import windows as W
-from secflow.plans.base import Book
+from secflow.plans.base import ADDRESS_SQL, Book
 
 BOOK = Book()
 RULES = D.usable(D.RULES)
@@ -255,7 +255,7 @@ def _signals(df: DataFrame, load_test: Column | None = None, maintenance: Column
     return risk.signals(source_ip=F.col("source_ip"), internal=INTERNAL, verdict=verdict, class_uid=F.col("class_uid"), status_id=F.col("status_id"), is_mfa=F.col("is_mfa"), time=F.timestamp_micros("t"), privileged=F.array_contains("groups", "wheel"), critical=F.col("hostname").startswith("db-prod"), service=F.col("principal").startswith("svc-"), load_test=F.lit(False) if load_test is None else load_test, maintenance=maintenance)
 
 
-DUCK_FACTOR = """CASE WHEN NOT (starts_with(source_ip, '10.') OR starts_with(source_ip, '192.168.')) THEN 1.1::DOUBLE ELSE 1 END * CASE WHEN k < 5 THEN 1.3::DOUBLE WHEN k < 10 THEN 1.2::DOUBLE ELSE 1 END
+DUCK_FACTOR = f"""CASE WHEN NOT ({ADDRESS_SQL.format('source_ip')} AND (starts_with(source_ip, '10.') OR starts_with(source_ip, '192.168.'))) THEN 1.1::DOUBLE ELSE 1 END * CASE WHEN k < 5 THEN 1.3::DOUBLE WHEN k < 10 THEN 1.2::DOUBLE ELSE 1 END
   * CASE WHEN class_uid = 3002 AND status_id <> 2 AND is_mfa = false THEN 1.1::DOUBLE ELSE 1 END
   * CASE WHEN hour(make_timestamp(t)) < 6 OR hour(make_timestamp(t)) >= 22 OR isodow(make_timestamp(t)) >= 6 THEN 1.05::DOUBLE ELSE 1 END
   * CASE WHEN coalesce(list_contains(groups, 'wheel'), false) THEN 1.15::DOUBLE ELSE 1 END * CASE WHEN starts_with(hostname, 'db-prod') THEN 1.15::DOUBLE ELSE 1 END * CASE WHEN starts_with(principal, 'svc-') THEN 0.85::DOUBLE ELSE 1 END"""

@@ -13,6 +13,7 @@ NAMES = [
     "enr_merge_verdicts",
     "enr_network",
     "pred_cidr",
+    "risk_alert_score",
 ]
 
 
