@@ -204,7 +204,9 @@ def flatten(df: DataFrame) -> DataFrame:
     return nested.select("event_id", F.inline(N.flat(F.col("event"), nested.schema["event"].dataType)))
 
 
-@BOOK.over("norm_identity", "v_events", "v_users", oracle="SELECT event_id, CASE WHEN k % 3 = 2 AND user_id % 11 <> 0 THEN 'user' || user_id || '@corp.example' WHEN k % 3 <> 2 THEN 'user' || user_id || '@corp.example' ELSE 'user' || user_id || '@corp.example' END AS canonical, user_id % 25 = 0 AS is_service FROM v_events")
+@BOOK.over("norm_identity", "v_events", "v_users", oracle="""WITH aliases AS (SELECT email AS canonical, user_id % 25 = 0 AS service, unnest([lower(email), CASE WHEN ends_with(lower(email), '@corp.example') THEN split_part(email, '@', 1) END, 'uid-' || user_id]) AS alias FROM v_users)
+  SELECT event_id, coalesce(a.canonical, n.canonical, u.canonical) AS canonical, coalesce(a.service, n.service, u.service, false) AS is_service FROM v_events e
+  LEFT JOIN aliases a ON a.alias = CASE WHEN k % 3 = 0 THEN 'user' || e.user_id || '@corp.example' END LEFT JOIN aliases n ON n.alias = CASE WHEN k % 3 = 1 THEN 'user' || e.user_id END LEFT JOIN aliases u ON u.alias = 'uid-' || e.user_id""")
 def identity(events: DataFrame, users: DataFrame) -> DataFrame:
     """An address, a bare name or a number leads to the person's address."""
     # A bare name is the own domain's: other domains use the same ones.

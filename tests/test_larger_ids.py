@@ -14,6 +14,7 @@ NAMES = [
     "enr_network",
     "pred_cidr",
     "risk_alert_score",
+    "norm_identity",
 ]
 
 
