@@ -269,8 +269,9 @@ def provider(df: DataFrame) -> DataFrame:
 
 @BOOK.on("udf_ip_binary", "v_events", "SELECT event_id, k < 50 AS inside FROM v_events")
 def ip_binary(df: DataFrame) -> DataFrame:
-    """Version 6 addresses against a network."""
-    address = F.concat(F.when(F.col("k") < 50, "2001:db8::").otherwise("2001:dead::"), F.lower(F.hex(F.col("user_id"))))
+    """Version 6 addresses against a network; a user's number is their last four groups."""
+    groups = F.regexp_replace(F.lpad(F.lower(F.hex("user_id")), 16, "0"), "(.{4})(?=.)", "$1:")
+    address = F.concat(F.when(F.col("k") < 50, "2001:db8::").otherwise("2001:dead::"), groups)
     return df.withColumn("a", address).select("event_id", F.coalesce(P.in_network(F.col("a"), "2001:db8::/32"), F.lit(False)).alias("inside"))
 
 

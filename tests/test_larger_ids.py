@@ -15,6 +15,7 @@ NAMES = [
     "pred_cidr",
     "risk_alert_score",
     "norm_identity",
+    "udf_ip_binary",
 ]
 
 
