@@ -241,8 +241,8 @@ def alert_sessions(df: DataFrame) -> DataFrame:
 INTERNAL = ["10.0.0.0/8", "192.168.0.0/16"]
 
 
-@BOOK.on("risk_context", "v_events", """SELECT event_id, concat_ws(',',
-  CASE WHEN NOT (starts_with(source_ip, '10.') OR starts_with(source_ip, '192.168.')) THEN 'external_source' END, CASE WHEN k < 5 THEN 'known_malicious_indicator' END, CASE WHEN k BETWEEN 5 AND 9 THEN 'anonymizing_infrastructure' END,
+@BOOK.on("risk_context", "v_events", f"""SELECT event_id, concat_ws(',',
+  CASE WHEN NOT ({ADDRESS_SQL.format('source_ip')} AND (starts_with(source_ip, '10.') OR starts_with(source_ip, '192.168.'))) THEN 'external_source' END, CASE WHEN k < 5 THEN 'known_malicious_indicator' END, CASE WHEN k BETWEEN 5 AND 9 THEN 'anonymizing_infrastructure' END,
   CASE WHEN class_uid = 3002 AND status_id <> 2 AND is_mfa = false THEN 'no_mfa' END,
   CASE WHEN hour(make_timestamp(t)) < 6 OR hour(make_timestamp(t)) >= 22 OR isodow(make_timestamp(t)) >= 6 THEN 'off_hours' END,
   CASE WHEN list_contains(groups, 'wheel') THEN 'privileged_target' END, CASE WHEN starts_with(hostname, 'db-prod') THEN 'critical_asset_touched' END, CASE WHEN starts_with(principal, 'svc-') THEN 'service_account' END) AS signals FROM v_events""")

@@ -16,6 +16,7 @@ NAMES = [
     "risk_alert_score",
     "norm_identity",
     "udf_ip_binary",
+    "risk_context",
 ]
 
 
