@@ -17,6 +17,7 @@ NAMES = [
     "norm_identity",
     "udf_ip_binary",
     "risk_context",
+    "risk_modifier",
 ]
 
 
