@@ -18,6 +18,7 @@ NAMES = [
     "udf_ip_binary",
     "risk_context",
     "risk_modifier",
+    "st_enrich",
 ]
 
 
