@@ -180,7 +180,8 @@ BOOK.on("norm_stamp", "v_events", f"SELECT event_id, tenant, 'app.audit' AS sour
     lambda df: events_of(df).select("event_id", "ocsf.ev_tenant", "ocsf.ev_source", "ocsf.metadata.product.*", "ocsf.metadata.log_provider", F.unix_micros("ocsf.metadata.processed_time"), "ocsf.metadata.original_time", F.unix_micros("ocsf.time"), "ocsf.ev_dedup_key").toDF("event_id", "tenant", "source", "product", "vendor", "provider", "processed", "original", "t", "dedup_key")
 )
 BOOK.on("norm_observables", "v_events", "SELECT event_id, unnest(list_filter(['src_endpoint.ip|ip|' || source_ip, 'actor.user.name|user|' || principal, CASE WHEN target_principal <> principal THEN 'user.name|user|' || target_principal END, 'device.hostname|hostname|' || hostname], lambda x: x IS NOT NULL)) AS found FROM v_events")(
-    lambda df: events_of(df).select("event_id", F.explode("ocsf.observables").alias("o")).select("event_id", F.concat_ws("|", "o.name", "o.type", "o.value").alias("found"))
+    # The outer form, since explode adds a filter on the list that is pushed through the projections and maps every record anew for each field.
+    lambda df: events_of(df).select("event_id", F.explode_outer("ocsf.observables").alias("o")).where("o IS NOT NULL").select("event_id", F.concat_ws("|", "o.name", "o.type", "o.value").alias("found"))
 )
 BOOK.on("norm_document", "v_events", f"SELECT event_id, {DOCUMENT}::VARCHAR AS document FROM v_events")(lambda df: events_of(df).select("event_id", E.document().alias("document")))
 BOOK.on("norm_vendor_fields", "v_events", "SELECT event_id, unnest(['ip', 'host', 'status_code']) AS key, unnest([source_ip, hostname, http_code::VARCHAR]) AS value FROM v_events UNION ALL SELECT event_id, 'target_user', target_principal FROM v_events WHERE target_principal IS NOT NULL")(

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from secflow.operators import events, normalize
+from secflow.plans import normalize_queries
 from secflow.schema import event_schema
 
 ENVELOPE = "event_id long, source string, tenant string, payload string, raw string, received_at timestamp, collector string"
@@ -78,3 +79,9 @@ def test_own_mappers_do_not_leak(spark):
 
 def test_empty(spark):
     assert events.nested(normalize.normalize(records(spark, ("x", None, None)).limit(0))).count() == 0
+
+
+def test_observables_are_listed_without_mapping_a_record_again(spark):
+    """No filter on the list is pushed below the mapping, where it would hold the mapping once for each of its fields."""
+    plan = normalize_queries.BOOK.queries["norm_observables"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Filter" in line and "get_json_object" in line]
