@@ -8,9 +8,12 @@ a ridge penalty, solved by Newton steps. The threshold is the quantile of the tr
 scores at which as many documents fall below as are labelled bad; scores are mapped to
 0..1 so that this quantile lies at ``cut``.
 
-Training draws at most about ``max_train_docs`` labelled documents, evenly by a hash of
-their id, and ``pairs`` preference pairs; only their feature rows, some 40 numbers each,
-go to the driver. Scoring covers all documents on the executors.
+Training uses every labelled document. Their feature rows fall, by a hash, into blocks of
+about ``BLOCK`` rows; pairs are formed inside a block, ``PAIRS_EACH`` for each row of its
+larger class. Rows of a class too rare to reach every block are in several. Centre, scale
+and each Newton step are sums over all rows or blocks, of which the driver sees one row of
+sums a task; the threshold is read from all training scores. Scoring covers all documents on
+the executors.
 
 Rows: null and empty texts have all features 0 and get a score like any other; null labels
 teach nothing; with one class only, or no labels, every score is ``cut``. Repeated rows and
@@ -23,7 +26,7 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -33,10 +36,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from secflow.llm.common import crc32_of_id, read
+from secflow.llm.common import crc32_of_id, discard, materialise, read
 
-#: Bound of the labelled documents whose features the driver learns from, and of the preference pairs.
-MAX_TRAIN_DOCS, PAIRS = 20_000, 200_000
+#: Preference pairs for each row of the larger class; rows of a block of pairs, and rows of either class that it has about, at least.
+PAIRS_EACH, BLOCK, LEAST = 20, 8192, 64
+#: The threshold is the wanted quantile of the training scores, but for one row in so many.
+ACCURACY = 1_000_000
+STEPS = 25
 SYMBOLS = "!|$%#&*@<>{}[]()/\\_=+~^;:\"'?-"
 RIDGE = 1e-3
 
@@ -95,7 +101,7 @@ class Ranking:
     cut: float
 
     def latent(self, rows: np.ndarray) -> np.ndarray:
-        return np.clip((rows - self.centre) / self.scale, -8, 8) @ self.weights
+        return standardised(rows, self.centre, self.scale) @ self.weights
 
     def score(self, rows: np.ndarray) -> np.ndarray:
         """0 to 1; ``cut`` at the threshold."""
@@ -103,54 +109,131 @@ class Ranking:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit_pairs(good: np.ndarray, bad: np.ndarray, pairs: int, cut: float, seed: int = 7) -> Ranking:
-    """Bradley-Terry weights from pairs (good row, bad row), every row used about equally often."""
-    rows = np.concatenate([good, bad])
-    centre, scale = rows.mean(0), rows.std(0) + 1e-9
-    scale[scale < 1e-6] = 1.0
+def standardised(rows: np.ndarray, centre: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    return np.clip((rows - centre) / scale, -8, 8)
+
+
+def differences(good: np.ndarray, bad: np.ndarray, n: int, seed: int) -> np.ndarray:
+    """``n`` pairs, good row less bad row, every row used about equally often."""
     rng = np.random.default_rng(seed)
-    n = min(pairs, 20 * max(len(good), len(bad)))
 
     def spread(size: int) -> np.ndarray:
         return np.concatenate([rng.permutation(size) for _ in range(-(-n // size))])[:n]
 
-    z = lambda x: np.clip((x - centre) / scale, -8, 8)
-    d = z(good)[spread(len(good))] - z(bad)[spread(len(bad))]
-    w = np.zeros(d.shape[1])
-    for _ in range(25):
-        p = 1 / (1 + np.exp(np.clip(d @ w, -30, 30)))  # chance that the bad one wins
-        gradient = d.T @ p / n - RIDGE * w
-        curve = (d * (p * (1 - p))[:, None]).T @ d / n + RIDGE * np.eye(len(w))
-        step = np.linalg.solve(curve, gradient)
+    return good[spread(len(good))] - bad[spread(len(bad))]
+
+
+def step_sums(d: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """What pairs add to a Newton step: their number, the gradient and the curvature, one behind another."""
+    p = 1 / (1 + np.exp(np.clip(d @ w, -30, 30)))  # chance that the bad one wins
+    return np.concatenate([[len(d)], d.T @ p, ((d * (p * (1 - p))[:, None]).T @ d).ravel()])
+
+
+def solve(sums: Callable[[np.ndarray], np.ndarray], width: int) -> np.ndarray:
+    """Bradley-Terry weights: Newton steps on the sums that all pairs give at some weights."""
+    w = np.zeros(width)
+    for _ in range(STEPS):
+        n, gradient, curve = np.split(sums(w), [1, 1 + width])
+        step = np.linalg.solve(curve.reshape(width, width) / n + RIDGE * np.eye(width), gradient / n - RIDGE * w)
         w = w + step
         if np.abs(step).max() < 1e-6:
             break
-    latent = np.concatenate([z(good) @ w, z(bad) @ w])
-    return Ranking(centre, scale, w, float(np.quantile(latent, len(bad) / len(latent))), 1.0, cut)
+    return w
+
+
+def usable(scale: np.ndarray) -> np.ndarray:
+    """Standard deviations to divide by."""
+    return np.where(scale + 1e-9 < 1e-6, 1.0, scale + 1e-9)
+
+
+def fit_pairs(good: np.ndarray, bad: np.ndarray, pairs: int, cut: float, seed: int = 7) -> Ranking:
+    """The ranking of a single block of rows, all in memory, from at most ``pairs`` pairs."""
+    rows = np.concatenate([good, bad])
+    centre, scale = rows.mean(0), usable(rows.std(0))
+    d = differences(standardised(good, centre, scale), standardised(bad, centre, scale), min(pairs, PAIRS_EACH * max(len(good), len(bad))), seed)
+    w = solve(lambda w: step_sums(d, w), rows.shape[1])
+    return Ranking(centre, scale, w, float(np.quantile(standardised(rows, centre, scale) @ w, len(bad) / len(rows))), 1.0, cut)
+
+
+def unpacked(packed: pd.Series) -> np.ndarray:
+    """Rows of features from their bytes."""
+    return np.frombuffer(b"".join(packed), np.float64).reshape(-1, N_FEATURES)
 
 
 def _with_features(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield batch[keep].assign(features=[features(t).tolist() for t in batch[text]])
-
-    return docs.mapInPandas(run, T.StructType([*(docs.schema[c] for c in keep), T.StructField("features", T.ArrayType(T.DoubleType()))]))
-
-
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str = "text", max_train_docs: int = MAX_TRAIN_DOCS, pairs: int = PAIRS, cut: float = 0.3) -> Ranking | None:
-    """Learns from the labelled documents; None without both classes."""
-    known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).alias("_label"))
-    n = known.count()
-    share = min(1.0, max_train_docs / max(1, n))
-    drawn = known.where(F.pmod(F.xxhash64(F.lit("pairs"), "doc_id"), F.lit(1 << 30)) < share * (1 << 30))
-    rows = _with_features(docs.select("doc_id", text).join(drawn, "doc_id"), text, ["_label"]).toPandas()
-    x = np.array(rows["features"].tolist(), np.float64).reshape(len(rows), N_FEATURES)
-    y = rows["_label"].to_numpy(int)
-    order = np.lexsort([*x.T[::-1], y])  # the same rows in any order learn the same model
-    x, y = x[order], y[order]
-    if not (y == 1).any() or not (y == 0).any():
+            yield batch[keep].assign(features=[features(t).tobytes() for t in batch[text]])
+
+    return docs.mapInPandas(run, T.StructType([*(docs.schema[c] for c in keep), T.StructField("features", T.BinaryType())]))
+
+
+def _summed(rows: DataFrame, of: Callable[[pd.DataFrame], np.ndarray]) -> np.ndarray:
+    """The sum of what ``of`` makes of the table's batches."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = sum(of(batch) for batch in batches if len(batch))
+        if isinstance(total, np.ndarray):
+            yield pd.DataFrame({"sums": [total.tolist()]})
+
+    return np.sum([r["sums"] for r in rows.mapInPandas(run, "sums array<double>").collect()], 0)  # one row a task
+
+
+def _blocks(rows: DataFrame, sizes: dict[int, int], block: int) -> DataFrame:
+    """Feature rows in blocks that hold both classes: one row (good, bad) of packed features a block."""
+    n = max(1, -(-sum(sizes.values()) // block))
+    # A class of too few rows for all blocks has each of them in several.
+    copies = F.when(F.col("_label") == 1, min(n, -(-LEAST * n // sizes[1]))).otherwise(min(n, -(-LEAST * n // sizes[0])))
+    spread = rows.withColumn("_block", F.explode(F.transform(F.sequence(F.lit(1), copies), lambda i: (F.pmod("_at", F.lit(n)) + i) % n)))
+
+    def pack(part: pd.DataFrame) -> pd.DataFrame:
+        x, y = unpacked(part["features"]), part["_label"].to_numpy()
+        order = np.lexsort([*x.T[::-1], y])  # the same rows in any order learn the same model
+        x, y = x[order], y[order]
+        return pd.DataFrame({"_block": [part["_block"].iloc[0]], "good": [x[y == 1].tobytes()], "bad": [x[y == 0].tobytes()]})
+
+    return spread.select("_block", "_label", "features").groupBy("_block").applyInPandas(pack, "_block long, good binary, bad binary")
+
+
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str = "text", cut: float = 0.3, block: int = BLOCK) -> Ranking | None:
+    """Learns from all labelled documents; None without both classes."""
+    known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("int").alias("_label"))
+    # A merge join at any size: a broadcast of labels would only do for small tables.
+    taught = docs.select("doc_id", text, F.xxhash64(F.lit("pairs"), "doc_id", text).alias("_at")).join(known.hint("merge"), "doc_id")
+    rows = materialise(_with_features(taught, text, ["_label", "_at"]), "features")
+    sizes = {r["_label"]: r["count"] for r in rows.groupBy("_label").count().collect()}  # one row a class
+    if len(sizes) < 2:
+        discard(docs.sparkSession, rows)
         return None
-    return fit_pairs(x[y == 1], x[y == 0], pairs, cut)
+    n = sum(sizes.values())
+    centre = _summed(rows, lambda b: unpacked(b["features"]).sum(0)) / n
+    scale = usable(np.sqrt(_summed(rows, lambda b: np.square(unpacked(b["features"]) - centre).sum(0)) / n))
+    blocks = materialise(_blocks(rows, sizes, block), "blocks")
+
+    def sums(w: np.ndarray) -> np.ndarray:
+        def of(batch: pd.DataFrame) -> np.ndarray:
+            total = np.zeros(1 + len(w) + len(w) ** 2)
+            for seed, good, bad in zip(batch["_block"], batch["good"], batch["bad"], strict=True):
+                g, b = (standardised(unpacked([x]), centre, scale) for x in (good, bad))
+                if len(g) and len(b):
+                    total += step_sums(differences(g, b, PAIRS_EACH * max(len(g), len(b)), 7 + int(seed)), w)
+            return total
+
+        return _summed(blocks, of)
+
+    w = solve(sums, N_FEATURES)
+
+    def latent(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"latent": standardised(unpacked(batch["features"]), centre, scale) @ w})
+
+    # As many training scores as there are bad rows lie below: between two neighbours in their order.
+    place = sizes[0] / n * (n - 1)
+    below = int(place)
+    at = [(min(i, n - 1) + 0.5) / n for i in (below, below + 1)]
+    low, high = rows.mapInPandas(latent, "latent double").agg(F.percentile_approx("latent", at, ACCURACY)).first()[0]
+    discard(docs.sparkSession, rows, blocks)
+    return Ranking(centre, scale, w, low + (high - low) * (place - below), 1.0, cut)
 
 
 def rank(docs: DataFrame, model: Ranking | None, text: str = "text", cut: float = 0.3) -> DataFrame:

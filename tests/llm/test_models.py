@@ -216,6 +216,20 @@ def test_more_languages_than_bits_of_a_word(spark):
     assert got == 0
 
 
+def test_quality_learns_from_every_labelled_row(spark):
+    """More rows than a block or an earlier sample of 20,000, and a class with too few for every block."""
+    bad = (7, 9_000, 24_999)
+    text = F.when(F.col("doc_id").isin(*bad), F.concat(F.lit("## $$ %% "), F.col("doc_id").cast("string"))).otherwise(F.concat(F.lit("plain words of text "), F.col("doc_id").cast("string")))
+    docs = spark.range(25_000).select(F.col("id").alias("doc_id"), text.alias("text"))
+    labels = docs.select("doc_id", (~F.col("doc_id").isin(*bad)).cast("int").alias("quality"))
+    model = quality.train(docs, labels, block=2_000)
+    rows = np.array([quality.features(r["text"]) for r in docs.collect()])
+    assert np.allclose(model.centre, rows.mean(0)) and np.allclose(model.scale, quality.usable(rows.std(0)))
+    latent = model.latent(rows)
+    assert model.threshold == pytest.approx(np.quantile(latent, len(bad) / len(rows)))
+    assert set(np.argsort(latent)[:3]) == set(bad)
+
+
 def test_ranking_is_the_best_of_its_pairs():
     """Newton's weights against plain gradient descent on the same pairs' loss."""
     rnd = np.random.default_rng(4)
