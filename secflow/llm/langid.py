@@ -3,7 +3,7 @@
 Training counts, in how many of a language's documents each character n-gram (3 to 5
 letters, with a blank at word borders) occurs. An n-gram is typical of every language in
 which its rate is at least ``ratio`` of its highest rate over languages, and in at least
-``min_docs`` documents. The typical n-grams go into a bit-sliced Bloom filter: each of its
+``min_docs`` documents and ``LEAST_RATE`` of them. The typical n-grams go into a bit-sliced Bloom filter: each of its
 ``slots`` holds a mask with one bit per language (of as many words as the languages need), so
 that the AND of an n-gram's slots is the mask of all languages that may contain it. For a text, the bits of all n-grams' masks
 are counted per language. Each count is corrected for the language's false-positive rate
@@ -11,7 +11,7 @@ are counted per language. Each count is corrected for the language's false-posit
 corrected count decides.
 
 Only the filter (a fixed number of slots) goes through the driver. It is trained on all
-labelled documents, or on about ``max_train_docs`` of them, drawn evenly by a hash of the text.
+labelled documents; ``LEAST_RATE`` keeps its n-grams from growing with their number.
 
 A text may be in no learned language at all, and the largest count still names one. For a
 filter that drops such texts, ``least_shares`` learns what share of their n-grams the
@@ -40,8 +40,10 @@ from secflow.llm.common import crc32_of_id, read
 UNKNOWN = "und"
 SIZES = (3, 4, 5)
 HASHES = 3
-#: Bounds: filter slots (the driver holds one mask each), documents to learn from.
-SLOTS, MAX_TRAIN_DOCS = 1 << 20, 20_000
+#: Filter slots (the driver holds one mask each); the rate in a language that an n-gram needs (more than two documents from 5,000 of the language on).
+SLOTS, LEAST_RATE = 1 << 20, 1 / 2_500
+#: n-grams of documents that are counted at a time.
+COUNTED = 1 << 21
 #: Languages of one word of a mask.
 WORD = 63
 #: Letters of a text that are looked up at a time.
@@ -163,38 +165,37 @@ class Filter:
         return self.languages[best], float(c[best] / (c[best] + second)) if c[best] > 0 else 0.0, float(c[best]), n
 
 
-def draw(docs: DataFrame, text: str = "text", lang: str = "lang", max_docs: int = MAX_TRAIN_DOCS) -> tuple[list[str], DataFrame]:
-    """The languages of labelled documents, and about ``max_docs`` of their (text, lang)."""
-    known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.xxhash64(F.lit("train"), text).alias("_draw"))
-    sizes = known.groupBy("lang").count().orderBy("lang").collect()  # one row a language
-    languages = [r["lang"] for r in sizes]
-    if not languages:
-        return [], known.select("text", "lang")
-    # An even share for each language, so that a rare one is learned too.
-    each = max(1, max_docs // len(languages))
-    share = F.create_map(*(F.lit(x) for r in sizes for x in (r["lang"], min(1.0, each / r["count"]))))
-    return languages, known.where(F.pmod("_draw", F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30)).select("text", "lang")
+def labelled(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
+    """The (text, lang) of documents that teach."""
+    return docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
 
 
-def train(docs: DataFrame, text: str = "text", lang: str = "lang", slots: int = SLOTS, ratio: float = 0.4, min_docs: int = 2, max_train_docs: int = MAX_TRAIN_DOCS) -> Filter:
-    """Learns a filter from labelled documents."""
-    languages, drawn = draw(docs, text, lang, max_train_docs)
+def train(docs: DataFrame, text: str = "text", lang: str = "lang", slots: int = SLOTS, ratio: float = 0.4, min_docs: int = 2, least_rate: float = LEAST_RATE) -> Filter:
+    """Learns a filter from all labelled documents."""
+    known = labelled(docs, text, lang)
+    languages = [r["lang"] for r in known.select("lang").distinct().orderBy("lang").collect()]  # one row a language
     if not languages:
         return Filter([], np.zeros(slots, np.uint64))
 
     def grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for name, part in batch.groupby("lang"):
-                parts = [np.unique(np.concatenate(list(pieces(t)) or [np.zeros(0, np.uint64)])) for t in part["text"]]
-                h, n = np.unique(np.concatenate(parts), return_counts=True)
-                yield pd.DataFrame({"lang": name, "h": h.view(np.int64), "n": n.astype(np.int64), "docs": 0})
+                held, size = [], 0
+                for i, t in enumerate(part["text"], 1):
+                    held.append(np.unique(np.concatenate(list(pieces(t)) or [np.zeros(0, np.uint64)])))
+                    size += len(held[-1])
+                    if size >= COUNTED or i == len(part):
+                        h, n = np.unique(np.concatenate(held), return_counts=True)
+                        yield pd.DataFrame({"lang": name, "h": h.view(np.int64), "n": n.astype(np.int64), "docs": 0})
+                        held, size = [], 0
                 yield pd.DataFrame({"lang": [name], "h": [None], "n": [None], "docs": [len(part)]}).astype({"h": "Int64", "n": "Int64"})
 
-    counted = drawn.mapInPandas(grams, "lang string, h long, n long, docs long")
+    counted = known.mapInPandas(grams, "lang string, h long, n long, docs long")
     by_gram = counted.groupBy("h", "lang").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
     by_gram = by_gram.groupBy("h").agg(F.map_from_entries(F.collect_list(F.struct("lang", F.struct("n", "docs").alias("v")))).alias("v")).persist()
     docs_of = {k: v["docs"] for k, v in (by_gram.where(F.col("h").isNull()).first() or {"v": {}})["v"].items()}
-    rate = F.array(*(F.when(F.coalesce(F.col("v")[x]["n"], F.lit(0)) >= min_docs, F.col("v")[x]["n"] / F.lit(max(1, docs_of.get(x, 0)))).otherwise(0.0) for x in languages))
+    least = {x: max(min_docs, least_rate * docs_of.get(x, 0)) for x in languages}
+    rate = F.array(*(F.when(F.coalesce(F.col("v")[x]["n"], F.lit(0)) >= least[x], F.col("v")[x]["n"] / F.lit(max(1, docs_of.get(x, 0)))).otherwise(0.0) for x in languages))
     typical = by_gram.where(F.col("h").isNotNull()).select("h", rate.alias("r")).withColumn("top", F.array_max("r")).where(F.col("top") > 0)
     words = [F.lit(0).cast("long") for _ in range(0, len(languages), WORD)]
     for i in range(len(languages)):
@@ -231,9 +232,9 @@ def identify(docs: DataFrame, model: Filter, text: str = "text", evidence: bool
     return docs.mapInArrow(run, T.StructType([*(docs.schema[c] for c in kept), *added.fields]))
 
 
-def least_shares(docs: DataFrame, model: Filter, text: str = "text", lang: str = "lang", max_docs: int = MAX_TRAIN_DOCS) -> dict[str, float]:
+def least_shares(docs: DataFrame, model: Filter, text: str = "text", lang: str = "lang") -> dict[str, float]:
     """For each language, the share of n-grams that its labelled documents have at least, with a margin."""
-    found = identify(draw(docs, text, lang, max_docs)[1], model, evidence=True).where("lang = lang_pred AND n_grams > 0")
+    found = identify(labelled(docs, text, lang), model, evidence=True).where("lang = lang_pred AND n_grams > 0")
     low = found.groupBy("lang").agg(F.percentile_approx(F.col("lang_count") / F.col("n_grams"), LOW).alias("low")).collect()  # one row a language
     return {r["lang"]: PART * min(1.0, r["low"]) for r in low}
 
