@@ -75,18 +75,21 @@ def nested(normalized: DataFrame, event: str = "ocsf") -> DataFrame:
     e = lambda n: F.col(f"event.{n}")
     # The record is parsed once; its fields are then found by offset.
     own = lambda *names: F.coalesce(*(F.try_variant_get("_record", f"$.{n}", "string") for n in names))
-    line = N.syslog(F.col("raw"))
     collector = F.col("collector") if "collector" in normalized.columns else F.lit(None).cast("string")
-    original = F.coalesce(own("timestamp", "eventTime", "published"), line["timestamp"])
-    time = F.coalesce(parse_time(original, F.col("received_at")), F.col("received_at"))
+    # What several leaves need, and then each leaf, is a column of its own, so that it is computed once a row.
+    known = F.col("event").isNotNull()
+    parsed = normalized.withColumns({"_record": F.when(known, F.try_parse_json("payload")), "_line": F.when(known, N.syslog(F.col("raw")))})
+    parsed = parsed.withColumns({
+        "_original": F.coalesce(own("timestamp", "eventTime", "published"), F.col("_line.timestamp")), "_host": F.coalesce(own("host"), F.col("_line.host")), "_uid": own("eventID", "uuid", "event_id"),
+        "_operation": F.coalesce(own("eventName", "eventType", "endpoint", "operation"), e("operation")), "_url": own("path", "url"), "_sha256": own("sha256"), "_message": own("message"),
+    })
+    parsed = parsed.withColumn("_time", F.coalesce(parse_time(F.col("_original"), F.col("received_at")), F.col("received_at")))
+    original, host, uid, operation, url, sha256, message, time = (F.col(f"_{n}") for n in ("original", "host", "uid", "operation", "url", "sha256", "message", "time"))
     product = F.create_map(*(x for k, (p, v) in PRODUCTS.items() for x in (F.lit(k), F.struct(F.lit(p).alias("name"), F.lit(v).alias("vendor_name")))))
-    host = F.coalesce(own("host"), line["host"])
     named = N.labels(e("class_uid"), e("activity_id"), e("status_id"), e("severity_id"))
-    target, uid = e("target"), own("eventID", "uuid", "event_id")
-    operation = F.coalesce(own("eventName", "eventType", "endpoint", "operation"), e("operation"))
-    key = N.content_key(F.col("tenant"), e("class_uid"), e("activity_id"), time, e("actor"), target, e("ip"), host, e("status_id"), operation, uid, F.coalesce("raw", own("message")))
-    url = own("path", "url")
-    seen = N.observables(src_endpoint__ip=("ip", e("ip")), actor__user__name=("user", F.coalesce(e("actor"), target)), user__name=("user", target), device__hostname=("hostname", host), file__hashes__sha256=("file_hash", own("sha256")), http_request__url=("url", url))
+    target = e("target")
+    key = N.content_key(F.col("tenant"), e("class_uid"), e("activity_id"), time, e("actor"), target, e("ip"), host, e("status_id"), operation, uid, F.coalesce(F.col("raw"), message))
+    seen = N.observables(src_endpoint__ip=("ip", e("ip")), actor__user__name=("user", F.coalesce(e("actor"), target)), user__name=("user", target), device__hostname=("hostname", host), file__hashes__sha256=("file_hash", sha256), http_request__url=("url", url))
     leaves = {
         "class_uid": e("class_uid"), "activity_id": e("activity_id"), "status_id": e("status_id"), "severity_id": e("severity_id"), "status_detail": e("status_detail"), **named, "time": time,
         "metadata.product": product[F.col("mapper")], "metadata.uid": uid, "metadata.log_name": F.col("mapper"), "metadata.log_provider": collector, "metadata.processed_time": F.col("received_at"), "metadata.original_time": original,
@@ -95,12 +98,14 @@ def nested(normalized: DataFrame, event: str = "ocsf") -> DataFrame:
         "src_endpoint.ip": e("ip"), "src_endpoint.port": e("port"), "src_endpoint.country": own("client.geographicalContext.country", "country"), "device.hostname": host,
         "api.operation": operation, "api.service": own("eventSource", "service"), "http_request.url": url, "http_request.http_method": own("method"), "http_request.user_agent": own("userAgent", "user_agent", "client.userAgent.rawUserAgent"), "http_response.code": own("status_code").try_cast("int"),
         "resources": F.when(F.col("mapper") == "aws.cloudtrail", F.nullif(N.cloud_resources(F.col("payload")), F.array().cast("array<struct<uid:string,name:string,type:string,criticality:string>>"))).when(F.col("mapper") == "app", N.app_resource(own("resource", "object"), own("resource_id"), own("resource_type"), own("resource_criticality"))),
-        "file.path": F.when(e("class_uid") == N.FILE, e("path")), "file.hashes": F.when(own("sha256").isNotNull(), F.create_map(F.lit("sha256"), own("sha256"))), "group.name": e("group_name"),
-        "auth_protocol": e("method"), "logon_type": e("logon_type"), "is_mfa": e("is_mfa"), "message": F.coalesce(own("message"), F.when(F.col("raw").isNotNull(), line["message"])), "observables": F.when(F.size(seen) > 0, seen),
+        "file.path": F.when(e("class_uid") == N.FILE, e("path")), "file.hashes": F.when(sha256.isNotNull(), F.create_map(F.lit("sha256"), sha256)), "group.name": e("group_name"),
+        "auth_protocol": e("method"), "logon_type": e("logon_type"), "is_mfa": e("is_mfa"), "message": F.coalesce(message, F.when(F.col("raw").isNotNull(), F.col("_line.message"))), "observables": F.when(F.size("_seen") > 0, F.col("_seen")),
         "unmapped": F.col("_record"), "ev_tenant": F.col("tenant"), "ev_source": F.col("source"), "ev_raw": F.col("raw"), "ev_dedup_key": key,
     }
-    parsed = normalized.withColumn("_record", F.try_parse_json("payload"))
-    return parsed.withColumn(event, F.when(F.col("event").isNotNull(), assemble(event_schema(), leaves))).drop("_record")
+    named = {path: f"_leaf_{i}" for i, path in enumerate(leaves)}
+    made = parsed.withColumn("_seen", F.when(known, seen)).withColumns({named[path]: c for path, c in leaves.items()})
+    whole = made.withColumn(event, F.when(known, assemble(event_schema(), {path: F.col(n) for path, n in named.items()})))
+    return whole.drop("_record", "_line", "_original", "_host", "_uid", "_operation", "_url", "_sha256", "_message", "_time", "_seen", *named.values())
 
 
 def check_schema(df: DataFrame, event: str = "ocsf") -> DataFrame:
