@@ -1,5 +1,9 @@
 """Records are mapped once, whatever reads the result: no plan repeats the mapping for a filter or a leaf."""
 
+from pyspark.sql import functions as F
+
+from secflow.functions.versions import limits
+from secflow.operators import supply_chain as S
 from secflow.plans import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -22,3 +26,15 @@ def test_leaves_share_what_they_need(spark):
 
 def test_a_cloud_call_reads_each_path_once(spark):
     assert plan(spark, "norm_cloudtrail").count("get_json_object") <= 20
+
+
+def test_a_range_is_parsed_once_for_all_advisories_that_name_it(spark):
+    texts = [("a", ">=1.0.0 <2.0.0", "2.0.0"), ("b", ">=1.0.0 <2.0.0", "2.0.0"), ("c", None, None), ("d", None, "2.0.0"), ("e", "", None), ("f", "^1.2", "")]
+    advisories = spark.createDataFrame(texts * 2, "vuln_id string, affected string, fixed string").coalesce(1)
+    made = S.with_bounds(advisories, limits(F.col("affected")), "affected", "fixed")
+    assert sorted(r.vuln_id for r in made.collect()) == sorted(t[0] for t in texts * 2)
+    want = advisories.withColumn("bounds", limits(F.col("affected")))
+    key = lambda r: repr(r)
+    assert sorted(made.select(*want.columns).collect(), key=key) == sorted(want.collect(), key=key)
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [_affected" in plan and "Repartition" in plan
