@@ -8,7 +8,8 @@ pair (previous token, token) is compatible, that is, if merging the two tokens'
 rank gives just these two tokens again. Otherwise it tries the next shorter token, and
 steps back if none is left; positions that were left this way are never entered twice, so
 the work is linear. A sequence whose neighbours are all compatible is the merge result
-itself, so the ids are exact. The pair table fills as pairs are first met.
+itself, so the ids are exact. The pair table, which names the part of a match that fits, fills as
+pairs are first met.
 
 Decoding gathers each token's bytes from one buffer by an (offset, length) table.
 
@@ -24,6 +25,7 @@ import hashlib
 import json
 import re
 from array import array
+from codecs import charmap_decode
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -52,21 +54,33 @@ def byte_alphabet() -> list[str]:
 
 
 class Words(dict):
-    """Pre-token to its ids as little-endian bytes; misses are encoded on first use."""
+    """Pre-token to its ids as little-endian bytes; misses are encoded on first use. A full table becomes the old one; words met again come back from it."""
 
     def __init__(self, encode: Callable[[str], bytes]):
         super().__init__()
-        self.encode = encode
+        self.encode, self.old = encode, {}
 
     def __missing__(self, word: str) -> bytes:
-        found = self.encode(word)
+        found = self.old.get(word)
+        if found is None:
+            found = self.encode(word)
         if len(word) <= MAX_KEY:
-            if len(self) >= MAX_WORDS:
+            if len(self) >= MAX_WORDS // 2:
+                self.old = dict(self)
                 self.clear()
             self[word] = found
         return found
 
 
+def _plane_words() -> Callable[[str], list[str]]:
+    """The pre-token pattern for texts of the basic plane, whose classes are written out, as the standard library has none of them."""
+    import regex
+
+    plane = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x10000)]))
+    letter, digit, space = ("".join(f"\\u{ord(run[0]):04x}-\\u{ord(run[-1]):04x}" for run in regex.findall(rf"{kind}+", plane)) for kind in (r"\p{L}", r"\p{N}", r"\s"))
+    return re.compile(f"'(?:[sdmt]|ll|ve|re)| ?[{letter}]+| ?[{digit}]+| ?[^{space}{letter}{digit}]+|[{space}]+(?![^{space}])|[{space}]+").findall
+
+
 class BacktrackingBpe:
     """Encoder and decoder for one byte-level vocabulary file."""
 
@@ -77,7 +91,7 @@ class BacktrackingBpe:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         alphabet = byte_alphabet()
-        self._to_chars = {b: c for b, c in enumerate(alphabet)}
+        self._alphabet = "".join(alphabet)
         to_byte = {c: b for b, c in enumerate(alphabet)}
         vocab: dict[str, int] = spec["model"]["vocab"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -115,12 +129,15 @@ class BacktrackingBpe:
         self.buffer = np.frombuffer(b"".join(pieces), np.uint8)
         self.lengths = np.array([len(p) for p in pieces], np.int64)
         self.offsets = np.cumsum(self.lengths) - self.lengths
-        self._pairs: dict[int, bool] = {}
+        #: (token before, longest match) -> what of the match fits; edges of tokens, left and right of a border.
+        self._picks: dict[int, int] = {}
+        self._edge_left: dict[int, list[int]] = {}
+        self._edge_right: dict[int, list[int]] = {}
         self._size = size
         self._decimal = list(map(str, range(size)))
         self.words = Words(lambda word: array("i", self.encode_word(word)).tobytes())
         pattern = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-        self._split = regex.compile(pattern).findall
+        self._split, self._split_plane = regex.compile(pattern).findall, _plane_words()
         self._cut = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
 
     def compatible(self, a: int, b: int) -> bool:
@@ -131,16 +148,12 @@ class BacktrackingBpe:
         happens if its rank comes before the rank at which either side grows (at equal rank
         the leftmost pair merges first).
         """
-        edge_a, edge_b = [a], [b]
-        while self.right[edge_a[-1]] >= 0:
-            edge_a.append(self.right[edge_a[-1]])
-        while self.left[edge_b[-1]] >= 0:
-            edge_b.append(self.left[edge_b[-1]])
-        i, j, merge, rank = len(edge_a) - 1, len(edge_b) - 1, self.merge, self.rank
+        edge_a, edge_b = self._edge_left.get(a) or self._edge(self._edge_left, self.right, a), self._edge_right.get(b) or self._edge(self._edge_right, self.left, b)
+        i, j, merge, rank = len(edge_a) - 1, len(edge_b) - 1, self.merge.get, self.rank
         while True:
             grow_a = rank[edge_a[i - 1]] if i else _FAR
             grow_b = rank[edge_b[j - 1]] if j else _FAR
-            across = merge.get((edge_a[i], edge_b[j]))
+            across = merge((edge_a[i], edge_b[j]))
             if across is not None and across[0] < grow_a and across[0] <= grow_b:
                 return False
             if not i and not j:
@@ -150,59 +163,83 @@ class BacktrackingBpe:
             else:
                 j -= 1
 
+    @staticmethod
+    def _edge(edges: dict[int, list[int]], inner: list[int], token: int) -> list[int]:
+        """The token, its part at the border, that one's part there, and so on down to a byte; kept, as there are no more than tokens."""
+        found = [token]
+        while inner[found[-1]] >= 0:
+            found.append(inner[found[-1]])
+        edges[token] = found
+        return found
+
     def encode_word(self, word: str) -> list[int]:
         """Ids of one pre-token."""
-        text = word.encode("utf-8", "surrogatepass").decode("latin-1").translate(self._to_chars)
-        n = len(text)
-        lengths, shorter, pairs, size = self._length, self._shorter, self._pairs, self._size
-        longest = self._matches.iter_long
-        # Most words are their longest matches, all compatible.
+        text = charmap_decode(word.encode("utf-8", "surrogatepass"), "strict", self._alphabet)[0]
+        longest, lengths, size, known = self._matches.iter_long, self._length, self._size, self._picks.get
+        # Until a word first steps back no position is dead: each longest match, or the prefix of it that fits, is taken.
         out: list[int] = []
-        known, last = pairs.get, -1
-        for _, token in longest(text):
-            if last >= 0 and not known(last * size + token):
+        last, scan = -1, longest(text)
+        while True:
+            for end, token in scan:
+                fit = known(last * size + token)
+                if fit is None:
+                    fit = self._pick(last, token)
+                if fit != token:
+                    break
+                out.append(token)
+                last = token
+            else:
+                return out
+            pos = end + 1 - lengths[token]
+            if fit < 0:
                 break
-            out.append(token)
-            last = token
-        else:
-            return out
-        dead, out = bytearray(n + 1), []
+            out.append(fit)
+            last = fit
+            scan = longest(text, pos + lengths[fit])
+        n, shorter, dead = len(text), self._shorter, bytearray(len(text) + 1)
         # One scan serves as long as the longest matches are taken; after any other token a new one starts.
-        scan, whole = longest(text), True
-        pos, token = 0, next(scan)[1]
+        whole = False
         while True:
-            last = out[-1] if out else -1
-            while token >= 0:
-                end = pos + lengths[token]
-                if not dead[end]:
-                    if last < 0:
-                        break
-                    key = last * size + token
-                    ok = pairs.get(key)
-                    if ok is None:
-                        if len(pairs) >= MAX_PAIRS:
-                            pairs.clear()
-                        ok = pairs[key] = self.compatible(last, token)
-                    if ok:
-                        break
-                token, whole = shorter[token], False
-            if token >= 0:
-                out.append(token)
-                pos = end
+            if fit < 0:
+                dead[pos] = 1
+                token = out.pop()
+                pos -= lengths[token]
+                last, token, whole = out[-1] if out else -1, shorter[token], False
+            elif dead[pos + lengths[fit]]:
+                token, whole = shorter[fit], False
+            else:
+                out.append(fit)
+                last = fit
+                pos += lengths[fit]
                 if pos == n:
                     return out
-                if not whole:
+                if not whole or fit != token:
                     scan, whole = longest(text, pos), True
                 token = next(scan)[1]
-            else:
-                dead[pos] = 1
-                token = out.pop()
-                pos -= lengths[token]
-                token, whole = shorter[token], False
+            if token < 0:
+                fit = -1
+                continue
+            fit = known(last * size + token)
+            if fit is None:
+                fit = self._pick(last, token)
+
+    def _pick(self, last: int, token: int) -> int:
+        """The longest of a token and its prefixes that is compatible with the token before (-1 at the start), -1 if none is."""
+        fit, compatible, shorter = token, self.compatible, self._shorter
+        while last >= 0 <= fit and not compatible(last, fit):
+            fit = shorter[fit]
+        if len(self._picks) >= MAX_PAIRS:
+            self._picks.clear()
+        self._picks[last * self._size + token] = fit
+        return fit
 
     def _of_words(self, text: str) -> bytes:
         """Ids of a text without special tokens, pre-token by pre-token."""
-        return b"".join(map(self.words.__getitem__, _ASCII_WORDS(text) if text.isascii() else self._split(text)))
+        if text.isascii():
+            split = _ASCII_WORDS
+        else:
+            split = self._split_plane if len(text.encode("utf-16-le", "surrogatepass")) == 2 * len(text) else self._split
+        return b"".join(map(self.words.__getitem__, split(text)))
 
     def encode(self, text: str) -> np.ndarray:
         """Ids of a whole text."""

@@ -26,6 +26,7 @@ files' layout.
 from __future__ import annotations
 
 import math
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -78,19 +79,17 @@ def sequences(docs: DataFrame, vocabulary: str, length: int = LENGTH, text: str
         bpe = codec(vocabulary)
         end = next(iter(bpe.special.values()), bpe._size)
         kind = np.dtype("<u2" if bpe._size + 1 <= 1 << 16 else "<u4")
+        last, size, head = np.array([end], kind).tobytes(), length * kind.itemsize, struct.Struct("<qII").pack  # as HEADER
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 ids, parts, records = [], [], []
                 for doc_id, t in zip(batch.column(0)[at : at + 256].to_pylist(), batch.column(1)[at : at + 256].to_pylist(), strict=True):
-                    tokens = np.append(bpe.encode(t or ""), end)
-                    count = -(-len(tokens) // length)
-                    tokens = tokens.astype(kind)
-                    head = np.zeros(count, HEADER)
-                    head["doc_id"], head["part"], head["n"] = NO_ID if doc_id is None else doc_id, np.arange(count), length
-                    head["n"][-1] = len(tokens) - (count - 1) * length
+                    tokens = bpe.encode(t or "")
+                    body, n, own = tokens.astype(kind).tobytes() + last, len(tokens) + 1, NO_ID if doc_id is None else doc_id
+                    count = -(-n // length)
                     ids += [doc_id] * count
                     parts += range(count)
-                    records += [h.tobytes() + tokens[k * length : (k + 1) * length].tobytes() for k, h in enumerate(head)]
+                    records += [head(own, k, min(length, n - k * length)) + body[k * size : (k + 1) * size] for k in range(count)]
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(parts, pa.int32()), pa.array(records, pa.binary())], ["doc_id", "part", "record"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text).mapInArrow(cut, "doc_id long, part int, record binary")
@@ -99,14 +98,18 @@ def sequences(docs: DataFrame, vocabulary: str, length: int = LENGTH, text: str
 def materialise_order(docs: DataFrame, vocabulary: str, length: int = LENGTH, per_shard: int = PER_SHARD, key: int = KEY, text: str = "text", shards_per_task: int = SHARDS_PER_TASK) -> DataFrame:
     """The shards (shard, first_slot, n, stride, records, task), written to the shared folder in slot order, a folder a task."""
     spark = docs.sparkSession
-    made = materialise(sequences(docs, vocabulary, length, text).withColumn("h", F.xxhash64(F.lit(key), "doc_id")), "sequences", "zstd")
+    # Ranges of hashes are dealt before anything is encoded, so that sequences go from their
+    # encoder to their range and are written once, with their place in it.
+    ranges = max(1, math.isqrt(docs.count()))
+    spread = sequences(docs, vocabulary, length, text).withColumn("h", F.xxhash64(F.lit(key), "doc_id"))
+    spread = spread.withColumn("range", F.floor((F.shiftrightunsigned("h", 32)) * ranges / F.lit(1 << 32)))
+    inside = Window.partitionBy("range").orderBy("h", "doc_id", "part", "record")
+    with shuffles_dropped(spark):
+        made = materialise(spread.withColumn("place", F.row_number().over(inside)).select("range", "place", "record"), "sequences", "zstd")
     total = made.count()
-    ranges = max(1, math.isqrt(total))
-    spread = made.withColumn("range", F.floor((F.shiftrightunsigned("h", 32)) * ranges / F.lit(1 << 32)))
-    starts = spread.groupBy("range").agg(F.count(F.lit(1)).alias("rows"))
+    starts = made.groupBy("range").agg(F.count(F.lit(1)).alias("rows"))
     starts = starts.withColumn("start", F.sum("rows").over(Window.orderBy("range")) - F.col("rows")).drop("rows")
-    inside = Window.partitionBy("range").orderBy("h", "doc_id", "part", "record")
-    numbered = spread.join(starts, "range").withColumn("number", F.col("start") + F.row_number().over(inside) - 1).select("number", "record")
+    numbered = made.join(F.broadcast(starts), "range").select((F.col("start") + F.col("place") - 1).alias("number"), "record")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -117,10 +120,7 @@ def materialise_order(docs: DataFrame, vocabulary: str, length: int = LENGTH, pe
     each = max(shards_per_task, -(-shards // TASKS))
     task = F.floor(F.col("slot") / (per_shard * each)).cast("int")
     # Ranges of slots are known beforehand: no sampling, and no task starts inside a shard.
-    # Two steps, so that what the first one moved is gone when the second moves it again.
-    with shuffles_dropped(spark):
-        placed = materialise(numbered.mapInArrow(place, "slot long, record binary"), "slots", "zstd")
-    discard(spark, made)
+    placed = numbered.mapInArrow(place, "slot long, record binary")
     ordered = placed.repartitionById(max(1, -(-shards // each)), task).sortWithinPartitions("slot")
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,7 +148,7 @@ def materialise_order(docs: DataFrame, vocabulary: str, length: int = LENGTH, pe
     path, made_shards = new_table(spark, "shards"), ordered.mapInArrow(join, "shard long, first_slot long, n int, stride int, records binary, task int")
     with shuffles_dropped(spark):
         made_shards.write.partitionBy("task").parquet(path, compression="zstd")
-    discard(spark, placed)
+    discard(spark, made)
     return spark.read.schema(made_shards.schema).parquet(path)
 
 
