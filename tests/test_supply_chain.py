@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from secflow.functions import versions as V
 from secflow.operators import supply_chain
 from secflow.operators.ranges import points_in_intervals, running
+from secflow.plans import catalog
 from secflow.plans.views import view
 
 RANKS = {"dev": -5, "alpha": -4, "a": -4, "beta": -3, "b": -3, "rc": -2, "pre": -2, "preview": -2, "snapshot": -2}
@@ -96,6 +97,36 @@ def test_advisories_of_the_views(spark):
     assert len(got) == len(want) and {tuple(r) for r in got} == want
 
 
+def test_states_of_all_advisories(spark):
+    """Every advisory on a component's package, whether it affects it, is fixed there or doesn't reach it."""
+    components = spark.createDataFrame([(1, "p", "npm", "1.0"), (2, "p", "npm", "2.0"), (3, "p", "pypi", "1.0"), (4, "p", "npm", None), (5, "p", "npm", " "), (6, "q", None, "1.0"), (7, "p", "npm", "1.0"), (8, None, "npm", "1.0"), (9, "r", "npm", "1.0")], "id int, package string, ecosystem string, version string")
+    advisories = spark.createDataFrame([("low", "p", "npm", "<2.0", None), ("fix", "p", None, None, "2.0"), ("late", "p", "npm", ">=3", ""), ("out", "p", "npm", ">=3", "1.0"), ("eco", "q", "npm", "*", None), ("all", "q", "", "any", "0.9"), ("none", None, None, "*", None)], "vuln_id string, package string, ecosystem string, affected string, fixed string")
+    got = sorted((r.id, r.vuln_id, r.status) for r in supply_chain.advisory_states(components, advisories).collect())
+    want = {"low": {1: "affected", 7: "affected"}, "fix": {1: "affected", 2: "fixed", 3: "affected", 7: "affected"}, "late": {}, "out": {1: "fixed", 2: "fixed", 7: "fixed"}}
+    pairs = [(i, v, states.get(i, "not_affected")) for v, states in want.items() for i in ((1, 2, 3, 4, 5, 7) if v == "fix" else (1, 2, 4, 5, 7))]
+    assert got == sorted([*pairs, (6, "all", "fixed")])
+    met = {(i, v) for i, v, status in got if status == "affected"}
+    assert met == {(r.id, r.vuln_id) for r in supply_chain.match_advisories(components, advisories).collect()}
+    assert supply_chain.advisory_states(components.limit(0), advisories).count() == supply_chain.advisory_states(components, advisories.limit(0)).count() == 0
+
+
+def test_match_query_leaves_no_pair_out(spark):
+    """Each component once with each advisory on its package and ecosystem: as many rows as the tables have such pairs."""
+    c, a = (view(spark, "/root/testdata/sf0.001", v) for v in ("v_components", "v_advisories"))
+    of = {}
+    for y in a.collect():
+        of.setdefault(y.package, []).append(y)
+    want = {}
+    for x in c.collect():
+        for y in of.get(x.package, []):
+            if y.ecosystem in (None, x.ecosystem):
+                want[x.part_id, y.vuln_id] = bool(y.fixed) and order(x.version, y.fixed) >= 0
+    got = catalog.queries()["sbom_match"](spark, "/root/testdata/sf0.001").collect()
+    assert len(got) == len(want) and {(r.part_id, r.vuln_id): r.status == "fixed" for r in got} == want
+    assert {r.status for r in got} == {"affected", "fixed", "not_affected"}
+    assert {(r.part_id, r.vuln_id) for r in got if r.status == "affected"} == {tuple(r) for r in supply_chain.match_advisories(c, a).select("part_id", "vuln_id").collect()}
+
+
 def test_points_in_intervals(spark):
     rnd = random.Random(5)
     points = [(g, p) for g in "ab" for p in sorted(rnd.sample(range(200), 70))]
