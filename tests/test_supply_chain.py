@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from secflow.functions import versions as V
 from secflow.operators import supply_chain
-from secflow.operators.ranges import points_in_intervals, running
+from secflow.operators.ranges import pairs, points_in_intervals, running
 from secflow.plans import catalog
 from secflow.plans.views import view
 
@@ -139,6 +139,27 @@ def test_points_in_intervals(spark):
     assert sorted((r.g, r.p, r.id) for r in got.collect()) == want
 
 
+def test_pairs_of_large_keys_spread(spark):
+    """All pairs of a key, copies of rows too; a key with many rows isn't one task's."""
+    rnd = random.Random(7)
+    left = [(rnd.choice("aaaab") if i % 9 else None, i // 2) for i in range(90)]
+    right = [(rnd.choice("aabc") if i % 7 else None, i // 3) for i in range(60)]
+    want = sorted((g, x, y) for g, x in left for h, y in right if g is not None and g == h)
+    sides = spark.createDataFrame(left, "g string, x int"), spark.createDataFrame(right, "g string, y int")
+    assert sorted(tuple(r) for r in pairs(*sides, ["g"], size=1000).collect()) == want
+    plain = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    for name, value in plain.items():
+        spark.conf.set(name, value)
+    try:
+        tasks = {size: pairs(*sides, ["g"], size=size).withColumn("task", F.spark_partition_id()).collect() for size in (4, 1000)}
+    finally:
+        for name in plain:
+            spark.conf.unset(name)
+    spread = tasks[4]
+    assert sorted((r.g, r.x, r.y) for r in spread) == want
+    assert len({r.task for r in tasks[1000] if r.g == "a"}) == 1 < len({r.task for r in spread if r.g == "a"})
+
+
 def test_running_totals(spark):
     rows = [(None if i % 3 == 0 else "g", i * 7919 % 500, i % 5) for i in range(500)]
     got = running(spark.createDataFrame(rows, "g string, t int, n int"), ["g"], ["t"], total=F.col("n"), rows=F.lit(1)).collect()
